@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontam, mixing, quality_rules, simhash_dedup
+from . import chat_format, decontam, mixing, quality_rules, simhash_dedup, token_count, token_output
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op4_mix": mixing.op4_mix,
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_token_output": token_output.op8_token_output,
+        "op10_token_count": token_count.op10_token_count,
     }
 
 

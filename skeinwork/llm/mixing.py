@@ -6,9 +6,10 @@ reads two sums over the table of sources in each round, and that table has one r
 
 Sampling: a source that gets e epochs takes each document floor(e) times, and some documents once more. Which ones is
 settled by a seeded 64-bit hash of id and text: documents are passed in the order of that hash until the fraction's
-words are taken, the last one if more than half of it is still due. Hashes are cut into BUCKETS buckets; sums over
-the buckets find each source's last bucket, and only that bucket's documents are put in order. So a source that holds a third of all
-rows is nowhere one group, and the sum taken is within half a document of the target.
+words are taken, the last one if more than half of it is still due. Documents with more than 1 / LARGE of their
+source's words, 100 at most, come first, and the others make up for what these took too much or too little. Hashes
+are cut into BUCKETS buckets; sums over the buckets find each source's last bucket, and only that bucket's documents are
+put in order. So a source that holds a third of all rows is nowhere one group, and what is taken is within half a small document of the target.
 
 Defined results: null text has size 0; a null source is one source, the last by code point; repeated rows have one
 hash and are taken alike; an empty table gives no rows; if all sizes are 0 all targets are 0.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 16
+LARGE = 100
 WEIGHTS = (3, 1, 2)
 
 
@@ -67,32 +69,43 @@ def water_fill(weighted: DataFrame, share: float, max_epochs: float) -> DataFram
 
 
 def plan_mix(sized: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """For sized (source, h, size): source, source_size, target, whole (repetitions of every document) and last (documents
-    with hashes up to it are taken once more; null: none is). One row a source."""
-    buckets = sized.groupBy("source", _bucket(F.col("h")).alias("bucket")).agg(F.sum("size").alias("words"))
-    sources = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
-    plan = common.staged(water_fill(cyclic_weights(sources, weights), share, max_epochs), "mix-targets")
+    """For sized (source, h, size), one row a source: source, source_size, target, whole (repetitions of every document),
+    large (hashes of large documents taken once more), last_bucket and last (small documents with hashes up to there are)."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = water_fill(cyclic_weights(sources, weights), share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(epochs + F.lit(1e-9)).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("due", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    run = buckets.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
-    cut = run.join(plan.select(F.col("source").alias("s"), "due"), F.col("source").eqNullSafe(F.col("s"))).filter("due > 0 and before < due and due <= before + words").select(F.col("s"), F.col("bucket").alias("b"), "before", "due")
-    cut = common.staged(cut, "mix-cuts")
-    inside = sized.withColumn("bucket", _bucket(F.col("h"))).join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    hashes = inside.groupBy("s", "h").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("due").alias("due"))
+    plan = plan.withColumn("whole", F.floor(epochs + F.lit(1e-9)).cast("long")).withColumn("due", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    plan = common.staged(plan, "mix-targets")
+    rows = with_plan(sized, plan.select("source", "source_size", "due"), "source").select(F.col("_plan_source").alias("s"), "h", "size", "source_size", "due")
+    # At most 1 / LARGE documents of a source are large, as each has more than that share of its words.
+    large = rows.filter(_large()).groupBy("s", "h").agg(F.sum("size").alias("words"), F.first(F.col("due") / F.col("source_size")).alias("part"))
+    all_of, up_to = Window.partitionBy("s"), Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    large = large.withColumn("through", F.sum("words").over(up_to)).withColumn("share", F.col("part") * F.sum("words").over(all_of)).filter("through - words / 2.0 <= share")
+    large = common.staged(large.groupBy("s").agg(F.collect_list("h").alias("large"), F.sum("words").alias("large_words")), "mix-large")
+    joined = lambda a, b: a.join(b, a["source"].eqNullSafe(b["s"]), "left").drop("s")
+    plan = joined(plan, large).withColumn("due", F.col("due") - F.coalesce("large_words", F.lit(0))).drop("large_words")
+    buckets = rows.filter(~_large()).groupBy("s", _bucket(F.col("h")).alias("bucket")).agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = buckets.withColumn("before", before).join(plan.select("source", F.col("due").alias("left")), F.col("s").eqNullSafe(F.col("source")))
+    cut = run.filter("left > 0 and before < left").groupBy("s").agg(F.max(F.struct("bucket", "before", "left")).alias("x")).select("s", F.col("x.bucket").alias("b"), "x.before", "x.left")
+    cut = common.staged(cut.withColumnRenamed("s", "source"), "mix-cuts")
+    inside = with_plan(rows.filter(~_large()).select("s", "h", "size"), cut, "s").filter(_bucket(F.col("h")) == F.col("b"))
+    hashes = inside.groupBy("s", "h").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("left").alias("left"))
     # Signed order will do inside a bucket: its hashes share their high bits, the sign too.
-    order = Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    last = hashes.withColumn("through", F.col("before") + F.sum("words").over(order)).filter("through - words / 2.0 <= due").groupBy("s").agg(F.max("h").alias("last"))
-    b = cut.select("s", "b").join(last.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "b", "last")
-    done = plan.join(b, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.col("b").alias("last_bucket"), "last")
-    return common.staged(done, "mix-plan")
+    last = hashes.withColumn("through", F.col("before") + F.sum("words").over(up_to)).filter("through - words / 2.0 <= left").groupBy("s").agg(F.max("h").alias("last"))
+    plan = joined(joined(plan, cut.select(F.col("source").alias("s"), F.col("b").alias("last_bucket"))), last)
+    return common.staged(plan.select("source", "source_size", "target", "whole", "large", "last_bucket", "last"), "mix-plan")
+
+
+def _large():
+    return F.col("size") * LARGE > F.col("source_size")
 
 
 def repetitions(h):
-    """Times a document with hash h is taken, given its source's row of plan_mix."""
+    """Times a document with hash h and column size is taken, given its source's row of plan_mix."""
     bucket = _bucket(h)
-    more = F.col("last_bucket").isNotNull() & ((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & F.col("last").isNotNull() & (h <= F.col("last"))))
+    small = F.coalesce((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (h <= F.col("last"))), F.lit(False))
+    more = F.when(_large(), F.coalesce(F.array_contains("large", h), F.lit(False))).otherwise(small)
     return F.col("whole") + F.when(more, 1).otherwise(0)
 
 
@@ -114,6 +127,7 @@ def mix(documents: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weigh
     at = {n: documents.columns.index(n) for n in ("doc_id", "text", "source")}
     own = [f"_{i}" for i in range(len(documents.columns))]
     rows = documents.toDF(*own).withColumn("_h", document_hash(seed, F.col(f"_{at['doc_id']}"), F.col(f"_{at['text']}")))
+    rows = rows.withColumn("size", text_size(F.col(f"_{at['text']}")))
     taken = with_plan(rows, plan, f"_{at['source']}").withColumn("_n", repetitions(F.col("_h")).cast("int")).filter("_n > 0")
     return taken.select(*own, F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("col").toDF(*documents.columns)
 
