@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontam, mixing, quality_rules, simhash_dedup, token_count, token_output
+from . import chat_format, decontam, lm_score, mixing, quality_rules, simhash_dedup, token_count, token_output
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_decontaminate": decontam.op2_decontaminate,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_mix": mixing.op4_mix,
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
