@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontam, lm_score, mixing, quality_rules, simhash_dedup, token_count, token_output
+from . import chat_format, decontam, language_id, lm_score, mixing, quality_rules, simhash_dedup, suffix_dedup, token_count, token_output
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_mix": mixing.op4_mix,
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_token_output": token_output.op8_token_output,
+        "op9_language_id": language_id.op9_language_id,
         "op10_token_count": token_count.op10_token_count,
     }
 
