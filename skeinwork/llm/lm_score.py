@@ -184,8 +184,8 @@ def head_of(counts: DataFrame, size: int = HEAD) -> dict[bytes, int]:
     short = counts.filter((F.length("token") <= HEAD_BYTES) & (F.col("token") != F.lit(END)))
     step = F.floor(F.log2("c") * 4 + 1e-9).cast("int")
     room, least = size - 1, None
-    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
-        if (room := room - r["count"]) < 0:
+    for r in sorted(short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if (room := room - r["n"]) < 0:
             break
         least = r["step"]
     top = short.filter(step >= least).collect() if least is not None else []
@@ -193,104 +193,6 @@ def head_of(counts: DataFrame, size: int = HEAD) -> dict[bytes, int]:
     return {bytes(r["token"]): r["c"] for r in [*end, *sorted(top, key=lambda r: (-r["c"], bytes(r["token"])))]}
 
 
-def train(self, words, before, rate: float, seed: int) -> None:
-        import numpy as np
-
-        rng = np.random.default_rng(seed)
-        k, m = np.float32(NOISE), SAMPLES
-        shift = np.log(NOISE * self.noise).astype(np.float32)
-        cumulated = np.cumsum(self.noise)
-        if not hasattr(self, "seen"):
-            self.seen = {n: np.full_like(getattr(self, n), 1e-2) for n in "rqbc"}
-        order = rng.permutation(len(words))
-
-        def moved(name, at, grad):
-            seen, x = self.seen[name], getattr(self, name)
-            seen[at] += grad * grad
-            x[at] += np.float32(rate) * grad / np.sqrt(seen[at])
-
-        def summed(ids, grad):
-            by = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]]))
-            return ids[by][first], np.add.reduceat(grad[by], first)
-
-        for i in range(0, len(order), MINIBATCH):
-            w, h = words[order[i : i + MINIBATCH]], before[order[i : i + MINIBATCH]]
-            size = np.float32(len(w))
-            rh = self.r[h]
-            ctx = (rh * self.c).sum(1)
-            noise = np.minimum(np.searchsorted(cumulated, rng.random(m)), len(self.noise) - 1)
-            s_data = (ctx * self.q[w]).sum(1) + self.b[w] - shift[w]
-            s_noise = ctx @ self.q[noise].T + (self.b[noise] - shift[noise])
-            g_data = 1 / (1 + np.exp(np.clip(s_data, -30, 30))) / size
-            g_noise = -(k / m) / (1 + np.exp(-np.clip(s_noise, -30, 30))) / size
-            g_ctx = g_data[:, None] * self.q[w] + g_noise @ self.q[noise]
-            moved("c", slice(None), (rh * g_ctx[:, None, :]).sum(0))
-            ids, grad = summed(np.concatenate([w, noise]), np.hstack([np.vstack([g_data[:, None] * ctx, g_noise.T @ ctx]), np.concatenate([g_data, g_noise.sum(0)])[:, None]]))
-            moved("q", ids, grad[:, :-1])
-            moved("b", ids, grad[:, -1])
-            moved("r", *summed(h.ravel(), (g_ctx[:, None, :] * self.c).reshape(-1, ctx.shape[1])))
-
-    def log_probabilities(self, words, before):
-        """Natural logarithms of the classes' normalised probabilities."""
-        import numpy as np
-
-        n = len(self.r)
-        if self.log_z is None:
-            self.log_z = np.full(n ** len(self.c), np.nan, np.float32)
-        code = np.zeros(len(words), np.int64)
-        for i in range(before.shape[1]):
-            code = code * n + before[:, i]
-        new = np.unique(code[np.isnan(self.log_z[code])])
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            h = np.stack([part // n**j % n for j in reversed(range(len(self.c)))], axis=1)
-            s = (self.r[h] * self.c).sum(1) @ self.q.T + self.b
-            top = s.max(1, keepdims=True)
-            self.log_z[part] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        s = np.empty(len(words), np.float32)
-        for i in range(0, len(words), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            s[part] = ((self.r[before[part]] * self.c).sum(1) * self.q[words[part]]).sum(1) + self.b[words[part]]
-        return s - self.log_z[code]
-
-
-def _rows(documents: DataFrame) -> DataFrame:
-    rows = common.pick(documents, "doc_id", "text")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), remainder(F.col("doc_id")).alias("fold"))
-
-
-def token_counts(training: DataFrame, most: int = 400_000) -> DataFrame:
-    """Staged token (binary), c over all rows' texts. Counts are partial where the texts lie, at most so many at a time."""
-    import pyarrow as pa
-
-    def run(batches):
-        from collections import Counter
-
-        seen: Counter = Counter()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-
-        for b in batches:
-            for t in common.texts(b.column("text")):
-                seen.update(tokens(t))
-            if len(seen) > most:
-                yield flush()
-                seen.clear()
-        yield flush()
-
-    counted = training.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
-    return common.staged(counted, "token-counts")
-
-
-def head_of(counts: DataFrame, size: int = HEAD) -> dict[bytes, int]:
-    """Counts of the most frequent tokens, the end token first; at most size tokens of HEAD_BYTES bytes."""
-    top = counts.filter((F.length("token") <= HEAD_BYTES) & (F.col("token") != F.lit(END))).orderBy(F.desc("c"), "token").limit(size - 1).collect()
-    end = counts.filter(F.col("token") == F.lit(END)).collect()
-    return {bytes(r["token"]): r["c"] for r in [*end, *top]}
-
-
 def train(training: DataFrame, head: dict[bytes, int], total: int, classes: int = CLASSES) -> Model:
     import numpy as np
     import pyarrow as pa
