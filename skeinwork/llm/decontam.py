@@ -156,7 +156,8 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
     import pyarrow as pa
 
     common.batches(documents.sparkSession)
-    at = documents.columns.index("text")
+    at, names = documents.columns.index("text"), documents.columns
+    documents = documents.toDF(*[f"_{i}" for i in range(len(names))])
     for block in benchmark_blocks(benchmark, block_bytes):
 
         def run(batches, block=block):
@@ -166,7 +167,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    return documents.toDF(*names)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

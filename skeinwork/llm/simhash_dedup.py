@@ -139,13 +139,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def grouped(fps: DataFrame) -> DataFrame:
-    """fps (doc_id, k1, k2, fp) with component_id."""
+    """fps (doc_id, k1, k2, fp) with component (the least of its fingerprints as longs) and component_id."""
     by_fp = common.staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     common.batches(fps.sparkSession, 10_000)
     parts = common.staged(components(fingerprint_links(by_fp.select("fp"))), "components")
     labelled = by_fp.join(parts, by_fp["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(ids, "component").select(F.col("fp").alias("f"), "component_id")
+    ids = labelled.join(ids, "component").select(F.col("fp").alias("f"), "component", "component_id")
     return fps.join(ids, fps["fp"] == ids["f"]).drop("f")
 
 
@@ -157,8 +157,7 @@ def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """documents, all columns, with one row of each component: the one of least doc_id, then of least text hash."""
     fps = common.staged(fingerprints(documents), "simhash")
-    own = grouped(fps).groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-    best = own.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m.k1").alias("_a"), F.col("m.k2").alias("_b"))
+    best = grouped(fps).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m.k1").alias("_a"), F.col("m.k2").alias("_b"))
     cols = [f"_{i}" for i in range(len(documents.columns))]
     doc_id, text = (F.col(f"_{documents.columns.index(n)}") for n in ("doc_id", "text"))
     k1, k2 = common.content_keys(text)

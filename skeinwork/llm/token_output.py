@@ -21,6 +21,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,8 @@ from . import common
 
 FILE_IDS = 4_000_000
 MAGIC = b"SKDAC1\n\0"
-#: White space as the tokenizer's pattern takes it (fixed values: the Unicode property White_Space).
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-_OTHER = re.compile(f"[{_SPACE}]")
+#: White space that the quick split does not take.
+_OTHER = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 # The codes.
@@ -134,48 +133,87 @@ def unpack_file(data: bytes) -> dict:
 # Encoding.
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class Encoder:
-    """The library's encoding of whole texts, with its results for units kept.
+    """The library's encoding of whole texts, with its results kept.
 
-    A unit is a run without white space, with the one space before it, or a piece of white space; the tokenizer's own
-    split pattern never joins two units, so ids of a text are those of its units. Texts that hold one of the tokenizer's added
-    tokens are given to the library whole.
+    The tokenizer's pattern splits a text into parts, and its model encodes each alone; so a part is encoded once. Most texts have
+    single spaces and line feeds only: there a word with the space before it never shares a part with its neighbours, and words
+    are looked up whole. Texts that hold one of the tokenizer's added tokens are given to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         common.local_threads()
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.characters = _byte_characters()
+        self.space = self.characters[32]
+        # Two generations each: what was not asked for since the last change goes.
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.get = self.words.get
+        trial = "It's  a trial:\n\n 12 m\u00fcnzen\u2026 \n"
+        if self._whole(trial) != b"".join(map(self._part, self.split(trial))):
+            raise ValueError(f"{path}: not a byte-level tokenizer with the known pattern")
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        if "" in rest or _OTHER.search(text.replace(" ", "")):
-            return _UNIT.findall(text)
-        return ([first] if first else []) + [f" {x}" for x in rest]
+    def _part(self, part: str) -> bytes:
+        if (got := self.parts.get(part)) is None:
+            if (got := self.old_parts.get(part)) is None:
+                if part.isascii() and part[1:].isalpha():
+                    coded = self.space + part[1:] if part[0] == " " else part
+                else:
+                    coded = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+                got = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+            if len(self.parts) >= self.most:
+                self.parts, self.old_parts = {}, self.parts
+            self.parts[part] = got
+        return got
+
+    def _word(self, word: str) -> bytes:
+        """A word as split from a text: after a space, or after a line feed of its own."""
+        if (got := self.old_words.get(word)) is None:
+            if word.isalpha():
+                got = self._part(" " + word)
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                got = self._part(" " + word[:-1]) + self._part(word[-1])
+            else:
+                parts = ["\n", *self.split(word[1:])] if word[0] == "\n" else self.split(" " + word)
+                got = b"".join(map(self._part, parts))
+        if len(self.words) >= self.most:
+            self.words, self.old_words = {}, self.words
+            self.get = self.words.get
+        self.words[word] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        if any(a in text for a in self.added):
+            return self._whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if "" in rest or "\n\n" in text or _OTHER.search(text):
+            return b"".join(map(self._part, self.split(text)))
+        return b"".join([*map(self._part, self.split(first)), *[self.get(w) or self._word(w) for w in rest]])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        import numpy as np
-
-        split = [None if any(a in t for a in self.added) else self.units(t) for t in texts]
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        new = list(dict.fromkeys(u for s in split if s for u in s if u not in self.kept))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for u, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.kept[u] = np.array(e.ids, "<u4").tobytes()
-        get = self.kept.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(get, s)) for s, t in zip(split, texts)]
+        return [self.encode(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
