@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Words are runs of letters (with marks and apostrophes inside). A word's emission score for a language is the sum of the
-weights of its features: the word as a lexicon entry, its prefixes and suffixes of 1 to 4 characters, its n-grams of 2 and 3
+weights of its features: the word as a lexicon entry, its prefixes and suffixes of 1 to 3 characters, its n-grams of 2 to 4
 characters, its shape, and a bias. Weights and transitions between languages are learned together, by gradient descent on the chains'
 conditional likelihood, whose gradient is the difference of observed and expected counts from forward-backward. At prediction
 forward-backward gives each word its probabilities, so a switch of language inside a text is seen; the text's
@@ -29,6 +29,7 @@ SAMPLE_WORDS = 150
 LANGUAGES = 64
 CHAIN = 32
 BUCKETS = 1 << 16
+GRAMS = (2, 3, 4)
 EPOCHS = 5
 RATE = 0.3
 DECAY = 1e-5
@@ -40,19 +41,35 @@ def words_of(text: str) -> list[str]:
     return [w for w in WORDS.findall(text) if w.isalpha() or any(c.isalpha() for c in w)]
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word."""
-    from xxhash import xxh64_intdigest
+def features(words: list[str]):
+    """(word, feature) pairs of hashed features, as two arrays, for all words at once.
 
-    low = word.lower()
-    core = low if len(low) <= 40 else f"{low[:20]}{low[-20:]}"  # a longer word is judged by its ends
-    padded = f"<{core}>"
-    found = {"bias", f"w{core}", f"s{word[:1].isupper()}{word.isupper()}"}
-    for n in (1, 2, 3, 4):
-        found |= {f"p{core[:n]}", f"e{core[-n:]}"}
-    for n in (2, 3):
-        found |= {padded[i : i + n] for i in range(len(padded) - n + 1)}
-    return sorted({xxh64_intdigest(f) % BUCKETS for f in found})
+    Prefixes and suffixes are the n-grams that hold the mark of a word's start or end."""
+    import numpy as np
+
+    cores = [w if len(w) <= 40 else w[:20] + w[-20:] for w in map(str.lower, words)]  # a longer word is judged by its ends
+    codes = np.frombuffer("".join([f"<{c}>" for c in cores]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(c) + 2 for c in cores])
+    ends = np.cumsum(lengths)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters from here to the word's end
+    out_word, out = [np.arange(len(words))], [np.zeros(len(words), np.int64)]
+
+    def add(of, h, kind: int):
+        h = (h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        out_word.append(of)
+        out.append(((h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
+
+    with np.errstate(over="ignore"):
+        h = codes
+        for n in GRAMS:
+            h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+            fits = left[: len(h)] >= n
+            add(word[: len(h)][fits], h[fits], n)
+        power = np.cumprod(np.full(64, 0x9E3779B1, np.uint64))
+        add(np.arange(len(words)), np.add.reduceat(codes * power[left - 1], ends - lengths), 100)
+        add(np.arange(len(words)), np.array([w[:1].isupper() + 2 * w.isupper() for w in words], np.uint64), 200)
+    return np.concatenate(out_word), np.concatenate(out)
 
 
 def chains(n_words: list[int]):
@@ -107,7 +124,6 @@ class Field:
 
     def __init__(self, languages: list[str], weights, trans, start):
         self.languages, self.weights, self.trans, self.start = languages, weights, trans, start
-        self.kept: dict[str, tuple] = {}
 
     @classmethod
     def fit(cls, sample: list[tuple[str, str]]) -> Field:
@@ -118,25 +134,22 @@ class Field:
         size = len(languages)
         number = {lang: i for i, lang in enumerate(languages)}
         texts = [(words_of(t)[:SAMPLE_WORDS], number[lang]) for t, lang in sample]
-        known = {w: features(w) for words, _ in texts for w in words}
-        parts = [([known[w] for w in words[i : i + CHAIN]], y) for words, y in texts for i in range(0, len(words), CHAIN)]
+        parts = [(words[i : i + CHAIN], y) for words, y in texts for i in range(0, len(words), CHAIN)]
         field = cls(languages, np.zeros((BUCKETS, size)), np.zeros((size, size)), np.zeros(size))
         rng = np.random.default_rng(5)
         seen_w, seen_t, seen_s = np.full((BUCKETS, size), 1e-3), np.full((size, size), 1e-3), np.full(size, 1e-3)
         for _ in range(EPOCHS if size > 1 else 0):
             for block in np.array_split(rng.permutation(len(parts)), max(1, len(parts) // 64)):
                 rows = [parts[i] for i in block]
-                flat = [f for words, _ in rows for f in words]
-                counts = np.array([len(f) for f in flat])
-                index = np.concatenate([np.array(f) for f in flat])
-                first = np.cumsum(counts) - counts
-                emit = np.add.reduceat(field.weights[index], first)
+                of, index = features([w for words, _ in rows for w in words])
+                size_of = sum(len(words) for words, _ in rows)
+                emit = np.stack([np.bincount(of, field.weights[index, k], size_of) for k in range(size)], axis=1)
                 chain, place, lengths, _ = chains([len(words) for words, _ in rows])
                 y = np.repeat([y for _, y in rows], [len(words) for words, _ in rows])
                 p, pairs = forward_backward(emit, chain, place, lengths, field.trans, field.start)
                 p[np.arange(len(y)), y] -= 1
                 at, inverse = np.unique(index, return_inverse=True)
-                grad = np.stack([np.bincount(inverse, np.repeat(p[:, k], counts), len(at)) for k in range(size)], axis=1) / len(rows) + DECAY * field.weights[at]
+                grad = np.stack([np.bincount(inverse, p[of, k], len(at)) for k in range(size)], axis=1) / len(rows) + DECAY * field.weights[at]
                 truth = np.zeros_like(pairs)
                 np.add.at(truth, ([y for _, y in rows],) * 2, [len(words) - 1 for words, _ in rows])
                 g_start = p[place == 0].sum(0) / len(rows)
@@ -153,15 +166,13 @@ class Field:
         return field
 
     def emissions(self, words: list[str]):
+        """Scores of words, made once for each distinct one."""
         import numpy as np
 
-        if len(self.kept) > 300_000:
-            self.kept.clear()
-        kept = self.kept
-        for w in words:
-            if w not in kept:
-                kept[w] = self.weights[features(w)].sum(0)
-        return np.array([kept[w] for w in words])
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        of, index = features(list(number))
+        scores = np.stack([np.bincount(of, self.weights[index, k], len(number)) for k in range(len(self.languages))], axis=1)
+        return scores[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         import numpy as np
