@@ -59,11 +59,11 @@ def normalize_exact(col: Column) -> Column:
     """The normal form with full compatibility decomposition, in Arrow batches; Spark has no built-in for it."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
+    def run(x):
         return x.map(normal_form)
 
-    return run(col)
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(col)
 
 
 def tokenize(col: Column, stop_words: bool = True) -> Column:
@@ -150,7 +150,7 @@ def slugify(col: Column) -> Column:
 
 
 def split_keywords(col: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_input(col: Column, most: int = 300) -> Column:
@@ -165,7 +165,7 @@ def parse_integers(col: Column, most: int = 60) -> Column:
 
 def parse_edges(col: Column) -> Column:
     """array<struct<l, r, w>> of "A-B:4, B-C"; a weight that is no number is 1, self loops and malformed parts are left out."""
-    parts = F.transform(F.split(col, ","), F.trim)
+    parts = F.transform(F.split(col, ","), lambda x: F.trim(x))
     made = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^-:]+)-([^-:]+)", 1)).alias("l"), F.trim(F.regexp_extract(p, r"^([^-:]+)-([^-:]+)", 2)).alias("r"), F.coalesce(F.regexp_extract(p, r":(.*)$", 1).try_cast("double"), F.lit(1.0)).alias("w")))
     return F.filter(made, lambda e: (e["l"] != "") & (e["r"] != "") & (e["l"] != e["r"]))
 

@@ -100,7 +100,7 @@ def parse_file(content, path):
     body = F.when(dash > 0, F.concat_ws("\n", F.filter(lines, lambda x, i: i >= dash))).otherwise(content)
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), "[-_]+", " ")
     return {
-        "title": F.coalesce(F.nullif(field["title"], F.lit("")), F.initcap(F.url_decode(F.replace(stem, F.lit("%20"), F.lit(" "))))), "content": F.trim(body), "category": F.coalesce(F.nullif(field["category"], F.lit("")), F.lit("Uncategorised")),
+        "title": F.coalesce(F.nullif(field["title"], F.lit("")), F.initcap(F.url_decode(F.replace(stem, F.lit("%20"), F.lit(" "))))), "content": F.regexp_replace(body, r"^\s+|\s+$", ""), "category": F.coalesce(F.nullif(field["category"], F.lit("")), F.lit("Uncategorised")),
         "author": F.coalesce(F.nullif(field["author"], F.lit("")), F.lit("Unknown")), "keywords": X.split_keywords(field["keywords"]), "summary": F.coalesce(field["summary"], F.lit("")),
     }
 
@@ -108,7 +108,7 @@ def parse_file(content, path):
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """A corpus of text files, each read whole; bytes that are not UTF-8 are replaced. Uploads' limits are columns: accepted, reason."""
     files = spark.read.format("binaryFile").load(path)
-    content = F.decode(F.col("content"), "UTF-8")
+    content = F.make_valid_utf8(F.col("content").cast("string"))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     rows = files.select("path", "length", suffix.alias("suffix"), content.alias("raw"))
     rows = rows.select("*", *[c.alias(n) for n, c in parse_file(F.col("raw"), F.col("path")).items()])
