@@ -134,8 +134,8 @@ def bfs(edges: DataFrame, start: int, goal: int | None = None, max_depth: int |
         if not (size := new.count()):
             break
         # Places in the order: the frontier is one level, ordered by (parent's place, edge's place).
-        placed = new.withColumn("visit", F.lit(n - 1) + F.row_number().over(Window.orderBy("by", "pos", "node")))
-        front = session.staged(placed.select("node", F.lit(depth).alias("depth"), "parent", "path", F.col("visit").cast("long").alias("visit")), "bfs-level")
+        placed = session.numbered(new, "visit", "by", "pos", "node", start=n)
+        front = session.staged(placed.select("node", F.lit(depth).alias("depth"), "parent", "path", "visit"), "bfs-level")
         seen, n = session.staged(seen.union(front), "bfs-seen"), n + size
     return seen
 

@@ -374,7 +374,7 @@ _SORTED = "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) - 1
 
 
 def _sorted(spark, sf):
-    return session.table(spark, sf, "supplier").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("pos"), F.col("s_suppkey").cast("long").alias("value"))
+    return session.numbered(session.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("value")), "pos", "value")
 
 
 @query("binary_search_steps", f"""WITH RECURSIVE {_SORTED}, probe AS (
@@ -393,8 +393,8 @@ def _(spark, sf):
 
 @query("equal_range", "SELECT pos FROM (SELECT row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos, p_size AS value FROM part) WHERE value = 7")
 def _(spark, sf):
-    rows = session.table(spark, sf, "part").select((F.row_number().over(Window.orderBy("p_size", "p_partkey")) - 1).cast("long").alias("pos"), F.col("p_size").alias("value"))
-    return strings.equal_range(rows, 7)
+    rows = session.table(spark, sf, "part").select(F.col("p_size").alias("value"), "p_partkey")
+    return strings.equal_range(session.numbered(rows, "pos", "value", "p_partkey"), 7)
 
 
 @query("stable_sort_top", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 100")

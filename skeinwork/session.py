@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
@@ -45,3 +45,15 @@ def staged(df: DataFrame, name: str, *sort: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; as it is otherwise."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def numbered(df: DataFrame, name: str, *order, start: int = 0) -> DataFrame:
+    """df with a column of consecutive numbers along an order. A small table is numbered by one window; a larger one is dealt by
+    ranges of the order and written, and each row gets its place in its range plus the sizes of the ranges before."""
+    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
+    placed = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_row", row).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") + (start - 1)).drop("_part", "_row", "_before")

@@ -204,3 +204,21 @@ def test_listing(corpus):
     assert [r["doc_id"] for r in page.collect()] == [1, 2] and total.first()["total"] == 3
     page, total = relational.listing(corpus, search="'; DROP TABLE documents; --")
     assert page.count() == 0 and total.first()["total"] == 0
+
+
+def test_engine(corpus):
+    from skeinwork.plans.engine import Engine
+
+    e = Engine(corpus)
+    found = e.search("graph search")
+    assert found["results"].first()["doc_id"] == 1 and e.history.count() == 1
+    with pytest.raises(ValueError):
+        e.search("  ")
+    assert {r["dst"] for r in e.related(1).collect()} == {2, 5}
+    assert [r["node"] for r in e.traverse("bfs", start=1).orderBy("visit").collect()][0] == 1
+    assert e.traverse("dijkstra", start=1).filter("node = 2").count() == 1 and e.traverse("dfs", start=1).count() >= 3
+    assert e.compare_string_matching("abababab", "abab").filter("agree").count() == 3
+    assert e.compare_search("sorting").filter("algorithm = 'linear'").first()["comparisons"] == 2
+    assert e.sort_benchmark(100, "reversed").first()["agree"]
+    assert e.browse(category="food")["total"].first()["total"] == 2
+    assert e.by_slug("soup").count() == 1 and e.terms("so").count() == 2 and e.stats()["index"].first()["documents"] == 5
