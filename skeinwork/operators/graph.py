@@ -121,23 +121,23 @@ def bfs(edges: DataFrame, start: int, goal: int | None = None, max_depth: int |
     spark = edges.sparkSession
     has_pos = "pos" in edges.columns
     links = session.staged(edges.groupBy("src", "dst").agg((F.min("pos") if has_pos else F.min("dst")).alias("pos")), "bfs-links")
-    seen = spark.createDataFrame([(start, 0, None, [start], 0)], "node long, depth int, parent long, path array<long>, visit long")
-    front, depth, n = seen, 0, 1
-    while max_depth is None or depth < max_depth:
-        if goal is not None and seen.filter(F.col("node") == goal).limit(1).count():
-            break
+    names = ("node", "depth", "parent", "path", "visit")
+    front = spark.createDataFrame([(start, 0, None, [start], 0)], "node long, depth int, parent long, path array<long>, visit long")
+    found, seen, depth, n = front, front.select("node"), 0, 1
+    done = start == goal
+    while not done and (max_depth is None or depth < max_depth):
         depth += 1
         reach = front.select(F.col("node").alias("src"), F.col("visit").alias("by"), F.col("path").alias("way")).join(links, "src")
         best = reach.groupBy("dst").agg(F.min(F.struct("by", "pos", "src", "way")).alias("m"))
         new = best.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        new = session.staged(new.select(F.col("dst").alias("node"), "m.by", "m.pos", F.col("m.src").alias("parent"), F.concat("m.way", F.array("dst")).alias("path")), "bfs-found")
-        if not (size := new.count()):
+        new = session.staged(new.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "m.by", "m.pos", F.col("m.src").alias("parent"), F.concat("m.way", F.array("dst")).alias("path")), "bfs-level")
+        size, hits = new.agg(F.count(F.lit(1)), F.count(F.when(F.col("node") == (start if goal is None else goal), 1))).first()
+        if not size:
             break
-        # Places in the order: the frontier is one level, ordered by (parent's place, edge's place).
-        placed = session.numbered(new, "visit", "by", "pos", "node", start=n)
-        front = session.staged(placed.select("node", F.lit(depth).alias("depth"), "parent", "path", "visit"), "bfs-level")
-        seen, n = session.staged(seen.union(front), "bfs-seen"), n + size
-    return seen
+        # Places in the order: a level is ordered by (parent's place, edge's place).
+        front = session.numbered(new, "visit", "by", "pos", "node", start=n, size=size).select(*names)
+        found, seen, n, done = found.union(front), seen.union(new.select("node")), n + size, hits > 0
+    return found
 
 
 def shortest_paths(edges: DataFrame, start: int, rounds: int | None = None) -> DataFrame:

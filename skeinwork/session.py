@@ -47,10 +47,10 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def numbered(df: DataFrame, name: str, *order, start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order, start: int = 0, size: int | None = None) -> DataFrame:
     """df with a column of consecutive numbers along an order. A small table is numbered by one window; a larger one is dealt by
-    ranges of the order and written, and each row gets its place in its range plus the sizes of the ranges before."""
-    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    ranges of the order and written, and each row gets its place in its range plus the sizes of the ranges before. size: df's rows, if known."""
+    if (df.limit(BROADCAST_ROWS + 1).count() if size is None else size) <= BROADCAST_ROWS:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
     placed = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
