@@ -58,6 +58,10 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def base_failed(counts: tuple[int, int, int, int, int]) -> bool:
+    return counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED * counts[0]
+
+
 def line_hashes(text: bytes) -> dict[tuple[int, int], int]:
     """Words of the document in each of its normalised lines, by 128-bit hash."""
     from xxhash import xxh3_128_intdigest
@@ -119,11 +123,24 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return verdicts(common.table(spark, sf_dir, "documents")).select("doc_id", *_COUNTS, "base_failed", "kept", "removed_words")
 
 
-def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows of documents, all columns as they are, that are kept. Equal texts of a host share their verdict."""
-    bad = common.staged(verdicts(documents).filter("not kept").select(F.col("k1").alias("_a"), F.col("k2").alias("_b")).distinct(), "rejected")
-    cols = [f"_{i}" for i in range(len(documents.columns))]
-    source, text = (F.col(f"_{documents.columns.index(n)}") for n in ("source", "text"))
-    k1, k2 = _keys(source, text)
-    rows = documents.toDF(*cols).withColumns({"_k1": k1, "_k2": k2})
-    return rows.join(bad, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_anti").select(*cols).toDF(*documents.columns)
+def keep_good(documents: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of documents, all columns as they are, that are kept. Equal texts of a host share their verdict.
+
+    Rows that fail the base rule go where they lie; only the few that the method rejects are joined, by their keys of 16 bytes, so
+    texts are not shuffled for them unless they are more than most_broadcast."""
+    import pyarrow as pa
+
+    rejected = verdicts(documents).filter("not kept and not base_failed").select(F.col("k1").alias("_a"), F.col("k2").alias("_b")).distinct()
+    bad = common.staged(rejected, "rejected")
+    bad = F.broadcast(bad) if bad.count() <= most_broadcast else bad
+    cols, names = [f"_{i}" for i in range(len(documents.columns))], documents.columns
+    at = names.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([not base_failed(base_counts(t)) for t in common.texts(b.column(at))], pa.bool_()))
+
+    rows = documents.toDF(*cols)
+    k1, k2 = _keys(F.col(f"_{names.index('source')}"), F.col(f"_{at}"))
+    rows = rows.mapInArrow(run, rows.schema).withColumns({"_k1": k1, "_k2": k2})
+    return rows.join(bad, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_anti").select(*cols).toDF(*names)
