@@ -219,6 +219,24 @@ def highlight(col: Column, terms: list[str], limit: int = 3) -> Column:
     return snippet(col, terms, limit * 90)
 
 
+# Presentation.
+
+
+def format_ms(col: Column) -> Column:
+    """Milliseconds: three places under one, two under a hundred, none above."""
+    return F.concat(F.when(col < 1, F.format_number(col, 3)).when(col < 100, F.format_number(col, 2)).otherwise(F.format_number(col, 0)), F.lit(" ms"))
+
+
+def format_compact(col: Column) -> Column:
+    """1.2K, 3.4M; smaller numbers as they are."""
+    scaled = F.when(col >= 1_000_000, F.concat(F.format_number(col / 1_000_000, 1), F.lit("M"))).when(col >= 1_000, F.concat(F.format_number(col / 1_000, 1), F.lit("K")))
+    return F.coalesce(scaled, col.cast("string"))
+
+
+def format_percent(col: Column) -> Column:
+    return F.concat(F.format_number(col * 100, 1), F.lit("%"))
+
+
 # Hashes.
 
 

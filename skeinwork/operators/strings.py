@@ -71,6 +71,20 @@ def trie_nodes(words: DataFrame) -> DataFrame:
     return parts.groupBy("prefix").agg(F.count(F.lit(1)).alias("words"), F.max((F.col("word") == F.col("prefix")).cast("int")).alias("terminal")).withColumn("depth", F.length("prefix"))
 
 
+def trie_dict(words: DataFrame, most: int = 10_000) -> dict:
+    """The trie of column word as nested dicts by character, "$" marking ends; for drawing, at most so many words."""
+    rows = words.select("word").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a nested trie takes at most {most} words")
+    root: dict = {}
+    for r in sorted(rows):
+        node = root
+        for c in r["word"]:
+            node = node.setdefault(c, {})
+        node["$"] = True
+    return root
+
+
 def trie_documents(postings: DataFrame, word: str) -> DataFrame:
     """Documents under a word's node: those with any term that starts with it, if the word itself is a term."""
     under = postings.filter(F.col("term").startswith(word))

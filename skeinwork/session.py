@@ -57,3 +57,14 @@ def numbered(df: DataFrame, name: str, *order, start: int = 0, size: int | None
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return placed.withColumn("_row", row).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") + (start - 1)).drop("_part", "_row", "_before")
+
+
+def query(spark: SparkSession, sql: str, **params) -> DataFrame:
+    """A parameterised statement: names in the text as :name."""
+    return spark.sql(sql, args=params)
+
+
+def scalar(spark: SparkSession, sql: str, default=None, **params):
+    """The first column of the first row, default if there is none or it is null."""
+    row = query(spark, sql, **params).first()
+    return default if row is None or row[0] is None else row[0]
