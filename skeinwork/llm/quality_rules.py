@@ -3,19 +3,21 @@
 Lines are normalised (A-Z lower-cased, digits to 0, white space to one space) and hashed. For each host (column source)
 and line the distinct documents are counted: exact copies are one document, and as near copies share nearly all their
 lines, each count is also split by the document's least other line. A line is removed if more than LIMIT documents of the host
-have it and no such split holds half of them: then it stands in unlike documents, while a line inside a group of near copies does not.
+have it and no such split holds half of them: then it stands in unlike documents. Where one split holds half, the line is either one of
+a block of boilerplate or inside a group of near copies. A block stands whole in its documents, while copies differ in changing places,
+so the line is also removed if WHOLE percent of its documents have the same set of such lines (of those about as frequent as it or more).
 A document whose removed lines hold more than DEPLETED percent of its words is rejected. Both limits are parameters.
 
 Lines and documents are hashed where they lie. Counts are partial before every shuffle, by (host, line, split,
 document) first, so a line that stands in a third of all documents is no hot key.
 
-Defined results: null text has no words and fails the base rule; a null source is one host; a text of one line can only have that line
-counted with others'; repeated rows each get a row; an empty table gives no rows.
+Defined results: null text has no words and fails the base rule; a null source is one host; texts of one line that agree once normalised
+are a block of one line; repeated rows each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,6 +26,10 @@ LIMIT = 30
 DEPLETED = 80
 MIN_WORDS = 20
 MAX_REPEATED = 30
+#: Copies with one line changed each hold their sets of lines in about equal shares, one for each other line: a fifth or less where over
+#: DEPLETED percent can be shared. About as frequent: at least 0.8 times, in thousandths of a power of two.
+WHOLE = 33
+_ABOUT = 322
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 _LINE = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -103,6 +109,60 @@ def features(documents: DataFrame) -> DataFrame:
     return common.staged(made.withColumn("row", F.monotonically_increasing_id()), "quality")
 
 
+def _on(lines: DataFrame):
+    return (lines["h1"] == F.col("g1")) & (lines["h2"] == F.col("g2")) & lines["source"].eqNullSafe(F.col("s"))
+
+
+def _marked(made: DataFrame, alike: DataFrame) -> DataFrame:
+    """s, g1, g2, docs, k1 and the document's set (x1, x2) for each line of alike in a document; lines are looked up where they lie."""
+    import pyarrow as pa
+
+    schema = "s string, g1 long, g2 long, docs long, k1 long, x1 long, x2 long"
+    sent = made.sparkSession.sparkContext.broadcast({(r["s"], r["g1"], r["g2"]): r["docs"] for r in alike.collect()})
+
+    def run(batches):
+        import math
+
+        import numpy as np
+
+        docs = sent.value
+        first = np.array(sorted({k[1] for k in docs}), np.int64)
+        for b in batches:
+            out = []
+            x = b.column("lines")
+            ends, flat = np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)), x.flatten()
+            h1, h2 = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            hit = np.flatnonzero(np.isin(h1, first))
+            of = np.searchsorted(ends, hit, "right")
+            for i in np.unique(of).tolist():
+                s, k1 = b.column("source")[i].as_py(), b.column("k1")[i].as_py()
+                mine = [(s, a, c) for a, c in zip(h1[hit[of == i]].tolist(), h2[hit[of == i]].tolist())]
+                mine = sorted((math.floor(math.log2(docs[k]) * -1000), k) for k in mine if k in docs)
+                x1 = x2 = end = 0
+                for level, k in mine:
+                    while end < len(mine) and mine[end][0] <= level + _ABOUT:
+                        x1, x2, end = x1 ^ mine[end][1][1], x2 ^ mine[end][1][2], end + 1
+                    out.append((*k, docs[k], k1, x1, x2))
+            kinds = [pa.string(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], [n.split()[0] for n in schema.split(", ")])
+
+    return made.select("source", "k1", "lines").mapInArrow(run, schema)
+
+
+def _marked_by_join(lines: DataFrame, alike: DataFrame) -> DataFrame:
+    """The same for more lines than can be sent to every task."""
+    about = Window.partitionBy("row").orderBy(F.floor(F.log2("docs") * -1000).cast("long")).rangeBetween(Window.unboundedPreceding, _ABOUT)
+    found = lines.join(alike, _on(lines)).select("row", "k1", "s", "g1", "g2", "docs")
+    return found.select("s", "g1", "g2", "docs", "k1", F.bit_xor("g1").over(about).alias("x1"), F.bit_xor("g2").over(about).alias("x2"))
+
+
+def whole_blocks(sets: DataFrame) -> DataFrame:
+    """Those lines of sets that stand in a block which WHOLE percent of their documents have whole."""
+    line = ["s", "g1", "g2", "docs"]
+    most = sets.groupBy(*line, "x1", "x2", "k1").agg(F.lit(1).alias("one")).groupBy(*line, "x1", "x2").agg(F.count("one").alias("n")).groupBy(*line).agg(F.max("n").alias("most"))
+    return most.filter(F.col("most") * 100 >= F.col("docs") * WHOLE).select(*line)
+
+
 def verdicts(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, most_broadcast: int = 50_000) -> DataFrame:
     """row, doc_id, k1, k2, base counts, removed_words, base_failed, kept for each row of documents."""
     made = features(documents)
@@ -110,10 +170,13 @@ def verdicts(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED,
     lines = made.select("row", "source", "k1", F.posexplode("lines").alias("i", "x"), F.when(F.size("lines") > 1, F.col("lines")).alias("all")).select("row", "source", "k1", "x.*", F.when(F.col("i") > 0, F.try_element_at("all", F.lit(1))).otherwise(F.try_element_at("all", F.lit(2)))["h1"].alias("other"))
     line = ["source", "h1", "h2"]
     split = lines.groupBy(*line, "other", "k1").agg(F.lit(1).alias("one")).groupBy(*line, "other").agg(F.count("one").alias("n"))
-    often = split.groupBy(*line).agg(F.sum("n").alias("docs"), F.max("n").alias("most")).filter((F.col("docs") > limit) & (F.col("most") * 2 < F.col("docs")))
-    often = common.staged(often.select(F.col("source").alias("s"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "frequent-lines")
+    often = split.groupBy(*line).agg(F.sum("n").alias("docs"), F.max("n").alias("most")).filter(F.col("docs") > limit)
+    often = common.staged(often.select(F.col("source").alias("s"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "docs", (F.col("most") * 2 >= F.col("docs")).alias("alike")), "frequent-lines")
+    unlike, alike = (often.filter(x).drop("alike") for x in ("not alike", "alike"))
+    if n := alike.count():
+        often = common.staged(unlike.union(whole_blocks(_marked(made, alike) if n <= most_broadcast else _marked_by_join(lines, alike))), "removed-lines")
     often = F.broadcast(often) if often.count() <= most_broadcast else often
-    gone = lines.join(often, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("source").eqNullSafe(F.col("s")), "left_semi").groupBy("row").agg(F.sum("n").alias("removed"))
+    gone = lines.join(often, _on(lines), "left_semi").groupBy("row").agg(F.sum("n").alias("removed"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = made.drop("lines").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))).drop("removed")

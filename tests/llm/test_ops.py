@@ -275,6 +275,20 @@ def test_boilerplate_goes_and_near_copies_stay(spark):
     assert all(got[200 + i]["kept"] for i in range(50))
 
 
+@pytest.mark.parametrize("most_broadcast", [50_000, 0])
+def test_banners_of_many_lines_go(spark, most_broadcast):
+    rng = random.Random(9)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    docs = []
+    for host, (shared, others, sections) in enumerate([(8, 1, 1), (12, 2, 1), (4, 1, 1), (8, 1, 1), (12, 2, 1), (8, 1, 9)]):
+        banner, section = [own(12) for _ in range(shared)], [own(2) for _ in range(sections)]
+        docs += [(1000 * host + i, "\n".join([*banner, section[i % sections], *[own(4) for _ in range(others)]]), "en", f"h{host}") for i in range(90)]
+    docs += [(9000 + i, f"Notice {i} " + "of the same kind as every other notice that this host sends out to all of its readers each day or so", "en", "h9") for i in range(100, 140)]
+    got = quality_rules.verdicts(frame(spark, docs), limit=8, most_broadcast=most_broadcast).collect()
+    assert not any(r["base_failed"] or r["kept"] for r in got)
+    assert all(r["removed_words"] >= 48 for r in got if r["doc_id"] < 9000)
+
+
 # 7
 
 
