@@ -1,9 +1,11 @@
 """Language-model scores by a log-bilinear neural model, trained with noise-contrastive estimation.
 
 The model predicts a token's class from the CONTEXT classes before it: score(w, h) = (sum over places i of c_i * r_{h_i}) . q_w + b_w.
-Classes are the CLASSES most frequent training tokens (the end token always), and class 0 for all others; inside class 0 a
-token has its smoothed share of that class's training tokens, with one share for all tokens never seen. So probabilities are normalised
-over an open vocabulary.
+Classes are the CLASSES - 1 most frequent training tokens (the end token always), and BUCKETS hashed classes for all others, as targets and
+as contexts. Inside a hashed class tokens are dealt to GROUPS groups, also by hash: P(g | class, h) is in proportion to the group's smoothed
+count in the class times exp((sum over i of c_i * r_{h_i}) . u_g), and is trained on its exact gradient. So each token has two learned vectors,
+shared with what has the same hashes; among the few tokens with both hashes it has its smoothed share of the training tokens, with one
+share for all tokens never seen. So probabilities are normalised over an open vocabulary, at a size that does not grow with it.
 
 All training documents count: tokens are counted over all of them, and each partition trains on all its documents' tokens. Training has
 two rounds, documents of even hash first: a round starts from the mean of the models of the partitions of the round
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CLASSES = 1024
+BUCKETS = 256
+GROUPS = 64
 CONTEXT = 2
 DIM = 32
 HEAD = 1 << 16
@@ -46,8 +50,25 @@ def remainder(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def codes(words: list[bytes], named: dict[bytes, int]):
+    """Place among the named tokens as -1, -2 and so on, or else the hash."""
+    from zlib import crc32
+
+    import numpy as np
+
+    get = named.get
+    return np.array([k if (k := get(w)) is not None else crc32(w) for w in words], np.int64)
+
+
+def classes_of(codes):
+    """Classes, hashed ones first, and groups, -1 for named tokens."""
+    import numpy as np
+
+    return np.where(codes < 0, BUCKETS - 1 - codes, codes % BUCKETS), np.where(codes < 0, -1, codes // BUCKETS % GROUPS)
+
+
 class Model:
-    """r, q, b, c and the log-frequencies of the classes."""
+    """r, q, b, c, u and the log-frequencies of the classes."""
 
     def __init__(self, freq, classes: int = CLASSES, dim: int = DIM, context: int = CONTEXT):
         import numpy as np
@@ -59,6 +80,7 @@ class Model:
         self.q = (rng.standard_normal((classes, dim)) * 0.1).astype(np.float32)
         self.b = np.log(self.noise).astype(np.float32)
         self.c = np.ones((context, dim), np.float32)
+        self.u = np.zeros((GROUPS, dim), np.float32)
         self.log_z = None
 
     def rows(self):
@@ -66,14 +88,15 @@ class Model:
         import numpy as np
 
         pad = lambda x: np.hstack([x, np.zeros((len(x), 1), np.float32)])
-        return np.vstack([pad(self.r), np.hstack([self.q, self.b[:, None]]), pad(self.c)])
+        return np.vstack([pad(self.r), np.hstack([self.q, self.b[:, None]]), pad(self.c), pad(self.u)])
 
     def take(self, rows) -> None:
         import numpy as np
 
         n, d = self.r.shape
         rows = np.asarray(rows, np.float32)
-        self.r, self.q, self.b, self.c = rows[:n, :d].copy(), rows[n : 2 * n - 1, :d].copy(), rows[n : 2 * n - 1, d].copy(), rows[2 * n - 1 :, :d].copy()
+        self.r, self.q, self.b, self.c = rows[:n, :d].copy(), rows[n : 2 * n - 1, :d].copy(), rows[n : 2 * n - 1, d].copy(), rows[2 * n - 1 : -GROUPS, :d].copy()
+        self.u = rows[-GROUPS:, :d].copy()
         self.log_z = None
 
     def contexts(self, ids: list):
@@ -86,7 +109,7 @@ class Model:
         at = np.flatnonzero(real)
         return flat[at], np.stack([flat[at - i - 1] for i in range(n)], axis=1)
 
-    def train(self, words, before, rate: float, seed: int) -> None:
+    def train(self, words, before, rate: float, seed: int, groups=None, weights=None) -> None:
         import numpy as np
 
         rng = np.random.default_rng(seed)
@@ -94,7 +117,7 @@ class Model:
         shift = np.log(NOISE * self.noise).astype(np.float32)
         cumulated = np.cumsum(self.noise)
         if not hasattr(self, "seen"):
-            self.seen = {n: np.full_like(getattr(self, n), 1e-2) for n in "rqbc"}
+            self.seen = {n: np.full_like(getattr(self, n), 1e-2) for n in "rqbcu"}
         order = rng.permutation(len(words))
 
         def moved(name, at, grad):
@@ -118,6 +141,13 @@ class Model:
             g_data = 1 / (1 + np.exp(np.clip(s_data, -30, 30))) / size
             g_noise = -(k / m) / (1 + np.exp(-np.clip(s_noise, -30, 30))) / size
             g_ctx = g_data[:, None] * self.q[w] + g_noise @ self.q[noise]
+            if groups is not None and len(at := np.flatnonzero((own := groups[order[i : i + MINIBATCH]]) >= 0)):
+                t = ctx[at] @ self.u.T + weights[w[at]]
+                t = np.exp(t - t.max(1, keepdims=True))
+                t /= -size * t.sum(1, keepdims=True)
+                t[np.arange(len(at)), own[at]] += 1 / size
+                g_ctx[at] += t @ self.u
+                moved("u", slice(None), t.T @ ctx[at])
             moved("c", slice(None), (rh * g_ctx[:, None, :]).sum(0))
             ids, grad = summed(np.concatenate([w, noise]), np.hstack([np.vstack([g_data[:, None] * ctx, g_noise.T @ ctx]), np.concatenate([g_data, g_noise.sum(0)])[:, None]]))
             moved("q", ids, grad[:, :-1])
@@ -147,6 +177,21 @@ class Model:
             s[part] = ((self.r[before[part]] * self.c).sum(1) * self.q[words[part]]).sum(1) + self.b[words[part]]
         return s - self.log_z[code]
 
+    def log_within(self, words, before, groups, weights):
+        """For tokens of hashed classes, natural logarithms of their probabilities in their class for each unit of their weights; 0 for named ones."""
+        import numpy as np
+
+        out = np.zeros(len(words), np.float32)
+        rare = np.flatnonzero(groups >= 0)
+        for i in range(0, len(rare), 1 << 13):
+            at = rare[i : i + (1 << 13)]
+            t = (self.r[before[at]] * self.c).sum(1) @ self.u.T
+            s = t[np.arange(len(at)), groups[at]]
+            t += weights[words[at]]
+            top = t.max(1)
+            out[at] = s - top - np.log(np.exp(t - top[:, None]).sum(1))
+        return out
+
 
 def _rows(documents: DataFrame) -> DataFrame:
     rows = common.pick(documents, "doc_id", "text")
@@ -193,30 +238,50 @@ def head_of(counts: DataFrame, size: int = HEAD) -> dict[bytes, int]:
     return {bytes(r["token"]): r["c"] for r in [*end, *sorted(top, key=lambda r: (-r["c"], bytes(r["token"])))]}
 
 
-def train(training: DataFrame, head: dict[bytes, int], total: int, classes: int = CLASSES) -> Model:
+def cells(counts: DataFrame, named: dict[bytes, int]):
+    """Training tokens by hashed class, and smoothed weights by hashed class and group, of all tokens that are not named."""
+    from zlib import crc32
+
+    import numpy as np
+
+    n, distinct = np.zeros(BUCKETS * GROUPS), np.zeros(BUCKETS * GROUPS)
+    for r in counts.groupBy((F.crc32("token") % (BUCKETS * GROUPS)).alias("at")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d")).collect():  # so many rows at most
+        n[r["at"]], distinct[r["at"]] = r["c"], r["d"]
+    for w, c in named.items():
+        n[crc32(w) % len(n)] -= c
+        distinct[crc32(w) % len(n)] -= 1
+    by = lambda x: x.reshape(GROUPS, BUCKETS).T
+    return by(n).sum(1), by(n + 0.5 * (distinct + 1))
+
+
+def train(training: DataFrame, counts: dict[bytes, int], rare, weights, classes: int = CLASSES) -> Model:
+    """counts are those of the named tokens, rare and weights what cells() gives."""
     import numpy as np
     import pyarrow as pa
 
     spark = training.sparkSession
-    known = dict(zip(list(head)[: classes - 1], range(1, classes)))
+    known = {w: -1 - i for i, w in enumerate(counts)}
+    classes += BUCKETS - 1
     freq = np.zeros(classes)
-    freq[1 : len(known) + 1] = list(head.values())[: classes - 1]
-    freq[0] = max(0, total - freq.sum())
+    freq[:BUCKETS] = rare
+    freq[BUCKETS : BUCKETS + len(known)] = list(counts.values())
+    weights = np.log(weights).astype(np.float32)
     model = Model(freq, classes)
     width = model.rows().shape[1]
-    sent = spark.sparkContext.broadcast((known, freq))
+    sent = spark.sparkContext.broadcast((known, freq, weights))
     for k, rate in enumerate(RATES):
         begin = spark.sparkContext.broadcast(model.rows())
 
         def run(batches, k=k, rate=rate, begin=begin):
-            known, freq = sent.value
+            known, freq, weights = sent.value
             own = Model(freq, classes)
             own.take(begin.value)
             n = 0
             for i, b in enumerate(batches):
                 if len(b):
-                    words, before = own.contexts([np.array([known.get(w, 0) for w in tokens(t)], np.int32) for t in common.texts(b.column("text"))])
-                    own.train(words, before, rate, 1000 * k + i)
+                    got = [classes_of(codes(tokens(t), known)) for t in common.texts(b.column("text"))]
+                    words, before = own.contexts([x for x, _ in got])
+                    own.train(words, before, rate, 1000 * k + i, np.concatenate([x for _, x in got]), weights)
                     n += len(words)
             if n:
                 rows = own.rows()
@@ -241,43 +306,49 @@ def score(documents: DataFrame, classes: int = CLASSES) -> DataFrame:
     counts = token_counts(training)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = head_of(counts)
-    model = train(training, head, total, classes)
-    named = list(head)[: classes - 1]
-    rare_den = (total - sum(head[w] for w in named)) + 0.5 * (distinct - len(named) + 1)
+    named = dict(list(head.items())[: classes - 1])
+    rare, weights = cells(counts, named)
+    model = train(training, named, rare, weights, classes)
     base_den = total + 0.5 * (distinct + 1)
-    sent = spark.sparkContext.broadcast((head, model.noise, model.rows()))
+    sent = spark.sparkContext.broadcast((head, len(named), model.noise, model.rows(), np.log(weights).astype(np.float32)))
 
     def run(batches):
         from collections import Counter
 
-        head, noise, params = sent.value
-        own = Model(noise, classes)
+        head, n_named, noise, params, weights = sent.value
+        own = Model(noise, len(noise))
         own.take(params)
         place = {w: i for i, w in enumerate(head)}
         share = np.log10(np.array([*head.values(), 0], np.float64) + 0.5)
         last = len(head)
+        known = dict(zip(list(head)[:n_named], range(-1, -1 - n_named, -1)))
+        coded = codes(list(head), known)
         get = place.get
         for b in batches:
             if not len(b):
                 continue
-            out = {k: [] for k in ("n_tokens", "n_known", "n_rare", "n_tail", "known_share", "rare_share", "model", "tail")}
-            ids = []
+            out = {k: [] for k in ("n_tokens", "n_known", "known_share", "rare_share", "model", "tail")}
+            ids, groups = [], []
             for t in common.texts(b.column("text")):
                 words = tokens(t)
                 at = np.array([get(w, last) for w in words], np.int64)
-                ids.append(np.where(at < classes - 1, np.minimum(at, classes - 2) + 1, 0) if last >= classes - 1 else np.where(at < last, at + 1, 0))
-                rare, tail = ids[-1] == 0, at == last
+                tail = at == last
+                code = np.append(coded, 0)[at]
+                code[tail] = codes([words[i] for i in np.flatnonzero(tail)], known)
+                for x, v in zip((ids, groups), classes_of(code)):
+                    x.append(v)
+                rare = code >= 0
                 out["tail"].append([{"t": w, "n": n} for w, n in Counter(w for w in words if w not in place).items()] if tail.any() else [])
-                for k, v in (("n_tokens", len(at)), ("n_known", int((~tail).sum())), ("n_rare", int(rare.sum())), ("n_tail", int(tail.sum())), ("known_share", float(share[at[~tail]].sum())), ("rare_share", float(share[at[rare & ~tail]].sum()))):
+                for k, v in (("n_tokens", len(at)), ("n_known", int((~tail).sum())), ("known_share", float(share[at[~tail]].sum())), ("rare_share", float(share[at[rare & ~tail]].sum()))):
                     out[k].append(v)
             words, before = own.contexts(ids)
-            p = own.log_probabilities(words, before).astype(np.float64)
+            p = own.log_probabilities(words, before).astype(np.float64) + own.log_within(words, before, np.concatenate(groups), weights)
             out["model"] = np.add.reduceat(p, np.concatenate([[0], np.cumsum(out["n_tokens"])[:-1]])) / np.log(10)
             cols = {"doc_id": b.column("doc_id"), "fold": b.column("fold")} | {k: pa.array(v, pa.int64()) for k, v in out.items() if k.startswith("n_")}
             cols |= {k: pa.array(out[k], pa.float64()) for k in ("known_share", "rare_share", "model")} | {"tail": pa.array(out["tail"], pa.list_(pa.struct([("t", pa.binary()), ("n", pa.int64())])))}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    scored = rows.mapInArrow(run, "doc_id long, fold long, n_tokens long, n_known long, n_rare long, n_tail long, known_share double, rare_share double, model double, tail array<struct<t:binary,n:long>>")
+    scored = rows.mapInArrow(run, "doc_id long, fold long, n_tokens long, n_known long, known_share double, rare_share double, model double, tail array<struct<t:binary,n:long>>")
     scored = common.staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.t", "x.n").join(counts, F.col("t") == counts["token"], "left")
     tail = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("share"))
@@ -285,7 +356,7 @@ def score(documents: DataFrame, classes: int = CLASSES) -> DataFrame:
     return scored.drop("tail").join(tail, "row", "left").select(
         "doc_id", (F.col("fold") == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("known_share") + share - F.col("n_tokens") * F.lit(float(np.log10(base_den)))).alias("base_score"),
-        (F.col("model") + F.col("rare_share") + share - F.col("n_rare") * F.lit(float(np.log10(rare_den)))).alias("score"),
+        (F.col("model") + F.col("rare_share") + share).alias("score"),
     )
 
 

@@ -155,6 +155,33 @@ def test_probabilities_are_normalised():
     assert np.exp(m.log_probabilities(every, np.tile(before[7], (20, 1))).astype(float)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_words_of_one_hashed_class_are_learned_apart():
+    rng = np.random.default_rng(0)
+    m = lm_score.Model(rng.integers(1, 50, 20), 20)
+    words = np.arange(20).repeat(30) % 20
+    w, before = m.contexts([rng.permutation(words)])
+    groups, counts = before[:, 0] % 2, np.ones((20, lm_score.GROUPS))
+    weights = np.log(counts).astype(np.float32)
+    first = -m.log_within(w, before, groups, weights).mean()
+    for i in range(20):
+        m.train(w, before, 0.3, i, groups, weights)
+    assert -m.log_within(w, before, groups, weights).mean() < first - 0.5
+    every = np.arange(lm_score.GROUPS)
+    at = np.zeros(len(every), int)
+    assert (np.exp(m.log_within(w[at], before[at], every, weights).astype(float)) * counts[0]).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_words_that_are_not_named_are_learned(spark):
+    rng = random.Random(3)
+    cycle = [f"w{i}" for i in range(30)]
+    turned = lambda: (lambda k: cycle[k:] + cycle[:k])(rng.randrange(30))
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    docs = [(i, " ".join(turned() + turned()), "en", "s") for i in range(2500) if zlib.crc32(str(i).encode()) % 5 != 1]
+    docs += [(i, " ".join(cycle if k % 2 else rng.sample(cycle, 30)), "en", "s") for k, i in enumerate(out)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(frame(spark, docs).coalesce(1), classes=2).collect()}
+    assert np.mean([got[i] for i in out[1::2]]) > np.mean([got[i] for i in out[::2]]) + 5
+
+
 # 4
 
 
