@@ -675,13 +675,13 @@ def _(spark, sf):
 
 @query("bfs_order", None)
 def _(spark, sf):
-    e = _sparse(spark, sf)
+    e = steps(spark, sf)
     return graph.bfs(e, e.agg(F.min("src")).first()[0]).select("visit", "node", "depth", "parent", F.size("path").alias("hops"))
 
 
 @query("dfs_order", None)
 def _(spark, sf):
-    e = _sparse(spark, sf)
+    e = steps(spark, sf)
     return lab.dfs(e, e.agg(F.min("src")).first()[0])
 
 

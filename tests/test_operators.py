@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf
 from skeinwork.operators.index import Index
+from skeinwork.plans import catalog
 
 DOCS = [
     (1, "Graph search", "graph-search", "Graphs are searched by breadth first search. See [[sorting]] and [[5]].", "algorithms", ["graph", "search"], 7),
@@ -109,6 +110,34 @@ def test_bfs(spark):
     assert graph.bfs(edges(spark), 1, max_depth=1).count() == 3
 
 
+def test_walks_take_all_steps(spark):
+    sf = "/root/testdata/sf0.001"
+    links = {}
+    for r in catalog.steps(spark, sf).select("src", "dst").distinct().orderBy("src", "dst").collect():
+        links.setdefault(r["src"], []).append(r["dst"])
+    first = min(links)
+    order, depth, parent = [first], {first: 0}, {first: None}
+    for node in order:
+        for to in links.get(node, []):
+            if to not in depth:
+                order.append(to)
+                depth[to], parent[to] = depth[node] + 1, node
+    got = catalog.queries()["bfs_order"](spark, sf).orderBy("visit").collect()
+    assert [(r["visit"], r["node"], r["depth"], r["parent"], r["hops"]) for r in got] == [(i, n, depth[n], parent[n], depth[n] + 1) for i, n in enumerate(order)]
+    out, seen = [], set()
+
+    def walk(node, depth, parent):
+        seen.add(node)
+        out.append((len(out), node, depth, parent))
+        for to in links.get(node, []):
+            if to not in seen:
+                walk(to, depth + 1, node)
+
+    walk(first, 0, None)
+    got = catalog.queries()["dfs_order"](spark, sf).orderBy("visit").collect()
+    assert [tuple(r) for r in got] == out
+
+
 def test_dfs():
     links = {1: [2, 3], 2: [4], 3: [5], 4: [6], 5: [6]}
     assert [n for _, n, _, _ in lab.dfs_order(links, 1)] == [1, 2, 4, 6, 3, 5]
