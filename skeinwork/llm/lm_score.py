@@ -1,23 +1,29 @@
 """Language-model scores by a log-bilinear neural model, trained with noise-contrastive estimation.
 
 The model predicts a token's class from the CONTEXT classes before it: score(w, h) = (sum over places i of c_i * r_{h_i}) . q_w + b_w.
-Classes are the CLASSES - 1 most frequent training tokens (the end token always), and BUCKETS hashed classes for all others, as targets and
-as contexts. Inside a hashed class tokens are dealt to GROUPS groups, also by hash: P(g | class, h) is in proportion to the group's smoothed
-count in the class times exp((sum over i of c_i * r_{h_i}) . u_g), and is trained on its exact gradient. So each token has two learned vectors,
-shared with what has the same hashes; among the few tokens with both hashes it has its smoothed share of the training tokens, with one
-share for all tokens never seen. So probabilities are normalised over an open vocabulary, at a size that does not grow with it.
-
-All training documents count: tokens are counted over all of them, and each partition trains on all its documents' tokens. Training has
-two rounds, documents of even hash first: a round starts from the mean of the models of the partitions of the round
-before, weighted by tokens. Models have a fixed size, so these sums are all the driver sees. Noise comes from the classes'
-training frequencies, one set of samples for a batch, which makes both terms of the gradient matrix products.
-
-Scoring: normalisers are made by batched matrix products, once for each context met. Counts of the up to HEAD
-most frequent tokens (of 64 bytes at most) go to every task, a bounded table; all other tokens of all documents meet their counts in a
-join, exactly, and there are none among them as frequent as those of the head.
+Classes are the CLASSES - 1 most frequent training tokens (the end token always), and BUCKETS classes for all others, as targets and as
+contexts, by a hash of their last bytes. Inside such a class tokens are dealt to GROUPS groups by a hash of their first bytes: P(g | class, h)
+is in proportion to the group's smoothed count in the class times exp((sum over i of c_i * r_{h_i}) . u_g), and is trained on its exact
+gradient. So each token has two learned vectors, shared with what begins or ends alike; among the tokens with both hashes it has its
+smoothed share of the training tokens, with one share for all tokens never seen. So probabilities are normalised over an open vocabulary, at a
+size that does not grow with it.
+
+Texts are split twice: once to count, once to turn each token into its code (class and group), which is staged; training and scoring read
+codes. All training documents count. They are dealt by a hash of id and text into shards of about SHARD_TOKENS tokens, whose number follows
+from the number of tokens alone, and each shard has its documents in the order of that hash: the model does not depend on how the input lies
+in partitions. Training has a round for each of RATES, each with documents of its own; a round starts from the mean of the shards' models
+of the round before, weighted by tokens and summed in fixed point, so that no order of addition shows. Models have a fixed size; these sums
+are all the driver sees. Noise comes from the classes' training frequencies, one set of samples for a batch, which makes both terms of
+the gradient matrix products.
+
+Scoring: normalisers of all contexts are made once, by batched matrix products dealt over the cluster, a table of fixed size; a token's
+score is then looked up in the matrices of context and target. Counts of the up to HEAD most frequent tokens (of HEAD_BYTES bytes
+at most) go to every task, a bounded table; all other tokens of all documents meet their counts in a join, exactly, and there are none among
+them as frequent as those of the head.
 
 Defined results: null text is empty, with just the end token; a null doc_id is hashed as the empty text; repeated rows each get
-a row and count as often in training; without training documents N and V are 0.
+a row and count as often in training; without training documents N and V are 0; an empty table gives no rows. A text of any length is one
+row of codes, four bytes a token; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +36,21 @@ from . import common
 CLASSES = 1024
 BUCKETS = 256
 GROUPS = 64
+SUFFIX, PREFIX = 3, 3
 CONTEXT = 2
 DIM = 32
 HEAD = 1 << 16
 HEAD_BYTES = 64
 END = b"\n"  # no word has white space
 
+SHARD_TOKENS = 1 << 21
 NOISE = 25.0
 SAMPLES = 128
-MINIBATCH = 512
-RATES = (0.15, 0.05)
+MINIBATCH = 1024
+#: One learning rate a round.
+RATES = (0.4, 0.2, 0.1, 0.05)
+_BUFFER = 1 << 16
+_POINT = 1 << 24
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -50,38 +61,34 @@ def remainder(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def codes(words: list[bytes], named: dict[bytes, int]):
-    """Place among the named tokens as -1, -2 and so on, or else the hash."""
+def cell(token: bytes) -> int:
+    """class * GROUPS + group of a token that has no class of its own; cell_column says the same of a column."""
     from zlib import crc32
 
-    import numpy as np
-
-    get = named.get
-    return np.array([k if (k := get(w)) is not None else crc32(w) for w in words], np.int64)
+    return crc32(token[-SUFFIX:]) % BUCKETS * GROUPS + crc32(token[:PREFIX]) % GROUPS
 
 
-def classes_of(codes):
-    """Classes, hashed ones first, and groups, -1 for named tokens."""
-    import numpy as np
-
-    return np.where(codes < 0, BUCKETS - 1 - codes, codes % BUCKETS), np.where(codes < 0, -1, codes // BUCKETS % GROUPS)
+def cell_column(token):
+    return F.crc32(F.substring(token, -SUFFIX, SUFFIX)) % BUCKETS * GROUPS + F.crc32(F.substring(token, 1, PREFIX)) % GROUPS
 
 
 class Model:
-    """r, q, b, c, u and the log-frequencies of the classes."""
+    """r, q, b, c, u and the frequencies of the classes; log-weights of the groups in each class."""
 
-    def __init__(self, freq, classes: int = CLASSES, dim: int = DIM, context: int = CONTEXT):
+    def __init__(self, freq, weights, dim: int = DIM, context: int = CONTEXT):
         import numpy as np
 
         rng = np.random.default_rng(11)
+        classes = len(freq)
         self.noise = np.asarray(freq, np.float64) + 0.5
         self.noise /= self.noise.sum()
+        self.weights = np.asarray(weights, np.float32)
         self.r = (rng.standard_normal((classes + 1, dim)) * 0.1).astype(np.float32)  # the last: before the text
         self.q = (rng.standard_normal((classes, dim)) * 0.1).astype(np.float32)
         self.b = np.log(self.noise).astype(np.float32)
         self.c = np.ones((context, dim), np.float32)
         self.u = np.zeros((GROUPS, dim), np.float32)
-        self.log_z = None
+        self.seen: dict = {}
 
     def rows(self):
         """The parameters as rows of equal length."""
@@ -90,112 +97,143 @@ class Model:
         pad = lambda x: np.hstack([x, np.zeros((len(x), 1), np.float32)])
         return np.vstack([pad(self.r), np.hstack([self.q, self.b[:, None]]), pad(self.c), pad(self.u)])
 
-    def take(self, rows) -> None:
+    def take(self, rows) -> Model:
         import numpy as np
 
         n, d = self.r.shape
         rows = np.asarray(rows, np.float32)
         self.r, self.q, self.b, self.c = rows[:n, :d].copy(), rows[n : 2 * n - 1, :d].copy(), rows[n : 2 * n - 1, d].copy(), rows[2 * n - 1 : -GROUPS, :d].copy()
         self.u = rows[-GROUPS:, :d].copy()
-        self.log_z = None
+        return self
 
-    def contexts(self, ids: list):
-        """For texts' class arrays: all classes, and the CONTEXT classes before each, nearest first."""
+    def contexts(self, classes, lengths):
+        """For the classes of texts of these lengths, one after the other: the CONTEXT classes before each, nearest first."""
         import numpy as np
 
-        n, start = len(self.c), len(self.q)
-        flat = np.concatenate([np.concatenate([np.full(n, start), x]) for x in ids]).astype(np.int32)
-        real = np.concatenate([np.concatenate([np.zeros(n, bool), np.ones(len(x), bool)]) for x in ids])
-        at = np.flatnonzero(real)
-        return flat[at], np.stack([flat[at - i - 1] for i in range(n)], axis=1)
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(classes)) - np.repeat(first, lengths)
+        out = np.empty((len(classes), len(self.c)), np.int32)
+        for i in range(len(self.c)):
+            out[:, i] = len(self.q)
+            inside = np.flatnonzero(place > i)
+            out[inside, i] = classes[inside - i - 1]
+        return out
+
+    def _moved(self, name, at, grad, rate) -> None:
+        import numpy as np
 
-    def train(self, words, before, rate: float, seed: int, groups=None, weights=None) -> None:
+        x = getattr(self, name)
+        seen = self.seen.setdefault(name, np.full_like(x, 1e-2))
+        now = seen[at] + grad * grad
+        seen[at] = now
+        x[at] += rate * grad / np.sqrt(now)
+
+    def train(self, words, before, rate: float, seed, groups) -> None:
+        """One pass over the tokens in an order of the seed; groups is -1 for tokens with classes of their own."""
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        k, m = np.float32(NOISE), SAMPLES
+        rate, k, m, classes = np.float32(rate), np.float32(NOISE), SAMPLES, len(self.q)
         shift = np.log(NOISE * self.noise).astype(np.float32)
         cumulated = np.cumsum(self.noise)
-        if not hasattr(self, "seen"):
-            self.seen = {n: np.full_like(getattr(self, n), 1e-2) for n in "rqbcu"}
         order = rng.permutation(len(words))
-
-        def moved(name, at, grad):
-            seen, x = self.seen[name], getattr(self, name)
-            seen[at] += grad * grad
-            x[at] += np.float32(rate) * grad / np.sqrt(seen[at])
+        words, before, groups = words[order], before[order], groups[order]
+        one = np.ones(1, np.float32)
 
         def summed(ids, grad):
+            """Distinct ids and the sums of their rows."""
             by = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]]))
-            return ids[by][first], np.add.reduceat(grad[by], first)
+            ids = ids[by]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            return ids[first], np.add.reduceat(grad[by], first)
 
         for i in range(0, len(order), MINIBATCH):
-            w, h = words[order[i : i + MINIBATCH]], before[order[i : i + MINIBATCH]]
+            w, h, own = words[i : i + MINIBATCH], before[i : i + MINIBATCH], groups[i : i + MINIBATCH]
             size = np.float32(len(w))
             rh = self.r[h]
-            ctx = (rh * self.c).sum(1)
-            noise = np.minimum(np.searchsorted(cumulated, rng.random(m)), len(self.noise) - 1)
-            s_data = (ctx * self.q[w]).sum(1) + self.b[w] - shift[w]
-            s_noise = ctx @ self.q[noise].T + (self.b[noise] - shift[noise])
-            g_data = 1 / (1 + np.exp(np.clip(s_data, -30, 30))) / size
-            g_noise = -(k / m) / (1 + np.exp(-np.clip(s_noise, -30, 30))) / size
-            g_ctx = g_data[:, None] * self.q[w] + g_noise @ self.q[noise]
-            if groups is not None and len(at := np.flatnonzero((own := groups[order[i : i + MINIBATCH]]) >= 0)):
-                t = ctx[at] @ self.u.T + weights[w[at]]
+            ctx = np.einsum("bij,ij->bj", rh, self.c)
+            noise = np.minimum(np.searchsorted(cumulated, rng.random(m)), classes - 1)
+            qw, qn = self.q[w], self.q[noise]
+            s_data = np.einsum("bj,bj->b", ctx, qw) + self.b[w] - shift[w]
+            s_noise = ctx @ qn.T + (self.b[noise] - shift[noise])
+            g_data = one / (one + np.exp(np.clip(s_data, -30, 30))) / size
+            g_noise = (-k / m / size) / (one + np.exp(-np.clip(s_noise, -30, 30)))
+            g_ctx = g_data[:, None] * qw + g_noise @ qn
+            if len(at := np.flatnonzero(own >= 0)):
+                inner = ctx[at]
+                t = inner @ self.u.T + self.weights[w[at]]
                 t = np.exp(t - t.max(1, keepdims=True))
                 t /= -size * t.sum(1, keepdims=True)
-                t[np.arange(len(at)), own[at]] += 1 / size
+                t[np.arange(len(at)), own[at]] += one[0] / size
                 g_ctx[at] += t @ self.u
-                moved("u", slice(None), t.T @ ctx[at])
-            moved("c", slice(None), (rh * g_ctx[:, None, :]).sum(0))
-            ids, grad = summed(np.concatenate([w, noise]), np.hstack([np.vstack([g_data[:, None] * ctx, g_noise.T @ ctx]), np.concatenate([g_data, g_noise.sum(0)])[:, None]]))
-            moved("q", ids, grad[:, :-1])
-            moved("b", ids, grad[:, -1])
-            moved("r", *summed(h.ravel(), (g_ctx[:, None, :] * self.c).reshape(-1, ctx.shape[1])))
-
-    def log_probabilities(self, words, before):
-        """Natural logarithms of the classes' normalised probabilities."""
+                self._moved("u", slice(None), t.T @ inner, rate)
+            g_c = np.einsum("bij,bj->ij", rh, g_ctx)
+            g_r = g_ctx[:, None, :] * self.c
+            self._moved("c", slice(None), g_c, rate)
+            ids, grad = summed(np.concatenate([w, noise]), np.vstack([np.hstack([g_data[:, None] * ctx, g_data[:, None]]), np.hstack([g_noise.T @ ctx, g_noise.sum(0)[:, None]])]))
+            self._moved("q", ids, grad[:, :-1], rate)
+            self._moved("b", ids, grad[:, -1], rate)
+            self._moved("r", *summed(h.ravel(), g_r.reshape(-1, ctx.shape[1])), rate)
+
+    def parts(self):
+        """For each place of the context the matrix of (class before, class) scores; the last has the biases."""
         import numpy as np
 
-        n = len(self.r)
-        if self.log_z is None:
-            self.log_z = np.full(n ** len(self.c), np.nan, np.float32)
-        code = np.zeros(len(words), np.int64)
-        for i in range(before.shape[1]):
-            code = code * n + before[:, i]
-        new = np.unique(code[np.isnan(self.log_z[code])])
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            h = np.stack([part // n**j % n for j in reversed(range(len(self.c)))], axis=1)
-            s = (self.r[h] * self.c).sum(1) @ self.q.T + self.b
-            top = s.max(1, keepdims=True)
-            self.log_z[part] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        s = np.empty(len(words), np.float32)
-        for i in range(0, len(words), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            s[part] = ((self.r[before[part]] * self.c).sum(1) * self.q[words[part]]).sum(1) + self.b[words[part]]
-        return s - self.log_z[code]
-
-    def log_within(self, words, before, groups, weights):
-        """For tokens of hashed classes, natural logarithms of their probabilities in their class for each unit of their weights; 0 for named ones."""
+        out = [(self.r * c) @ self.q.T for c in self.c]
+        out[-1] = out[-1] + self.b
+        return [np.ascontiguousarray(x, np.float32) for x in out]
+
+    def normalisers(self, parts):
+        """Natural logarithms of the sums over all classes, for each context."""
+        import numpy as np
+
+        top = parts[-1].max(1, keepdims=True)
+        rest, log_top = np.exp(parts[-1] - top), top[:, 0]
+        if len(parts) == 1:
+            return np.log(rest.sum(1)) + log_top
+        out = np.empty((len(parts[0]), len(rest)), np.float32)
+        for i in range(0, len(out), 256):
+            near = parts[0][i : i + 256]
+            peak = near.max(1, keepdims=True)
+            out[i : i + 256] = np.log(np.exp(near - peak) @ rest.T) + peak + log_top
+        return out
+
+    def log_probabilities(self, words, before, parts, log_z):
+        """Natural logarithms of the classes' normalised probabilities."""
+        s = -log_z[tuple(before.T)]
+        for i, x in enumerate(parts):
+            s += x[before[:, i], words]
+        return s
+
+    def log_within(self, words, before, groups):
+        """For tokens of shared classes, natural logarithms of their probabilities in their class for each unit of their weights; 0 for others."""
         import numpy as np
 
         out = np.zeros(len(words), np.float32)
         rare = np.flatnonzero(groups >= 0)
-        for i in range(0, len(rare), 1 << 13):
-            at = rare[i : i + (1 << 13)]
-            t = (self.r[before[at]] * self.c).sum(1) @ self.u.T
+        parts = [(self.r * c) @ self.u.T for c in self.c]
+        size = np.exp(self.weights - self.weights.max(1, keepdims=True))
+        top = self.weights.max(1)
+        for i in range(0, len(rare), 1 << 14):
+            at = rare[i : i + (1 << 14)]
+            t = sum(x[before[at, j]] for j, x in enumerate(parts))
             s = t[np.arange(len(at)), groups[at]]
-            t += weights[words[at]]
-            top = t.max(1)
-            out[at] = s - top - np.log(np.exp(t - top[:, None]).sum(1))
+            peak = t.max(1)
+            out[at] = s - peak - top[words[at]] - np.log(np.einsum("bg,bg->b", np.exp(t - peak[:, None]), size[words[at]]))
         return out
 
 
+def classes_of(codes):
+    """Classes of codes, and groups, -1 for tokens with classes of their own."""
+    import numpy as np
+
+    classes = codes // GROUPS
+    return classes, np.where(classes < BUCKETS, codes % GROUPS, -1)
+
+
 def _rows(documents: DataFrame) -> DataFrame:
-    rows = common.pick(documents, "doc_id", "text")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), remainder(F.col("doc_id")).alias("fold"))
+    rows = common.pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumns({"fold": remainder(F.col("doc_id")), "h": F.xxhash64(F.lit(3), "doc_id", F.coalesce("text", F.lit("")))})
 
 
 def token_counts(training: DataFrame, most: int = 400_000) -> DataFrame:
@@ -238,63 +276,128 @@ def head_of(counts: DataFrame, size: int = HEAD) -> dict[bytes, int]:
     return {bytes(r["token"]): r["c"] for r in [*end, *sorted(top, key=lambda r: (-r["c"], bytes(r["token"])))]}
 
 
-def cells(counts: DataFrame, named: dict[bytes, int]):
-    """Training tokens by hashed class, and smoothed weights by hashed class and group, of all tokens that are not named."""
-    from zlib import crc32
-
+def cells(counts: DataFrame, named: list[bytes]):
+    """Training tokens by shared class, and smoothed weights by shared class and group, of all tokens that are not named."""
     import numpy as np
 
     n, distinct = np.zeros(BUCKETS * GROUPS), np.zeros(BUCKETS * GROUPS)
-    for r in counts.groupBy((F.crc32("token") % (BUCKETS * GROUPS)).alias("at")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d")).collect():  # so many rows at most
+    others = counts.filter(~F.col("token").isin(named)) if named else counts
+    for r in others.groupBy(cell_column(F.col("token")).alias("at")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d")).collect():  # BUCKETS * GROUPS rows at most
         n[r["at"]], distinct[r["at"]] = r["c"], r["d"]
-    for w, c in named.items():
-        n[crc32(w) % len(n)] -= c
-        distinct[crc32(w) % len(n)] -= 1
-    by = lambda x: x.reshape(GROUPS, BUCKETS).T
+    by = lambda x: x.reshape(BUCKETS, GROUPS)
     return by(n).sum(1), by(n + 0.5 * (distinct + 1))
 
 
-def train(training: DataFrame, counts: dict[bytes, int], rare, weights, classes: int = CLASSES) -> Model:
-    """counts are those of the named tokens, rare and weights what cells() gives."""
+class Vocabulary:
+    """Counts of training tokens: totals, the head by token, and the codes of the head's tokens."""
+
+    def __init__(self, counts: DataFrame, classes: int = CLASSES, size: int = HEAD):
+        import numpy as np
+
+        self.total, self.distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        self.head = head_of(counts, size)
+        self.named = list(self.head)[: classes - 1]
+        rare, weights = cells(counts, self.named)
+        self.freq = np.concatenate([rare, [self.head[w] for w in self.named], np.zeros(classes - 1 - len(self.named))])
+        self.log_weights = np.log(weights).astype(np.float32)
+        self.codes = np.array([(BUCKETS + i) * GROUPS if i < len(self.named) else cell(w) for i, w in enumerate(self.head)], np.int32)
+
+    def model(self) -> Model:
+        return Model(self.freq, self.log_weights)
+
+
+def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Staged row, doc_id, fold, h, n_tokens, codes (little-endian 32-bit numbers), n_known, known_share and rare_share (of the head's tokens; of
+    those in shared classes), tail (the tokens that are not of the head) for each of rows."""
+    import pyarrow as pa
+
+    sent = rows.sparkSession.sparkContext.broadcast((vocabulary.head, vocabulary.codes))
+
+    def run(batches):
+        from itertools import repeat
+
+        import numpy as np
+
+        head, head_codes = sent.value
+        get, last = {w: i for i, w in enumerate(head)}.get, len(head)
+        head_codes = np.append(head_codes, np.int32(0))
+        share = np.log10(np.array([*head.values(), 0.5], np.float64) + 0.5)  # nothing for the tail: log10(1)
+        for b in batches:
+            words, lengths = [], []
+            for t in common.texts(b.column("text")):
+                words += (own := tokens(t))
+                lengths.append(len(own))
+            lengths = np.array(lengths, np.int64)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.fromiter(map(get, words, repeat(last)), np.int64, len(words))
+            tail = np.flatnonzero(at == last)
+            rest = [words[i] for i in tail.tolist()]
+            code = head_codes[at]
+            code[tail] = [cell(w) for w in rest]
+            shares, n = share[at], len(lengths)
+            by = lambda x, weights=None: np.bincount(x, weights, n)
+            ends = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32)
+            cols = {c: b.column(c) for c in ("doc_id", "fold", "h")} | {
+                "n_tokens": pa.array(lengths), "codes": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends(lengths * 4)), pa.py_buffer(code)]),
+                "n_known": pa.array(lengths - by(doc[tail])), "known_share": pa.array(by(doc, shares)), "rare_share": pa.array(by(doc, np.where(code < BUCKETS * GROUPS, shares, 0.0))),
+                "tail": pa.ListArray.from_arrays(pa.array(ends(by(doc[tail]))), pa.array(rest, pa.binary())),
+            }
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    made = rows.select("doc_id", "fold", "h", "text").mapInArrow(run, "doc_id long, fold long, h long, n_tokens long, codes binary, n_known long, known_share double, rare_share double, tail array<binary>")
+    return common.staged(made.withColumn("row", F.monotonically_increasing_id()), "coded")
+
+
+def train(coded: DataFrame, vocabulary: Vocabulary, shard_tokens: int | None = None) -> Model:
+    """The model of the training rows of encoded(). The same rows give the same model, however they lie in partitions."""
     import numpy as np
     import pyarrow as pa
 
-    spark = training.sparkSession
-    known = {w: -1 - i for i, w in enumerate(counts)}
-    classes += BUCKETS - 1
-    freq = np.zeros(classes)
-    freq[:BUCKETS] = rare
-    freq[BUCKETS : BUCKETS + len(known)] = list(counts.values())
-    weights = np.log(weights).astype(np.float32)
-    model = Model(freq, classes)
+    context = coded.sparkSession.sparkContext
+    model = vocabulary.model()
     width = model.rows().shape[1]
-    sent = spark.sparkContext.broadcast((known, freq, weights))
+    shards = max(1, int(vocabulary.total) // (shard_tokens or SHARD_TOKENS))
+    sent = context.broadcast((vocabulary.freq, vocabulary.log_weights))
+    rows = coded.filter("fold <> 1").select(F.pmod(F.shiftrightunsigned("h", 8), F.lit(shards)).cast("int").alias("shard"), "h", "doc_id", "codes")
     for k, rate in enumerate(RATES):
-        begin = spark.sparkContext.broadcast(model.rows())
+        begin = context.broadcast(model.rows())
 
         def run(batches, k=k, rate=rate, begin=begin):
-            known, freq, weights = sent.value
-            own = Model(freq, classes)
-            own.take(begin.value)
-            n = 0
-            for i, b in enumerate(batches):
-                if len(b):
-                    got = [classes_of(codes(tokens(t), known)) for t in common.texts(b.column("text"))]
-                    words, before = own.contexts([x for x, _ in got])
-                    own.train(words, before, rate, 1000 * k + i, np.concatenate([x for _, x in got]), weights)
-                    n += len(words)
-            if n:
-                rows = own.rows()
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([float(n)] * len(rows)), pa.array(rows.tolist(), pa.list_(pa.float32()))], ["row", "n", "v"])
-
-        half = training.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(len(RATES))) == k).select("text")
-        sums = half.mapInArrow(run, "row int, n double, v array<float>").groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("v")[j]).alias(f"v{j}") for j in range(width)])
+            shard, own, held, size, n, part = None, None, [], 0, 0, 0
+
+            def learned():
+                classes, groups = classes_of(np.concatenate(held))
+                own.train(classes, own.contexts(classes, [len(x) for x in held]), rate, (k, part), groups)
+
+            def ended():
+                if held:
+                    learned()
+                out = np.rint(own.rows().astype(np.float64) * _POINT).astype(np.int64) * (weight := max(1, n >> 10))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+                return pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array([weight] * len(out), pa.int64()), flat], ["row", "n", "v"])
+
+            for b in batches:
+                for s, codes in zip(b.column("shard").to_pylist(), b.column("codes").to_pylist()):
+                    if s != shard:
+                        if own is not None:
+                            yield ended()
+                        shard, own, held, size, n, part = s, Model(*sent.value).take(begin.value), [], 0, 0, 0
+                    held.append(np.frombuffer(codes, np.int32))
+                    size, n = size + len(held[-1]), n + len(held[-1])
+                    if size >= _BUFFER:
+                        learned()
+                        held, size, part = [], 0, part + 1
+            if own is not None:
+                yield ended()
+
+        mine = rows.filter(F.pmod("h", F.lit(len(RATES))) == k).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "doc_id")
+        sums = mine.mapInArrow(run, "row int, n long, v array<long>").groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width)])
         if got := sorted(sums.collect(), key=lambda r: r["row"]):  # as many as the model has rows
-            model.take([[r[f"v{j}"] / r["n"] for j in range(width)] for r in got])
+            model.take(np.array([[r[f"v{j}"] for j in range(width)] for r in got], np.float64) / (np.array([[r["n"]] for r in got], np.float64) * _POINT))
     return model
 
 
-def score(documents: DataFrame, classes: int = CLASSES) -> DataFrame:
+def score(documents: DataFrame, classes: int = CLASSES, shard_tokens: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents."""
     import numpy as np
     import pyarrow as pa
@@ -302,59 +405,34 @@ def score(documents: DataFrame, classes: int = CLASSES) -> DataFrame:
     spark = documents.sparkSession
     common.batches(spark)
     rows = _rows(documents)
-    training = rows.filter("fold <> 1")
-    counts = token_counts(training)
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = head_of(counts)
-    named = dict(list(head.items())[: classes - 1])
-    rare, weights = cells(counts, named)
-    model = train(training, named, rare, weights, classes)
-    base_den = total + 0.5 * (distinct + 1)
-    sent = spark.sparkContext.broadcast((head, len(named), model.noise, model.rows(), np.log(weights).astype(np.float32)))
+    counts = token_counts(rows.filter("fold <> 1"))
+    vocabulary = Vocabulary(counts, classes, HEAD)
+    coded = encoded(rows, vocabulary)
+    model = train(coded, vocabulary, shard_tokens)
+    sent = spark.sparkContext.broadcast((vocabulary.freq, vocabulary.log_weights, model.rows(), model.normalisers(model.parts())))
 
     def run(batches):
-        from collections import Counter
-
-        head, n_named, noise, params, weights = sent.value
-        own = Model(noise, len(noise))
-        own.take(params)
-        place = {w: i for i, w in enumerate(head)}
-        share = np.log10(np.array([*head.values(), 0], np.float64) + 0.5)
-        last = len(head)
-        known = dict(zip(list(head)[:n_named], range(-1, -1 - n_named, -1)))
-        coded = codes(list(head), known)
-        get = place.get
+        freq, log_weights, params, log_z = sent.value
+        own = Model(freq, log_weights).take(params)
+        parts = own.parts()
         for b in batches:
-            if not len(b):
-                continue
-            out = {k: [] for k in ("n_tokens", "n_known", "known_share", "rare_share", "model", "tail")}
-            ids, groups = [], []
-            for t in common.texts(b.column("text")):
-                words = tokens(t)
-                at = np.array([get(w, last) for w in words], np.int64)
-                tail = at == last
-                code = np.append(coded, 0)[at]
-                code[tail] = codes([words[i] for i in np.flatnonzero(tail)], known)
-                for x, v in zip((ids, groups), classes_of(code)):
-                    x.append(v)
-                rare = code >= 0
-                out["tail"].append([{"t": w, "n": n} for w, n in Counter(w for w in words if w not in place).items()] if tail.any() else [])
-                for k, v in (("n_tokens", len(at)), ("n_known", int((~tail).sum())), ("known_share", float(share[at[~tail]].sum())), ("rare_share", float(share[at[rare & ~tail]].sum()))):
-                    out[k].append(v)
-            words, before = own.contexts(ids)
-            p = own.log_probabilities(words, before).astype(np.float64) + own.log_within(words, before, np.concatenate(groups), weights)
-            out["model"] = np.add.reduceat(p, np.concatenate([[0], np.cumsum(out["n_tokens"])[:-1]])) / np.log(10)
-            cols = {"doc_id": b.column("doc_id"), "fold": b.column("fold")} | {k: pa.array(v, pa.int64()) for k, v in out.items() if k.startswith("n_")}
-            cols |= {k: pa.array(out[k], pa.float64()) for k in ("known_share", "rare_share", "model")} | {"tail": pa.array(out["tail"], pa.list_(pa.struct([("t", pa.binary()), ("n", pa.int64())])))}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    scored = rows.mapInArrow(run, "doc_id long, fold long, n_tokens long, n_known long, known_share double, rare_share double, model double, tail array<struct<t:binary,n:long>>")
-    scored = common.staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.t", "x.n").join(counts, F.col("t") == counts["token"], "left")
-    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("share"))
-    share = F.coalesce("share", F.lit(0.0))
-    return scored.drop("tail").join(tail, "row", "left").select(
-        "doc_id", (F.col("fold") == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+            lengths = b.column("n_tokens").to_numpy()
+            score = np.zeros(len(b))
+            if len(b):
+                classes, groups = classes_of(np.concatenate([np.frombuffer(x, np.int32) for x in b.column("codes").to_pylist()]))
+                before = own.contexts(classes, lengths)
+                p = own.log_probabilities(classes, before, parts, log_z).astype(np.float64) + own.log_within(classes, before, groups)
+                score = np.add.reduceat(p, np.cumsum(lengths) - lengths) / np.log(10)  # each text has its end token
+            names = ["row", "doc_id", "fold", "n_tokens", "n_known", "known_share", "rare_share"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(score)], [*names, "model"])
+
+    scored = coded.drop("h", "tail").select("row", "doc_id", "fold", "n_tokens", "n_known", "known_share", "rare_share", "codes")
+    scored = scored.mapInArrow(run, "row long, doc_id long, fold long, n_tokens long, n_known long, known_share double, rare_share double, model double")
+    tail = coded.select("row", F.explode("tail").alias("t")).join(counts, F.col("t") == counts["token"], "left")
+    tail = tail.groupBy("row").agg(F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("share"))
+    share, base_den = F.coalesce("share", F.lit(0.0)), vocabulary.total + 0.5 * (vocabulary.distinct + 1)
+    return scored.join(tail, "row", "left").select(
+        "doc_id", (F.col("fold") == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("known_share") + share - F.col("n_tokens") * F.lit(float(np.log10(base_den)))).alias("base_score"),
         (F.col("model") + F.col("rare_share") + share).alias("score"),
     )

@@ -125,61 +125,97 @@ def test_contamination(spark, documents, rows, block_bytes):
 # 3
 
 
-def test_scores(documents, rows, empty):
+def test_scores(documents, rows, empty, monkeypatch):
     tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
     counts = Counter(w for i, t, _, _ in rows if not held(i) for w in tokens(t))
     total, den = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-    want = sorted((str(i), held(i), len(tokens(t)), sum(w in counts for w in tokens(t)), total, round(sum(np.log10((counts[w] + 0.5) / den) for w in tokens(t)), 5)) for i, t, _, _ in rows)
-    size, lm_score.HEAD = lm_score.HEAD, 150
-    try:
-        got = lm_score.score(documents, classes=64).collect()
-    finally:
-        lm_score.HEAD = size
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    assert lm_score.score(empty, classes=64).count() == 0
+    monkeypatch.setattr(lm_score, "HEAD", 150)
+    # The model as fitted, in plain Python.
+    some = common.staged(lm_score._rows(documents), "t")
+    vocabulary = lm_score.Vocabulary(lm_score.token_counts(some.filter("fold <> 1")), 64, 150)
+    m = lm_score.train(lm_score.encoded(some, vocabulary), vocabulary)
+    number, shared = {w: lm_score.BUCKETS + i for i, w in enumerate(vocabulary.named)}, lm_score.BUCKETS * lm_score.GROUPS
+    cell = {w: divmod(lm_score.cell(w), lm_score.GROUPS) for i, t, _, _ in rows for w in tokens(t) if w not in number}
+    mass = np.zeros((lm_score.BUCKETS, lm_score.GROUPS)) + 0.5
+    for w, c in counts.items():
+        if w not in number:
+            mass[cell[w]] += c + 0.5
+    r, q, c, u = (x.astype(float) for x in (m.r, m.q, m.c, m.u))
+
+    def brute(t):
+        before, out = [len(q)] * lm_score.CONTEXT, 0.0
+        for w in tokens(t):
+            k = number.get(w, cell.get(w, (0,))[0])
+            ctx = sum(r[h] * x for h, x in zip(before, c))
+            s = q @ ctx + m.b
+            p = np.exp(s[k]) / np.exp(s).sum()
+            if w not in number:
+                inside = mass[k] * np.exp(u @ ctx)
+                p *= inside[cell[w][1]] / inside.sum() * (counts[w] + 0.5) / mass[cell[w]]
+            out += np.log10(p)
+            before = [k, *before[:-1]]
+        return out
+
+    want = counted((i, held(i), len(tokens(t)), sum(w in counts for w in tokens(t)), total, round(sum(np.log10((counts[w] + 0.5) / den) for w in tokens(t)), 5), round(brute(t), 1)) for i, t, _, _ in rows)
+    for parts in (1, 7):
+        got = lm_score.score(documents.repartition(parts), classes=64).collect()
+        assert counted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 1)) for r in got) == want
+    assert shared and lm_score.score(empty, classes=64).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark):
+    rng = random.Random(7)
+    tongues = [["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) + end for _ in range(400)] for letters, end in (("aeiou", "s"), ("bcdfg", "um"), ("xyzw", "ka"))]
+    docs = [(i, " ".join(rng.choices(rng.choice(tongues), k=120)), "en", "s") for i in range(900)]
+    docs += docs[:40] + [(2000, " ".join(rng.choices(tongues[0], k=150_000)), "en", "s")]
+    by = []
+    for parts in (1, 16):
+        got = lm_score.score(frame(spark, docs, parts), classes=64, shard_tokens=40_000).collect()
+        by.append(sorted((r["doc_id"], r["score"]) for r in got))
+        out = [r for r in got if r["held_out"] and r["doc_id"] < 900]
+        assert sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out) > 0.25
+    assert by[0] == by[1]
+
+
+def some_model(classes=20, counts=None):
+    freq = np.concatenate([np.arange(1, lm_score.BUCKETS + 1) % 7, np.random.default_rng(0).integers(1, 50, classes)])
+    return lm_score.Model(freq, np.log(np.ones((lm_score.BUCKETS, lm_score.GROUPS)) if counts is None else counts))
 
 
 def test_probabilities_are_normalised():
-    rng = np.random.default_rng(0)
-    m = lm_score.Model(rng.integers(1, 50, 20), 20)
-    words = np.arange(20).repeat(30) % 20
-    w, before = m.contexts([words[:300], words[300:]])
-    first = -m.log_probabilities(w, before).mean()
+    m = some_model()
+    words = (lm_score.BUCKETS + np.arange(20).repeat(30) % 20).astype(np.int32)
+    before, none = m.contexts(words, [300, 300]), np.full(600, -1)
+    score = lambda w, h: m.log_probabilities(w, h, m.parts(), m.normalisers(m.parts())).astype(float)
+    first = -score(words, before).mean()
     for i in range(8):
-        m.train(w, before, 0.3, i)
-    m.log_z = None
-    assert -m.log_probabilities(w, before).mean() < first - 0.5
-    every = np.arange(20)
-    assert np.exp(m.log_probabilities(every, np.tile(before[7], (20, 1))).astype(float)).sum() == pytest.approx(1, abs=1e-5)
-
-
-def test_words_of_one_hashed_class_are_learned_apart():
-    rng = np.random.default_rng(0)
-    m = lm_score.Model(rng.integers(1, 50, 20), 20)
-    words = np.arange(20).repeat(30) % 20
-    w, before = m.contexts([rng.permutation(words)])
-    groups, counts = before[:, 0] % 2, np.ones((20, lm_score.GROUPS))
-    weights = np.log(counts).astype(np.float32)
-    first = -m.log_within(w, before, groups, weights).mean()
+        m.train(words, before, 0.3, i, none)
+    assert -score(words, before).mean() < first - 0.5
+    every = np.arange(len(m.q))
+    for h in (before[0], before[7], before[301]):
+        assert np.exp(score(every, np.tile(h, (len(every), 1)))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_of_one_class_are_learned_apart():
+    counts = np.arange(1, lm_score.BUCKETS * lm_score.GROUPS + 1).reshape(lm_score.BUCKETS, -1) % 5 + 1.0
+    m = some_model(counts=counts)
+    words = np.random.default_rng(0).permutation(np.arange(20).repeat(30)).astype(np.int32)
+    before = m.contexts(words, [600])
+    groups = before[:, 0] % 2
+    first = -m.log_within(words, before, groups).mean()
     for i in range(20):
-        m.train(w, before, 0.3, i, groups, weights)
-    assert -m.log_within(w, before, groups, weights).mean() < first - 0.5
+        m.train(words, before, 0.3, i, groups)
+    assert -m.log_within(words, before, groups).mean() < first - 0.5
     every = np.arange(lm_score.GROUPS)
     at = np.zeros(len(every), int)
-    assert (np.exp(m.log_within(w[at], before[at], every, weights).astype(float)) * counts[0]).sum() == pytest.approx(1, abs=1e-5)
+    assert (np.exp(m.log_within(words[at], before[at], every).astype(float)) * counts[words[0]]).sum() == pytest.approx(1, abs=1e-5)
 
 
-def test_words_that_are_not_named_are_learned(spark):
-    rng = random.Random(3)
-    cycle = [f"w{i}" for i in range(30)]
-    turned = lambda: (lambda k: cycle[k:] + cycle[:k])(rng.randrange(30))
-    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
-    docs = [(i, " ".join(turned() + turned()), "en", "s") for i in range(2500) if zlib.crc32(str(i).encode()) % 5 != 1]
-    docs += [(i, " ".join(cycle if k % 2 else rng.sample(cycle, 30)), "en", "s") for k, i in enumerate(out)]
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(frame(spark, docs).coalesce(1), classes=2).collect()}
-    assert np.mean([got[i] for i in out[1::2]]) > np.mean([got[i] for i in out[::2]]) + 5
+def test_cells_agree(spark):
+    words = [b"", b"a", b"ab", b"abc", "é".encode(), b"stonston", b"\n"]
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "token binary")
+    assert [r[0] for r in df.select(lm_score.cell_column(F.col("token"))).collect()] == [lm_score.cell(w) for w in words]
 
 
 # 4
