@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_decontaminate": decontam.ORACLE_SQL}
+    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_decontaminate": decontam.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}

@@ -1,23 +1,23 @@
 """Quality rules: base counts of each text, and lines that too many documents of a host share.
 
-Lines are normalised (A-Z lower-cased, digits to 0, white space to one space) and hashed. For each host (column source)
-and line the distinct documents are counted: exact copies are one document, and as near copies share nearly all their
-lines, each count is also split by the document's least other line. A line is removed if more than LIMIT documents of the host
-have it and no such split holds half of them: then it stands in unlike documents. Where one split holds half, the line is either one of
-a block of boilerplate or inside a group of near copies. A block stands whole in its documents, while copies differ in changing places,
-so the line is also removed if WHOLE percent of its documents have the same set of such lines (of those about as frequent as it or more).
-A document whose removed lines hold more than DEPLETED percent of its words is rejected. Both limits are parameters.
-
-Lines and documents are hashed where they lie. Counts are partial before every shuffle, by (host, line, split,
-document) first, so a line that stands in a third of all documents is no hot key.
-
-Defined results: null text has no words and fails the base rule; a null source is one host; texts of one line that agree once normalised
-are a block of one line; repeated rows each get a row; an empty table gives no rows.
+Lines are normalised (A-Z lower-cased, digits to 0, white space to one space) and hashed together with their host (column source), to 128
+bits. For each host and line the distinct documents are counted; a document is its text, so exact copies on a host are one. A line is
+removed if more than LIMIT documents of its host have it, and a document whose removed lines hold more than DEPLETED percent of its
+words is rejected. Both limits are parameters. No line is spared for the sake of near copies: what more than LIMIT pages of a host say in the
+same words is boilerplate here, and copies of one document with small changes are too, once there are so many.
+
+Lines and documents are hashed where they lie. Counts are partial before every shuffle, by (line, document) first, so a line that
+stands in a third of all documents is no hot key. Lines above the limit are broadcast up to MOST_BROADCAST of them, 16 bytes each, and joined
+beyond that.
+
+Defined results: null text is empty, has no words and fails the base rule; a null source is one host, apart from the empty one; texts that
+are one line and agree once normalised count as different documents with a shared line; repeated rows each get a row and count once; a
+text of any length is read whole; an empty table gives no rows; other columns are ignored, and kept as they are by keep_good.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,10 +26,7 @@ LIMIT = 30
 DEPLETED = 80
 MIN_WORDS = 20
 MAX_REPEATED = 30
-#: Copies with one line changed each hold their sets of lines in about equal shares, one for each other line: a fifth or less where over
-#: DEPLETED percent can be shared. About as frequent: at least 0.8 times, in thousandths of a power of two.
-WHOLE = 33
-_ABOUT = 322
+MOST_BROADCAST = 500_000
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 _LINE = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -64,146 +61,110 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def base_failed(counts: tuple[int, int, int, int, int]) -> bool:
-    return counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED * counts[0]
-
-
-def line_hashes(text: bytes) -> dict[tuple[int, int], int]:
-    """Words of the document in each of its normalised lines, by 128-bit hash."""
+def line_hashes(host: int, text: bytes) -> dict[int, int]:
+    """Words of the document in each of its normalised lines, by 128-bit hash of host and line."""
     from xxhash import xxh3_128_intdigest
 
-    out: dict[tuple[int, int], int] = {}
+    out: dict[int, int] = {}
     for line in text.translate(_LINE).split(b"\n"):
         if w := line.split():
-            h = xxh3_128_intdigest(b" ".join(w))
-            key = ((h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63))
-            out[key] = out.get(key, 0) + len(w)
+            h = xxh3_128_intdigest(b" ".join(w), host)
+            out[h] = out.get(h, 0) + len(w)
     return out
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_LINES = "array<struct<h1:long,h2:long,n:long>>"
 
 
-def _keys(source, text) -> list:
-    return [F.xxhash64(source, text).alias("k1"), F.xxhash64(F.lit(1), source, text).alias("k2")]
-
-
-def features(documents: DataFrame) -> DataFrame:
-    """A staged row for each row of documents: its number, doc_id, source, keys, base counts and lines."""
+def features(rows: DataFrame, source: str, text: str, *carried: str) -> DataFrame:
+    """A staged row for each of rows: its number row, the carried columns, k1 (hash of the text), base counts, base_failed and lines."""
     import pyarrow as pa
+    from pyspark.sql.types import StructType
 
-    common.batches(documents.sparkSession)
-    line = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
-    rows = common.pick(documents, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *_keys(F.col("source"), F.col("text")), "text")
+    common.batches(rows.sparkSession)
+    host, words = F.col(source).cast("string"), F.col(text).cast("string")
+    rows = rows.select(*carried, F.xxhash64(F.coalesce(words, F.lit(""))).alias("k1"), F.xxhash64(host.isNull(), host).alias("_host"), words.alias("_text"))
+    kept = len(carried) + 1
 
     def run(batches):
+        import numpy as np
+
         for b in batches:
-            counts, lines = [], []
-            for t in common.texts(b.column("text")):
+            counts, h, n, sizes = [], [], [], []
+            for host, t in zip(b.column("_host").to_pylist(), common.texts(b.column("_text"))):
                 counts.append(base_counts(t))
-                lines.append([{"h1": a, "h2": c, "n": n} for (a, c), n in sorted(line_hashes(t).items())])
-            cols = [b.column(n) for n in ("doc_id", "source", "k1", "k2")] + [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [[]] * 5)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.list_(line))], ["doc_id", "source", "k1", "k2", *_COUNTS, "lines"])
-
-    made = rows.mapInArrow(run, "doc_id long, source string, k1 long, k2 long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<struct<h1:long,h2:long,n:long>>")
+                lines = line_hashes(host & (1 << 64) - 1, t)
+                h += lines.keys()
+                n += lines.values()
+                sizes.append(len(lines))
+            made = np.array(counts, np.int64).reshape(-1, 5)
+            parts = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in h), "<i8").reshape(-1, 2)
+            flat = pa.StructArray.from_arrays([pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy()), pa.array(n, pa.int64())], ["h1", "h2", "n"])
+            lines = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+            failed = (made[:, 0] < MIN_WORDS) | (100 * made[:, 4] > MAX_REPEATED * made[:, 0])
+            cols = [*b.columns[:kept], *[pa.array(made[:, i].copy()) for i in range(5)], pa.array(failed), lines]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:kept], *_COUNTS, "base_failed", "lines"])
+
+    schema = StructType.fromDDL(", ".join(f"{c} long" for c in _COUNTS) + f", base_failed boolean, lines {_LINES}")
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields[:kept], *schema.fields]))
     return common.staged(made.withColumn("row", F.monotonically_increasing_id()), "quality")
 
 
-def _on(lines: DataFrame):
-    return (lines["h1"] == F.col("g1")) & (lines["h2"] == F.col("g2")) & lines["source"].eqNullSafe(F.col("s"))
-
-
-def _marked(made: DataFrame, alike: DataFrame) -> DataFrame:
-    """s, g1, g2, docs, k1 and the document's set (x1, x2) for each line of alike in a document; lines are looked up where they lie."""
-    import pyarrow as pa
-
-    schema = "s string, g1 long, g2 long, docs long, k1 long, x1 long, x2 long"
-    sent = made.sparkSession.sparkContext.broadcast({(r["s"], r["g1"], r["g2"]): r["docs"] for r in alike.collect()})
-
-    def run(batches):
-        import math
+def removed_words(made: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """row, removed (words in lines that more than limit distinct documents of the host have), for rows of features() with such lines."""
+    lines = made.select("row", "k1", F.explode("lines").alias("x")).select("row", "k1", "x.*")
+    often = lines.groupBy("h1", "h2", "k1").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("docs")).filter(F.col("docs") > limit)
+    often = common.staged(often.select("h1", "h2"), "frequent-lines")
+    often = F.broadcast(often) if often.count() <= most_broadcast else often
+    return lines.join(often, ["h1", "h2"], "left_semi").groupBy("row").agg(F.sum("n").alias("removed"))
 
-        import numpy as np
 
-        docs = sent.value
-        first = np.array(sorted({k[1] for k in docs}), np.int64)
-        for b in batches:
-            out = []
-            x = b.column("lines")
-            ends, flat = np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)), x.flatten()
-            h1, h2 = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            hit = np.flatnonzero(np.isin(h1, first))
-            of = np.searchsorted(ends, hit, "right")
-            for i in np.unique(of).tolist():
-                s, k1 = b.column("source")[i].as_py(), b.column("k1")[i].as_py()
-                mine = [(s, a, c) for a, c in zip(h1[hit[of == i]].tolist(), h2[hit[of == i]].tolist())]
-                mine = sorted((math.floor(math.log2(docs[k]) * -1000), k) for k in mine if k in docs)
-                x1 = x2 = end = 0
-                for level, k in mine:
-                    while end < len(mine) and mine[end][0] <= level + _ABOUT:
-                        x1, x2, end = x1 ^ mine[end][1][1], x2 ^ mine[end][1][2], end + 1
-                    out.append((*k, docs[k], k1, x1, x2))
-            kinds = [pa.string(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], [n.split()[0] for n in schema.split(", ")])
-
-    return made.select("source", "k1", "lines").mapInArrow(run, schema)
-
-
-def _marked_by_join(lines: DataFrame, alike: DataFrame) -> DataFrame:
-    """The same for more lines than can be sent to every task."""
-    about = Window.partitionBy("row").orderBy(F.floor(F.log2("docs") * -1000).cast("long")).rangeBetween(Window.unboundedPreceding, _ABOUT)
-    found = lines.join(alike, _on(lines)).select("row", "k1", "s", "g1", "g2", "docs")
-    return found.select("s", "g1", "g2", "docs", "k1", F.bit_xor("g1").over(about).alias("x1"), F.bit_xor("g2").over(about).alias("x2"))
-
-
-def whole_blocks(sets: DataFrame) -> DataFrame:
-    """Those lines of sets that stand in a block which WHOLE percent of their documents have whole."""
-    line = ["s", "g1", "g2", "docs"]
-    most = sets.groupBy(*line, "x1", "x2", "k1").agg(F.lit(1).alias("one")).groupBy(*line, "x1", "x2").agg(F.count("one").alias("n")).groupBy(*line).agg(F.max("n").alias("most"))
-    return most.filter(F.col("most") * 100 >= F.col("docs") * WHOLE).select(*line)
-
-
-def verdicts(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, most_broadcast: int = 50_000) -> DataFrame:
-    """row, doc_id, k1, k2, base counts, removed_words, base_failed, kept for each row of documents."""
-    made = features(documents)
-    # Lines stand in the order of their hashes: the first is the least, but for that line itself, which takes the second.
-    lines = made.select("row", "source", "k1", F.posexplode("lines").alias("i", "x"), F.when(F.size("lines") > 1, F.col("lines")).alias("all")).select("row", "source", "k1", "x.*", F.when(F.col("i") > 0, F.try_element_at("all", F.lit(1))).otherwise(F.try_element_at("all", F.lit(2)))["h1"].alias("other"))
-    line = ["source", "h1", "h2"]
-    split = lines.groupBy(*line, "other", "k1").agg(F.lit(1).alias("one")).groupBy(*line, "other").agg(F.count("one").alias("n"))
-    often = split.groupBy(*line).agg(F.sum("n").alias("docs"), F.max("n").alias("most")).filter(F.col("docs") > limit)
-    often = common.staged(often.select(F.col("source").alias("s"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "docs", (F.col("most") * 2 >= F.col("docs")).alias("alike")), "frequent-lines")
-    unlike, alike = (often.filter(x).drop("alike") for x in ("not alike", "alike"))
-    if n := alike.count():
-        often = common.staged(unlike.union(whole_blocks(_marked(made, alike) if n <= most_broadcast else _marked_by_join(lines, alike))), "removed-lines")
-    often = F.broadcast(often) if often.count() <= most_broadcast else often
-    gone = lines.join(often, _on(lines), "left_semi").groupBy("row").agg(F.sum("n").alias("removed"))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = made.drop("lines").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).withColumn("base_failed", base)
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))).drop("removed")
+def verdicts(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
+    """doc_id, base counts, removed_words, base_failed, kept for each row of documents."""
+    rows = common.pick(documents, "doc_id", "source", "text")
+    made = features(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "source", "text", "doc_id")
+    out = made.drop("lines").join(removed_words(made, limit), "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))).drop("row", "k1", "removed")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return verdicts(common.table(spark, sf_dir, "documents")).select("doc_id", *_COUNTS, "base_failed", "kept", "removed_words")
 
 
-def keep_good(documents: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The rows of documents, all columns as they are, that are kept. Equal texts of a host share their verdict.
-
-    Rows that fail the base rule go where they lie; only the few that the method rejects are joined, by their keys of 16 bytes, so
-    texts are not shuffled for them unless they are more than most_broadcast."""
-    import pyarrow as pa
-
-    rejected = verdicts(documents).filter("not kept and not base_failed").select(F.col("k1").alias("_a"), F.col("k2").alias("_b")).distinct()
-    bad = common.staged(rejected, "rejected")
+def keep_good(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The rows of documents, all columns as they are, that are kept. Texts are staged with their counts, so they are read once; rejected
+    rows are found by number."""
+    names = [f"_{i}" for i in range(len(documents.columns))]
+    source, text = (names[documents.columns.index(n)] for n in ("source", "text"))
+    made = features(documents.toDF(*names), source, text, *names)
+    bad = made.join(removed_words(made, limit), "row").filter(~F.col("base_failed") & (100 * F.col("removed") > depleted * F.col("n_words")))
+    bad = common.staged(bad.select("row"), "rejected")
     bad = F.broadcast(bad) if bad.count() <= most_broadcast else bad
-    cols, names = [f"_{i}" for i in range(len(documents.columns))], documents.columns
-    at = names.index("text")
+    return made.filter("not base_failed").join(bad, "row", "left_anti").select(*names).toDF(*documents.columns)
+
+
+def oracle_sql(limit: int = LIMIT, depleted: int = DEPLETED) -> str:
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), raw AS (SELECT r, source, md5(t) AS k, unnest(string_split(t, chr(10))) AS x FROM d
+), line AS (
+  SELECT *, coalesce(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+'), []) AS lw FROM raw WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY r
+), often AS (SELECT source, lw FROM line GROUP BY source, lw HAVING count(DISTINCT k) > {limit}
+), gone AS (SELECT r, CAST(sum(len(line.lw)) AS BIGINT) AS removed FROM line JOIN often ON line.lw = often.lw AND line.source IS NOT DISTINCT FROM often.source GROUP BY r
+), gram AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)
+), again AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM gram
+), rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again WHERE n > 1) GROUP BY r
+), base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND 100 * removed_words <= {depleted} * n_words AS kept FROM base
+"""
 
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array([not base_failed(base_counts(t)) for t in common.texts(b.column(at))], pa.bool_()))
 
-    rows = documents.toDF(*cols)
-    k1, k2 = _keys(F.col(f"_{names.index('source')}"), F.col(f"_{at}"))
-    rows = rows.mapInArrow(run, rows.schema).withColumns({"_k1": k1, "_k2": k2})
-    return rows.join(bad, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_anti").select(*cols).toDF(*names)
+ORACLE_SQL = oracle_sql()

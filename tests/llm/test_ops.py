@@ -304,6 +304,27 @@ def test_forest_joins_what_links_join():
 # 6
 
 
+def from_sql(sql, **tables):
+    """Rows of DuckDB SQL over rows of documents and the like, as a multiset, columns by name."""
+    import duckdb
+    import pandas as pd
+
+    c = duckdb.connect()
+    for name, (columns, data) in tables.items():
+        c.register(name, pd.DataFrame(data, columns=columns).convert_dtypes())
+    got = c.execute(sql)
+    names = [x[0] for x in got.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return Counter(tuple(r[i] for i in order) for r in got.fetchall())
+
+
+def from_spark(df):
+    return Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+
+
+DOCUMENTS = ["doc_id", "text", "lang", "source"]
+
+
 def test_quality_counts(documents, rows, empty):
     def base(t):
         t = t or ""
@@ -314,42 +335,33 @@ def test_quality_counts(documents, rows, empty):
         hit = {k for i, g in enumerate(grams) if often[g] > 1 for k in range(i, i + 8)}
         return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
 
-    odd = [(900, "a b c\na b c\n#x ##\n" * 9, "en", "s1"), (901, "one two three four five six seven eight nine " * 3, "en", "s1")]
-    got = quality_rules.verdicts(documents.union(frame(documents.sparkSession, odd))).collect()
+    odd = [(900, "a b c\na b c\n#x ##\n" * 9, "en", "s1"), (901, "one two three four five six seven eight nine " * 3, "en", "s1"), (902, "word " * 40_000 + "\n" + "\u3000é #", "en", "")]
+    every = documents.union(frame(documents.sparkSession, odd))
+    got = quality_rules.verdicts(every).collect()
     assert counted((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == counted((i, *base(t)) for i, t, _, _ in [*rows, *odd])
-    for r in got:
-        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["kept"] and r["base_failed"])
-    kept = quality_rules.keep_good(documents)
-    assert kept.columns == documents.columns and kept.count() == sum(r["kept"] for r in got if r["doc_id"] not in (900, 901))
-    assert quality_rules.keep_good(empty).count() == 0
+    for limit in (2, 8):
+        assert from_spark(quality_rules.verdicts(every, limit=limit)) == from_sql(quality_rules.oracle_sql(limit), documents=(DOCUMENTS, [*rows, *odd]))
+    for most in (quality_rules.MOST_BROADCAST, 0):
+        kept = quality_rules.keep_good(documents, limit=3, most_broadcast=most)
+        assert kept.columns == documents.columns and kept.count() == sum(r["kept"] for r in quality_rules.verdicts(documents, limit=3).collect())
+    assert quality_rules.keep_good(empty).count() == 0 and quality_rules.verdicts(empty).count() == 0
 
 
-def test_boilerplate_goes_and_near_copies_stay(spark):
+@pytest.mark.parametrize("own", [1, 2, 4, 12])
+def test_depleted_pages_go(spark, own):
+    """Pages of one host with shared navigation lines and lines of their own; nothing but the words' share counts."""
     rng = random.Random(8)
-    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(24))
-    shared = [" ".join(f"Menu{chr(97 + j)}{chr(97 + k)}" for k in range(12)) for j in range(4)]
-    lines = [own() for _ in range(10)]
-    docs = [(i, "\n".join([own(), own(), rng.choice(shared)]), "en", "h") for i in range(60)]
-    docs += [(100 + i, "\n".join(rng.sample(shared, 4)) + "\n" + " ".join(own().split()[:4]), "en", "h") for i in range(15)]
-    docs += [(200 + i, "\n".join([*lines[:i % 10], own(), *lines[i % 10 + 1 :]]), "en", "h") for i in range(50)]
-    got = {r["doc_id"]: r for r in quality_rules.verdicts(frame(spark, docs), limit=12).collect()}
-    assert all(got[i]["kept"] and got[i]["removed_words"] == 12 for i in range(60))
-    assert not any(got[100 + i]["kept"] for i in range(15)) and not any(got[100 + i]["base_failed"] for i in range(15))
-    assert all(got[200 + i]["kept"] for i in range(50))
-
-
-@pytest.mark.parametrize("most_broadcast", [50_000, 0])
-def test_banners_of_many_lines_go(spark, most_broadcast):
-    rng = random.Random(9)
-    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5))
     docs = []
-    for host, (shared, others, sections) in enumerate([(8, 1, 1), (12, 2, 1), (4, 1, 1), (8, 1, 1), (12, 2, 1), (8, 1, 9)]):
-        banner, section = [own(12) for _ in range(shared)], [own(2) for _ in range(sections)]
-        docs += [(1000 * host + i, "\n".join([*banner, section[i % sections], *[own(4) for _ in range(others)]]), "en", f"h{host}") for i in range(90)]
-    docs += [(9000 + i, f"Notice {i} " + "of the same kind as every other notice that this host sends out to all of its readers each day or so", "en", "h9") for i in range(100, 140)]
-    got = quality_rules.verdicts(frame(spark, docs), limit=8, most_broadcast=most_broadcast).collect()
-    assert not any(r["base_failed"] or r["kept"] for r in got)
-    assert all(r["removed_words"] >= 48 for r in got if r["doc_id"] < 9000)
+    for shared in (1, 2, 4, 8, 10, 20):
+        menu = [line() for _ in range(shared)]
+        docs += [(1000 * shared + i, "\n".join([*menu, *[line() for _ in range(own)], line() + " " + line()]), "en", f"host{shared}") for i in range(40)]
+        docs += [(1000 * shared + 500 + i, "\n".join([*menu, *[line() for _ in range(5)]]), "en", f"rare{shared}") for i in range(30)]
+    got = quality_rules.verdicts(frame(spark, docs)).collect()
+    for r in got:
+        shared, rare = r["doc_id"] // 1000, r["doc_id"] % 1000 >= 500
+        assert not r["base_failed"] and r["removed_words"] == (0 if rare else 5 * shared)
+        assert r["kept"] == (rare or 500 * shared <= 80 * r["n_words"])
 
 
 # 7
