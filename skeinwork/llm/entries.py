@@ -12,7 +12,7 @@ def queries() -> dict:
         "op3_lm_score": lm_score.op3_lm_score,
         "op4_mix": mixing.op4_mix,
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
-        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op4_mix": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_token_output": token_output.op8_token_output,
         "op9_language_id": language_id.op9_language_id,
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_decontaminate": decontam.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_decontaminate": decontam.ORACLE_SQL, "op4_mix": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
