@@ -35,17 +35,17 @@ from . import common
 
 CLASSES = 1024
 BUCKETS = 256
-GROUPS = 64
+GROUPS = 32
 SUFFIX, PREFIX = 3, 3
 CONTEXT = 2
 DIM = 32
-HEAD = 1 << 16
+HEAD = 1 << 17
 HEAD_BYTES = 64
 END = b"\n"  # no word has white space
 
 SHARD_TOKENS = 1 << 21
 NOISE = 25.0
-SAMPLES = 128
+SAMPLES = 64
 MINIBATCH = 1024
 #: One learning rate a round.
 RATES = (0.4, 0.2, 0.1, 0.05)
@@ -138,15 +138,23 @@ class Model:
         cumulated = np.cumsum(self.noise)
         order = rng.permutation(len(words))
         words, before, groups = words[order], before[order], groups[order]
-        one = np.ones(1, np.float32)
+        one = np.float32(1)
 
         def summed(ids, grad):
             """Distinct ids and the sums of their rows."""
-            by = np.argsort(ids, kind="stable")
+            by = np.argsort(ids, kind="stable")  # 16 bits are sorted by counting
             ids = ids[by]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             return ids[first], np.add.reduceat(grad[by], first)
 
+        def sigmoid(x, scale):
+            """scale / (1 + exp(x)), in place; an overflow gives 0."""
+            with np.errstate(over="ignore"):
+                np.exp(x, out=x)
+            x += one
+            return np.divide(scale, x, out=x)
+
+        kind = np.uint16 if classes < 1 << 16 else np.int32
         for i in range(0, len(order), MINIBATCH):
             w, h, own = words[i : i + MINIBATCH], before[i : i + MINIBATCH], groups[i : i + MINIBATCH]
             size = np.float32(len(w))
@@ -154,26 +162,33 @@ class Model:
             ctx = np.einsum("bij,ij->bj", rh, self.c)
             noise = np.minimum(np.searchsorted(cumulated, rng.random(m)), classes - 1)
             qw, qn = self.q[w], self.q[noise]
-            s_data = np.einsum("bj,bj->b", ctx, qw) + self.b[w] - shift[w]
-            s_noise = ctx @ qn.T + (self.b[noise] - shift[noise])
-            g_data = one / (one + np.exp(np.clip(s_data, -30, 30))) / size
-            g_noise = (-k / m / size) / (one + np.exp(-np.clip(s_noise, -30, 30)))
-            g_ctx = g_data[:, None] * qw + g_noise @ qn
+            g_data = sigmoid(np.einsum("bj,bj->b", ctx, qw) + (self.b[w] - shift[w]), one / size)
+            s_noise = ctx @ -qn.T
+            s_noise -= self.b[noise] - shift[noise]
+            g_noise = sigmoid(s_noise, -k / np.float32(m) / size)
+            g_ctx = g_data[:, None] * qw
+            g_ctx += g_noise @ qn
             if len(at := np.flatnonzero(own >= 0)):
                 inner = ctx[at]
-                t = inner @ self.u.T + self.weights[w[at]]
-                t = np.exp(t - t.max(1, keepdims=True))
-                t /= -size * t.sum(1, keepdims=True)
-                t[np.arange(len(at)), own[at]] += one[0] / size
+                t = inner @ self.u.T
+                t += self.weights[w[at]]
+                t -= t.max(1, keepdims=True)
+                np.exp(t, out=t)
+                t /= t.sum(1, keepdims=True) * -size
+                t[np.arange(len(at)), own[at]] += one / size
                 g_ctx[at] += t @ self.u
                 self._moved("u", slice(None), t.T @ inner, rate)
-            g_c = np.einsum("bij,bj->ij", rh, g_ctx)
             g_r = g_ctx[:, None, :] * self.c
-            self._moved("c", slice(None), g_c, rate)
-            ids, grad = summed(np.concatenate([w, noise]), np.vstack([np.hstack([g_data[:, None] * ctx, g_data[:, None]]), np.hstack([g_noise.T @ ctx, g_noise.sum(0)[:, None]])]))
+            self._moved("c", slice(None), np.einsum("bij,bj->ij", rh, g_ctx), rate)
+            grad = np.empty((len(w) + m, ctx.shape[1] + 1), np.float32)
+            np.multiply(g_data[:, None], ctx, out=grad[: len(w), :-1])
+            grad[: len(w), -1] = g_data
+            np.matmul(g_noise.T, ctx, out=grad[len(w) :, :-1])
+            grad[len(w) :, -1] = g_noise.sum(0)
+            ids, grad = summed(np.concatenate([w, noise]).astype(kind), grad)
             self._moved("q", ids, grad[:, :-1], rate)
             self._moved("b", ids, grad[:, -1], rate)
-            self._moved("r", *summed(h.ravel(), g_r.reshape(-1, ctx.shape[1])), rate)
+            self._moved("r", *summed(h.ravel().astype(kind), g_r.reshape(-1, ctx.shape[1])), rate)
 
     def parts(self):
         """For each place of the context the matrix of (class before, class) scores; the last has the biases."""

@@ -61,6 +61,27 @@ def counted(rows):
     return Counter(map(tuple, rows))
 
 
+def from_sql(sql, **tables):
+    """Rows of DuckDB SQL over rows of documents and the like, as a multiset, columns by name."""
+    import duckdb
+    import pandas as pd
+
+    c = duckdb.connect()
+    for name, (columns, data) in tables.items():
+        c.register(name, pd.DataFrame(data, columns=columns).convert_dtypes())
+    got = c.execute(sql)
+    names = [x[0] for x in got.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return Counter(tuple(r[i] for i in order) for r in got.fetchall())
+
+
+def from_spark(df):
+    return Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+
+
+DOCUMENTS = ["doc_id", "text", "lang", "source"]
+
+
 # 1
 
 
@@ -222,8 +243,7 @@ def test_cells_agree(spark):
 
 
 def test_mix(documents, rows, empty, spark):
-    sized = mixing.sized_documents(documents)
-    plan = mixing.plan_mix(common.staged(sized, "t"))
+    plan = mixing.plan_mix(mixing.sized(common.pick(documents, "doc_id", "text", "source"), "doc_id", "text"))
     size = defaultdict(int)
     for _, t, _, s in rows:
         size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -249,6 +269,27 @@ def test_mix(documents, rows, empty, spark):
     have = Counter((s, t) for _, t, _, s in rows)
     assert all(n <= 2 * have[k] for k, n in once.items())
     assert mixing.mix(empty).count() == 0 and mixing.mix(documents).columns == documents.columns
+    assert from_spark(mixing.taken_words(documents)) == from_sql(mixing.ORACLE_SQL, documents=(DOCUMENTS, rows))
+    assert mixing.taken_words(empty).count() == 0
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    rows = [(1, "five words are in here", "en", "s1")] * 1000 + [(2, "x " * 7, "en", "s2")] * 40 + [(1000 + i, "y " * (i % 50), "en", "s3") for i in range(400)] + [(5, "z " * 1000, "en", "s4")] * 3
+    df = frame(spark, rows, 7)
+    for broadcast in (mixing.MOST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "MOST_SOURCES", broadcast)
+        got = mixing.taken_words(df)
+        assert from_spark(got) == from_sql(mixing.ORACLE_SQL, documents=(DOCUMENTS, rows))
+        for r in got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("size"), F.count(F.when(F.col("taken") > 2 * F.col("size"), 1)).alias("over")).collect():
+            assert abs(r["taken"] - r["target"]) <= r["size"] / 2 + 25 and r["over"] == 0
+    n = mixing.mix(df).filter("doc_id = 1").count()
+    assert n == next(r["t"] for r in got.filter("doc_id = 1").agg((F.sum("taken") / 5).alias("t")).collect())
+
+
+@pytest.mark.parametrize("table", [[], [(1, None, None, None)], [(1, "", "en", "a"), (2, None, "en", None)]])
+def test_mix_without_words(spark, table):
+    got = mixing.taken_words(frame(spark, table)).collect()
+    assert len(got) == len(table) and all(r["taken"] == r["target"] == 0 for r in got)
 
 
 def test_mix_keeps_off_python(documents):
@@ -304,27 +345,6 @@ def test_forest_joins_what_links_join():
 # 6
 
 
-def from_sql(sql, **tables):
-    """Rows of DuckDB SQL over rows of documents and the like, as a multiset, columns by name."""
-    import duckdb
-    import pandas as pd
-
-    c = duckdb.connect()
-    for name, (columns, data) in tables.items():
-        c.register(name, pd.DataFrame(data, columns=columns).convert_dtypes())
-    got = c.execute(sql)
-    names = [x[0] for x in got.description]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    return Counter(tuple(r[i] for i in order) for r in got.fetchall())
-
-
-def from_spark(df):
-    return Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
-
-
-DOCUMENTS = ["doc_id", "text", "lang", "source"]
-
-
 def test_quality_counts(documents, rows, empty):
     def base(t):
         t = t or ""
