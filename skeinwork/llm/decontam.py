@@ -2,21 +2,24 @@
 
 Normal form: A-Z lower-cased, words are runs of digits, a-z and characters from U+0080. On UTF-8 bytes both
 rules change no byte's place, so a word's place in the normal form is its byte offset in the original text. A window is
-ten consecutive words of an item; an item of fewer words, but not none, is one window. Patterns are windows between
-spaces; each hit ends at a space, whose number in the text gives the word.
+ten consecutive words of an item; an item of fewer words, but not none, is one window. The automaton's alphabet are the benchmark's words,
+numbered; all other words are one letter that no pattern has. So a window costs at most ten states, and a text is read word by word.
 
-The benchmark is gathered on the driver in blocks of BLOCK_BYTES of normalised text. One block is the usual case.
-A larger benchmark takes one scan a block, chained: each adds its hits to the columns of the one before, so no automaton
-grows with the benchmark and nothing is joined.
+The automaton is built once in each worker, from items that are broadcast. Its memory follows the benchmark's size, about 100 bytes a byte, so
+the benchmark is read to the driver in blocks of BLOCK_BYTES of normalised text and one is held at a time. A benchmark of one block, the usual
+case by far, is one automaton and one scan; a larger one has an automaton for each block, chained: each scan adds its hits to those before.
 
 Defined results: null text (or one without words) has no words, no hits and no items; an item without words has no
 window; equal windows of several items count for each of these items; a null item_id is the item "null"; repeated
-document rows each get their result; an empty benchmark hits nothing.
+document rows each get their result; an empty benchmark hits nothing; without documents there are no rows; a text of any length is
+scanned whole; other columns are ignored, and kept as they are by drop_contaminated.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+
+from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-BLOCK_BYTES = 512 * 1024
+BLOCK_BYTES = 4 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _cache: dict = {}
@@ -43,26 +46,30 @@ def word_offsets(text: bytes):
     return edge[::2], edge[1::2]
 
 
-def windows(text: bytes, width: int = WINDOW) -> set[bytes]:
-    w = words(text)
-    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-
-def automaton(items: list[tuple[str, bytes]], width: int):
+def automaton(items: list[tuple[str, bytes]], width: int = WINDOW):
+    """Numbers of the items' words, and the automaton of their windows; None if there are none. Its values are a window's length and items."""
     import ahocorasick
 
-    key = hashlib.sha256(repr((items, width)).encode()).digest()
-    if _cache.get("key") != key:
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in windows(text, width):
-                owners.setdefault(w, set()).add(item)
-        made = ahocorasick.Automaton()
-        for w, own in owners.items():
-            made.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(own)))
-        if owners:
-            made.make_automaton()
-        _cache.update(key=key, made=made if owners else None)
+    number: dict[bytes, int] = {}
+    owners: dict[tuple[int, ...], set[str]] = {}
+    for item, text in items:
+        w = [number.setdefault(x, len(number) + 1) for x in words(text)]
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            owners.setdefault(tuple(w[i : i + width]), set()).add(item)
+    if not owners:
+        return number, None
+    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for w, own in owners.items():
+        made.add_word(w, (len(w), tuple(own)))
+    made.make_automaton()
+    return number, made
+
+
+def _of_worker(key: str, sent, width: int):
+    """The automaton of a broadcast block, built when a worker first needs it."""
+    if _cache.get("key") != (key, width):
+        _cache.clear()
+        _cache.update(key=(key, width), made=automaton(sent.value, width))
     return _cache["made"]
 
 
@@ -70,15 +77,14 @@ def scan(text: bytes, made) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words; runs of hit words (first, behind the last); items with a window in the text."""
     import numpy as np
 
+    number, matcher = made
     w = words(text)
-    if not w or made is None:
+    if not w or matcher is None:
         return len(w), [], set()
-    normal = f" {b' '.join(w).decode('latin-1')} "
-    found = list(made.iter(normal))
+    found = list(matcher.iter(tuple(map(number.get, w, repeat(0)))))
     if not found:
         return len(w), [], set()
-    spaces = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
-    ends = np.searchsorted(spaces, [e for e, _ in found])
+    ends = np.array([e for e, _ in found]) + 1
     delta = np.zeros(len(w) + 1, np.int64)
     np.add.at(delta, ends - [n for _, (n, _) in found], 1)
     np.add.at(delta, ends, -1)
@@ -97,20 +103,26 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of at most block_bytes of text (or of one item), read to the driver block by block."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
+    """A key and a broadcast of items for each block of at most block_bytes of text (or of one item); the driver holds one block at a time."""
     rows = common.pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    blocks: list[list[tuple[str, bytes]]] = []
-    room = 0
+    sent, block, room = [], [], block_bytes
+
+    def send():
+        sent.append((uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(sorted(block))))
+
     for r in rows.toLocalIterator():
         text = b" ".join(words(r["text"].encode()))
-        if text:
-            if len(text) > room:
-                blocks.append([])
-                room = block_bytes
-            blocks[-1].append(("null" if r["item_id"] is None else r["item_id"], text))
-            room -= len(text)
-    return [sorted(b) for b in blocks]
+        if not text:
+            continue
+        if block and len(text) > room:
+            send()
+            block, room = [], block_bytes
+        block.append(("null" if r["item_id"] is None else r["item_id"], text))
+        room -= len(text)
+    if block or not sent:
+        send()
+    return sent
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -119,16 +131,16 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
     import pyarrow as pa
 
     common.batches(documents.sparkSession)
-    blocks = benchmark_blocks(benchmark, block_bytes) or [[]]
+    blocks = benchmark_blocks(benchmark, block_bytes)
     runs = pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kinds = {"doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "hit_words": runs, "hit_bytes": spans, "items": pa.list_(pa.string())}
     sql = "doc_id long, text string, n_words long, hit_words array<struct<first:long,behind:long>>, hit_bytes array<struct<start:long,end:long>>, items array<string>"
 
-    def scanner(block, last):
+    def scanner(key, sent, last):
         def run(batches):
+            made = _of_worker(key, sent, width)
             for b in batches:
-                made = automaton(block, width)
                 cols = {k: [] for k in kinds}
                 old = b.column("hit_words").to_pylist(), b.column("items").to_pylist()
                 for text, had, items in zip(common.texts(b.column("text")), *old):
@@ -147,7 +159,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
 
     rows = common.pick(documents, "doc_id", "text").selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text", "0L as n_words", "cast(array() as array<struct<first:long,behind:long>>) as hit_words", "cast(array() as array<struct<start:long,end:long>>) as hit_bytes", "cast(array() as array<string>) as items")
     for k, block in enumerate(blocks):
-        rows = rows.mapInArrow(scanner(block, k == len(blocks) - 1), sql)
+        rows = rows.mapInArrow(scanner(*block, k == len(blocks) - 1), sql)
     return rows.drop("text")
 
 
@@ -158,11 +170,11 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
     common.batches(documents.sparkSession)
     at, names = documents.columns.index("text"), documents.columns
     documents = documents.toDF(*[f"_{i}" for i in range(len(names))])
-    for block in benchmark_blocks(benchmark, block_bytes):
+    for key, sent in benchmark_blocks(benchmark, block_bytes):
 
-        def run(batches, block=block):
+        def run(batches, key=key, sent=sent):
+            made = _of_worker(key, sent, width)
             for b in batches:
-                made = automaton(block, width)
                 keep = [not scan(t, made)[1] for t in common.texts(b.column(at))]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
