@@ -5,16 +5,21 @@ bits whose vectors have an odd product with v. The vectors of RADIUS differing b
 some v is orthogonal to all of them, and its mask keeps none of these bits: each pair within the radius has equal masked
 fingerprints in at least one of the 2**(RADIUS + 1) - 1 tables. Pairs that meet are compared exactly.
 
-Only distinct fingerprints are dealt out, so a group of exact copies is one row. A bucket gives no pairs but a spanning
-forest of its links, which joins what all its links would join; inside a large bucket links are looked for in tiles. The
-forests go to distributed connected components.
+Only distinct fingerprints are dealt out, so a group of exact copies is one row. A bucket of more than HOT fingerprints is counted before
+anything is shuffled to it, and its fingerprints are dealt again, by masks from other vectors: the same guarantee holds for the pairs
+inside it, and the new buckets share about half of the bits that were still open. That goes on for up to DEPTH times. A bucket gives no
+pairs but a spanning forest of its links, which joins what all its links would join; links are looked for in tiles, so a bucket of any size
+takes bounded memory. The forests go to distributed connected components.
 
 Defined results: null text and text without words have fingerprint zero and are linked like any other; fewer words than
-a shingle's are one shingle; repeated rows each get a row; component_id is the least non-null doc_id reached, null if there is none.
+a shingle's are one shingle; repeated rows each get a row; component_id is the least non-null doc_id reached, null if there is none; a text of
+any length is hashed whole; an empty table gives no rows; other columns are ignored, and kept as they are by keep_one.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +30,15 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 TILE = 1024
+HOT = 20_000
+DEPTH = 4
 
 
-def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
+def covering_masks(radius: int = RADIUS, bits: int = 64, depth: int = 0) -> list[int]:
+    """The masks of one family; each depth deals the vectors to the bits in another order."""
     vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
+    if depth:
+        random.Random(depth).shuffle(vectors)
     return [sum(1 << i for i, phi in enumerate(vectors) if (phi & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
@@ -102,40 +112,61 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links between the distinct fingerprints fp that connect whatever all links connect."""
+def _bucket_links(dealt: DataFrame, radius: int) -> DataFrame:
+    """a, b: forests of the links between fingerprints fp of one bucket key."""
     import pyarrow as pa
 
-    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-
     def run(batches):
         import numpy as np
 
         def joined(fp, cuts):
             out = []
             for x, y in zip(cuts[:-1], cuts[1:]):
-                if y - x > 1:
+                if y - x == 2:
+                    if np.bitwise_count(fp[x] ^ fp[x + 1]) <= radius:
+                        out.append((fp[x], fp[x + 1]))
+                elif y - x > 2:
                     part = fp[x:y]
-                    if y - x == 2:
-                        if np.bitwise_count(part[0] ^ part[1]) <= radius:
-                            out.append((part[0], part[1]))
-                    else:
-                        out += [(part[i], part[j]) for i, j in forest(part, radius)]
+                    out += [(part[i], part[j]) for i, j in forest(part, radius)]
             at = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at[:, 0])), pa.array(np.ascontiguousarray(at[:, 1]))], ["a", "b"])
 
-        t, key, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held, last = [], None  # fingerprints of the bucket that is not complete
         for b in batches:
-            t, key, fp = (np.concatenate([old, b.column(n).to_numpy().view(kind)]) for old, n, kind in ((t, "t", np.int32), (key, "key", np.int64), (fp, "fp", np.uint64)))
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            if len(cuts):
-                yield joined(fp, [0, *cuts.tolist()])
-                t, key, fp = t[cuts[-1] :], key[cuts[-1] :], fp[cuts[-1] :]
-        yield joined(fp, [0, len(fp)])
-
-    return dealt.mapInArrow(run, "a long, b long")
+            if not len(b):
+                continue
+            key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            first = 0 if key[0] != last else int(cuts[0]) if len(cuts) else len(key)
+            held.append(fp[:first])
+            if first < len(key):
+                done = np.concatenate(held)
+                yield joined(done, [0, len(done)])
+                inner = [first, *[c for c in cuts.tolist() if c > first]]
+                yield joined(fp, inner)
+                held = [fp[inner[-1] :]]
+            last = key[-1]
+        done = np.concatenate([np.zeros(0, np.uint64), *held])
+        yield joined(done, [0, len(done)])
+
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT, most_broadcast: int = 1_000_000) -> DataFrame:
+    """a, b: links between the distinct fingerprints fp that connect whatever all links connect."""
+    rows, links = distinct.select(F.lit(0).cast("long").alias("bucket"), "fp"), None
+    for depth in range(DEPTH):
+        masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius, depth=depth)]
+        keys = F.array(*[F.xxhash64("bucket", F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+        dealt = rows.select("fp", F.explode(keys).alias("key"))
+        large = common.staged(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "large-buckets")
+        n = large.count() if depth + 1 < DEPTH else 0
+        large = F.broadcast(large) if n <= most_broadcast else large
+        found = _bucket_links(dealt.join(large, "key", "left_anti") if n else dealt, radius)
+        links = found if links is None else links.union(found)
+        if not n:
+            return links
+        rows = common.staged(dealt.join(large, "key", "left_semi").select(F.col("key").alias("bucket"), "fp"), "large-bucket-rows")
 
 
 def grouped(fps: DataFrame) -> DataFrame:
