@@ -6,20 +6,24 @@ applied to all data, without one suffix array over all of it:
 1. Every window holds a gram of GRAM bytes that is least, by hash, of the window's grams (its anchor). Equal windows have equal anchors
    in equal places, so a window can only repeat where its anchor does. Documents are dealt into blocks by
    content; a block sends each anchor's 48-bit key once to the bucket of that key, which answers with the keys that
-   other blocks have too.
+   other blocks have too, and with those that are hot: more than HOT anchors have them.
 2. For each anchor that occurs in two documents or more, its block takes the bytes that windows over it can cover (the context).
-   Equal contexts of one block are settled there: they stay with the least document only. The rest go to the shard of their key.
-3. A shard sorts the windows of its contexts: a suffix array of these positions, limited to WINDOW bytes, with its array of
-   longest common prefixes. Previous and next smaller values of doc_id in suffix order give each position its longest previous factor
-   in a smaller document; WINDOW bytes or more mean that the window goes.
+   Equal contexts of one block are settled there: one of the least document speaks for all. It goes to the shard of its key. Contexts
+   of a hot key, which may have very many surroundings, do not: their windows are dealt one by one, each to the shard of its own hash, so
+   no phrase, however frequent, gathers its documents in one task.
+3. A shard sorts its windows: a suffix array of these positions, limited to WINDOW bytes, with its array of longest common prefixes.
+   Previous and next smaller values of doc_id in suffix order give each position its longest previous factor
+   in a smaller document; WINDOW bytes or more mean that the window goes. Windows whose hash no other window of the shard has are
+   left out of the array, as they have no such factor.
 4. Blocks put the windows' bytes together to spans.
 
 Exact copies take part once, with their least doc_id; all others' windows are all repeats. They are left out before any
-text is shuffled. Hot passages cost a shard at most one context a block. No step holds more than a block, a bucket or a shard, and their
-number grows with the data.
+text is shuffled. Hot passages cost a shard at most one context, or one window, a block. No step holds more than a block, a bucket or a
+shard, and their number grows with the data.
 
 Defined results: null text is empty; texts under WINDOW bytes keep all; documents of equal doc_id do not take from each other; null
-doc_id is smaller than any other; repeated rows each get a row.
+doc_id is smaller than any other; repeated rows each get a row; a text of any length is one block at least, and read whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ SIDE = WINDOW - GRAM
 CONTEXT = WINDOW + SIDE
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
+#: Anchors of one key, in all blocks, above which its windows are dealt one by one; blocks count those above FEW.
+HOT = 20_000
+FEW = 8
 NO_ID = -(1 << 63)
 
 
@@ -68,7 +75,7 @@ def _gram_hashes(data):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return h
+    return h | np.uint64(1)  # 0 means that there is no gram; keys do without the last bits
 
 
 def anchors(docs: list[bytes]):
@@ -147,15 +154,22 @@ def unpack(data: bytes, *kinds):
 
 
 def pack_sorted(keys) -> bytes:
+    """Sorted 48-bit keys; a few stand as they are, as they are sent in rows of any number."""
     import numpy as np
 
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    if len(keys) < 64:
+        return b"\0" + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return b"\1" + pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_sorted(data: bytes):
     import numpy as np
 
-    return np.cumsum(unpack(data, np.uint64)[0], dtype=np.uint64)
+    if data[:1] == b"\0":
+        wide = np.zeros((len(data) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, 6)
+        return wide.view("<u8").ravel()
+    return np.cumsum(unpack(data[1:], np.uint64)[0], dtype=np.uint64)
 
 
 # Longest previous factors.
@@ -203,50 +217,59 @@ def longest_previous_factor(strings, values, least: int = WINDOW):
     return out
 
 
+def _bits():
+    import numpy as np
+
+    return np.uint32(1) << np.arange(SIDE + 1, dtype=np.uint32)
+
+
+def _fits(low, high):
+    """Which windows of contexts lie in the text."""
+    import numpy as np
+
+    return (np.arange(SIDE + 1) >= low[:, None]) & (np.arange(SIDE + 1) + WINDOW <= high[:, None])
+
+
+def _window_hashes(rows):
+    """64-bit hashes of all windows of contexts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    padded = np.hstack([rows, np.zeros((len(rows), 8), np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8, axis=1)[:, :CONTEXT].copy().view("<u8")[:, :, 0]
+    h = np.zeros((len(rows), SIDE + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for off in (0, 8, 16, 24, 32, 40, WINDOW - 8):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + eights[:, off : off + SIDE + 1] * np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1)
+    return h
+
+
+def windows_gone(strings, hashes, oid):
+    """For windows (rows of WINDOW bytes), their hashes and doc_ids: which of them a smaller document has."""
+    import numpy as np
+
+    gone = np.zeros(len(oid), bool)
+    if len(oid):
+        _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        twice = np.flatnonzero(times[back] > 1)
+        for part in _parts(hashes[twice], 1 << 20):
+            at = twice[part]
+            gone[at] = longest_previous_factor(strings(at), oid[at]) >= WINDOW
+    return gone
+
+
 def repeated_windows(contexts, low, high, oid):
     """For contexts (rows of CONTEXT bytes, of which low to high are text) and doc_ids: bit s says that the window at s goes."""
     import numpy as np
 
-    n = len(oid)
-    whole = np.hstack([contexts, low[:, None], high[:, None]]).astype(np.uint8)
-    wide = np.zeros((n, (CONTEXT + 9) // 8 * 8), np.uint8)
-    wide[:, : CONTEXT + 2] = whole
-    words = wide.view("<u8")
-    order = np.lexsort((oid, *words.T[::-1]))
-    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)])
-    kind = np.empty(n, np.int64)
-    kind[order] = np.cumsum(new) - 1
-    first = order[new]  # the least document of each class
-    bits = np.uint32(1) << np.arange(SIDE + 1, dtype=np.uint32)
-    fits = (np.arange(SIDE + 1) >= low[first][:, None]) & (np.arange(SIDE + 1) + WINDOW <= high[first][:, None])
-    full = (fits * bits).sum(1, dtype=np.uint32)
-    # Classes with other classes about the same gram are compared window by window.
-    gram = np.ascontiguousarray(contexts[first][:, SIDE : SIDE + GRAM]).view("<u8").reshape(-1, GRAM // 8)
-    _, inverse, count = np.unique(gram, axis=0, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(count[inverse.ravel()] > 1)
-    mask = np.zeros(len(first), np.uint32)
-    if len(mixed):
-        c, s = np.nonzero(fits[mixed])
-        rows = contexts[first[mixed]]
-        windows = np.lib.stride_tricks.sliding_window_view(rows, WINDOW, axis=1)
-        # A window whose hash no other has cannot repeat; the others are sorted and compared as they are.
-        rng = np.random.default_rng(3)
-        padded = np.hstack([rows, np.zeros((len(rows), 8), np.uint8)])
-        eights = np.lib.stride_tricks.sliding_window_view(padded, 8, axis=1)[:, :CONTEXT].copy().view("<u8")[:, :, 0]
-        with np.errstate(over="ignore"):
-            h = np.zeros((len(rows), SIDE + 1), np.uint64)
-            for off in (0, 8, 16, 24, 32, 40, WINDOW - 8):
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + eights[:, off : off + SIDE + 1] * np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1)
-        _, back, times = np.unique(h[c, s], return_inverse=True, return_counts=True)
-        twice = times[back] > 1
-        c, s = c[twice], s[twice]
-        for part in _parts(h[c, s], 1 << 20):
-            goes = longest_previous_factor(windows[c[part], s[part]], oid[first[mixed]][c[part]]) >= WINDOW
-            np.bitwise_or.at(mask, mixed[c[part][goes]], bits[s[part][goes]])
-    out = mask[kind]
-    later = oid > oid[first][kind]
-    out[later] = full[kind[later]]
-    return out
+    mask = np.zeros(len(oid), np.uint32)
+    if len(oid):
+        row, s = np.nonzero(_fits(low, high))
+        h = np.concatenate([_window_hashes(contexts[i : i + (1 << 18)]) for i in range(0, len(oid), 1 << 18)])[row, s]
+        windows = np.lib.stride_tricks.sliding_window_view(contexts, WINDOW, axis=1)
+        gone = windows_gone(lambda at: windows[row[at], s[at]], h, oid[row])
+        np.bitwise_or.at(mask, row[gone], _bits()[s[gone]])
+    return mask
 
 
 def _parts(h, size: int):
@@ -295,6 +318,31 @@ def _split(part, *arrays):
             yield int(part[at[0]]), *(a[at] for a in arrays)
 
 
+def _joined(texts: list[bytes]):
+    """Texts with SIDE zeros before, between and behind them, and where each starts."""
+    import numpy as np
+
+    pad = bytes(SIDE)
+    data = np.frombuffer(pad + b"".join(x + pad for x in texts) + bytes(8), np.uint8)
+    lengths = np.array([len(x) + SIDE for x in texts], np.int64)
+    return data, SIDE + np.cumsum(lengths) - lengths
+
+
+def _context_hashes(data, at, low, high):
+    """Two 64-bit hashes of the contexts of anchors at these places, bounds included."""
+    import numpy as np
+
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    a = low.astype(np.uint64) << np.uint64(8) | high.astype(np.uint64)
+    b = ~a
+    with np.errstate(over="ignore"):
+        for off in (*range(0, CONTEXT - 8, 8), CONTEXT - 8):
+            w = words[at - SIDE + off]
+            a = (a ^ (a >> np.uint64(29)) ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            b = (b ^ (b >> np.uint64(31)) ^ w) * np.uint64(0xBF58476D1CE4E5B9)
+    return a ^ a >> np.uint64(32), b ^ b >> np.uint64(32)
+
+
 def distinct_texts(documents: DataFrame, blocks: int) -> DataFrame:
     """block, k1, k2, oid, text: a task sends each text once; an id that is less than those before follows without text."""
     import pyarrow as pa
@@ -318,7 +366,7 @@ def distinct_texts(documents: DataFrame, blocks: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, oid long, text binary").withColumn("block", F.pmod("k1", F.lit(blocks)).cast("int"))
 
 
-def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anchors: int = HOT) -> DataFrame:
     """k1, k2 (hashes of the text), oid (least doc_id), n_bytes, spans (removed bytes), kept_sha256: a row for each distinct text."""
     import numpy as np
     import pyarrow as pa
@@ -331,21 +379,33 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
     def table(rows, schema):
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-    bucket_of = lambda key: (key % np.uint64(blocks)).astype(np.int64)
+    buckets = max(8, blocks // 8)
+    bucket_of = lambda key, n: (key % np.uint64(n)).astype(np.int64)
 
     def keys_of_block(t):
         _, texts, _ = _block(t)
-        keys = np.unique(anchors(texts)[2])
+        keys, n = np.unique(anchors(texts)[2], return_counts=True)
         block = t.column("block")[0].as_py()
-        return table([(b, block, pack_sorted(k)) for b, k in _split(bucket_of(keys), keys)], pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())]))
+        rows = []
+        for b, k, m in _split(bucket_of(keys, buckets), keys, n):
+            often = np.flatnonzero(m > FEW)
+            rows.append((b, block, pack_sorted(k), pack(often.astype(np.uint32), m[often].astype(np.uint32)) if len(often) else None))
+        return table(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("often", pa.binary())]))
 
     def shared_keys(t):
-        """Back to each block: which of its keys other blocks have too."""
+        """Back to each block: which of its keys other blocks have too, and which of these are hot."""
         own = t.column("block").to_pylist()
         keys = [unpack_sorted(k) for k in t.column("keys").to_pylist()]
         every, times = np.unique(np.concatenate(keys), return_counts=True)
-        often = every[times > 1]
-        return table([(b, pack_sorted(x)) for b, k in zip(own, keys) if len(x := k[np.isin(k, often, assume_unique=True)])], pa.schema([("block", pa.int32()), ("keys", pa.binary())]))
+        total = times.astype(np.int64)
+        for k, often in zip(keys, t.column("often").to_pylist()):
+            if often is not None:
+                at, n = unpack(often, np.uint32, np.uint32)
+                total[np.searchsorted(every, k[at])] += n.astype(np.int64) - 1
+        shared = times > 1
+        often, hot = every[shared], every[shared & (total > hot_anchors)]
+        mine = lambda k, x: k[np.isin(k, x, assume_unique=True)]
+        return table([(b, pack_sorted(x), pack_sorted(mine(k, hot))) for b, k in zip(own, keys) if len(x := mine(k, often))], pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())]))
 
     def contexts_of_block(t, shared):
         out = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
@@ -354,7 +414,8 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
         ids, texts, _ = _block(t)
         block = t.column("block")[0].as_py()
         doc, at, key = anchors(texts)
-        elsewhere = np.concatenate([unpack_sorted(k) for k in shared.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
+        told = lambda n: np.concatenate([unpack_sorted(k) for k in shared.column(n).to_pylist()] or [np.zeros(0, np.uint64)])
+        elsewhere, hot = told("keys"), told("hot")
         order = np.lexsort((doc, key))
         k, d = key[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -368,35 +429,63 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
             return table([], out)
         lengths = np.array([len(x) for x in texts])
         low, high = np.maximum(0, SIDE - at).astype(np.uint8), np.minimum(CONTEXT, SIDE + lengths[doc] - at).astype(np.uint8)
-        rows = np.zeros((len(doc), CONTEXT), np.uint8)
-        for i, (x, a, lo, hi) in enumerate(zip(doc.tolist(), at.tolist(), low.tolist(), high.tolist())):
-            rows[i, lo:hi] = np.frombuffer(texts[x], np.uint8, hi - lo, a - SIDE + lo)
+        data, first_of = _joined(texts)
+        place = first_of[doc] + at
+        h = [_context_hashes(data, place[i : i + (1 << 18)], low[i : i + (1 << 18)], high[i : i + (1 << 18)]) for i in range(0, len(doc), 1 << 18)]
+        h1, h2 = (np.concatenate(x) for x in zip(*h))
         oid = ids[doc]
-        # Equal contexts: all but those of the least id are repeats, whatever other blocks have.
-        wide = np.zeros((len(doc), (CONTEXT + 9) // 8 * 8), np.uint8)
-        wide[:, :CONTEXT], wide[:, CONTEXT], wide[:, CONTEXT + 1] = rows, low, high
-        words = wide.view("<u8")
-        order = np.lexsort((oid, *words.T[::-1]))
-        new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)])
-        least = np.empty(len(doc), np.int64)
-        least[order] = oid[order[new]][np.cumsum(new) - 1]
-        later = oid > least
-        bits = np.uint32(1) << np.arange(SIDE + 1, dtype=np.uint32)
-        fits = (np.arange(SIDE + 1) >= low[later][:, None]) & (np.arange(SIDE + 1) + WINDOW <= high[later][:, None])
-        made = [(1, 0, block, pack(doc[later].astype(np.uint32), at[later].astype(np.uint32), (fits * bits).sum(1, dtype=np.uint32)))] if later.any() else []
-        rest = ~later
-        for s, o, x, a, lo, hi, r in _split(bucket_of(key[rest]), oid[rest], doc[rest].astype(np.uint32), at[rest].astype(np.uint32), low[rest], high[rest], rows[rest]):
-            made.append((0, s, block, pack(o, x, a, lo, hi, r)))
+        # Equal contexts: one of the least document speaks for all; those of later documents are repeats, whatever other blocks have.
+        order = np.lexsort((oid, h2, h1))
+        new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+        speaker = np.empty(len(doc), np.int64)
+        speaker[order] = order[new][np.cumsum(new) - 1]
+        later, twin = oid > oid[speaker], np.flatnonzero((oid == oid[speaker]) & (speaker != np.arange(len(doc))))
+        u32 = lambda x: x.astype(np.uint32)
+        made = [(1, 0, block, pack(u32(doc[later]), u32(at[later]), (_fits(low[later], high[later]) * _bits()).sum(1, dtype=np.uint32)))] if later.any() else []
+        if len(twin):
+            made.append((3, 0, block, pack(u32(doc[speaker[twin]]), u32(at[speaker[twin]]), u32(doc[twin]), u32(at[twin]))))
+        rest = order[new]
+        cold = ~np.isin(key[rest], hot)
+        rows_of = lambda x: data[(place[x] - SIDE)[:, None] + np.arange(CONTEXT)]
+        for s, x in _split(bucket_of(key[rest[cold]], blocks), rest[cold]):
+            made.append((0, s, block, pack(oid[x], u32(doc[x]), u32(at[x]), low[x], high[x], rows_of(x))))
+        rest = rest[~cold]
+        for i in range(0, len(rest), 1 << 14):
+            x = rest[i : i + (1 << 14)]
+            rows = rows_of(x)
+            row, s = np.nonzero(_fits(low[x], high[x]))
+            h, windows = _window_hashes(rows)[row, s], np.lib.stride_tricks.sliding_window_view(rows, WINDOW, axis=1)
+            # Of equal windows those of the least document go on; the others are repeats.
+            order = np.lexsort((oid[x[row]], h))
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+            least = np.empty(len(h), np.int64)
+            least[order] = order[new][np.cumsum(new) - 1]
+            gone = (oid[x[row]] > oid[x[row[least]]]) & (windows[row, s] == windows[row[least], s[least]]).all(1)
+            if gone.any():
+                made.append((1, 0, block, pack(u32(doc[x[row[gone]]]), u32(at[x[row[gone]]]), _bits()[s[gone]])))
+            row, s, h = row[~gone], s[~gone], h[~gone]
+            for shard, r, w, hashes in _split(bucket_of(h, blocks), row, s, h):
+                made.append((2, shard, block, pack(oid[x[r]], u32(doc[x[r]]), u32(at[x[r]]), w.astype(np.uint8), hashes, windows[r, w])))
         return table(made, out)
 
     def repeats_of_shard(t):
-        own = t.column("block").to_pylist()
-        parts = [unpack(d, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8) for d in t.column("data").to_pylist()]
-        oid, doc, at, low, high, rows = (np.concatenate(x) for x in zip(*parts))
-        mask = repeated_windows(rows, low, high, oid)
-        block = np.repeat(own, [len(p[0]) for p in parts])
+        own, kind = t.column("block").to_numpy(), t.column("kind").to_numpy()
+        packed = t.column("data").to_pylist()
+        answers = []
+
+        def collected(k, *kinds):
+            parts = [unpack(packed[i], *kinds) for i in np.flatnonzero(kind == k)]
+            return np.repeat(own[kind == k], [len(p[0]) for p in parts]), *(np.concatenate(x) for x in zip(*parts))
+
+        if (kind == 0).any():
+            block, oid, doc, at, low, high, rows = collected(0, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+            answers.append((block, doc, at, repeated_windows(rows, low, high, oid)))
+        if (kind == 2).any():
+            block, oid, doc, at, s, h, windows = collected(2, np.int64, np.uint32, np.uint32, np.uint8, np.uint64, np.uint8)
+            answers.append((block, doc, at, np.where(windows_gone(lambda x: windows[x], h, oid), _bits()[s], np.uint32(0))))
+        block, doc, at, mask = (np.concatenate(x) for x in zip(*answers))
         on = mask > 0
-        return table([(b, pack(d, a, m)) for b, d, a, m in _split(block[on], doc[on], at[on], mask[on])], pa.schema([("block", pa.int32()), ("data", pa.binary())]))
+        return table([(2, b, pack(d, a, m)) for b, d, a, m in _split(block[on], doc[on], at[on], mask[on])], pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("data", pa.binary())]))
 
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -406,8 +495,19 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
             return table([], out)
         ids, texts, keys = _block(t)
         hits = {}
-        if len(found):
-            doc, at, mask = (np.concatenate(x) for x in zip(*[unpack(d, np.uint32, np.uint32, np.uint32) for d in found.column("data").to_pylist()]))
+        told = list(zip(found.column("kind").to_pylist(), found.column("data").to_pylist()))
+        if parts := [unpack(d, np.uint32, np.uint32, np.uint32) for k, d in told if k != 3]:
+            doc, at, mask = (np.concatenate(x) for x in zip(*parts))
+            for d in [d for k, d in told if k == 3]:  # what goes at a speaker goes at its twins
+                other_doc, other_at, twin_doc, twin_at = unpack(d, *[np.uint32] * 4)
+                name = lambda d, a: d.astype(np.uint64) << np.uint64(32) | a
+                speaker, which = np.unique(name(doc, at), return_inverse=True)
+                whole = np.zeros(len(speaker), np.uint32)
+                np.bitwise_or.at(whole, which, mask)
+                asked = name(other_doc, other_at)
+                spot = np.minimum(np.searchsorted(speaker, asked), len(speaker) - 1)
+                on = speaker[spot] == asked
+                doc, at, mask = np.concatenate([doc, twin_doc[on]]), np.concatenate([at, twin_at[on]]), np.concatenate([mask, whole[spot[on]]])
             hits = {d: (a, m) for d, a, m in _split(doc, at, mask)}
         made = []
         for i, (o, text, (k1, k2)) in enumerate(zip(ids.tolist(), texts, keys)):
@@ -424,17 +524,18 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
             made.append((int(k1), int(k2), o, len(text), spans, hashlib.sha256(kept).hexdigest()))
         return table(made, out)
 
-    keys = docs.groupBy("block").applyInArrow(keys_of_block, "bucket int, block int, keys binary")
-    shared = keys.groupBy("bucket").applyInArrow(shared_keys, "block int, keys binary")
+    keys = docs.groupBy("block").applyInArrow(keys_of_block, "bucket int, block int, keys binary, often binary")
+    shared = keys.groupBy("bucket").applyInArrow(shared_keys, "block int, keys binary, hot binary")
     contexts = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(contexts_of_block, "kind int, shard int, block int, data binary")
     contexts = common.staged(contexts, "contexts")
-    found = contexts.filter("kind = 0").groupBy("shard").applyInArrow(repeats_of_shard, "block int, data binary").union(contexts.filter("kind = 1").select("block", "data"))
+    asked = contexts.filter("kind in (0, 2)").select("shard", "kind", "block", "data")
+    found = asked.groupBy("shard").applyInArrow(repeats_of_shard, "kind int, block int, data binary").union(contexts.filter("kind in (1, 3)").select("kind", "block", "data"))
     return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(spans_of_block, "k1 long, k2 long, oid long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anchors: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (of removed bytes), kept_sha256 for each row of documents."""
-    spans = repeated_spans(documents, block_bytes)
+    spans = repeated_spans(documents, block_bytes, hot_anchors)
     rows = common.pick(documents, "doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for c, n in zip(common.content_keys(F.col("text")), ("a1", "a2"))])
     joined = rows.join(spans, (F.col("a1") == F.col("k1")) & (F.col("a2") == F.col("k2")))
