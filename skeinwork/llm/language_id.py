@@ -7,12 +7,16 @@ conditional likelihood, whose gradient is the difference of observed and expecte
 forward-backward gives each word its probabilities, so a switch of language inside a text is seen; the text's
 language is the one with most expected words, and the score is its mean probability.
 
-Chains are cut at CHAIN words, in training and prediction alike; each word of the whole text is in one chain. Training fits on
-a bounded sample: at most PER_LANGUAGE training documents of each language, those of least hash, and of these at most SAMPLE_WORDS
-words each. The number of languages is bounded by LANGUAGES, the most frequent ones.
+Labels are known for documents, not words, so training makes code-switched text of them: half of the chains begin with words of one training
+document and go on with words of another, which is what the transitions are learned from.
+
+Chains are cut at CHAIN words, in training and prediction alike; each word of the whole text is in one chain, and a run of more than LONGEST
+letters is several words. Training fits on a bounded sample: at most PER_LANGUAGE training documents of each language, those of least hash,
+and at most SAMPLE documents of all, of SAMPLE_WORDS words each. Every language of the training documents is learned; memory follows their number.
 
 Defined results: a text that is null or has no letter is "und" with score 0; without labelled training documents all are;
-repeated rows each get a row. lang, source and doc_id never enter a prediction.
+repeated rows each get a row; an empty table gives no rows; a text of any length is read whole. lang, source and doc_id never enter a
+prediction; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from . import common
 
 PER_LANGUAGE = 200
 SAMPLE_WORDS = 150
-LANGUAGES = 64
+SAMPLE = 50_000
+LONGEST = 24
 CHAIN = 32
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -38,7 +43,10 @@ WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 def words_of(text: str) -> list[str]:
     """Words with a letter: the pattern alone also takes number signs that are no decimal digits."""
-    return [w for w in WORDS.findall(text) if w.isalpha() or any(c.isalpha() for c in w)]
+    found = [w for w in WORDS.findall(text) if w.isalpha() or any(c.isalpha() for c in w)]
+    if any(len(w) > LONGEST for w in found):
+        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return found
 
 
 def features(words: list[str]):
@@ -47,7 +55,7 @@ def features(words: list[str]):
     Prefixes and suffixes are the n-grams that hold the mark of a word's start or end."""
     import numpy as np
 
-    cores = [w if len(w) <= 40 else w[:20] + w[-20:] for w in map(str.lower, words)]  # a longer word is judged by its ends
+    cores = [w.lower() for w in words]
     codes = np.frombuffer("".join([f"<{c}>" for c in cores]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.array([len(c) + 2 for c in cores])
     ends = np.cumsum(lengths)
@@ -66,7 +74,7 @@ def features(words: list[str]):
             h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
             fits = left[: len(h)] >= n
             add(word[: len(h)][fits], h[fits], n)
-        power = np.cumprod(np.full(64, 0x9E3779B1, np.uint64))
+        power = np.cumprod(np.full(4 * LONGEST, 0x9E3779B1, np.uint64))
         add(np.arange(len(words)), np.add.reduceat(codes * power[left - 1], ends - lengths), 100)
         add(np.arange(len(words)), np.array([w[:1].isupper() + 2 * w.isupper() for w in words], np.uint64), 200)
     return np.concatenate(out_word), np.concatenate(out)
@@ -138,20 +146,31 @@ class Field:
         field = cls(languages, np.zeros((BUCKETS, size)), np.zeros((size, size)), np.zeros(size))
         rng = np.random.default_rng(5)
         seen_w, seen_t, seen_s = np.full((BUCKETS, size), 1e-3), np.full((size, size), 1e-3), np.full(size, 1e-3)
+
+        def switched(row):
+            """A chain and its words' languages; every other chain goes on with the words of another one."""
+            words, y = row
+            labels = [y] * len(words)
+            if len(words) > 1 and rng.random() < 0.5:
+                other, z = parts[rng.integers(len(parts))]
+                k = int(rng.integers(1, len(words)))
+                words, labels = words[:k] + other[: CHAIN - k], labels[:k] + [z] * len(other[: CHAIN - k])
+            return words, labels
+
         for _ in range(EPOCHS if size > 1 else 0):
             for block in np.array_split(rng.permutation(len(parts)), max(1, len(parts) // 64)):
-                rows = [parts[i] for i in block]
+                rows = [switched(parts[i]) for i in block]
                 of, index = features([w for words, _ in rows for w in words])
                 size_of = sum(len(words) for words, _ in rows)
                 emit = np.stack([np.bincount(of, field.weights[index, k], size_of) for k in range(size)], axis=1)
                 chain, place, lengths, _ = chains([len(words) for words, _ in rows])
-                y = np.repeat([y for _, y in rows], [len(words) for words, _ in rows])
+                y = np.array([y for _, labels in rows for y in labels])
                 p, pairs = forward_backward(emit, chain, place, lengths, field.trans, field.start)
                 p[np.arange(len(y)), y] -= 1
                 at, inverse = np.unique(index, return_inverse=True)
                 grad = np.stack([np.bincount(inverse, p[of, k], len(at)) for k in range(size)], axis=1) / len(rows) + DECAY * field.weights[at]
-                truth = np.zeros_like(pairs)
-                np.add.at(truth, ([y for _, y in rows],) * 2, [len(words) - 1 for words, _ in rows])
+                inside = np.flatnonzero(place[1:] > 0)
+                truth = np.bincount(y[inside] * size + y[inside + 1], minlength=size * size).reshape(size, size)
                 g_start = p[place == 0].sum(0) / len(rows)
                 g_trans = (pairs - truth) / len(rows) + 1e-3 * field.trans
                 seen_w[at] += grad**2
@@ -160,9 +179,6 @@ class Field:
                 field.trans -= RATE * g_trans / np.sqrt(seen_t)
                 seen_s += g_start**2
                 field.start -= RATE * g_start / np.sqrt(seen_s)
-        # One switch of language in a hundred words is always open: the training texts have hardly any.
-        floor = field.trans.max() - np.log(100.0) if size else 0.0
-        field.trans = np.maximum(field.trans, floor)
         return field
 
     def emissions(self, words: list[str]):
@@ -174,6 +190,15 @@ class Field:
         scores = np.stack([np.bincount(of, self.weights[index, k], len(number)) for k in range(len(self.languages))], axis=1)
         return scores[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
 
+    def label(self, text: str) -> list[tuple[str, str]]:
+        """(word, its most probable language) for the words of a text."""
+        words = words_of(text)
+        if not words or not self.languages:
+            return [(w, "und") for w in words]
+        chain, place, lengths, _ = chains([len(words)])
+        p, _ = forward_backward(self.emissions(words), chain, place, lengths, self.trans, self.start)
+        return [(w, self.languages[k]) for w, k in zip(words, p.argmax(1).tolist())]
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         import numpy as np
 
@@ -197,14 +222,15 @@ def remainder(doc_id):
 
 
 def training_sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most per_language texts of each language, by least hash; ends of longer texts are cut where SAMPLE_WORDS words must be past."""
+    """At most per_language texts of each language, fewer if that were more than SAMPLE in all, by least hash; ends of longer texts are cut
+    where SAMPLE_WORDS words must be past."""
     fit = rows.filter("fold <> 0 and lang is not null and text is not null")
-    langs = [r["lang"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    fit = fit.filter(F.col("lang").isin(langs)) if langs else fit.limit(0)
     # Only hashes below a language's bound come to its one window, some times as many as are wanted.
-    sizes = fit.groupBy("lang").count().withColumnRenamed("lang", "l")
+    sizes = common.staged(fit.groupBy("lang").count().withColumnRenamed("lang", "l"), "languages")
+    n = sizes.count()
+    per_language = max(1, min(per_language, SAMPLE // max(1, n)))
     h = F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text"))
-    keyed = fit.select("lang", "doc_id", "text", h.alias("h")).join(F.broadcast(sizes), F.col("lang") == F.col("l"))
+    keyed = fit.select("lang", "doc_id", "text", h.alias("h")).join(F.broadcast(sizes) if n <= SAMPLE else sizes, F.col("lang") == F.col("l"))
     near = keyed.filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) * F.col("count") <= 4.0 * per_language + 50)
     cut = near.select("lang", "h", F.substring("text", 1, 40 * SAMPLE_WORDS).alias("text"))
     first = cut.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("i") <= per_language)
