@@ -9,13 +9,17 @@ tokens. Where two characters stand side by side in no token, the state is the st
 
 States are compiled when they are first met, as there are far more of them than a corpus visits; a full table is dropped and
 built again. Texts are cut into chunks of equal length, which run side by side, one numpy operation for each
-character of all chunks. A chunk's state map is constant from its first start state on, so that tail runs at once. The
-prefix scan then gives each chunk's entry, the end of the last constant map before it, and the heads run from there; chunks without a
-start state compose in rounds.
+character of all chunks. A chunk's state map is constant from its first start state on, so that tail runs at once, and the head waits for its
+entry, the end of the chunk before. Chunks without a start state have a state map over the few states that can stand before them:
+each starts with the state that the characters before it lead to from the start state, and passes the ends it finds on to the next chunk as
+entries, until all ends are entries that the next one knows; equal chunks share one map. These maps are composed by a parallel prefix scan, in as many rounds as the logarithm
+of their number, which gives each chunk its entry. Should the maps need more than MOST_ENTRIES states, the rest runs chunk after chunk.
+
+Texts are counted in batches of BATCH_CHARS characters; a longer text is cut where the start state stands whatever came before.
 
 Models: byte-pair models of the sentencepiece library with the identity normaliser (a dummy prefix is handled), without
 user-defined symbols; others are refused. Defined results: null text is empty; an empty text has no tokens; repeated rows
-each get a row.
+each get a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SPACE = "▁"
 CHUNK = 384
 BATCH_CHARS = 4_000_000
 TABLE_CELLS = 36_000_000
+MOST_ENTRIES = 256
+LEAD = 64
 
 
 class Transducer:
@@ -175,11 +181,12 @@ class Transducer:
             self.width += more
         return self.column[kinds]
 
-    def walk(self, columns, starts, ends, states, changes):
-        """Runs the transducer over columns[start:end] of all chunks side by side; their last states."""
+    def walk(self, columns, starts, ends, states, changes=None):
+        """Runs the transducer over columns[start:end] of all chunks side by side: their last states and, without changes to write to,
+        the sums of the changes in the number of tokens."""
         import numpy as np
 
-        out = states.astype(np.int64).copy()
+        out, sums = states.astype(np.int64).copy(), np.zeros(len(starts), np.int64)
         live = np.flatnonzero(starts < ends)
         at, end, now = starts[live].copy(), ends[live], out[live]
         shortest = int((end - at).min()) if len(live) else 0
@@ -192,7 +199,11 @@ class Transducer:
                 for pair in set((now[miss] * self.width + column[miss]).tolist()):
                     self.compile(*divmod(pair, self.width))
                 got = self.table.ravel()[now * self.width + column]
-            changes[at] = (got & 255) - 128
+            change = (got & 255) - 128
+            if changes is None:
+                sums[live] += change
+            else:
+                changes[at] = change
             now = (got >> 8).astype(np.int64)
             at += 1
             t += 1
@@ -203,15 +214,111 @@ class Transducer:
                     left = ~done
                     live, at, end, now = live[left], at[left], end[left], now[left]
                     shortest = t + (int((end - at).min()) if len(live) else 0)
+        return out, sums
+
+    def entries(self, columns, starts, ends, settled, last):
+        """The entry states of the chunks that are not settled, by composing state maps; -1 where their maps need too many states. last has
+        the ends of the settled ones."""
+        import numpy as np
+
+        n = len(starts)
+        out = np.full(n, -1, np.int64)
+        open_ = np.flatnonzero(~settled)
+        # Equal chunks have one map; next_ are the pairs of chunks that follow each other.
+        rows = np.zeros((len(open_), CHUNK), columns.dtype)
+        for i, (a, b) in enumerate(zip(starts[open_].tolist(), ends[open_].tolist())):
+            rows[i, : b - a] = columns[a:b] + 1
+        _, sample, kind = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        kind, sample = kind.ravel(), open_[sample]
+        follows = np.flatnonzero(open_[1:] == open_[:-1] + 1)
+        next_ = np.unique(np.stack([kind[follows], kind[follows + 1]], axis=1), axis=0)
+        # What the characters before a chunk lead to is its first guess; it is the entry itself behind a start state that near.
+        guess, _ = self.walk(columns, np.maximum(starts[open_] - LEAD, 0), starts[open_], np.zeros(len(open_), np.int64))
+        is_first = settled[open_ - 1]
+        first = open_[is_first]
+        true = last[first - 1]
+        chunk, state = np.concatenate([kind, kind[is_first]]), np.concatenate([guess, true])
+        number: dict[int, int] = {}
+        known = np.zeros((len(sample), 0), bool)
+        moves: list[tuple] = []
+        while len(chunk):
+            for x in np.unique(state).tolist():
+                number.setdefault(x, len(number))
+            if len(number) > MOST_ENTRIES:
+                return out
+            known = np.hstack([known, np.zeros((len(sample), len(number) - known.shape[1]), bool)])
+            column = np.array([number[x] for x in state.tolist()], np.int64)
+            pair = np.unique((chunk * len(number) + column)[~known[chunk, column]])
+            chunk, column = pair // len(number), pair % len(number)
+            known[chunk, column] = True
+            end, _ = self.walk(columns, starts[sample[chunk]], ends[sample[chunk]], np.array(list(number), np.int64)[column])
+            moves.append((chunk, column, end))
+            at, behind = np.searchsorted(next_[:, 0], chunk), np.searchsorted(next_[:, 0], chunk, side="right")
+            of = np.repeat(np.arange(len(chunk)), behind - at)
+            chunk, state = next_[np.arange(len(of)) - np.repeat(np.cumsum(behind - at) - behind, behind - at), 1], end[of]
+        for x in np.unique(np.concatenate([m[2] for m in moves])).tolist():
+            number.setdefault(x, len(number))
+        # Row i maps entries of chunk i to its ends; a chunk after a settled one maps all to what its true entry gives.
+        of_kind = np.full((len(sample), len(number)), -1, np.int64)
+        for chunk, column, end in moves:
+            of_kind[chunk, column] = [number[x] for x in end.tolist()]
+        maps = np.full((n, len(number)), -1, np.int64)
+        maps[open_] = of_kind[kind]
+        for i, x in zip(first.tolist(), true.tolist()):
+            maps[i] = maps[i, number[x]]
+            out[i] = x
+        d = 1
+        start_of = np.zeros(n, np.int64)
+        start_of[first] = first
+        start_of = np.maximum.accumulate(start_of)
+        while d < n:
+            again = open_[open_ - d >= start_of[open_]]
+            if not len(again):
+                break
+            before = maps[again - d]
+            made = np.where(before >= 0, np.take_along_axis(maps[again], np.maximum(before, 0), axis=1), -1)
+            maps[again] = made
+            d *= 2
+        rest = np.setdiff1d(open_, first)
+        names = np.array(list(number), np.int64)
+        # After the scan a chunk's map is that of all its run so far, so it is constant: any column that is known tells its end.
+        out[rest] = names[maps[rest - 1].max(1)]
         return out
 
+    def pieces(self, text: str) -> list[str]:
+        """A long text cut into pieces of about BATCH_CHARS characters where the start state stands whatever came before."""
+        import numpy as np
+
+        out = []
+        while len(text) > 2 * BATCH_CHARS:
+            at, step = BATCH_CHARS, 1 << 12
+            while at < len(text):
+                kinds = self.kind[np.frombuffer(text[at - 1 : at + step].encode("utf-32-le", "surrogatepass"), "<u4")]
+                if len(cut := np.flatnonzero(~self.joined[kinds[:-1], kinds[1:]])):
+                    at += int(cut[0])
+                    break
+                at += step
+            if at >= len(text):
+                break
+            out.append(text[:at])
+            text = text[at:]
+        return [*out, text]
+
     def counts(self, texts: list[str]):
-        """Number of tokens of each text."""
+        """Number of tokens of each text; only texts that are not cut from another have the prefix."""
+        import numpy as np
+
+        if len(texts) == 1 and len(cut := self.pieces(texts[0])) > 1:
+            # The prefix counts for the first piece only, and the others start where it would change nothing.
+            return np.array([sum(int(self._counts([x], i == 0)[0]) for i, x in enumerate(cut))])
+        return self._counts(texts, True)
+
+    def _counts(self, texts: list[str], whole: bool):
         import numpy as np
 
         if self.table.size > TABLE_CELLS:
             self.clear()
-        first = SPACE if self.prefix else ""
+        first = SPACE if self.prefix and whole else ""
         codes = np.frombuffer("".join(first + t + "\0" if t else "" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
         lengths = np.array([len(t) + len(first) + 1 if t else 0 for t in texts], np.int64)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
@@ -229,15 +336,22 @@ class Transducer:
         known = np.flatnonzero(fresh)
         k = np.searchsorted(known, starts)
         tails = np.minimum(np.where(k < len(known), known[np.minimum(k, len(known) - 1)], len(codes)), ends)
-        last = self.walk(columns, tails, ends, np.zeros(len(starts), np.int64), changes)
-        # Scan of the state maps: a tail makes its chunk's map constant, other chunks wait for the one before.
-        settled, todo = tails < ends, tails > starts
-        while todo.any():
-            now = np.flatnonzero(todo & np.concatenate([[True], settled[:-1]]))
-            ended = self.walk(columns, starts[now], tails[now], last[now - 1], changes)
-            whole = ~settled[now]
-            last[now[whole]] = ended[whole]
-            settled[now], todo[now] = True, False
+        last, _ = self.walk(columns, tails, ends, np.zeros(len(starts), np.int64), changes)
+        settled = tails < ends
+        settled[0] = True  # a text starts there
+        if not settled.all():
+            entry = self.entries(columns, starts, ends, settled, last)
+        else:
+            entry = np.full(len(starts), -1, np.int64)
+        heads = np.flatnonzero(tails > starts)
+        at = heads[(entry[heads] >= 0) & ~settled[heads]]
+        last[at], _ = self.walk(columns, starts[at], ends[at], entry[at], changes)
+        done = settled.copy()
+        done[at] = True
+        for i in np.flatnonzero(~done).tolist():  # only if there were too many states
+            last[i : i + 1], _ = self.walk(columns, starts[i : i + 1], ends[i : i + 1], last[i - 1 : i], changes)
+        at = heads[settled[heads]]
+        self.walk(columns, starts[at], tails[at], last[at - 1], changes)
         changes[bounds[1:][lengths > 0] - 1] = 0
         total = np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
         return total[bounds[1:]] - total[bounds[:-1]]
@@ -272,6 +386,9 @@ def count_tokens(documents: DataFrame, model: str, limit: int = 4096) -> DataFra
 
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if ids and size + len(t or "") > BATCH_CHARS:
+                    yield flush()
+                    ids, texts, size = [], [], 0
                 ids.append(d)
                 texts.append(t or "")
                 size += len(texts[-1])
