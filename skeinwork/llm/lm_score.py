@@ -57,6 +57,103 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+SHORT = 16
+_LOWER = bytes(32 if b in b"\t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+class Words:
+    """The words of texts as places in one buffer, and what tells words of at most SHORT bytes apart: their bytes as two numbers, and their
+    length. h is a hash of the three."""
+
+    def __init__(self, texts: list[bytes]):
+        import numpy as np
+
+        self.buffer = b" ".join(texts).translate(_LOWER) + b" " * (SHORT + 8)
+        data = np.frombuffer(self.buffer, np.uint8)
+        inside = np.concatenate([[False], data != 32])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
+        behind = np.cumsum([len(t) + 1 for t in texts])
+        self.doc = np.searchsorted(behind, self.starts, side="right")
+        self.size = self.ends - self.starts
+        eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        self.low = eights[self.starts] & masks[np.minimum(self.size, 8)]
+        self.high = eights[self.starts + 8] & masks[np.clip(self.size - 8, 0, 8)]
+        self.long = np.flatnonzero(self.size > SHORT)
+        self.h = _mixed(self.low, self.high, self.size)
+
+    def slices(self, at) -> list[bytes]:
+        return [self.buffer[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+
+    def counts(self) -> dict[bytes, int]:
+        """How often each word is there; END is not counted."""
+        from collections import Counter
+
+        import numpy as np
+
+        out = Counter(self.slices(self.long))
+        short = np.flatnonzero(self.size <= SHORT)
+        order = short[np.argsort(self.h[short], kind="stable")]
+        h, low, high, size = (x[order] for x in (self.h, self.low, self.high, self.size))
+        same = h[1:] == h[:-1]
+        if (same & ((low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size[1:] != size[:-1]))).any():
+            return Counter(self.slices(np.arange(len(self.starts))))  # two words of one hash
+        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
+        out.update(dict(zip(self.slices(order[first]), np.diff(np.append(first, len(order))).tolist())))
+        return out
+
+
+def _mixed(low, high, size):
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        h = low * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(29)) + high
+        h = h * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(32)) + size.astype(np.uint64)
+        h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(29)
+
+
+class Places:
+    """Looks up the places of words in a list, for many words at once."""
+
+    BITS = 18
+
+    def __init__(self, words: list[bytes]):
+        import numpy as np
+
+        self.last, self.of_long = len(words), {w: i for i, w in enumerate(words) if len(w) > SHORT}
+        short = [w for w in words if len(w) <= SHORT]
+        pairs = np.frombuffer(b"".join(w.ljust(SHORT, b"\0") for w in short), "<u8").reshape(-1, 2)
+        size, place = np.array([len(w) for w in short], np.int64), np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
+        h = _mixed(pairs[:, 0], pairs[:, 1], size)
+        order = np.argsort(h, kind="stable")
+        self.h, self.low, self.high, self.size, self.place = h[order], pairs[order, 0], pairs[order, 1], size[order], place[order]
+        # Words by the first BITS bits of their hash.
+        self.cuts = np.searchsorted(self.h, np.arange((1 << self.BITS) + 1, dtype=np.uint64) << np.uint64(64 - self.BITS)) if len(h) else np.zeros((1 << self.BITS) + 1, np.int64)
+        self.cuts[-1] = len(h)
+
+    def find(self, words: Words):
+        """Each word's place, or the list's length."""
+        import numpy as np
+
+        out = np.full(len(words.h), self.last, np.int64)
+        key = (words.h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, end = self.cuts[key], self.cuts[key + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            spot = at[open_]
+            hit = (self.h[spot] == words.h[open_]) & (self.low[spot] == words.low[open_]) & (self.high[spot] == words.high[open_]) & (self.size[spot] == words.size[open_])
+            out[open_[hit]] = self.place[spot[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        out[words.long] = [self.of_long.get(w, self.last) for w in words.slices(words.long)]
+        return out
+
+
 def remainder(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
@@ -264,14 +361,14 @@ def token_counts(training: DataFrame, most: int = 400_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
         for b in batches:
-            for t in common.texts(b.column("text")):
-                seen.update(tokens(t))
+            seen.update(Words(common.texts(b.column("text"))).counts())
+            seen[END] += len(b)
             if len(seen) > most:
                 yield flush()
                 seen.clear()
         yield flush()
 
-    counted = training.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    counted = training.select("text").mapInArrow(run, "token binary, n long").filter("n > 0").groupBy("token").agg(F.sum("n").alias("c"))
     return common.staged(counted, "token-counts")
 
 
@@ -329,24 +426,25 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((vocabulary.head, vocabulary.codes))
 
     def run(batches):
-        from itertools import repeat
-
         import numpy as np
 
         head, head_codes = sent.value
-        get, last = {w: i for i, w in enumerate(head)}.get, len(head)
+        places, last = Places(list(head)), len(head)
+        end = list(head).index(END) if END in head else last
         head_codes = np.append(head_codes, np.int32(0))
         share = np.log10(np.array([*head.values(), 0.5], np.float64) + 0.5)  # nothing for the tail: log10(1)
         for b in batches:
-            words, lengths = [], []
-            for t in common.texts(b.column("text")):
-                words += (own := tokens(t))
-                lengths.append(len(own))
-            lengths = np.array(lengths, np.int64)
+            words = Words(common.texts(b.column("text")))
+            lengths = np.bincount(words.doc, minlength=len(b)) + 1
             doc = np.repeat(np.arange(len(lengths)), lengths)
-            at = np.fromiter(map(get, words, repeat(last)), np.int64, len(words))
-            tail = np.flatnonzero(at == last)
-            rest = [words[i] for i in tail.tolist()]
+            at = np.full(len(doc), end)  # each text's last token
+            own = np.arange(len(words.doc)) + words.doc
+            at[own] = found = places.find(words)
+            missed = np.flatnonzero(found == last)
+            tail, rest = own[missed], words.slices(missed)
+            if end == last:  # no training rows
+                rest = [w for _, w in sorted([*zip(tail.tolist(), rest), *zip((np.cumsum(lengths) - 1).tolist(), [END] * len(lengths))])]
+                tail = np.flatnonzero(at == last)
             code = head_codes[at]
             code[tail] = [cell(w) for w in rest]
             shares, n = share[at], len(lengths)

@@ -233,6 +233,19 @@ def test_words_of_one_class_are_learned_apart():
     assert (np.exp(m.log_within(words[at], before[at], every).astype(float)) * counts[words[0]]).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_words_at_once():
+    rng = random.Random(4)
+    texts = [b"", b"  ", b"a", "É\x00 x\x00\x00 x\x00 \u3000é A\tb\x0bC\x1cd".encode(), b"0123456789abcdef 0123456789abcdefg " * 3]
+    texts += ["".join(rng.choices("abAB\x00 é\n", k=rng.randint(0, 60))).encode() for _ in range(300)]
+    words = lm_score.Words(texts)
+    every = [w for t in texts for w in lm_score.tokens(t)[:-1]]
+    assert words.slices(np.arange(len(words.doc))) == every and words.counts() == Counter(every)
+    assert words.doc.tolist() == [i for i, t in enumerate(texts) for _ in lm_score.tokens(t)[:-1]]
+    named = list(dict.fromkeys(every))[::2]
+    assert lm_score.Places(named).find(words).tolist() == [named.index(w) if w in named else len(named) for w in every]
+    assert lm_score.Places([]).find(words).tolist() == [0] * len(every)
+
+
 def test_cells_agree(spark):
     words = [b"", b"a", b"ab", b"abc", "é".encode(), b"stonston", b"\n"]
     df = spark.createDataFrame([(bytearray(w),) for w in words], "token binary")
@@ -306,10 +319,10 @@ def test_masks_cover_every_pair_within_the_radius():
     assert len(masks) == 31
     for _ in range(5000):
         d = sum(1 << b for b in rng.sample(range(64), 4))
-        assert any(not d & m for m in masks)
+        assert any(not d & m for m in masks) and any(not d & m for m in simhash_dedup.covering_masks(depth=2))
 
 
-def test_near_duplicates(documents, rows, empty):
+def test_near_duplicates(documents, rows, empty, monkeypatch):
     import xxhash
 
     def fp(t):
@@ -329,11 +342,36 @@ def test_near_duplicates(documents, rows, empty):
     least = {g: min([r[0] for r, x in zip(rows, group) if x == g and r[0] is not None], default=None) for g in group}
     got = simhash_dedup.grouped(common.staged(simhash_dedup.fingerprints(documents), "t")).collect()
     assert counted((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got) == counted((r[0], f, least[g]) for r, f, g in zip(rows, fps, group))
+    monkeypatch.setattr(simhash_dedup.fingerprint_links, "__defaults__", (simhash_dedup.RADIUS, 2, 1_000_000))
+    again = simhash_dedup.grouped(common.staged(simhash_dedup.fingerprints(documents), "t")).collect()
+    assert counted((r["doc_id"], r["component_id"]) for r in again) == counted((r["doc_id"], r["component_id"]) for r in got)
     kept = simhash_dedup.keep_one(documents)
     assert kept.columns == documents.columns and kept.count() == len(set(group))
     assert simhash_dedup.keep_one(empty).count() == 0
 
 
+def connected(n, links):
+    label = list(range(n))
+    for a, b in links:
+        if label[a] != label[b]:
+            old, new = label[a], label[b]
+            label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT, 5])
+def test_large_buckets_are_dealt_again(spark, hot):
+    rng = random.Random(6)
+    fps = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in (0, 1 << 63, (1 << 64) - 1, 0x0F0F0F0F0F0F0F0F) for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash_dedup.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), hot=hot, most_broadcast=3).collect()
+    at = {f: i for i, f in enumerate(signed)}
+    every = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert all((r["a"] ^ r["b"]).bit_count() <= 4 or ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in links)
+    same = lambda x: [[a == b for b in x] for a in x]
+    assert same(connected(len(fps), [(at[r["a"]], at[r["b"]]) for r in links])) == same(connected(len(fps), every))
+
+
 def test_forest_joins_what_links_join():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -405,13 +443,32 @@ def brute_repeats(rows):
     return counted(out)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 4000])
-def test_repeats(documents, rows, empty, block_bytes):
-    got = suffix_dedup.remove_repeats(documents, block_bytes).collect()
+@pytest.mark.parametrize("block_bytes, hot", [(8 << 20, suffix_dedup.HOT), (4000, suffix_dedup.HOT), (4000, 9)])
+def test_repeats(documents, rows, empty, block_bytes, hot):
+    got = suffix_dedup.remove_repeats(documents, block_bytes, hot).collect()
     assert counted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got) == brute_repeats(rows)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 20])
+def test_repeats_of_a_phrase_in_all_documents(spark, hot):
+    rng = random.Random(12)
+    noise = lambda k: "".join(rng.choice("abcdefghij klmnop") for _ in range(k))
+    near = [noise(30) for _ in range(4)]
+    rows = [(i, noise(rng.randint(0, 90)) + rng.choice([rng.choice(near), noise(20)]) + "a phrase of twenty-eight byte" + rng.choice([rng.choice(near), noise(20)]) + noise(rng.randint(0, 90)), "en", "s") for i in range(150)]
+    rows += [(200 + i, c * n, "en", "s") for i, (c, n) in enumerate([("a", 400), ("a", 300), ("ab", 200), ("ba", 120), ("\0", 90), ("\0", 200), ("é", 100)])]
+    rows += [(300, rows[0][1] * 3, "en", "s"), (300, rows[1][1] * 2, "en", "s")]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), 4000, hot).collect()
+    assert counted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got) == brute_repeats(rows)
+
+
+def test_sorted_keys_come_back():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 5000):
+        keys = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        assert suffix_dedup.unpack_sorted(suffix_dedup.pack_sorted(keys)).tolist() == keys.tolist()
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(2)
     strings, values = rng.integers(0, 2, (300, 12)).astype(np.uint8), rng.integers(0, 20, 300)
@@ -492,6 +549,29 @@ def test_languages(spark):
     assert nothing.first()["lang_pred"] == "und"
 
 
+def test_languages_are_told_apart_inside_a_text():
+    rng = random.Random(5)
+    words = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(120)] for letters in ("abcdeg", "cdefgh", "xyzabc")]
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    field = language_id.Field.fit([(text(k, rng.randint(5, 80)), f"l{k}") for k in range(3) for _ in range(60)])
+    # Switches are learned: staying is likelier than any switch, and no switch is out of reach.
+    assert all(field.trans[i, i] > field.trans[i, j] > field.trans[i, i] - 9 for i in range(3) for j in range(3) if i != j)
+    right = total = 0
+    for _ in range(60):
+        parts = [(k, rng.randint(4, 14)) for k in rng.sample(range(3), 2)]
+        got = field.label(" ".join(text(k, n) for k, n in parts))
+        want = [f"l{k}" for k, n in parts for _ in range(n)]
+        right, total = right + sum(g == w for (_, g), w in zip(got, want)), total + len(want)
+    assert right >= 0.95 * total
+    assert [w for w, _ in field.label("y" * 50 + " a")] == ["y" * 24, "y" * 24, "yy", "a"]
+
+
+def test_every_language_is_learned(spark):
+    docs = [(i, " ".join(random.Random(i % 90).choices(["".join(random.Random(1000 * (i % 90) + k).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for k in range(9)], k=30)), f"l{i % 90}", "s") for i in range(540)]
+    got = language_id.identify(frame(spark, docs)).collect()
+    assert len({r["lang_pred"] for r in got}) == 90 and language_id.identify(frame(spark, docs).limit(0)).count() == 0
+
+
 def test_forward_backward_is_exact():
     import itertools
 
@@ -527,3 +607,29 @@ def test_token_counts(documents, rows, empty):
     pieces = list(made.rank)
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(800)] + ["".join(rng.choice(" \n\t\x00abeéñß1.<s></s>日😀▁") for _ in range(rng.randint(0, 50))) for _ in range(800)] + ["a" * 2000, " " * 3000, "ab" * 900, ""]
     assert made.counts(texts).tolist() == [len(x) for x in library.encode(texts)]
+
+
+def test_token_counts_of_very_long_texts(spark, monkeypatch):
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, made = sentencepiece.SentencePieceProcessor(model_file=path), token_count.transducer(path)
+    rng = random.Random(3)
+    texts = ["a" * 400_000, " " * 100_000, "".join(rng.choices("ACGT", k=60_000)), "".join(rng.choices("0123456789abcdef", k=60_000)), "ha" * 50_000, "word " * 50_000, "日" * 30_000]
+    for t in texts:
+        assert made.counts([t]).tolist() == [len(library.encode(t))], t[:10]
+    assert made.counts(texts).tolist() == [len(library.encode(t)) for t in texts]
+    began = time.perf_counter()
+    made.counts([texts[0] * 2])
+    assert time.perf_counter() - began < 5  # one chunk after the other would take 15 seconds
+    monkeypatch.setattr(token_count, "MOST_ENTRIES", 2)
+    assert made.counts([texts[2][:9000]]).tolist() == [len(library.encode(texts[2][:9000]))]
+    monkeypatch.setattr(token_count, "BATCH_CHARS", 5000)
+    t = "".join(rng.choices(["word ", "ACGT", "a" * 30, "é", "\n"], k=9000))
+    assert len(made.pieces(t)) > 3 and "".join(made.pieces(t)) == t
+    for x in (t, "a" * 30_000, " " * 30_000):
+        got = token_count.count_tokens(frame(spark, [(1, x, "en", "s"), (2, "", "en", "s"), (3, "x y", "en", "s")], 1), path).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: len(library.encode(x)), 2: 0, 3: len(library.encode("x y"))}
