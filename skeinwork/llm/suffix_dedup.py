@@ -13,8 +13,8 @@ applied to all data, without one suffix array over all of it:
    no phrase, however frequent, gathers its documents in one task.
 3. A shard sorts its windows: a suffix array of these positions, limited to WINDOW bytes, with its array of longest common prefixes.
    Previous and next smaller values of doc_id in suffix order give each position its longest previous factor
-   in a smaller document; WINDOW bytes or more mean that the window goes. Windows whose hash no other window of the shard has are
-   left out of the array, as they have no such factor.
+   in a smaller document; WINDOW bytes or more mean that the window goes. Equal contexts are one run of this order, and windows whose
+   hash no other window of the shard has are left out of the array, as they have no such factor.
 4. Blocks put the windows' bytes together to spans.
 
 Exact copies take part once, with their least doc_id; all others' windows are all repeats. They are left out before any
@@ -250,26 +250,48 @@ def windows_gone(strings, hashes, oid):
 
     gone = np.zeros(len(oid), bool)
     if len(oid):
-        _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(times[back] > 1)
-        for part in _parts(hashes[twice], 1 << 20):
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        twice = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+        for part in _parts(hashes[twice], 1 << 18):
             at = twice[part]
             gone[at] = longest_previous_factor(strings(at), oid[at]) >= WINDOW
     return gone
 
 
 def repeated_windows(contexts, low, high, oid):
-    """For contexts (rows of CONTEXT bytes, of which low to high are text) and doc_ids: bit s says that the window at s goes."""
+    """For contexts (rows of CONTEXT bytes, of which low to high are text) and doc_ids: bit s says that the window at s goes.
+
+    Equal contexts stand together in suffix order whatever window is looked at, so they are one run: its least document speaks for it, and
+    in the others all windows go. A run with no other run about the same gram has no window in common with any."""
     import numpy as np
 
-    mask = np.zeros(len(oid), np.uint32)
-    if len(oid):
-        row, s = np.nonzero(_fits(low, high))
-        h = np.concatenate([_window_hashes(contexts[i : i + (1 << 18)]) for i in range(0, len(oid), 1 << 18)])[row, s]
-        windows = np.lib.stride_tricks.sliding_window_view(contexts, WINDOW, axis=1)
-        gone = windows_gone(lambda at: windows[row[at], s[at]], h, oid[row])
-        np.bitwise_or.at(mask, row[gone], _bits()[s[gone]])
-    return mask
+    n = len(oid)
+    whole = np.zeros((n, (CONTEXT + 9) // 8 * 8), np.uint8)
+    whole[:, :CONTEXT], whole[:, CONTEXT], whole[:, CONTEXT + 1] = contexts, low, high
+    words = whole.view("<u8")
+    order = np.lexsort((oid, *words.T[::-1]))
+    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)]) if n else np.zeros(0, bool)
+    run = np.empty(n, np.int64)
+    run[order] = np.cumsum(new) - 1
+    first = order[new]
+    mask = np.zeros(len(first), np.uint32)
+    gram = np.ascontiguousarray(contexts[first][:, SIDE : SIDE + GRAM]).view("<u8").reshape(-1, GRAM // 8)
+    by = np.lexsort(gram.T)
+    apart = (gram[by][1:] != gram[by][:-1]).any(1)
+    alone = np.concatenate([[True], apart]) & np.concatenate([apart, [True]]) if n else np.zeros(0, bool)
+    among = np.sort(by[~alone])
+    if len(among):
+        rows = contexts[first[among]]
+        row, s = np.nonzero(_fits(low[first[among]], high[first[among]]))
+        h = np.concatenate([_window_hashes(rows[i : i + (1 << 16)]) for i in range(0, len(rows), 1 << 16)])[row, s]
+        windows = np.lib.stride_tricks.sliding_window_view(rows, WINDOW, axis=1)
+        gone = windows_gone(lambda at: windows[row[at], s[at]], h, oid[first[among]][row])
+        np.bitwise_or.at(mask, among[row[gone]], _bits()[s[gone]])
+    out = mask[run]
+    later = oid > oid[first][run]
+    out[later] = (_fits(low[later], high[later]) * _bits()).sum(1, dtype=np.uint32)
+    return out
 
 
 def _parts(h, size: int):
