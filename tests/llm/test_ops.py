@@ -633,3 +633,43 @@ def test_token_counts_of_very_long_texts(spark, monkeypatch):
     for x in (t, "a" * 30_000, " " * 30_000):
         got = token_count.count_tokens(frame(spark, [(1, x, "en", "s"), (2, "", "en", "s"), (3, "x y", "en", "s")], 1), path).collect()
         assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: len(library.encode(x)), 2: 0, 3: len(library.encode("x y"))}
+
+
+# As registered.
+
+
+def test_queries_as_registered(spark, tmp_path, rows):
+    """Each opN_ query over small tables: by SQL where there is some, and the columns that its contract names."""
+    import duckdb
+
+    from skeinwork.llm import entries
+
+    sf, rows = str(tmp_path), list({r[0]: r for r in rows if r[0] is not None}.values())
+    common.pick(frame(spark, rows, 2), "doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf}/documents.parquet")
+    leak = next(t for _, t, _, _ in rows if t and len(t.split()) > 40)
+    spark.createDataFrame([(1, leak), (2, "again five"), (3, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b<|im_end|>"), (2, 0, "assistant", "<\\|im_start|>é"), (3, 0, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    names = {
+        "op1_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op3_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score", "op4_mix": "doc_id size source_size target taken", "op5_simhash_dedup": "doc_id fingerprint component_id",
+        "op6_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept removed_words", "op7_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op8_token_output": "doc_id start n_tokens ids_crc32", "op9_language_id": "doc_id held_out lang_pred score", "op10_token_count": "doc_id n_bytes n_tokens over_limit",
+    }
+    assert list(entries.queries()) == list(names)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    for q, run in entries.queries().items():
+        df = run(spark, sf)
+        assert df.columns == names[q].split()
+        got = from_spark(df)
+        if q in entries.oracle_sql():
+            r = c.execute(entries.oracle_sql()[q])
+            at = sorted(range(len(df.columns)), key=[x[0] for x in r.description].__getitem__)
+            assert got == Counter(tuple(x[i] for i in at) for x in r.fetchall()), q
+        elif q == "op7_suffix_dedup":
+            assert counted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()) == brute_repeats(rows)
+        elif q == "op5_simhash_dedup":
+            assert all(re.fullmatch("[0-9a-f]{16}", r["fingerprint"]) and r["component_id"] <= r["doc_id"] for r in df.collect())
+        assert sum(got.values()) == (len(rows) if q != "op1_chat_format" else 4)
