@@ -193,6 +193,9 @@ def escape_html(col: Column) -> Column:
     return col
 
 
+_OPEN, _CLOSE = "\ue000", "\ue001"
+
+
 def snippet(col: Column, terms: list[str], width: int = 220) -> Column:
     """HTML around the first whole-word match: escaped, cut to width with dots, matches marked. One pattern marks all terms,
     longest first, so marks never nest."""
@@ -206,12 +209,13 @@ def snippet(col: Column, terms: list[str], width: int = 220) -> Column:
     start = F.greatest(F.lit(0), F.coalesce(first, F.lit(1)) - 1 - width // 3)
     cut = F.substr(text, start + 1, F.lit(width))
     dotted = F.concat(F.when(start > 0, "...").otherwise(""), cut, F.when(start + width < F.length(text), "...").otherwise(""))
-    html = escape_html(dotted)
-    if terms:
-        import html as h
-
-        words = "|".join(re.escape(h.escape(t)) for t in terms)
-        html = F.regexp_replace(html, f"(?i)(?<![a-z0-9])({words})(?![a-z0-9])", "<mark>$1</mark>")
+    if not terms:
+        html = escape_html(dotted)
+    else:
+        # Marks are set before escaping, as characters for private use, so no mark stands inside an entity.
+        words = "|".join(re.escape(t) for t in terms)
+        marked = F.regexp_replace(F.translate(dotted, _OPEN + _CLOSE, ""), f"(?i)(?<![a-z0-9])({words})(?![a-z0-9])", f"{_OPEN}$1{_CLOSE}")
+        html = F.replace(F.replace(escape_html(marked), F.lit(_OPEN), F.lit("<mark>")), F.lit(_CLOSE), F.lit("</mark>"))
     return F.when(text == "", "").otherwise(html)
 
 

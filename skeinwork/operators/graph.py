@@ -5,6 +5,8 @@ Loops write each round to the shared folder; just a number or two of a round com
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,18 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(i, "node", "left").join(o, "node", "left").select("node", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    e = edges.agg(F.count(F.lit(1)).alias("edges"))
-    return n.crossJoin(F.broadcast(e)).withColumn("avg_degree", F.round(F.try_divide(F.col("edges"), F.col("nodes")), 2))  # one row each
+def graph_stats(nodes: DataFrame, edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """nodes, edges, avg_degree; with column type the numbers of reference and similarity edges, with ranks (node, pagerank) their ends."""
+    kinds = [F.count(F.when(F.col("type") == t, 1)).alias(f"{t}_edges") for t in ("reference", "similarity")] if "type" in edges.columns else []
+    out = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"), *kinds)))  # one row each
+    out = out.withColumn("avg_degree", F.coalesce(F.round(F.try_divide(F.col("edges"), F.col("nodes")), 2), F.lit(0.0)))
+    if ranks is not None:
+        out = out.crossJoin(F.broadcast(ranks.agg(F.min("pagerank").alias("pagerank_min"), F.max("pagerank").alias("pagerank_max"))))
+    return out
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 200, tolerance: float | None = 1e-6) -> DataFrame:
-    """node, pagerank. Parallel edges count each; dangling nodes share with all; edges to unknown nodes are left out.
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 200, tolerance: float | None = 1e-6, history: list | None = None) -> DataFrame:
+    """node, pagerank; history gets (round, L1 change) of each round where a tolerance is given. Parallel edges count each; dangling nodes share with all; edges to unknown nodes are left out.
 
     A round is one shuffle join and one aggregation; edges are grouped by (src, dst) once, with their number."""
     n = nodes.count()
@@ -83,15 +89,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     out = grouped.groupBy("src").agg(F.sum("m").alias("out"))
     links = session.staged(grouped.join(out, "src").select("src", "dst", (F.col("m") / F.col("out")).alias("share")), "pagerank-links")
     dangling = session.staged(nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti"), "pagerank-dangling")
-    rank = nodes.select("node", F.lit(1.0 / n).alias("pagerank"))
-    for _ in range(iterations):
+    rank, staged = nodes.select("node", F.lit(1.0 / n).alias("pagerank")), session.Rounds(nodes.sparkSession, "pagerank")
+    for k in range(iterations):
         lost = dangling.join(rank, "node").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
         given = links.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         new = rank.join(given, F.col("node") == F.col("dst"), "left")
-        new = session.staged(new.select("node", F.col("pagerank").alias("old"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank")), "pagerank")
+        new = staged(new.select("node", F.col("pagerank").alias("old"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank")))
         rank = new.select("node", "pagerank")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0] < tolerance:
-            break
+        if tolerance is not None:
+            change = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+            if history is not None:
+                history.append((k + 1, change))
+            if change < tolerance:
+                break
     return rank
 
 
@@ -115,44 +125,66 @@ def related(edges: DataFrame, rank: DataFrame, node: int, limit: int = 5) -> Dat
 
 
 def bfs(edges: DataFrame, start: int, goal: int | None = None, max_depth: int | None = None) -> DataFrame:
-    """node, depth, parent, path, visit: breadth first, neighbours by (pos if there is one, dst); visit is the place in the order.
+    """node, depth, parent, visit, examined: breadth first, neighbours by (pos if there is one, dst); visit is the place in the order, examined
+    the number of edges that a sequential walk looks at from the node (all of them; none behind a goal or at the last depth).
 
-    A node's parent is the one visited first among those of the depth before; each round is one join with the frontier."""
+    A node's parent is the one visited first among those of the depth before. Each level is one folder of one table: a round joins the
+    links with the level before, and what it finds with the nodes of the table; path() follows parents."""
     spark = edges.sparkSession
     has_pos = "pos" in edges.columns
-    links = session.staged(edges.groupBy("src", "dst").agg((F.min("pos") if has_pos else F.min("dst")).alias("pos")), "bfs-links")
-    names = ("node", "depth", "parent", "path", "visit")
-    front = spark.createDataFrame([(start, 0, None, [start], 0)], "node long, depth int, parent long, path array<long>, visit long")
-    found, seen, depth, n = front, front.select("node"), 0, 1
-    done = start == goal
+    links = session.staged(edges.groupBy("src", "dst").agg((F.min("pos") if has_pos else F.min("dst")).alias("pos"), F.count(F.lit(1)).alias("n")), "bfs-links")
+    where, schema = f"{session.shared_dir(spark)}/bfs-{uuid.uuid4().hex}", "node long, depth int, parent long, visit long"
+    spark.createDataFrame([(start, 0, None, 0)], schema).write.parquet(f"{where}/level=0")
+    depth, n, done, staged = 0, 1, start == goal, session.Rounds(spark, "bfs-level")
+    table = lambda: spark.read.schema(schema).parquet(*[f"{where}/level={i}" for i in range(depth + 1)])
     while not done and (max_depth is None or depth < max_depth):
-        depth += 1
-        reach = front.select(F.col("node").alias("src"), F.col("visit").alias("by"), F.col("path").alias("way")).join(links, "src")
-        best = reach.groupBy("dst").agg(F.min(F.struct("by", "pos", "src", "way")).alias("m"))
-        new = best.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        new = session.staged(new.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "m.by", "m.pos", F.col("m.src").alias("parent"), F.concat("m.way", F.array("dst")).alias("path")), "bfs-level")
+        front = spark.read.schema(schema).parquet(f"{where}/level={depth}")
+        reach = front.select(F.col("node").alias("src"), F.col("visit").alias("by")).join(links, "src")
+        best = reach.groupBy("dst").agg(F.min(F.struct("by", "pos", "src")).alias("m"))
+        new = staged(best.join(table().select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"), "m.by", "m.pos", F.col("m.src").alias("parent")))
         size, hits = new.agg(F.count(F.lit(1)), F.count(F.when(F.col("node") == (start if goal is None else goal), 1))).first()
         if not size:
             break
         # Places in the order: a level is ordered by (parent's place, edge's place).
-        front = session.numbered(new, "visit", "by", "pos", "node", start=n, size=size).select(*names)
-        found, seen, n, done = found.union(front), seen.union(new.select("node")), n + size, hits > 0
-    return found
+        placed = session.numbered(new, "visit", "by", "pos", "node", start=n, size=size).select("node", F.lit(depth + 1).alias("depth"), "parent", "visit")
+        placed.write.parquet(f"{where}/level={depth + 1}")
+        depth, n, done = depth + 1, n + size, hits > 0
+    found = table()
+    last = found.filter(F.col("node") == goal).select(F.col("visit").alias("until")) if goal is not None else None
+    looked = found.join(links.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("edges")), "node", "left")
+    stops = F.lit(False) if max_depth is None else F.col("depth") >= max_depth
+    if last is not None:
+        looked = looked.join(F.broadcast(last), F.lit(True), "left")  # one row at most
+        stops = stops | F.coalesce(F.col("visit") >= F.col("until"), F.lit(False))
+    return looked.select("node", "depth", "parent", "visit", F.when(stops, 0).otherwise(F.coalesce("edges", F.lit(0))).alias("examined"))
+
+
+def path(found: DataFrame, goal: int) -> list[int]:
+    """The nodes from the start to a goal along column parent, [] if the goal was not found; a look-up for each step."""
+    out, at = [], goal
+    while at is not None:
+        row = found.filter(F.col("node") == at).select("parent").first()
+        if row is None:
+            return []
+        out.append(at)
+        at = row["parent"]
+    return out[::-1]
 
 
 def shortest_paths(edges: DataFrame, start: int, rounds: int | None = None) -> DataFrame:
-    """node, dist, parent from start over (src, dst, cost): relaxation until nothing changes; negative costs are refused."""
+    """node, dist, parent from start over (src, dst, cost): relaxation until nothing changes; negative costs are refused. Of equal distances
+    the least parent counts; settled() gives the order in which a sequential run settles the nodes."""
     spark = edges.sparkSession
     if edges.filter("cost < 0").limit(1).count():
         raise ValueError("shortest paths need costs that are not negative")
     links = session.staged(edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost")), "paths-links")
     dist = spark.createDataFrame([(start, 0.0, None)], "node long, dist double, parent long")
-    front, k = dist, 0
+    front, k, staged = dist, 0, session.Rounds(spark, "paths-round")
     while rounds is None or k < rounds:
         k += 1
         step = front.select(F.col("node").alias("src"), F.col("dist").alias("so_far")).join(links, "src").select(F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("dist"), F.col("src").alias("parent"))
         best = step.groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("m")).select("node", F.col("m.dist").alias("new"), F.col("m.parent").alias("by"))
-        joined = session.staged(dist.join(best, "node", "full_outer"), "paths-round")
+        joined = staged(dist.join(best, "node", "full_outer"))
         better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
         front = joined.filter(better).select("node", F.col("new").alias("dist"), F.col("by").alias("parent"))
         dist = joined.select("node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("by")).otherwise(F.col("parent")).alias("parent"))
@@ -161,16 +193,21 @@ def shortest_paths(edges: DataFrame, start: int, rounds: int | None = None) -> D
     return dist
 
 
+def settled(dist: DataFrame) -> DataFrame:
+    """dist with place: the order by (dist, node), in which a sequential run takes nodes off its queue."""
+    return session.numbered(dist, "place", "dist", "node")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node): least labels over both directions, with a jump along labels in each round."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
     both = session.staged(both, "component-links")
-    label = nodes.select("node", F.col("node").alias("component"))
+    label, staged = nodes.select("node", F.col("node").alias("component")), session.Rounds(nodes.sparkSession, "component-round", keep=2)
     while True:
         near = both.join(label, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("near"))
-        low = session.staged(label.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "component-round")
+        low = staged(label.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         over = low.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        new = session.staged(low.join(over, F.col("component") == F.col("at"), "left").select("node", "old", F.least("component", "further").alias("component")), "component-jump")
+        new = staged(low.join(over, F.col("component") == F.col("at"), "left").select("node", "old", F.least("component", "further").alias("component")))
         label = new.select("node", "component")
         if not new.filter("component <> old").limit(1).count():
             return label
@@ -179,11 +216,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cycle_residue(edges: DataFrame) -> DataFrame:
     """src, dst: what is left when edges from nodes that no edge enters, and into nodes that none leaves, are taken away
     again and again; empty if and only if there is no cycle."""
-    left = session.staged(edges.select("src", "dst").distinct(), "cycle")
+    staged = session.Rounds(edges.sparkSession, "cycle")
+    left = staged(edges.select("src", "dst").distinct())
     n = left.count()
     while n:
         heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = session.staged(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "cycle")
+        left = staged(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
         n, before = left.count(), n
         if n == before:
             break

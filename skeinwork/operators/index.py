@@ -1,8 +1,9 @@
-"""Inverted index: tokens, stems, postings, vocabulary and TF-IDF weights as staged tables.
+"""Inverted index: tokens, stems, entries, vocabulary and TF-IDF weights as staged tables.
 
-Tokens are counted as surface forms first, stems are made for distinct surfaces only, and both are written sorted by term, so a
-query reads the row groups of its terms. Field weights: a title token counts 3 and once more as part of the text, a
-keyword token 4, a body token 1. The bag of TF-IDF has title, text and keywords once each.
+Tokens are counted as surface forms first, stems are made for distinct surfaces only. One table, entries, has a document's weighted count
+and its bag count for each term; it is dealt by ranges of (term, doc_id), so hot terms are split, a query reads the files of its terms, and
+grouping by the same columns needs no second shuffle. Postings, bag and weights are views of it. Field weights: a title token counts 3 and
+once more as part of the text, a keyword token 4, a body token 1. The bag of TF-IDF has title, text and keywords once each.
 """
 
 from __future__ import annotations
@@ -19,9 +20,14 @@ TITLE, KEYWORD, BODY = 3, 4, 1
 TOP_KEYWORDS = 6
 
 
-def surface_counts(rows: DataFrame, field: str) -> DataFrame:
-    """doc_id, field, surface, n for a column of texts."""
-    return rows.select("doc_id", F.explode(X.tokenize(F.col(field))).alias("surface")).groupBy("doc_id", "surface").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(field).alias("field"), "surface", "n")
+def surface_counts(rows: DataFrame, *fields: str) -> DataFrame:
+    """doc_id, field, surface, n for columns of texts, read once."""
+
+    def tokens_of(field: str):
+        return F.transform(X.tokenize(F.col(field)), lambda t: F.struct(F.lit(field).alias("field"), t.alias("surface")))
+
+    tokens = [tokens_of(f) for f in fields]
+    return rows.select("doc_id", F.explode(F.concat(*tokens)).alias("x")).groupBy("doc_id", "x.field", "x.surface").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stems_of(surfaces: DataFrame) -> DataFrame:
@@ -39,8 +45,8 @@ class Index:
     @cached_property
     def tokens(self) -> DataFrame:
         """doc_id, field (title, content), surface, term, n."""
-        counts = session.staged(surface_counts(self.corpus, "title").unionByName(surface_counts(self.corpus, "content")), "surfaces")
-        return session.staged(counts.join(stems_of(counts), "surface").select("doc_id", "field", "surface", "term", "n"), "tokens", "term")
+        counts = session.staged(surface_counts(self.corpus, "title", "content"), "surfaces")
+        return session.staged(counts.join(stems_of(counts), "surface").select("doc_id", "field", "surface", "term", "n"), "tokens")
 
     @cached_property
     def keywords(self) -> DataFrame:
@@ -58,36 +64,41 @@ class Index:
     @cached_property
     def keyword_tokens(self) -> DataFrame:
         counts = surface_counts(self.keywords.withColumnRenamed("keyword", "keywords"), "keywords")
-        return session.staged(counts.join(stems_of(counts), "surface").select("doc_id", "field", "surface", "term", "n"), "keyword-tokens", "term")
+        counts = counts.groupBy("doc_id", "field", "surface").agg(F.sum("n").alias("n"))
+        return session.staged(counts.join(stems_of(counts), "surface").select("doc_id", "field", "surface", "term", "n"), "keyword-tokens")
 
     @cached_property
     def all_tokens(self) -> DataFrame:
         return self.tokens.unionByName(self.keyword_tokens)
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """term, doc_id, wtf (weighted count), n (count in the bag), by ranges of term."""
+        dealt = self.all_tokens.select("term", "doc_id", "n", (F.col("n") * _weight()).alias("w")).repartitionByRange("term", "doc_id")
+        return session.staged(dealt.groupBy("term", "doc_id").agg(F.sum("w").alias("wtf"), F.sum("n").alias("n")), "entries", "term", "doc_id")
+
     @cached_property
     def postings(self) -> DataFrame:
         """term, doc_id, wtf, by term."""
-        weight = F.when(F.col("field") == "title", TITLE + BODY).when(F.col("field") == "content", BODY).otherwise(KEYWORD)
-        return session.staged(self.all_tokens.groupBy("term", "doc_id").agg(F.sum(F.col("n") * weight).alias("wtf")), "postings", "term")
+        return self.entries.select("term", "doc_id", "wtf")
 
     @cached_property
     def surfaces(self) -> DataFrame:
         """term, surface, votes."""
-        weight = F.when(F.col("field") == "title", TITLE + BODY).when(F.col("field") == "content", BODY).otherwise(KEYWORD)
-        return self.all_tokens.groupBy("term", "surface").agg(F.sum(F.col("n") * weight).alias("votes"))
+        return self.all_tokens.groupBy("term", "surface").agg(F.sum(F.col("n") * _weight()).alias("votes"))
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        """term, display (the surface with most votes, then the first), doc_freq, freq (sum of weighted counts)."""
-        best = Window.partitionBy("term").orderBy(F.desc("votes"), "surface")
-        display = self.surfaces.withColumn("i", F.row_number().over(best)).filter("i = 1").select("term", F.col("surface").alias("display"))
-        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("wtf").alias("freq"))
-        return session.staged(counts.join(display, "term", "left"), "vocabulary", "term")
+        """term, display (the surface with most votes, then the first), doc_freq, freq (sum of weighted counts), total (in the bag), idf."""
+        # Most votes, then the first surface: a sum for each surface, and one minimum a term.
+        display = self.surfaces.groupBy("term").agg(F.min(F.struct((-F.col("votes")).alias("v"), "surface"))["surface"].alias("display"))
+        counts = self.entries.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("wtf").alias("freq"), F.sum("n").alias("total"))
+        return session.staged(counts.join(display, "term", "left").withColumn("idf", idf(F.col("doc_freq"), self.size)), "vocabulary", "term")
 
     @cached_property
     def bag(self) -> DataFrame:
         """term, doc_id, n: the bag of TF-IDF."""
-        return session.staged(self.all_tokens.groupBy("term", "doc_id").agg(F.sum("n").alias("n")), "bag", "term")
+        return self.entries.select("term", "doc_id", "n")
 
     @cached_property
     def size(self) -> int:
@@ -96,15 +107,19 @@ class Index:
     @cached_property
     def idf(self) -> DataFrame:
         """term, df, total, idf."""
-        counts = self.bag.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
-        return session.staged(counts.withColumn("idf", idf(F.col("df"), self.size)), "idf", "term")
+        return self.vocabulary.select("term", F.col("doc_freq").alias("df"), "total", "idf")
+
+    @cached_property
+    def norms(self) -> DataFrame:
+        """doc_id, norm of the document's raw TF-IDF vector."""
+        raw = self.bag.join(self.idf.select("term", "idf"), "term").select("doc_id", (F.col("n") * F.col("idf")).alias("x"))
+        return session.staged(raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")), "norms")
 
     @cached_property
     def weights(self) -> DataFrame:
-        """term, doc_id, w: L2-normalised TF-IDF, by term."""
+        """term, doc_id, w: L2-normalised TF-IDF; a filter on term reaches the files of entries."""
         raw = self.bag.join(self.idf.select("term", "idf"), "term").select("term", "doc_id", (F.col("n") * F.col("idf")).alias("x"))
-        norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return session.staged(raw.join(norm, "doc_id").select("term", "doc_id", (F.col("x") / F.col("norm")).alias("w")), "weights", "term")
+        return raw.join(self.norms, "doc_id").select("term", "doc_id", (F.col("x") / F.col("norm")).alias("w"))
 
     @cached_property
     def lengths(self) -> DataFrame:
@@ -115,10 +130,14 @@ class Index:
     # Look-ups.
 
     def lookup(self, terms: list[str]) -> DataFrame:
-        """term, in_vocabulary, document_count, doc_ids for each term asked for."""
+        """term, in_vocabulary, document_count for each term asked for."""
         asked = self.spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-        found = self.postings.filter(F.col("term").isin(*terms)).groupBy("term").agg(F.count(F.lit(1)).alias("document_count"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
-        return F.broadcast(asked).join(found, "term", "left").select("term", F.col("document_count").isNotNull().alias("in_vocabulary"), F.coalesce("document_count", F.lit(0)).alias("document_count"), F.coalesce("doc_ids", F.array().cast("array<bigint>")).alias("doc_ids"))
+        found = self.vocabulary.filter(F.col("term").isin(*terms)).select("term", F.col("doc_freq").alias("document_count"))
+        return F.broadcast(asked).join(found, "term", "left").select("term", F.col("document_count").isNotNull().alias("in_vocabulary"), F.coalesce("document_count", F.lit(0)).alias("document_count"))
+
+    def documents_of(self, terms: list[str]) -> DataFrame:
+        """term, doc_id, wtf for the terms asked for, a row each, as a term may be in any share of the documents."""
+        return self.postings.filter(F.col("term").isin(*terms))
 
     def candidates(self, terms: list[str]) -> DataFrame:
         """doc_id of documents with any of the terms."""
@@ -155,11 +174,31 @@ class Index:
     # Changes.
 
     def without(self, ids: DataFrame) -> Index:
-        return Index(self.corpus.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+        """The index of the corpus without these documents."""
+        gone = ids.select("doc_id").distinct()
+        return self._changed(self.corpus.join(gone, "doc_id", "left_anti"), gone, None)
 
     def with_documents(self, rows: DataFrame) -> Index:
-        kept = self.corpus.join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
-        return Index(kept.unionByName(rows.select(*self.corpus.columns)))
+        """The index of the corpus with these documents, in place of those of equal doc_id."""
+        new = rows.select(*self.corpus.columns)
+        gone = new.select("doc_id").distinct()
+        return self._changed(self.corpus.join(gone, "doc_id", "left_anti").unionByName(new), gone, Index(new))
+
+    def _changed(self, corpus: DataFrame, gone: DataFrame, new: Index | None) -> Index:
+        """Tokens, keywords and entries of other documents are taken over as they are; only those of the new documents are made. What
+        depends on all documents (vocabulary, norms) is summed up again from the entries."""
+        out = Index(corpus)
+        for name in ("tokens", "keywords", "keyword_tokens", "entries"):
+            kept = getattr(self, name).join(gone, "doc_id", "left_anti")
+            kept = kept if new is None else kept.unionByName(getattr(new, name))
+            if name == "entries":
+                kept = session.staged(kept.repartitionByRange("term", "doc_id"), name, "term", "doc_id")
+            setattr(out, name, kept)
+        return out
+
+
+def _weight():
+    return F.when(F.col("field") == "title", TITLE + BODY).when(F.col("field") == "content", BODY).otherwise(KEYWORD)
 
 
 def idf(df, documents: int):

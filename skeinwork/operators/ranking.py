@@ -161,7 +161,8 @@ class Search:
 
     @staticmethod
     def ordered(results: DataFrame, sort: str = "relevance") -> DataFrame:
-        by = {"title": [F.lower("title"), F.desc("score"), "doc_id"], "newest": [F.desc("created_at"), F.desc("score"), "doc_id"]}.get(sort, [F.desc("score"), "doc_id"])
+        newest = F.desc("created_at") if "created_at" in results.columns else F.desc("doc_id")  # numbers follow insertion
+        by = {"title": [F.lower("title"), F.desc("score"), "doc_id"], "newest": [newest, F.desc("score"), "doc_id"]}.get(sort, [F.desc("score"), "doc_id"])
         return results.orderBy(*by)
 
     def search(self, query: str, page: int = 1, per_page: int = 10, category: str = "all", sort: str = "relevance", min_score: float | None = None, **more) -> dict:

@@ -41,6 +41,11 @@ def duplicate_count(corpus: DataFrame, title: str) -> DataFrame:
     return corpus.filter(F.col("title") == title.strip()).agg(F.count(F.lit(1)).alias("duplicates"))
 
 
+def duplicate_titles(corpus: DataFrame) -> DataFrame:
+    """title, n of the titles that several documents have."""
+    return corpus.groupBy("title").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def append_history(history: DataFrame, rows: DataFrame, retention: int = RETENTION) -> DataFrame:
     """History with new rows, cut to the latest ones by id: a top-k, not a window over all rows."""
     return history.unionByName(rows).orderBy(F.desc("id")).limit(retention)

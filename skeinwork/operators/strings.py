@@ -10,14 +10,22 @@ from skeinwork.functions import text as X
 
 
 def positions(text: Column, pattern: str) -> Column:
-    """0-based starts of all occurrences of a literal, overlapping ones too."""
-    m = len(pattern)
-    if not m:
-        return F.array().cast("array<int>")
-    text = F.coalesce(text, F.lit(""))
-    last = F.length(text) - m
-    every = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(text, i + 1, F.lit(m)) == pattern)
-    return F.when((last >= 0) & F.contains(text, F.lit(pattern)), every).otherwise(F.array().cast("array<int>"))
+    """0-based starts of all occurrences of a literal, overlapping ones too, in one pass over each text. In Arrow batches: built-in functions
+    find one place at a time, and count characters from the start each time."""
+    import pandas as pd
+
+    def starts(t: str | None) -> list[int]:
+        out, at = [], (t or "").find(pattern) if pattern else -1
+        while at >= 0:
+            out.append(at)
+            at = t.find(pattern, at + 1)
+        return out
+
+    def run(x):
+        return x.map(starts, na_action=None)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<int>")(text)
 
 
 def failure_function(pattern: str) -> list[int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinwork import session
 from skeinwork.functions import text as X
-from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf
+from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf, traces
 from skeinwork.operators.index import Index
 from skeinwork.plans import sql as S
 from skeinwork.sources import corpus as C
@@ -46,16 +47,25 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return C.from_documents(session.table(spark, sf, "documents"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in at least as many partitions as there are cores; a table of many files is read as it lies."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def index(spark: SparkSession, sf: str) -> Index:
     """The index of a folder's documents; its tables are written once for each session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        rows = corpus(spark, sf)
-        # A single file is one task to read; what follows should use all cores.
-        _INDEXES[key] = Index(session.staged(rows.repartition(spark.sparkContext.defaultParallelism), "corpus"))
+        _INDEXES[key] = Index(session.staged(spread(corpus(spark, sf)), "corpus"))
     return _INDEXES[key]
 
 
+def forget_indexes() -> None:
+    """The next query builds its index anew."""
+    _INDEXES.clear()
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """The events table read as a search log."""
     e = session.table(spark, sf, "events")
@@ -93,12 +103,12 @@ def _(spark, sf):
 
 
 @query("validate_documents", f"""WITH {S.DOCS}, base AS (
-  SELECT doc_id, trim(title) AS title, content, coalesce(nullif(substr(trim(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''), 'document') AS base,
-    CASE WHEN trim(title) = '' THEN 'title is required' WHEN length(trim(content)) < 10 THEN 'content is too short' END AS error FROM docs
-), n AS (SELECT *, row_number() OVER (PARTITION BY base, error IS NULL ORDER BY title, content) - 1 AS n FROM base)
-SELECT base AS slug, count(*) AS documents, CAST(sum(CASE WHEN error IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS errors FROM (SELECT CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS base, error FROM n) GROUP BY base""")
+  SELECT coalesce(nullif(substr(trim(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''), 'document') AS base, trim(title) = '' OR length(trim(content)) < 10 AS bad FROM docs
+) SELECT base, count(*) AS documents, count(*) FILTER (bad) AS errors, count(*) FILTER (NOT bad) AS slugs, CASE WHEN count(*) FILTER (NOT bad) > 0 THEN 1 ELSE 0 END AS bare FROM base GROUP BY base""")
 def _(spark, sf):
-    return C.validated(corpus(spark, sf).drop("hits")).groupBy("slug").agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("errors"))
+    # Slugs are all different, and one row of each base that is not refused has the base itself.
+    rows = C.validated(corpus(spark, sf).drop("hits")).withColumn("base", X.slugify(F.trim("title")))
+    return rows.groupBy("base").agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("errors"), F.countDistinct("slug").alias("slugs"), F.count(F.when(F.col("slug") == F.col("base"), 1)).alias("bare"))
 
 
 @query("seed_new", f"WITH {S.DOCS}, old AS (SELECT DISTINCT title FROM docs WHERE doc_id % 3 = 0) SELECT count(*) AS inserted FROM docs WHERE title NOT IN (SELECT title FROM old)")
@@ -126,14 +136,19 @@ def _(spark, sf):
     return C.table_counts({t: session.table(spark, sf, t) for t in ("documents", "events", "lineitem", "orders", "pages")})
 
 
-@query("export_json", """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")
+@query("export_json", """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS json FROM customer""")
 def _(spark, sf):
-    return session.table(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
+    path = f"{session.shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    C.export_json(session.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
+    return spark.read.text(path).select(F.col("value").alias("json"))
 
 
-@query("html_files_parsed", r"""SELECT page_id, regexp_replace(url, '^.*/', '') AS file, CAST(length(html) AS BIGINT) AS n FROM pages""")
+@query("text_files_parsed", f"""WITH {S.DOCS} SELECT doc_id, 'Document ' || doc_id AS title, category, 'Unknown' AS author, 'one|two' AS keywords, 'short' AS summary, regexp_replace(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '^[ \\t\\n\\v\\f\\r]+', ''), '[ \\t\\n\\v\\f\\r]+$', '') AS body FROM docs""")
 def _(spark, sf):
-    return session.table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^.*/", "").alias("file"), F.length("html").cast("long").alias("n"))
+    d = corpus(spark, sf)
+    text = C.render_file(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.col("category"), F.lit(""), F.array(F.lit("one"), F.lit("two")), F.lit("short"), F.col("content"))
+    made = d.select("doc_id", *[c.alias(n) for n, c in C.parse_file(text, F.lit("/x/file.txt")).items()])
+    return made.select("doc_id", "title", "category", "author", F.array_join("keywords", "|").alias("keywords"), "summary", F.col("content").alias("body"))
 
 
 # B: text.
@@ -146,8 +161,8 @@ def _(spark, sf):
 
 @query("token_counts", f"WITH {S.TOKENS} SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT surface) AS surfaces FROM tokens WHERE field = 'content' GROUP BY doc_id")
 def _(spark, sf):
-    t = corpus(spark, sf).select("doc_id", F.explode(X.tokenize(F.col("content"))).alias("t"))
-    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("t").alias("surfaces"))
+    t = corpus(spark, sf).select("doc_id", X.tokenize(F.col("content")).alias("t")).filter(F.size("t") > 0)
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("surfaces"))
 
 
 @query("stopword_counts", f"WITH {S.DOCS}, w AS (SELECT unnest(string_split({S.norm('content')}, ' ')) AS word FROM docs) SELECT word, count(*) AS n FROM w WHERE word IN ({S.STOP}) GROUP BY word")
@@ -177,9 +192,9 @@ def _(spark, sf):
     return corpus(spark, sf).filter(X.matches_word(F.col("content"), "the tion")).select("doc_id")
 
 
-@query("phrases_of_pages", r"""SELECT page_id, len(list_filter(list_transform(regexp_extract_all(html, '"([^"]+)"', 1), lambda p: NORM), lambda p: p <> '')) AS phrases FROM pages""".replace("NORM", S.norm("p")))
+@query("phrases_of_pages", r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '"([^"]+)"', 1), lambda p: NORM), lambda p: p <> '' AND p NOT IN (STOPPED)), '|') AS phrases FROM pages""".replace("NORM", S.norm("p")).replace("STOPPED", ", ".join(f"'{p}'" for p in X.STOP_PHRASES)))
 def _(spark, sf):
-    return session.table(spark, sf, "pages").select("page_id", F.size(X.extract_phrases(F.col("html"))).cast("long").alias("phrases"))
+    return session.table(spark, sf, "pages").select("page_id", F.array_join(X.extract_phrases(F.col("html")), "|").alias("phrases"))
 
 
 @query("reference_links", "WITH d AS (SELECT doc_id, '[[' || (doc_id + 1) || ']] and [[Doc-' || doc_id || ']]' AS t FROM documents) SELECT doc_id, CAST(doc_id + 1 AS VARCHAR) || ',doc-' || doc_id AS links FROM d")
@@ -216,9 +231,11 @@ def _(spark, sf):
     return index(spark, sf).surfaces.select("term", "surface", F.col("votes").cast("long").alias("votes"))
 
 
-@query("term_lookup", f"WITH {S.INDEX} SELECT term, count(*) AS document_count, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids FROM postings WHERE term IN ('tion', 'ing', 'ment') GROUP BY term")
+@query("term_lookup", f"WITH {S.INDEX} SELECT term, doc_id, document_count FROM postings JOIN (SELECT term, count(*) AS document_count FROM postings GROUP BY term) USING (term) WHERE term IN ('tion', 'ing', 'ment')")
 def _(spark, sf):
-    return index(spark, sf).lookup([*TERMS, "absent0"]).filter("in_vocabulary").select("term", "document_count", F.md5(F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")).alias("ids"))
+    ix = index(spark, sf)
+    counts = ix.lookup([*TERMS, "absent0"]).filter("in_vocabulary")
+    return ix.documents_of(TERMS).join(F.broadcast(counts), "term").select("term", "doc_id", "document_count")
 
 
 @query("candidates", f"WITH {S.INDEX} SELECT DISTINCT doc_id FROM postings WHERE term IN ('thing', 'ment')")
@@ -268,6 +285,13 @@ def _(spark, sf):
     return ix.without(ix.corpus.filter("doc_id % 4 = 0")).postings.groupBy("term").agg(F.sum("wtf").cast("long").alias("freq"))
 
 
+@query("reindexed_documents", f"WITH {S.INDEX} SELECT term, count(*) AS doc_freq, CAST(sum(wtf) AS BIGINT) AS freq FROM (SELECT term, wtf FROM postings WHERE doc_id % 4 <> 0 UNION ALL SELECT unnest(['brand', 'new', 'text']), unnest([5, 5, 5]) FROM docs WHERE doc_id % 4 = 0) GROUP BY term")
+def _(spark, sf):
+    ix = index(spark, sf)
+    new = ix.corpus.filter("doc_id % 4 = 0").withColumns({"title": F.lit(""), "content": F.lit("brand new text")})
+    return ix.with_documents(new).vocabulary.select("term", "doc_freq", F.col("freq").cast("long").alias("freq"))
+
+
 # D, E: tries and hashes.
 
 _TITLE_WORDS = f"{S.TOKENS}, words AS MATERIALIZED (SELECT DISTINCT term AS word FROM tokens WHERE field = 'title')"
@@ -318,15 +342,16 @@ def _(spark, sf):
 
 @query("open_addressing")
 def _(spark, sf):
-    return lab.hash_counters(session.table(spark, sf, "part").groupBy(F.col("p_brand").alias("run")).agg(F.array_sort(F.collect_list("p_name")).alias("keys")))
+    runs = lab.runs_of(session.table(spark, sf, "part"), "p_name", "p_brand", "p_name", "p_partkey")
+    return lab.hash_counters(runs.withColumnRenamed("items", "keys"))
 
 
 # F: string matching.
 
 
-@query("kmp_positions", f"WITH {S.DOCS}, p AS (SELECT doc_id, unnest(range(0, length(title) - 1)) AS pos, title FROM docs) SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM p WHERE title[pos + 1 : pos + 2] = 'th'")
+@query("kmp_positions", f"WITH {S.DOCS}, p AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM (SELECT doc_id, string_split(content, '') AS l FROM docs)) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos FROM p WHERE l[i] = 't' AND l[i + 1] = 'h'")
 def _(spark, sf):
-    return corpus(spark, sf).select("doc_id", F.explode(strings.positions(F.col("title"), "th")).alias("pos"))
+    return corpus(spark, sf).select("doc_id", F.explode(strings.positions(F.col("content"), "th")).alias("pos"))
 
 
 @query("phrase_counts", f"WITH {S.DOCS}, t AS (SELECT doc_id, lower(title || ' ' || content) AS t FROM docs) SELECT doc_id, (length(t) - length(replace(t, 'of the', ''))) // 6 AS matches FROM t WHERE contains(t, 'of the')")
@@ -335,14 +360,14 @@ def _(spark, sf):
     return t.filter("matches > 0")
 
 
-@query("overlapping_counts", f"WITH {S.DOCS} SELECT doc_id, len(list_filter(range(1, length(title)), lambda i: title[i : i + 2] = 'tht' OR title[i : i + 2] = 'ese')) AS n FROM docs")
+@query("overlapping_counts", f"WITH {S.DOCS} SELECT doc_id, len(list_filter(range(1, len(l) - 1), lambda i: (l[i] = 't' AND l[i + 1] = 'h' AND l[i + 2] = 't') OR (l[i] = 'e' AND l[i + 1] = 's' AND l[i + 2] = 'e'))) AS n FROM (SELECT doc_id, string_split(content, '') AS l FROM docs)")
 def _(spark, sf):
-    return corpus(spark, sf).select("doc_id", (X.count_overlapping(F.col("title"), "tht") + X.count_overlapping(F.col("title"), "ese")).cast("long").alias("n"))
+    return corpus(spark, sf).select("doc_id", (X.count_overlapping(F.col("content"), "tht") + X.count_overlapping(F.col("content"), "ese")).cast("long").alias("n"))
 
 
-@query("multi_pattern", f"WITH {S.DOCS}, p AS (SELECT unnest(['and', 'tion', 'q']) AS pattern) SELECT doc_id, pattern, (length(title) - length(replace(title, pattern, ''))) // length(pattern) AS matches FROM docs, p")
+@query("multi_pattern", f"WITH {S.DOCS}, p AS (SELECT unnest(['and', 'tion', 'q']) AS pattern) SELECT doc_id, pattern, (length(content) - length(replace(content, pattern, ''))) // length(pattern) AS matches FROM docs, p")
 def _(spark, sf):
-    m = strings.multi_pattern(corpus(spark, sf).select("doc_id", "title"), "title", ["and", "tion", "q"])
+    m = strings.multi_pattern(corpus(spark, sf).select("doc_id", "content"), "content", ["and", "tion", "q"])
     return m.withColumn("matches", F.col("matches").cast("long"))
 
 
@@ -351,9 +376,9 @@ def _(spark, sf):
     return session.table(spark, sf, "part").select("p_partkey", F.posexplode(strings.window_hashes(F.col("p_type"), 5)).alias("pos", "hash"))
 
 
-@query("rabin_karp", "SELECT p_partkey, CASE WHEN contains(p_type, 'E') THEN len(list_filter(range(1, length(p_type) + 1), lambda i: p_type[i] = 'E')) ELSE 0 END AS matches, CAST(length(p_type) AS INTEGER) AS hash_comparisons, 0 AS collisions FROM part")
+@query("rabin_karp", f"WITH w AS (SELECT p_partkey, p_type[i : i + 1] AS s FROM (SELECT p_partkey, p_type, unnest(range(1, length(p_type))) AS i FROM part)), h AS (SELECT p_partkey, s, {_POLY.format('s')} = {ord('E') * 31 + ord('R')} AS same FROM w) SELECT p_partkey, count(*) FILTER (s = 'ER') AS matches, CAST(count(*) AS INTEGER) AS hash_comparisons, CAST(count(*) FILTER (same AND s <> 'ER') AS INTEGER) AS collisions FROM h GROUP BY p_partkey")
 def _(spark, sf):
-    r = session.table(spark, sf, "part").select("p_partkey", strings.rabin_karp(F.col("p_type"), "E").alias("r"))
+    r = session.table(spark, sf, "part").select("p_partkey", strings.rabin_karp(F.col("p_type"), "ER").alias("r"))
     return r.select("p_partkey", F.size("r.matches").cast("long").alias("matches"), "r.hash_comparisons", "r.collisions")
 
 
@@ -365,7 +390,14 @@ def _(spark, sf):
 
 @query("match_counters")
 def _(spark, sf):
-    return lab.match_counters(corpus(spark, sf).select(F.col("doc_id").cast("string").alias("run"), F.col("title").alias("text")), "th")
+    return lab.match_counters(corpus(spark, sf).select(F.col("doc_id").cast("string").alias("run"), F.col("content").alias("text")), "th")
+
+
+@query("laboratory_traces", "SELECT CAST(i AS VARCHAR) AS run, 'linear_steps' AS kind, 0::BIGINT AS steps FROM range(0) AS t(i) UNION ALL SELECT 'trie', 'follow', count(*) FROM (SELECT row_number() OVER (PARTITION BY prefix ORDER BY seq) AS n FROM (SELECT seq, word[1:i] AS prefix FROM (SELECT seq, word, unnest(range(1, length(word) + 1)) AS i FROM (VALUES (1, 'alpha'), (2, 'algorithm'), (3, 'algorithms')) AS w(seq, word)))) WHERE n > 1 UNION ALL SELECT 'kmp', 'found', count(*) FROM (SELECT unnest(range(1, 6)) AS i) WHERE substr('abababab', i::INT, 4) = 'abab'")
+def _(spark, sf):
+    asked = spark.createDataFrame([("trie", "trie", {"words": "alpha,algorithm,algorithms", "prefix": "algo"}), ("kmp", "kmp", {"text": "abababab", "pattern": "abab"})], "run string, algorithm string, request map<string,string>")
+    steps = traces.traces(asked).filter("(run = 'trie' and action = 'follow') or (run = 'kmp' and action = 'found')")
+    return steps.groupBy("run", F.col("action").alias("kind")).agg(F.count(F.lit(1)).alias("steps"))
 
 
 # G: searching and sorting.
@@ -409,13 +441,13 @@ def _(spark, sf):
 
 @query("sort_counters")
 def _(spark, sf):
-    rows = session.table(spark, sf, "part").groupBy(F.col("p_brand").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda x: x["p_size"].cast("long")).alias("values"))
-    return lab.sort_counters(rows)
+    runs = lab.runs_of(session.table(spark, sf, "part").withColumn("v", F.col("p_size").cast("long")), "v", "p_brand", "p_partkey")
+    return lab.sort_counters(runs.withColumnRenamed("items", "values"))
 
 
-@query("algorithm_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in lab.ALGORITHMS) + ") AS t(algorithm, category, complexity)")
+@query("algorithm_registry", "SELECT * FROM (VALUES " + ", ".join(str(a) for a in lab.ALGORITHMS) + ") AS t(" + ", ".join(lab.FIELDS) + ")")
 def _(spark, sf):
-    return lab.registry(spark)
+    return lab.registry(spark).select(*lab.FIELDS)
 
 
 @query("complexity_curves", "SELECT n, 1::BIGINT AS constant, CAST(length(bin(n)) AS BIGINT) AS logarithmic, n AS linear, n * length(bin(n)) AS linearithmic, n * n AS quadratic, CASE WHEN n < 64 THEN pow(2.0::DOUBLE, n) ELSE 1.8e19::DOUBLE END AS exponential FROM (VALUES (10::BIGINT), (100), (1000), (10000), (100000)) AS t(n)")
@@ -460,7 +492,11 @@ def _contains_any(col: str, t: str) -> str:
     return f"(contains({col}, '{t}') OR contains({col}, '{t[:-1]}'))" if len(t) > 3 else f"contains({col}, '{t}')"
 
 
-def _ranked_sql(tokens: list[str], phrases: list[str], extra: str = "", known: bool = True) -> str:
+_COLUMNS = "doc_id, title, category, phrase_matches, score"
+
+
+def _ranked_sql(tokens: list[str], phrases: list[str], extra: str = "", known: bool = True, columns: str = _COLUMNS, authority: str = "") -> str:
+    """SQL of a ranked search. authority: more tables, of which simrank(node, pagerank) gives the link authority."""
     words = [w for p in phrases for w in p.split()]
     asked = [*tokens, *phrases, *words]
     terms = tokens or [X.stem_word(w) for w in words]
@@ -468,17 +504,19 @@ def _ranked_sql(tokens: list[str], phrases: list[str], extra: str = "", known: b
     key = " + ".join(f"CAST(len(list_filter(ks, lambda k: contains(k, '{t}') OR contains('{t}', k))) > 0 AS INTEGER)" for t in asked)
     counts = " + ".join(f"(length(body) - length(replace(body, '{p}', ''))) // {len(p)}" for p in phrases) or "0::BIGINT"
     n_terms = f"JOIN (SELECT doc_id, count(*) AS n_terms FROM postings WHERE term IN ({', '.join(repr(t) for t in tokens)}) GROUP BY doc_id) USING (doc_id)" if known else "CROSS JOIN (SELECT 0::BIGINT AS n_terms)"
-    return f"""WITH {S.cosine(list(dict.fromkeys(terms)))}, ks AS (SELECT doc_id, list(keyword) AS ks FROM keywords GROUP BY doc_id
-), b AS (SELECT docs.doc_id, title, category, lower(title || ' ' || content) AS body, coalesce(ks, []) AS ks, coalesce(score, 0.0::DOUBLE) AS cosine, (SELECT max(score) FROM cos) AS best, n_terms
-  FROM docs LEFT JOIN ks USING (doc_id) LEFT JOIN cos USING (doc_id) {n_terms}
-), g AS (SELECT doc_id, title, category, n_terms, {counts} AS phrase_matches, round({title}, 4) AS t,
+    graph_signal = "round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (coalesce(pagerank, 0.0::DOUBLE) - least_rank) / greatest(1e-9::DOUBLE, most_rank - least_rank))), 4)" if authority else "0.0::DOUBLE"
+    ranks = "LEFT JOIN simrank ON node = docs.doc_id, (SELECT min(pagerank) AS least_rank, max(pagerank) AS most_rank FROM simrank)" if authority else ""
+    return f"""WITH {"RECURSIVE " if authority else ""}{S.cosine(list(dict.fromkeys(terms)))}{authority}, ks AS (SELECT doc_id, list(keyword) AS ks FROM keywords GROUP BY doc_id
+), b AS (SELECT docs.doc_id, title, category, lower(title || ' ' || content) AS body, coalesce(ks, []) AS ks, coalesce(score, 0.0::DOUBLE) AS cosine, (SELECT max(score) FROM cos) AS best, n_terms, {graph_signal} AS gr
+  FROM docs LEFT JOIN ks USING (doc_id) LEFT JOIN cos USING (doc_id) {n_terms} {ranks}
+), g AS (SELECT doc_id, title, category, n_terms, gr, {counts} AS phrase_matches, round({title}, 4) AS t,
   round(CASE WHEN len(ks) > 0 THEN ({key}) / {len(asked)}.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS k, round(CASE WHEN best > 0 THEN least(1.0, cosine / best) ELSE 0.0::DOUBLE END, 4) AS c,
   {f"contains({S.norm('title')}, '{X.normal_form(' '.join(phrases))}')" if phrases else "false"} AS in_title FROM b
 ), p AS (SELECT *, round(CASE WHEN phrase_matches > 0 THEN 1 - exp(-phrase_matches / 3.0::DOUBLE) ELSE 0.0::DOUBLE END, 4) AS ph FROM g
-), s AS (SELECT doc_id, title, category, phrase_matches, round((round(0.3::DOUBLE * t, 6) + round(0.25::DOUBLE * k, 6) + round(0.25::DOUBLE * c, 6) + round(0.1::DOUBLE * ph, 6))
+), s AS (SELECT doc_id, title, category, phrase_matches, t, k, c, ph, gr, round((round(0.3::DOUBLE * t, 6) + round(0.25::DOUBLE * k, 6) + round(0.25::DOUBLE * c, 6) + round(0.1::DOUBLE * ph, 6) + round(0.1::DOUBLE * gr, 6))
   * CASE WHEN n_terms >= 0.999 * {len(set(terms))} THEN 1.12::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN in_title AND t > 0 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END
   * CASE WHEN c > 0.75 AND t > 0 THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END + 0.0008::DOUBLE, 6) AS score FROM p)
-SELECT doc_id, title, category, phrase_matches, score FROM s {extra}"""
+SELECT {columns} FROM s {extra}"""
 
 
 @query("search_ranked", _ranked_sql(["tion", "ing", "ment"], []))
@@ -506,10 +544,33 @@ def _(spark, sf):
     return ranking.Search(index(spark, sf)).results("src1").select("doc_id")
 
 
-@query("search_page", None)
+@query("search_page", _ranked_sql(["tion", "ing", "ment"], [], "ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10", columns="doc_id, score, round(least(99.0::DOUBLE, score * 135), 1) AS score_percent"))
 def _(spark, sf):
     page = ranking.Search(index(spark, sf)).search(FLAGSHIP, page=2)
-    return page["results"].select("doc_id", "score", "score_percent", "snippet")
+    return page["results"].select("doc_id", "score", "score_percent")
+
+
+@query("search_explained", _ranked_sql(["ment"], ["of the"], "ORDER BY score DESC, doc_id LIMIT 10", columns="doc_id, t AS title_value, round(t * 0.3::DOUBLE, 6) AS title_part, k AS keyword_value, round(k * 0.25::DOUBLE, 6) AS keyword_part, c AS content_value, round(c * 0.25::DOUBLE, 6) AS content_part, ph AS phrase_value, round(ph * 0.1::DOUBLE, 6) AS phrase_part, score AS total"))
+def _(spark, sf):
+    page = ranking.Search(index(spark, sf)).search('ment "of the"')["results"]
+    of = lambda name, what: F.filter("score_breakdown", lambda x: x["signal"] == name)[0][what]
+    parts = [of(n, w).alias(f"{n}_{a}") for n in ("title", "keyword", "content", "phrase") for w, a in (("value", "value"), ("contribution", "part"))]
+    return page.select("doc_id", *parts, of("total", "value").alias("total"))
+
+
+@query("search_min_score", f"SELECT * FROM ({_ranked_sql(['tion', 'ing'], [], 'ORDER BY score DESC, doc_id LIMIT 50')}) WHERE score >= 0.3")
+def _(spark, sf):
+    return ranking.Search(index(spark, sf)).search("tion ing", per_page=50, min_score=0.3)["results"].select("doc_id", "title", "category", "phrase_matches", "score")
+
+
+@query("search_by_title", _ranked_sql(["tion", "ing"], [], "ORDER BY lower(title), score DESC, doc_id LIMIT 10", columns="doc_id, title, score"))
+def _(spark, sf):
+    return ranking.Search(index(spark, sf)).search("tion ing", sort="title")["results"].select("doc_id", "title", "score")
+
+
+@query("suggestions", f"WITH {S.INDEX} SELECT display AS word, term, round(freq / (1 + 0.35 * (length(term) - 4))::DOUBLE, 4) AS score FROM vocabulary WHERE starts_with(term, 'tion') ORDER BY score DESC, word, term LIMIT 6")
+def _(spark, sf):
+    return ranking.Search(index(spark, sf)).search("tion ing")["suggestions"]
 
 
 # I: relational.
@@ -528,7 +589,7 @@ def _(spark, sf):
 
 @query("duplicate_titles", f"WITH {S.DOCS} SELECT title, count(*) AS n FROM docs GROUP BY title HAVING count(*) > 1")
 def _(spark, sf):
-    return corpus(spark, sf).groupBy("title").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return relational.duplicate_titles(corpus(spark, sf))
 
 
 @query("retention_500", f"WITH {S.HISTORY} SELECT id, query FROM history ORDER BY id DESC LIMIT 500")
@@ -635,8 +696,10 @@ _PAGERANK = f"""WITH RECURSIVE {S.STEPS}, node AS MATERIALIZED (SELECT p_partkey
 ), final AS MATERIALIZED (SELECT node, r AS pagerank FROM pr WHERE i = {{k}})"""
 
 
-def _rank(spark, sf, k):
-    return graph.pagerank(session.table(spark, sf, "part").select(F.col("p_partkey").alias("node")), steps(spark, sf), iterations=k, tolerance=None)
+def _rank(spark, sf, k=None):
+    """Ranks after k rounds, or converged ones."""
+    how = {"iterations": k, "tolerance": None} if k else {"tolerance": 1e-10}
+    return graph.pagerank(session.table(spark, sf, "part").select(F.col("p_partkey").alias("node")), steps(spark, sf), **how)
 
 
 @query("pagerank_k", _PAGERANK.format(k=6) + " SELECT node, round(pagerank, 8) AS pagerank FROM final")
@@ -644,39 +707,102 @@ def _(spark, sf):
     return _rank(spark, sf, 6).select("node", F.round("pagerank", 8).alias("pagerank"))
 
 
-@query("authority_labels", _PAGERANK.format(k=3) + " SELECT node, CASE WHEN pagerank / m >= 0.8 THEN 'authority' WHEN pagerank / m >= 0.5 THEN 'strong' WHEN pagerank / m >= 0.2 THEN 'linked' ELSE 'peripheral' END AS tier FROM final, (SELECT max(pagerank) AS m FROM final)")
+@query("authority_labels", _PAGERANK.format(k=30) + " SELECT node, CASE WHEN pagerank / m >= 0.8 THEN 'authority' WHEN pagerank / m >= 0.5 THEN 'strong' WHEN pagerank / m >= 0.2 THEN 'linked' ELSE 'peripheral' END AS tier FROM final, (SELECT max(pagerank) AS m FROM final)")
 def _(spark, sf):
-    return graph.authority_labels(_rank(spark, sf, 3))
+    return graph.authority_labels(_rank(spark, sf))
 
 
-@query("hub_scores", _PAGERANK.format(k=3) + " SELECT node, round(pagerank, 8) AS pagerank FROM final ORDER BY round(pagerank, 8) DESC, CAST(node AS VARCHAR) LIMIT 10")
+@query("hub_scores", _PAGERANK.format(k=30) + " SELECT node, round(pagerank, 8) AS pagerank FROM final ORDER BY round(pagerank, 8) DESC, CAST(node AS VARCHAR) LIMIT 10")
 def _(spark, sf):
-    return graph.hub_scores(_rank(spark, sf, 3).select("node", F.round("pagerank", 8).alias("pagerank")))
+    return graph.hub_scores(_rank(spark, sf).select("node", F.round("pagerank", 8).alias("pagerank")))
+
 
+# Converged ranks of the similarity graph: simrank(node, pagerank).
+_SIMRANK = """, deg AS MATERIALIZED (SELECT src, count(*) AS o FROM directed GROUP BY src), link AS MATERIALIZED (SELECT src, dst, 1 / CAST(o AS DOUBLE) AS share FROM directed JOIN deg USING (src)
+), total AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM docs), pr AS (
+  SELECT 0 AS i, doc_id AS node, 1.0::DOUBLE / total.n AS r FROM docs, total
+  UNION ALL
+  SELECT i + 1, node, sum(add) AS r FROM (
+    SELECT pr.i, link.dst AS node, 0.85::DOUBLE * pr.r * share AS add FROM pr JOIN link ON link.src = pr.node WHERE pr.i < 60
+    UNION ALL SELECT x.i, docs.doc_id, 0.15::DOUBLE / total.n + 0.85::DOUBLE * x.lost / total.n FROM (SELECT pr.i, sum(CASE WHEN deg.src IS NULL THEN pr.r ELSE 0.0::DOUBLE END) AS lost FROM pr LEFT JOIN deg ON deg.src = pr.node WHERE pr.i < 60 GROUP BY pr.i) x, docs, total
+  ) GROUP BY i, node
+), simrank AS MATERIALIZED (SELECT node, r AS pagerank FROM pr WHERE i = 60)"""
 
-@query("related_docs", f"WITH {_BOTH} SELECT dst, round(sqrt(weight * 0.5), 4) AS score FROM directed WHERE src = 1 ORDER BY score DESC, dst LIMIT 5")
+
+def simrank(spark, sf):
+    ix = index(spark, sf)
+    if not hasattr(ix, "simrank"):
+        ix.simrank = session.staged(graph.pagerank(ix.corpus.select(F.col("doc_id").alias("node")), _both(pairs(spark, sf)), tolerance=1e-10), "simrank")
+    return ix.simrank
+
+
+@query("related_docs", f"WITH RECURSIVE {_BOTH}{_SIMRANK} SELECT dst, round(sqrt(weight * pagerank / (SELECT max(pagerank) FROM simrank)), 4) AS score FROM directed JOIN simrank ON node = dst WHERE src = 1 ORDER BY score DESC, dst LIMIT 5")
 def _(spark, sf):
-    ranks = corpus(spark, sf).select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") == 1, 1.0).otherwise(0.5).alias("pagerank"))
-    return graph.related(_both(pairs(spark, sf)), ranks, 1)
+    return graph.related(_both(pairs(spark, sf)), simrank(spark, sf), 1)
 
 
-_SPARSE = f"{S.STEPS}, sparse AS MATERIALIZED (SELECT DISTINCT src, dst FROM steps WHERE quantity >= 45)"
+@query("search_with_authority", _ranked_sql(["tion", "ing"], [], authority=_BOTH.removeprefix(S.INDEX) + _SIMRANK, columns="doc_id, gr AS graph_signal, score"))
+def _(spark, sf):
+    ranks = simrank(spark, sf).withColumnRenamed("node", "doc_id")
+    return ranking.Search(index(spark, sf), ranks).results("tion ing").select("doc_id", "graph_signal", "score")
+
 
+def _slugged(spark, sf):
+    """The documents, each with a slug and text that names the next one by slug, the one after by number, itself, and nobody."""
+    d = F.col("doc_id")
+    links = F.concat(F.lit("[[doc-"), (d + 1).cast("string"), F.lit("]] [["), (d + 2).cast("string"), F.lit("]] [[doc-"), d.cast("string"), F.lit("]] [[nobody]] [[Doc-"), (d + 1).cast("string"), F.lit("]]"))
+    return corpus(spark, sf).select("doc_id", F.concat(F.lit("doc-"), d.cast("string")).alias("slug"), links.alias("content"))
 
-def _sparse(spark, sf):
-    return steps(spark, sf).filter("quantity >= 45").select("src", "dst").distinct()
 
+_REFERENCES = "refs AS MATERIALIZED (SELECT a.doc_id AS src, b.doc_id AS dst, CAST(b.doc_id - a.doc_id - 1 AS INTEGER) AS pos, 1.0::DOUBLE AS weight FROM docs a JOIN docs b ON b.doc_id IN (a.doc_id + 1, a.doc_id + 2))"
 
-@query("bfs_levels", f"WITH RECURSIVE {_SPARSE}, first AS (SELECT min(src) AS s FROM sparse), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN sparse ON src = node WHERE depth < 12) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
+
+@query("reference_edges", f"WITH {S.DOCS}, {_REFERENCES} SELECT src, dst, pos, weight FROM refs")
 def _(spark, sf):
-    e = _sparse(spark, sf)
-    return graph.bfs(e, e.agg(F.min("src")).first()[0], max_depth=12).select("node", "depth")
+    return graph.reference_edges(_slugged(spark, sf)).select("src", "dst", "pos", "weight")
+
 
+def _documents_graph(spark, sf):
+    return graph.document_graph(graph.reference_edges(_slugged(spark, sf)), pairs(spark, sf))
 
-@query("bfs_order", None)
+
+_GRAPH = f"{_BOTH}, {_REFERENCES}, every_edge AS MATERIALIZED (SELECT refs.src, refs.dst, 'reference' AS type, coalesce(directed.weight, 1.0::DOUBLE) AS weight FROM refs LEFT JOIN directed USING (src, dst) UNION ALL SELECT src, dst, 'similarity', weight FROM directed)"
+
+
+@query("document_graph", f"WITH {_GRAPH} SELECT src, dst, type, weight FROM every_edge")
+def _(spark, sf):
+    return _documents_graph(spark, sf).select("src", "dst", "type", "weight")
+
+
+@query("weighted_costs", f"WITH {_GRAPH} SELECT src, dst, round(min(2.0::DOUBLE - weight), 4) AS cost FROM every_edge GROUP BY src, dst")
+def _(spark, sf):
+    return graph.costs(_documents_graph(spark, sf)).select("src", "dst", F.round("cost", 4).alias("cost"))
+
+
+@query("document_graph_stats", f"WITH {_GRAPH} SELECT (SELECT count(*) FROM docs) AS nodes, count(*) AS edges, count(*) FILTER (type = 'reference') AS reference_edges, count(*) FILTER (type = 'similarity') AS similarity_edges, round(count(*)::DOUBLE / (SELECT count(*) FROM docs), 2) AS avg_degree FROM every_edge")
+def _(spark, sf):
+    return graph.graph_stats(corpus(spark, sf).select(F.col("doc_id").alias("node")), _documents_graph(spark, sf))
+
+
+_LINKS = f"{S.STEPS}, links AS MATERIALIZED (SELECT DISTINCT src, dst FROM steps)"
+
+
+# The SQL walks 25 steps, more than the graph's diameter; the walk itself ends when nothing is new.
+@query("bfs_levels", f"WITH RECURSIVE {_LINKS}, first AS (SELECT min(src) AS s FROM links), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 25) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
 def _(spark, sf):
     e = steps(spark, sf)
-    return graph.bfs(e, e.agg(F.min("src")).first()[0]).select("visit", "node", "depth", "parent", F.size("path").alias("hops"))
+    return graph.bfs(e, e.agg(F.min("src")).first()[0]).select("node", "depth")
+
+
+@query("bfs_order", f"""WITH RECURSIVE {_LINKS}, first AS (SELECT min(src) AS s FROM links), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 25
+), lev AS MATERIALIZED (SELECT node, min(depth) AS depth FROM walk GROUP BY node
+), o AS (
+  SELECT 0 AS d, s AS node, 1::BIGINT AS p, NULL::BIGINT AS parent FROM first
+  UNION ALL SELECT d, node, row_number() OVER (ORDER BY by_p, node) AS p, parent FROM (SELECT o.d + 1 AS d, dst AS node, min(o.p) AS by_p, arg_min(o.node, o.p) AS parent FROM o JOIN links ON src = o.node JOIN lev ON lev.node = dst AND lev.depth = o.d + 1 GROUP BY o.d + 1, dst)
+) SELECT p - 1 + (SELECT count(*) FROM lev WHERE lev.depth < o.d) AS visit, node, d AS depth, parent, d + 1 AS hops FROM o""")
+def _(spark, sf):
+    e = steps(spark, sf)
+    return graph.bfs(e, e.agg(F.min("src")).first()[0]).select("visit", "node", "depth", "parent", (F.col("depth") + 1).alias("hops"))
 
 
 @query("dfs_order", None)
@@ -691,14 +817,20 @@ def _(spark, sf):
     return graph.shortest_paths(costs, 1).select("node", "dist")
 
 
-@query("components", f"WITH RECURSIVE {S.STEPS}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM steps WHERE quantity >= 50), l AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach AS (SELECT p_partkey AS node, p_partkey AS got FROM part UNION SELECT node, dst FROM reach JOIN l ON src = got) SELECT node, min(got) AS component FROM reach GROUP BY node")
+@query("components", f"WITH RECURSIVE {S.STEPS}, l AS MATERIALIZED (SELECT src, dst FROM steps UNION SELECT dst, src FROM steps), low AS (SELECT 0 AS i, p_partkey AS node, p_partkey AS c FROM part UNION ALL SELECT i, node, min(c) FROM (SELECT low.i + 1 AS i, dst AS node, c FROM low JOIN l ON src = node WHERE low.i < 25 UNION ALL SELECT i + 1, node, c FROM low WHERE i < 25) GROUP BY i, node) SELECT node, c AS component FROM low WHERE i = 25")
+def _(spark, sf):
+    return graph.components(session.table(spark, sf, "part").select(F.col("p_partkey").alias("node")), steps(spark, sf))
+
+
+@query("cycle_residue", f"WITH RECURSIVE {_LINKS}, r AS (SELECT 0 AS i, src, dst FROM links UNION ALL SELECT i + 1, src, dst FROM (SELECT r.*, r.src IN (SELECT dst FROM r) AS fed, r.dst IN (SELECT src FROM r) AS feeds FROM r) WHERE fed AND feeds AND i < 25) SELECT src, dst FROM r WHERE i = 25")
 def _(spark, sf):
-    return graph.components(session.table(spark, sf, "part").select(F.col("p_partkey").alias("node")), steps(spark, sf).filter("quantity >= 50"))
+    return graph.cycle_residue(steps(spark, sf))
 
 
-@query("cycle_residue", f"WITH RECURSIVE {S.STEPS}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM steps WHERE quantity >= 49), down AS (SELECT src AS node, dst AS got FROM e UNION SELECT node, dst FROM down JOIN e ON src = got), loops AS MATERIALIZED (SELECT DISTINCT node FROM down WHERE node = got), fed AS (SELECT DISTINCT got AS node FROM down WHERE node IN (SELECT node FROM loops)), feeds AS (SELECT DISTINCT node FROM down WHERE got IN (SELECT node FROM loops)) SELECT src, dst FROM e WHERE (src IN (SELECT node FROM fed) OR src IN (SELECT node FROM loops)) AND (dst IN (SELECT node FROM feeds) OR dst IN (SELECT node FROM loops))")
+@query("traverse_dijkstra", f"WITH RECURSIVE {_LINKS}, first AS (SELECT min(src) AS s FROM links), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 25) SELECT node, CAST(min(depth) AS DOUBLE) AS dist FROM walk GROUP BY node")
 def _(spark, sf):
-    return graph.cycle_residue(steps(spark, sf).filter("quantity >= 49"))
+    e = steps(spark, sf).select("src", "dst", F.lit(1.0).alias("weight"))  # cost 2 - 1 a step
+    return graph.traverse(e, "dijkstra", start=-5).select("node", "dist")
 
 
 @query("parsed_edges", "SELECT * FROM (VALUES ('A', 'B', 4.0::DOUBLE), ('B', 'C', 1.0::DOUBLE), ('C', 'D', 1.0::DOUBLE)) AS t(l, r, w)")
@@ -714,7 +846,6 @@ def _(spark, sf):
     return incremental.popular_windows(history(spark, sf).select("ts", "query"), "1 day")
 
 
-@query("posting_batch", f"WITH {S.TOKENS} SELECT doc_id, term, CAST(sum(n * CASE field WHEN 'title' THEN 4 ELSE 1 END) AS BIGINT) AS wtf FROM tokens WHERE doc_id % 10 = 3 GROUP BY doc_id, term")
+@query("posting_batch", f"WITH {S.TOKENS} SELECT doc_id, term, CAST(sum(n * CASE field WHEN 'title' THEN 4 ELSE 1 END) AS BIGINT) AS wtf FROM tokens GROUP BY doc_id, term")
 def _(spark, sf):
-    batch = corpus(spark, sf).filter("doc_id % 10 = 3")
-    return incremental.posting_rows(batch).withColumn("wtf", F.col("wtf").cast("long"))
+    return incremental.posting_rows(corpus(spark, sf)).withColumn("wtf", F.col("wtf").cast("long"))
\ No newline at end of file

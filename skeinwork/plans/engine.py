@@ -1,6 +1,7 @@
 """One object for a corpus: what an application asks for, each answer a DataFrame (or a dict around one).
 
-It stands in for a JSON interface: the methods are its routes, the arguments its parameters with the same limits.
+It stands in for a JSON interface: the methods are its routes, the arguments its parameters with the same limits. Changes of the corpus give
+a new engine, whose index takes over what did not change; history and the log of shown and clicked documents go along.
 """
 
 from __future__ import annotations
@@ -13,19 +14,69 @@ from pyspark.sql import functions as F
 
 from skeinwork import session
 from skeinwork.functions import text as X
-from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf
+from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf, traces
 from skeinwork.operators.index import Index
+from skeinwork.sources import corpus as C
 
 HISTORY = "id long, query string, normalized string, tokens array<string>, result_count long, documents_searched long, execution_time double, is_filtered boolean, ts timestamp"
+LOG = "doc_id long, kind string, ts timestamp"
 
 
 class Engine:
-    """corpus: doc_id, title, content, category, hits; slug and keywords where there are any. Rebuilding is making a new one."""
+    """corpus: doc_id, title, content, category, hits; slug and keywords where there are any."""
 
     def __init__(self, corpus: DataFrame, weights: dict[str, float] | None = None, damping: float = 0.85):
         self.spark, self.corpus, self.weights, self.damping = corpus.sparkSession, corpus, weights, damping
         self.index = Index(corpus)
         self.history = self.spark.createDataFrame([], HISTORY)
+        self.log = self.spark.createDataFrame([], LOG)
+        self.benchmarks = self.spark.createDataFrame([], lab.BENCHMARK)
+
+    # Changes.
+
+    def _with(self, index: Index) -> Engine:
+        out = Engine(index.corpus, self.weights, self.damping)
+        out.index, out.history, out.log, out.benchmarks = index, self.history, self.log, self.benchmarks
+        return out
+
+    def insert(self, rows: DataFrame) -> tuple[Engine, DataFrame]:
+        """The engine with rows (title, content and more of the corpus' columns) that are valid, under new numbers, and the rows that are not, with error."""
+        checked = session.staged(C.validated(rows, self.corpus if "slug" in self.corpus.columns else None), "inserted")
+        last = self.corpus.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        good = session.numbered(checked.filter("error is null").drop("doc_id"), "doc_id", "slug", "title", start=last + 1)
+        new = good.select(*[(F.col(f.name) if f.name in good.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.corpus.schema.fields])
+        return self._with(self.index.with_documents(session.staged(new, "new-documents"))), checked.filter("error is not null")
+
+    def update(self, updates: DataFrame) -> Engine:
+        changed = C.apply_updates(self.corpus.join(updates.select("doc_id").distinct(), "doc_id", "left_semi").select(*self.corpus.columns), updates)
+        return self._with(self.index.with_documents(session.staged(changed, "changed-documents")))
+
+    def delete(self, ids: list[int]) -> Engine:
+        return self._with(self.index.without(self.spark.createDataFrame([(i,) for i in ids], "doc_id long")))
+
+    def import_files(self, path: str) -> tuple[Engine, DataFrame]:
+        """The engine with the text files at path, and the files that are refused, with reason."""
+        files = C.read_text_files(self.spark, path)
+        out, refused = self.insert(files.filter("accepted"))
+        bad = files.filter("not accepted").select("path", "reason").unionByName(refused.select("path", F.col("error").alias("reason")))
+        return out, bad
+
+    def _noted(self, rows: DataFrame, kind: str) -> None:
+        self.log = session.staged(self.log.unionByName(rows.select(F.col("doc_id").cast("long"), F.lit(kind).alias("kind"), F.current_timestamp().alias("ts"))), "log")
+
+    def click(self, doc_id: int) -> None:
+        self._noted(self.corpus.filter(F.col("doc_id") == doc_id).select("doc_id"), "clicked")
+
+    def statistics(self) -> DataFrame:
+        """doc_id, times_shown, times_clicked, last_shown_at."""
+        return relational.document_statistics(self.log)
+
+    def most_matched(self, limit: int = 8) -> DataFrame:
+        return relational.most_matched(self.statistics(), self.corpus, limit)
+
+    def clear_history(self, ids: list[int] | None = None) -> None:
+        """Deletes these searches, or all."""
+        self.history = self.history.limit(0) if ids is None else session.staged(relational.delete_searches(self.history, ids), "history")
 
     # The graph.
 
@@ -51,7 +102,7 @@ class Engine:
         return graph.related(self.edges, self.ranks, doc_id, limit).join(self.corpus.select(F.col("doc_id").alias("dst"), "title"), "dst")
 
     def graph_stats(self) -> DataFrame:
-        return graph.graph_stats(self.nodes, self.edges)
+        return graph.graph_stats(self.nodes, self.edges, self.ranks)
 
     # Search.
 
@@ -69,6 +120,17 @@ class Engine:
             self.record(q, found, time.perf_counter() - began, category != "all")
         return found
 
+    def page(self, q: str, page: int = 1, per_page: int = 10, min_score: float | None = None, **more) -> dict:
+        """A page of results as it is shown: recorded, and its documents noted as shown, which raises their hits."""
+        found = self.search(q, page, max(1, min(per_page, 40)), min_score=min_score, **more)
+        found["results"] = session.staged(found["results"], "page")
+        self._noted(found["results"], "shown")
+        return found
+
+    def with_hits(self) -> DataFrame:
+        """The corpus with hits raised by the times shown."""
+        return relational.with_hits(self.corpus, self.statistics())
+
     def record(self, q: str, found: dict, seconds: float, filtered: bool) -> None:
         last = self.history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         row = self.spark.createDataFrame([(last + 1, q, found["normalized_query"], found["tokens"], found["total_results"], self.index.size, seconds * 1000, filtered, None)], HISTORY).withColumn("ts", F.current_timestamp())
@@ -90,7 +152,7 @@ class Engine:
     # Documents.
 
     def document(self, doc_id: int) -> dict:
-        return {"document": self.corpus.filter(F.col("doc_id") == doc_id), "pagerank": self.ranks.filter(F.col("node") == doc_id), "related": self.related(doc_id)}
+        return {"document": self.corpus.filter(F.col("doc_id") == doc_id), "statistics": self.statistics().filter(F.col("doc_id") == doc_id), "pagerank": self.ranks.filter(F.col("node") == doc_id), "related": self.related(doc_id)}
 
     def by_slug(self, slug: str) -> DataFrame:
         return self.corpus.filter(F.col("slug") == slug)
@@ -107,22 +169,39 @@ class Engine:
 
     # Comparisons.
 
+    def laboratory(self, algorithm: str, **request: str) -> dict:
+        return traces.run(algorithm, **request)
+
     def compare_string_matching(self, text: str, pattern: str) -> DataFrame:
-        """algorithm, matches, comparisons, agree: three matchers over one text."""
-        kmp, naive = lab.kmp_search(text, pattern), lab.naive_search(text, pattern)
-        rk = self.spark.createDataFrame([(text,)], "t string").select(strings.rabin_karp(F.col("t"), pattern).alias("r")).first()["r"]
-        agree = kmp[0] == naive[0] == list(rk["matches"])
-        rows = [("kmp", len(kmp[0]), kmp[1], agree), ("rabin_karp", len(rk["matches"]), rk["hash_comparisons"], agree), ("naive", len(naive[0]), naive[1], agree)]
-        return self.spark.createDataFrame(rows, "algorithm string, matches long, comparisons long, agree boolean")
+        """algorithm, matches (starts), comparisons, agree: three matchers over one text."""
+        runs = {"kmp": traces.kmp, "rabin_karp": traces.rabin_karp, "naive": traces.naive}
+        found = {name: traces.outcome(run(text, pattern))[1] for name, run in runs.items()}
+        agree = len({tuple(r["matches"]) for r in found.values()}) == 1
+        rows = [(n, r["matches"], r["comparisons"] if "comparisons" in r else r["hash_comparisons"] + r["char_comparisons"], agree) for n, r in found.items()]
+        return self.spark.createDataFrame(rows, "algorithm string, matches array<long>, comparisons long, agree boolean")
 
     def compare_search(self, term: str) -> DataFrame:
-        """algorithm, comparisons to find the first document with a word in its title, among titles in order: linear, binary, hash, trie."""
-        rows = self.corpus.filter(X.matches_word(F.col("title"), term)).agg(F.min("doc_id").alias("d"))
-        first = rows.first()["d"]
-        at = self.corpus.filter(F.col("doc_id") < first).count() if first is not None else 0
-        n = self.index.size
-        found = [("linear", at + 1 if n else 0), ("binary", max(1, n).bit_length()), ("hash", 1), ("trie", len(term))]
-        return self.spark.createDataFrame(found, "algorithm string, comparisons long")
+        """algorithm, found, comparisons to look a word up in the vocabulary: in order, by halves, in a table with chains, in a trie.
+
+        Each number is that of a run over the whole vocabulary: what comes before the word in order or in its chain, the halves around its
+        place, the characters that any word shares with it."""
+        stem = X.stem_word(X.normal_form(term))
+        capacity = strings.grown_capacity(self.index.vocabulary.count())
+        bucket = lab._djb2(stem) % capacity
+        v = self.index.vocabulary.select("term")
+        shared = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(stem))), lambda k: F.when(F.substr(F.col("term"), F.lit(1), k) == F.substr(F.lit(stem), F.lit(1), k), k).otherwise(0)))
+        row = v.agg(
+            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("term") < stem, 1)).alias("before"), F.count(F.when(F.col("term") == stem, 1)).alias("there"),
+            F.count(F.when((F.col("term") < stem) & (X.djb2(F.col("term")) % capacity == bucket), 1)).alias("chain"), F.coalesce(F.max(shared), F.lit(0)).alias("shared"),
+        ).first()
+        found, low, high, probes = bool(row["there"]), 0, row["n"] - 1, 0
+        while low <= high:
+            probes, mid = probes + 1, (low + high) // 2
+            if found and mid == row["before"]:
+                break
+            low, high = (mid + 1, high) if mid < row["before"] else (low, mid - 1)
+        rows = [("linear", found, row["before"] + 1 if found else row["n"]), ("binary", found, probes), ("hash", found, row["chain"] + 1 if found else row["chain"]), ("trie", found, min(len(stem), row["shared"] + (not found)))]
+        return self.spark.createDataFrame(rows, "algorithm string, found boolean, comparisons long")
 
     def sort_benchmark(self, n: int = 2_000, kind: str = "random", seed: int = 1234) -> DataFrame:
         """Counters of the sorting algorithms over n random, sorted or reversed values."""
@@ -130,3 +209,9 @@ class Engine:
         value = {"sorted": F.col("id"), "reversed": -F.col("id")}.get(kind, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10 * n)))
         values = F.transform(F.array_sort(F.collect_list(F.struct("id", value.cast("long").alias("v")))), lambda x: x["v"])
         return lab.sort_counters(self.spark.range(n).agg(values.alias("values")).select(F.lit(kind).alias("run"), "values"))
+
+    def benchmark(self, category: str = "all", **how) -> DataFrame:
+        """The laboratory's benchmark; its rows are kept in benchmarks."""
+        rows = session.staged(lab.timed(self.spark, category, **how), "benchmark")
+        self.benchmarks = session.staged(self.benchmarks.unionByName(rows), "benchmarks")
+        return rows

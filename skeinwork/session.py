@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,25 +28,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; our own where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; our own where that is unset and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="skeinwork-")
         spark.sparkContext.setCheckpointDir(found)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, *sort: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage is cut, and readers prune columns and row groups."""
+_STAGED: dict[str, list[str]] = {}
+
+
+def _write(df: DataFrame, name: str, *sort: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, name: str, *sort: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage is cut, and readers prune columns and row groups."""
+    return _write(df, name, *sort)[1]
+
+
+class Rounds:
+    """Tables of the rounds of one loop: each is staged, and only the last few stay, as a round reads no others."""
+
+    def __init__(self, spark: SparkSession, name: str, keep: int = 1):
+        self.spark, self.name, self.keep, self.paths = spark, name, keep, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, out = _write(df, self.name)
+        self.paths.append(path)
+        while len(self.paths) > self.keep:
+            _remove(self.spark, self.paths.pop(0))
+        return out
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; as it is otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application staged; what was built on them cannot be read any more."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        _remove(spark, path)
 
 
 def numbered(df: DataFrame, name: str, *order, start: int = 0, size: int | None = None) -> DataFrame:

@@ -21,7 +21,6 @@ DOCUMENT = T.StructType([
 
 UPLOAD_SUFFIXES = (".txt", ".md", ".text")
 UPLOAD_BYTES = 2 * 1024 * 1024
-UPLOAD_FILES = 20
 MIN_CONTENT = 10
 EDITABLE = ("title", "content", "summary", "category", "author", "url", "keywords", "is_published")
 
@@ -32,6 +31,30 @@ def from_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.substring(F.substring_index(text, "\n", 1), 1, 80).alias("title"), text.alias("content"), F.coalesce("source", F.lit("Uncategorised")).alias("category"), F.lit(1).cast("long").alias("hits"))
 
 
+def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A corpus of rows in code, with all columns of DOCUMENT; what a row does not say is null, hits are 1 and is_published is true."""
+    base = {"hits": 1, "is_published": True}
+    return spark.createDataFrame([tuple((base | r).get(f.name) for f in DOCUMENT) for r in rows], DOCUMENT)
+
+
+def bootstrap(spark: SparkSession, path: str, rows: DataFrame | None = None) -> bool:
+    """Makes the stored corpus at path if there is none, empty or of rows (with DOCUMENT's columns); says whether it did."""
+    if not is_empty(spark, path):
+        return False
+    (from_rows(spark, []) if rows is None else rows.select(*[F.col(f.name).cast(f.dataType) for f in DOCUMENT])).write.mode("overwrite").parquet(path)
+    return True
+
+
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether there is no stored corpus at path, or none with rows."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return not spark.read.parquet(path).limit(1).count()
+    except AnalysisException:
+        return True
+
+
 def word_count(col):
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(r"\S+")).cast("long")
 
@@ -44,23 +67,36 @@ def default_summary(col):
 def validated(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Rows ready to insert, and a column error for those that are not: title and at least MIN_CONTENT characters of content.
 
-    Slugs are unique among rows and existing slugs: of equal ones the first, by title and content, keeps it, the others get a number.
+    Slugs are unique among rows and existing slugs: of equal ones the first, by title and content, keeps it if it is free, the others get
+    the least numbers that make a slug nobody has. A slug with a number has one base only, so bases do not meet; rows with an error get no slug.
     """
     title, content = F.trim(F.coalesce("title", F.lit(""))), F.coalesce("content", F.lit(""))
     error = F.when(title == "", "title is required").when(F.length(F.trim(content)) < MIN_CONTENT, "content is too short")
     out = rows.withColumns({"title": title, "content": content, "error": error, "base": X.slugify(title)})
-    taken = existing.select(F.col("slug").alias("base")).distinct().withColumn("taken", F.lit(1)) if existing is not None else None
-    out = out.join(taken, "base", "left") if taken is not None else out.withColumn("taken", F.lit(None).cast("int"))
-    n = F.row_number().over(Window.partitionBy("base", F.col("error").isNull()).orderBy("title", "content")) - 1 + F.coalesce("taken", F.lit(0))
-    out = out.withColumn("n", n).withColumn("slug", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))))
+    old = existing.select("slug").filter("slug is not null").distinct() if existing is not None else rows.sparkSession.createDataFrame([], "slug string")
+    good = F.col("error").isNull()
+    i = F.row_number().over(Window.partitionBy("base", good).orderBy("title", "content"))
+    out = out.withColumn("i", i).join(old.select(F.col("slug").alias("base"), F.lit(True).alias("held")), "base", "left").withColumn("bare", good & (F.col("i") == 1) & F.col("held").isNull())
+    # Numbers that are held: by existing slugs, and by rows whose own slug ends in one.
+    held = old.union(out.filter("bare").select("base")).select(F.regexp_extract("slug", "^(.*)-[1-9][0-9]{0,8}$", 1).alias("base"), F.regexp_extract("slug", "-([1-9][0-9]{0,8})$", 1).try_cast("int").alias("number"))
+    held = held.filter("base <> '' and number is not null").distinct().withColumn("free", F.col("number") - F.row_number().over(Window.partitionBy("base").orderBy("number")))
+    # The k-th row without a bare slug gets the k-th free number: k, and one more for each held number with fewer than k free ones below it.
+    out = out.withColumn("k", F.when(good & ~F.col("bare"), F.col("i") - F.when(F.col("held").isNull(), 1).otherwise(0)))
+    asked = out.filter("k is not null").select("base", "k").distinct()
+    places = asked.select("base", "k", F.col("k").alias("at"), F.lit(0).alias("one")).unionByName(held.select("base", F.lit(None).cast("int").alias("k"), (F.col("free") + 1).alias("at"), F.lit(1).alias("one")))
+    skipped = places.withColumn("skip", F.sum("one").over(Window.partitionBy("base").orderBy("at"))).filter("k is not null").select("base", "k", "skip")
+    out = out.join(skipped, ["base", "k"], "left").withColumn("slug", F.when(F.col("bare"), F.col("base")).when(good, F.concat_ws("-", "base", (F.col("k") + F.col("skip")).cast("string"))))
     summary = F.col("summary") if "summary" in rows.columns else F.lit(None).cast("string")
-    return out.withColumns({"summary": F.when(F.length(F.trim(F.coalesce(summary, F.lit("")))) > 0, summary).otherwise(default_summary(F.col("content"))), "token_count": word_count(F.col("content")), "hits": F.lit(1).cast("long")}).drop("base", "n", "taken")
+    return out.withColumns({"summary": F.when(F.length(F.trim(F.coalesce(summary, F.lit("")))) > 0, summary).otherwise(default_summary(F.col("content"))), "token_count": word_count(F.col("content")), "hits": F.lit(1).cast("long")}).drop("base", "i", "held", "bare", "k", "skip")
 
 
 def apply_updates(documents: DataFrame, updates: DataFrame) -> DataFrame:
-    """documents with the non-null editable columns of updates (doc_id and any of EDITABLE); new content renews token_count and summary."""
+    """documents with the non-null editable columns of updates (doc_id and any of EDITABLE); new content renews token_count and summary.
+
+    Of several updates of a document the last value of each column counts, by column seq if there is one, by value otherwise."""
     given = [c for c in EDITABLE if c in updates.columns and c in documents.columns]
-    u = updates.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in given])
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c) if "seq" in updates.columns else F.col(c)))
+    u = updates.groupBy(F.col("doc_id").alias("_id")).agg(F.lit(1).alias("_one"), *[last(c).alias(f"_{c}") for c in given])
     out = documents.join(u, F.col("doc_id") == F.col("_id"), "left")
     new = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in given}
     if "content" in given:

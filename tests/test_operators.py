@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf
+from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf, traces
 from skeinwork.operators.index import Index
 from skeinwork.plans import catalog
 
@@ -36,8 +36,9 @@ def test_postings_weigh_fields(index):
 
 
 def test_lookup_prefix_and_autocomplete(index):
-    found = {r["term"]: (r["in_vocabulary"], r["doc_ids"]) for r in index.lookup(["graph", "absent"]).collect()}
-    assert found == {"graph": (True, [1, 2, 5]), "absent": (False, [])}
+    found = {r["term"]: (r["in_vocabulary"], r["document_count"]) for r in index.lookup(["graph", "absent"]).collect()}
+    assert found == {"graph": (True, 3), "absent": (False, 0)}
+    assert {(r["term"], r["doc_id"]) for r in index.documents_of(["graph", "absent"]).collect()} == {("graph", 1), ("graph", 2), ("graph", 5)}
     assert [r["term"] for r in index.prefix_terms("so").collect()] == ["sort", "soup"]
     words = index.autocomplete("so").collect()
     assert words[0]["score"] >= words[-1]["score"] and {w["term"] for w in words} == {"sort", "soup"}
@@ -104,10 +105,17 @@ def nodes(spark, *ids):
 
 
 def test_bfs(spark):
-    got = graph.bfs(edges(spark), 1).orderBy("visit").collect()
+    found = graph.bfs(edges(spark), 1)
+    got = found.orderBy("visit").collect()
     assert [r["node"] for r in got] == [1, 2, 3, 4, 5, 6] and [r["depth"] for r in got] == [0, 1, 1, 2, 2, 3]
-    assert got[-1]["path"] == [1, 2, 4, 6]
+    assert graph.path(found, 6) == [1, 2, 4, 6] and graph.path(found, 99) == []
     assert graph.bfs(edges(spark), 1, max_depth=1).count() == 3
+    links = {1: [2, 3], 2: [4], 3: [5], 4: [6], 5: [6]}
+    for goal, depth in ((None, None), (4, None), (6, None), (None, 1), (None, 2)):
+        want = traces.outcome(traces.bfs(links, 1, goal, depth))[1]
+        got = graph.bfs(edges(spark), 1, goal, depth).orderBy("visit").collect()
+        n = len(want["order"])
+        assert [r["node"] for r in got[:n]] == want["order"] and sum(r["examined"] for r in got[:n]) == want["edge_examinations"]
 
 
 def test_walks_take_all_steps(spark):
@@ -149,6 +157,11 @@ def test_shortest_paths(spark):
     directed = spark.createDataFrame(rows, "src long, dst long, cost double")
     dist = {r["node"]: r["dist"] for r in graph.shortest_paths(directed, 0).collect()}
     assert dist == {0: 0, 1: 3, 2: 2, 3: 8, 4: 12, 5: 14}
+    links: dict = {}
+    for a, b, w in rows:
+        links.setdefault(a, []).append((b, w))
+    order = [r["node"] for r in graph.settled(graph.shortest_paths(directed, 0)).orderBy("place").collect()]
+    assert order == traces.outcome(traces.dijkstra(links, 0))[1]["settled"] and graph.path(graph.shortest_paths(directed, 0), 5) == [0, 2, 1, 3, 5]
     with pytest.raises(ValueError):
         graph.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "src long, dst long, cost double"), 0)
 
@@ -162,6 +175,9 @@ def test_components_and_cycles(spark):
 def test_pagerank(spark):
     got = {r["node"]: r["pagerank"] for r in graph.pagerank(nodes(spark, 1, 2, 3), edges(spark, [(1, 2), (2, 3)]), iterations=30).collect()}
     assert sum(got.values()) == pytest.approx(1, abs=1e-6) and got[3] > got[2] > got[1]
+    history: list = []
+    graph.pagerank(nodes(spark, 1, 2, 3), edges(spark, [(1, 2), (2, 3)]), history=history)
+    assert len(history) > 5 and history[-1][1] < 1e-6 <= history[-2][1] and [k for k, _ in history] == list(range(1, len(history) + 1))
     tiers = {r["node"]: r["tier"] for r in graph.authority_labels(spark.createDataFrame([(1, 1.0), (2, 0.6), (3, 0.1)], "node long, pagerank double")).collect()}
     assert tiers == {1: "authority", 2: "strong", 3: "peripheral"}
 
@@ -190,7 +206,7 @@ def test_searching_and_sorting(spark):
     rng = random.Random(1)
     for _ in range(30):
         v = [rng.randint(0, 50) for _ in range(rng.randint(0, 200))]
-        assert lab.merge_sort(v)[0] == lab.quick_sort(v)[0] == lab.heap_sort(v) == sorted(v)
+        assert lab.merge_sort(v)[0] == lab.quick_sort(v)[0] == lab.heap_sort(v)[0] == sorted(v)
         assert lab.quick_sort(v, random.Random(7))[0] == sorted(v)
     assert lab.quick_sort(list(range(1024)))[3] <= 12 and 1024 <= lab.merge_sort(list(range(1024)))[1] <= 12 * 1024
 
@@ -212,6 +228,92 @@ def test_open_addressing():
     assert t.stats()["capacity"] == 16 and t.stats()["tombstones"] == 1
 
 
+LAB_CASES = {
+    "binary_search": {"array": "1,3,5,7,9", "target": "7"}, "kmp": {"text": "abababab", "pattern": "abab"}, "rabin_karp": {"text": "abababab", "pattern": "abab"},
+    "trie": {"words": "alpha,algorithm,algorithms", "prefix": "algo"}, "hash": {"keys": "alpha,beta,gamma", "probe": "beta"}, "bfs": {"edges": "A-B, A-C, B-D", "start": "A"},
+    "dfs": {"edges": "A-B, A-C, B-D", "start": "A"}, "dijkstra": {"weighted_edges": "A-B:4, A-C:2, B-C:1, B-D:5, C-D:8, C-E:10, D-F:6, E-F:3", "start": "A", "goal": "F"},
+    "merge_sort": {"values": "5,3,8,1"}, "quick_sort": {"values": "5,3,8,1"},
+}
+
+
+def test_laboratory():
+    got = {name: traces.run(name, **request) for name, request in LAB_CASES.items()}
+    assert all(r["steps"] and r["complexity"] and all("action" in s for s in r["steps"]) for r in got.values()) and set(got) == set(traces.LABORATORY)
+    assert got["binary_search"]["index"] == 3 and got["binary_search"]["recursive_comparisons"] == got["binary_search"]["comparisons"] == got["binary_search"]["recursive_depth"]
+    assert got["kmp"]["matches"] == [0, 2, 4] and got["kmp"]["lps"] == [0, 0, 1, 2] and got["kmp"]["naive_comparisons"] > got["kmp"]["comparisons"] == 8
+    assert got["rabin_karp"]["agrees_with_kmp"] and got["rabin_karp"]["hash_comparisons"] == 5 and got["rabin_karp"]["char_comparisons"] == 12
+    assert [s["word"] for s in got["trie"]["suggestions"]] == ["algorithm", "algorithms"]
+    assert got["hash"]["lookup"] == {"chaining": True, "open_addressing": True} and got["hash"]["chaining"]["size"] == 3
+    assert got["bfs"]["levels"] == [["A"], ["B", "C"], ["D"]] and got["bfs"]["edge_examinations"] == 6
+    assert got["dfs"]["order"] == traces.run("dfs", mode="recursive", **LAB_CASES["dfs"])["order"] == ["A", "B", "D", "C"]
+    d = got["dijkstra"]
+    assert d["distances"]["F"] == 14 and d["shortest_path"] == ["A", "C", "B", "D", "F"] and d["settled"][0] == "A" and d["relaxations"] > 0 < d["heap_comparisons"]
+    assert got["merge_sort"]["sorted"] == got["quick_sort"]["sorted"] == [1, 3, 5, 8]
+
+
+@pytest.mark.parametrize("name, request_", [("telepathy", {}), ("kmp", {"text": "", "pattern": "x"}), ("binary_search", {"array": "not,numbers", "target": "1"}), ("binary_search", {"array": "1 " * 41, "target": "1"}), ("merge_sort", {"values": "1 " * 61}), ("trie", {"words": ""}), ("hash", {"keys": "k " * 41}), ("bfs", {"edges": "A"}), ("dijkstra", {"weighted_edges": "A-B:-1, B-C:2"})])
+def test_laboratory_refuses(name, request_):
+    with pytest.raises(ValueError):
+        traces.run(name, **request_)
+
+
+def test_traces_as_rows(spark):
+    rows = [(n, n, r) for n, r in LAB_CASES.items()] + [("bad", "kmp", {"text": ""}), ("none", "telepathy", {})]
+    got = traces.traces(spark.createDataFrame(rows, "run string, algorithm string, request map<string,string>")).collect()
+    assert {r["run"] for r in got if r["error"] is None} == set(LAB_CASES) and {r["run"] for r in got if r["error"]} == {"bad", "none"}
+    steps = sorted((r["step"], r["action"]) for r in got if r["run"] == "merge_sort")
+    assert [a for _, a in steps] == ["split", "split", "merge", "split", "merge", "merge"]
+
+
+def test_traced_runs_count_like_the_others():
+    rng = random.Random(9)
+    for _ in range(40):
+        v = [rng.randint(0, 30) for _ in range(rng.randint(0, 60))]
+        m, q, h = (traces.outcome(run(v))[1] for run in (traces.merge, traces.quick, traces.heap))
+        assert (m["sorted"], m["comparisons"]) == lab.merge_sort(v) and (h["sorted"], h["comparisons"]) == lab.heap_sort(v)
+        assert (q["sorted"], q["comparisons"], q["partitions"], q["depth"]) == lab.quick_sort(v)
+        text, pattern = "".join(rng.choices("ab", k=40)), "".join(rng.choices("ab", k=3))
+        assert (traces.outcome(traces.kmp(text, pattern))[1]["matches"], traces.outcome(traces.kmp(text, pattern))[1]["comparisons"]) == lab.kmp_search(text, pattern)
+        rk = traces.outcome(traces.rabin_karp(text, pattern, mod=5))[1]
+        assert rk["matches"] == lab.naive_search(text, pattern)[0] and rk["hash_comparisons"] == 38
+        s, wanted = sorted(set(v)), rng.randint(0, 30)
+        assert traces.outcome(traces.binary(s, wanted))[1]["index"] == lab.binary_search(s, wanted)[0] == traces.outcome(traces.binary_recursive(s, wanted))[1]["index"] == traces.outcome(traces.linear(s, wanted))[1]["index"]
+
+
+def test_chaining():
+    t = traces.Chaining(4)
+    for k in "abcdefgh":
+        traces.outcome(t.put(k, k.upper()))
+    assert t.get("c") == "C" and t.delete("c") and not t.contains("c") and not t.delete("c") and t.contains("d") and t.get("zz", 0) == 0
+    assert not traces.outcome(t.put("d", 1))[1]["new"] and t.get("d") == 1
+    s = t.stats()
+    assert s["size"] == 7 and s["capacity"] == 16 and s["rehashes"] == 2 and sum(len(c) for c in t.snapshot()) == 7
+
+
+def test_trie_words():
+    t = traces.Trie(["car", "cart", "cat", "car", "dog"])
+    assert t.contains("car") and not t.contains("ca") and t.is_prefix("ca") and not t.is_prefix("x") and t.walk("ca") == [("car", 2), ("cart", 1), ("cat", 1)]
+    assert [r["word"] for r in t.autocomplete("ca", 2)] == ["car", "cat"] and t.stats() == {"nodes": 9, "words": 4, "depth": 4}
+
+
+def test_benchmark_kernels(spark):
+    got = lab.timed(spark, sizes=(60,), repeat=1).collect()
+    assert {r["category"] for r in got} == {"searching", "string", "sorting", "graph"} and {r["case"] for r in got if r["category"] == "sorting"} == {"random", "sorted", "reversed"}
+    assert all(r["time_ms"] >= 0 and r["comparisons"] is not None for r in got) and all(r["detail"] < 40 for r in got if r["algorithm"] == "quick_sort")
+    with pytest.raises(ValueError):
+        lab.timed(spark, "telepathy")
+
+
+def test_registry(spark):
+    assert lab.registry(spark).count() == len(lab.ALGORITHMS) and lab.algorithm("kmp")["worst"] == "O(n + m)" and lab.algorithm("none") is None and "kmp" in lab.by_category()["strings"]
+
+
+def test_runs_hold_every_row(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(100)], "k long, v long")
+    got = lab.runs_of(rows, "v", "k", "v", most=30).collect()
+    assert sorted(x for r in got for x in r["items"]) == list(range(100)) and max(len(r["items"]) for r in got) == 30
+
+
 def test_trie(spark):
     words = spark.createDataFrame([(1, "car"), (2, "cat")], "seq long, word string")
     assert strings.trie_nodes(words).count() + 1 == 5
@@ -247,7 +349,61 @@ def test_engine(corpus):
     assert [r["node"] for r in e.traverse("bfs", start=1).orderBy("visit").collect()][0] == 1
     assert e.traverse("dijkstra", start=1).filter("node = 2").count() == 1 and e.traverse("dfs", start=1).count() >= 3
     assert e.compare_string_matching("abababab", "abab").filter("agree").count() == 3
-    assert e.compare_search("sorting").filter("algorithm = 'linear'").first()["comparisons"] == 2
+    words = sorted(r["term"] for r in e.index.vocabulary.collect())
+    got = {r["algorithm"]: r["comparisons"] for r in e.compare_search("sorting").filter("found").collect()}
+    assert got["linear"] == words.index("sort") + 1 and got["binary"] == traces.outcome(traces.binary(words, "sort"))[1]["comparisons"] and got["trie"] == 4 and got["hash"] >= 1
+    assert e.compare_search("zzz").filter("not found").count() == 4
+    assert e.laboratory("merge_sort", values="2 1")["sorted"] == [1, 2]
+    assert e.benchmark("string", sizes=(50,), repeat=1).count() == e.benchmarks.count() == 3
     assert e.sort_benchmark(100, "reversed").first()["agree"]
     assert e.browse(category="food")["total"].first()["total"] == 2
     assert e.by_slug("soup").count() == 1 and e.terms("so").count() == 2 and e.stats()["index"].first()["documents"] == 5
+
+
+def test_engine_changes(spark, corpus, tmp_path):
+    from skeinwork.plans.engine import Engine
+
+    old = Engine(corpus)
+    old.search("graph")
+    new = spark.createDataFrame([("Soup", "A second soup, of graphs and roots."), ("", "no title, so it is refused")], "title string, content string")
+    e, refused = old.insert(new)
+    assert refused.count() == 1 and e.corpus.filter("doc_id = 6 and slug = 'soup-1'").count() == 1 and e.history.count() == 1
+    fresh = Index(e.corpus)
+    same = lambda a, b, key: sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+    for table, key in (("postings", ("term", "doc_id", "wtf")), ("vocabulary", ("term", "display", "doc_freq", "freq")), ("keywords", ("doc_id", "keyword", "rank"))):
+        assert same(getattr(e.index, table), getattr(fresh, table), key)
+    assert 6 in {r["doc_id"] for r in e.search("graph")["results"].collect()}
+    e = e.update(spark.createDataFrame([(6, "Nothing of that kind any more.")], "doc_id long, content string"))
+    assert 6 not in {r["doc_id"] for r in e.search("graph")["results"].collect()} and same(e.index.postings, Index(e.corpus).postings, ("term", "doc_id", "wtf"))
+    e = e.delete([6, 4])
+    assert e.corpus.count() == 4 and same(e.index.vocabulary, Index(e.corpus).vocabulary, ("term", "display", "doc_freq", "freq"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "new-text.txt").write_text("TITLE: Fresh\n-----\nA fresh text about tries.")
+    (tmp_path / "in" / "bad.txt").write_text("tiny")
+    e, refused = e.import_files(str(tmp_path / "in"))
+    assert e.corpus.filter("title = 'Fresh'").count() == 1 and refused.count() == 1
+    page = e.page("graph")
+    shown = [r["doc_id"] for r in page["results"].collect()]
+    e.click(shown[0])
+    assert {r["doc_id"]: (r["times_shown"], r["times_clicked"]) for r in e.statistics().collect()} == {d: (1, int(d == shown[0])) for d in shown}
+    assert e.with_hits().filter("doc_id = 1").first()["hits"] == 8 and e.most_matched(1).count() == 1
+    last = e.history.agg(F.max("id")).first()[0]
+    e.clear_history([last])
+    assert e.history.filter(F.col("id") == last).count() == 0
+    e.clear_history()
+    assert e.history.count() == 0
+
+
+def test_newest_first(index):
+    assert [r["doc_id"] for r in ranking.Search(index).search("graph", sort="newest")["results"].collect()] == [5, 2, 1]
+
+
+def test_authority_counts(index, spark):
+    ranks = spark.createDataFrame([(i, float(i)) for i in range(1, 6)], "doc_id long, pagerank double")
+    got = {r["doc_id"]: r["graph_signal"] for r in ranking.Search(index, ranks).results("graph").collect()}
+    assert got == {1: 0.0, 2: 0.25, 5: 1.0}
+
+
+def test_entries_are_grouped_where_ranges_put_them(index):
+    dealt = index.all_tokens.repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.sum("n"))
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()

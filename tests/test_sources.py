@@ -31,6 +31,43 @@ def test_validation_and_slugs(spark):
     assert sorted(r["error"] for r in got if r["error"]) == ["content is too short", "title is required"]
 
 
+def slugs_by_hand(titles, old):
+    """Bare slugs first, then the least free numbers."""
+    taken, out, rest = set(old), [], []
+    for t in sorted(titles):
+        s = "-".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) or "document"
+        if s in taken:
+            rest.append(s)
+        else:
+            taken.add(s)
+            out.append(s)
+    for s in rest:
+        n = next(n for n in range(1, 10_000) if f"{s}-{n}" not in taken)
+        taken.add(f"{s}-{n}")
+        out.append(f"{s}-{n}")
+    return sorted(out)
+
+
+def test_slugs_are_unique(spark):
+    for titles, old in ((["A", "A 1", "A"], []), (["A"], ["a", "a-1"]), (["A"] * 5 + ["A 2", "A 4", "B"], ["a-1", "a-6", "b", "b-2"]), (["x y"] * 3 + ["X-Y 1"] * 3, ["x-y-1-1"])):
+        got = C.validated(spark.createDataFrame([(t, f"content number {i} is long") for i, t in enumerate(titles)], "title string, content string"), spark.createDataFrame([(s,) for s in old], "slug string"))
+        assert sorted(r["slug"] for r in got.collect()) == slugs_by_hand(titles, old)
+
+
+def test_repeated_updates(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, category string, content string")
+    changes = spark.createDataFrame([(1, "first", None, 1), (1, None, "new text", 2), (1, "last", None, 3), (9, "nobody", None, 1)], "doc_id long, category string, content string, seq int")
+    assert sorted(map(tuple, C.apply_updates(docs, changes).collect())) == [(1, "last", "new text"), (2, "b", "y")]
+    assert C.apply_updates(docs, changes.drop("seq")).filter("doc_id = 1").count() == 1
+
+
+def test_stored_corpus(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    rows = C.from_rows(spark, [{"doc_id": 1, "title": "One", "content": "Some long content."}])
+    assert rows.first()["hits"] == 1 and rows.first()["is_published"] and C.is_empty(spark, path)
+    assert C.bootstrap(spark, path) and C.is_empty(spark, path) and C.bootstrap(spark, path, rows) and not C.bootstrap(spark, path, rows) and not C.is_empty(spark, path)
+
+
 def test_seed_update_delete(spark):
     old = spark.createDataFrame([(1, "a", "old text")], "doc_id long, slug string, content string")
     new = spark.createDataFrame([(2, "a", "x"), (3, "b", "y")], "doc_id long, slug string, content string")
@@ -49,3 +86,28 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
         incremental.keep_postings(s, str(tmp_path / "postings"), str(tmp_path / "state")).awaitTermination(120)
     got = {(r["doc_id"], r["term"]) for r in incremental.latest(spark, str(tmp_path / "postings")).collect()}
     assert (1, "delta") in got and (2, "gamma") in got and (1, "alpha") not in got
+
+
+def test_streams_take_last_versions_and_deletions(spark, tmp_path):
+    schema = "doc_id long, seq long, title string, content string, deleted boolean"
+    batches = [[(1, 1, "One", "alpha", False), (1, 2, "One", "beta", False), (2, 1, "Two", "gamma", False)], [(2, 2, "Two", "gamma", True), (3, 1, "Three", "delta", False)]]
+    path = str(tmp_path / "postings")
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in" / str(number)))
+        s = spark.readStream.schema(schema).json(str(tmp_path / "in" / "*"))
+        incremental.keep_postings(s, path, str(tmp_path / "state"), buckets=4).awaitTermination(120)
+    terms = lambda p: {(r["doc_id"], r["term"]) for r in incremental.latest(spark, p).collect()}
+    assert terms(path) == {(1, "one"), (1, "beta"), (3, "three"), (3, "delta")}
+    incremental.compact(spark, path, str(tmp_path / "compact"))
+    assert terms(str(tmp_path / "compact")) == terms(path) and spark.read.parquet(str(tmp_path / "compact")).count() < spark.read.parquet(path).count()
+
+
+def test_staged_tables_go(spark):
+    import os
+
+    from skeinwork import session
+
+    rounds = session.Rounds(spark, "t")
+    for i in range(3):
+        last = rounds(spark.range(i + 1))
+    assert last.count() == 3 and len(rounds.paths) == 1 and os.path.exists(rounds.paths[0])

@@ -60,6 +60,9 @@ def test_snippet_escapes_and_marks_once(spark):
     got = one(spark, "A <script>alert(1)</script> graph about graphs.", lambda c: X.snippet(c, ["graph"]))
     assert got == "A &lt;script&gt;alert(1)&lt;/script&gt; <mark>graph</mark> about graphs."
     assert one(spark, "", lambda c: X.snippet(c, ["graph"])) == ""
+    assert one(spark, "fish & chips", lambda c: X.snippet(c, ["amp", "chips"])) == "fish &amp; <mark>chips</mark>"
+    assert one(spark, "a & b amp \ue000", lambda c: X.snippet(c, ["amp", "&"])) == "a <mark>&amp;</mark> b <mark>amp</mark> "
+    assert one(spark, "it's quot it", lambda c: X.snippet(c, ["quot", "it's"])) == "<mark>it&#x27;s</mark> <mark>quot</mark> it"
     long = one(spark, "x" * 300 + " graph " + "y" * 300, lambda c: X.snippet(c, ["graph"]))
     assert long.startswith("...") and long.endswith("...") and "<mark>graph</mark>" in long
 
@@ -83,4 +86,4 @@ def test_presentation_and_statements(spark):
     assert tuple(r) == ("0.500 ms", "1.2K", "25.6%")
     assert session.scalar(spark, "SELECT :x + 1", x=2) == 3 and session.scalar(spark, "SELECT null", default=7) == 7
     assert strings.trie_dict(spark.createDataFrame([("ab",), ("a",)], "word string")) == {"a": {"$": True, "b": {"$": True}}}
-    assert lab.timed(spark, "sorting", sizes=(100,), repeat=1).count() == 3
+    assert lab.timed(spark, "sorting", sizes=(100,), repeat=1).count() == 9
