@@ -12,7 +12,8 @@ Tasks write to the shared folder under names of their own and report them; a tas
 the successful attempt are in the manifest. A task keeps one file's ids in memory, FILE_IDS and one document at most.
 
 Defined results: null text is empty and has the end id only; documents with null doc_id come first; those of equal doc_id stand in
-the order of their texts; an empty table gives no files and no rows.
+the order of their texts; an empty table gives no files and no rows; repeated rows each get a row; a text of any length is encoded whole,
+its ids in memory; other columns are ignored. token_at() reads one token from a file by its place.
 """
 
 from __future__ import annotations
@@ -130,6 +131,33 @@ def unpack_file(data: bytes) -> dict:
     return header | part | {"levels": [{n: part[f"{n}{k}"] for n in ("chunks", "bitmap", "ranks")} for k in range(header["levels"])]}
 
 
+def token_at(fs, path: str, i: int, bits: int = 8) -> int:
+    """The i-th id of a file: besides the header, a few bytes of each level are read, and a bitmap block of at most 64."""
+    import numpy as np
+
+    with fs.open_input_file(path) as f:
+        size = int.from_bytes(f.read(16)[8:], "little")
+        header = json.loads(f.read(size))
+        where = {name: (np.dtype(kind), 16 + size + at) for name, kind, at, _ in header["sections"]}
+
+        def read(name: str, a: int, b: int):
+            kind, at = where[name]
+            f.seek(at + a * kind.itemsize)
+            return np.frombuffer(f.read((b - a) * kind.itemsize), kind)
+
+        value, shift = 0, 0
+        for k in range(header["levels"]):
+            value |= int(read(f"chunks{k}", i, i + 1)[0]) << shift
+            block, word = i >> 9, i >> 6
+            inside = read(f"bitmap{k}", block * 8, word + 1)
+            last = int(inside[-1])
+            if not last >> (i & 63) & 1:
+                break
+            i = int(read(f"ranks{k}", block, block + 1)[0]) + int(np.bitwise_count(inside[:-1]).sum()) + (last & ((1 << (i & 63)) - 1)).bit_count()
+            shift += bits
+    return value
+
+
 # Encoding.
 
 
