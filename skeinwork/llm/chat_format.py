@@ -9,7 +9,10 @@ A body is escaped by one more backslash in every run ``<``, backslashes, ``|``;
 an escaped body has no ``<|`` at all. A role is escaped by percent codes for %, <, and the line feed. Each turn is
 first rendered as it is; the parser reads the block back, and only if that does not give the very turn is its
 content escaped. A block that parses to exactly its turn, with nothing left over, does so inside any
-concatenation of blocks too, as the parser never looks past a block's end.
+concatenation of blocks too, as the parser never looks past a block's end (a test parses whole conversations).
+
+A digest of a conversation depends on all that came before, so its turns pass one task in order: streamed, in bounded memory, but not
+split. A conversation with a third of all turns takes that task the time of hashing a third of the text, hundreds of MB a second.
 
 Defined results: null text and null role are empty; a null turn comes first; turns with equal numbers
 stand in the order of their rendered blocks, and repeated rows are turns of their own; rows with null conv_id are

@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.session import Rounds, shared_dir, table
+
+__all__ = ["Rounds", "batches", "content_keys", "local_threads", "lower_ascii", "pick", "shared_dir", "staged", "table", "texts"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the word rules: space and U+0009 to U+000D, what bytes.split() also takes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, found by exact name, whatever other columns there are.
 
@@ -28,15 +27,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
-    if not found:
-        found = tempfile.mkdtemp(prefix="skeinwork-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: lineage ends here, and lost executors take nothing with them."""
     spark = df.sparkSession
@@ -45,9 +35,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows: a batch of long documents must fit in a Python worker."""
+def batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Arrow batches of few rows and bytes: a batch of long documents must fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def content_keys(text) -> list:

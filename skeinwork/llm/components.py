@@ -2,7 +2,7 @@
 
 Each round is two joins and aggregations, written to the shared folder; the rounds end when the set of links no longer
 changes. Nothing but two numbers a round comes to the driver. Links to a hot node lie in one key of the joins only, which
-adaptive execution splits, as the other side of each join has one row a node.
+adaptive execution splits, as the other side of each join has one row a node. The tables of past rounds are deleted.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """For links (a, b), long: node, component (the component's least node), one row for each node with a link to another."""
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e, seen = common.staged(e, "links"), None
+    staged = common.Rounds(links.sparkSession, "links")
+    e, seen = staged(e), None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
-        e, seen = common.staged(_small_star(_large_star(e)), "links"), now
+        e, seen = staged(_small_star(_large_star(e))), now
     ends = e.groupBy("u").agg(F.min("v").alias("component"))
     return ends.select(F.col("u").alias("node"), "component").union(e.select("v", F.col("v").alias("component")).distinct())

@@ -92,7 +92,8 @@ def test_chat_turns_come_back():
     rng = random.Random(1)
     for _ in range(300):
         turns = [("".join(rng.choices(["user", "assistant", "\n", "<|im_end|>", "%", "<"], k=rng.randint(0, 3))), "".join(rng.choices(HARD, k=rng.randint(0, 4)))) for _ in range(rng.randint(0, 4))]
-        assert [t[:2] for t in chat_format.parse("".join(chat_format.render_turn(*t) for t in turns))] == turns
+        whole = "".join(chat_format.render_turn(*t) for t in turns)  # a conversation as one text
+        assert [t[:2] for t in chat_format.parse(whole)] == turns
     with pytest.raises(chat_format.GrammarError):
         chat_format.parse("<|im_start|>user\nno end")
 
@@ -500,6 +501,26 @@ def test_codes_give_any_token():
         assert token_output.dac_range(levels, a, b).tolist() == ids[a:b].tolist()
 
 
+def test_tokens_are_read_from_a_file_by_place(tmp_path):
+    import pyarrow.fs as pafs
+
+    ids = np.random.default_rng(3).integers(0, 1 << 20, 3000)
+    (tmp_path / "x.skdac").write_bytes(token_output.pack_file([1, None], [1000, 2000], ids))
+    fs = pafs.LocalFileSystem()
+    assert [token_output.token_at(fs, str(tmp_path / "x.skdac"), i) for i in range(0, 3000, 7)] == ids[::7].tolist()
+
+
+def test_encoder_is_the_library_on_real_documents():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for own, ids in zip(token_output.Encoder(path, most=2000).encode_batch(texts), Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own, "<u4").tolist() == ids.ids
+
+
 def test_encoder_is_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -635,6 +656,34 @@ def test_token_counts_of_very_long_texts(spark, monkeypatch):
         assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: len(library.encode(x)), 2: 0, 3: len(library.encode("x y"))}
 
 
+def test_very_long_texts(spark):
+    """One text of a megabyte and more among short ones."""
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000):x}é" for _ in range(150_000)]
+    long = " ".join(words) + "\n" + "x" * 200_000 + " the end of it all is here and now but not over yet"
+    rows = [(1, long, "en", "s"), (2, "short text of a few words only, but enough of them to be kept by all the rules there are in here", "en", "s"), (3, long[:-1], "en", "s")]
+    docs = frame(spark, rows, 2)
+    bench = spark.createDataFrame([(7, " ".join(words[140_000:140_012])), (8, "the end of it all is here and now but not over")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.find_contamination(docs, bench).collect()}
+    assert got[1]["items"] == ["7", "8"] and got[1]["hit_words"][0]["first"] == 140_000 and not got[2]["items"]
+    last = got[1]["hit_bytes"][-1]
+    assert long.encode()[last["start"] : last["end"]].decode() == "the end of it all is here and now but not over"
+    w = long.encode().lower().split()
+    h = np.array([xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(len(w) - 3)], np.uint64)
+    fp = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    assert {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in simhash_dedup.fingerprints(docs).collect()}[1] == fp
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.verdicts(docs).collect()}[1] == len(w)
+    assert {r["doc_id"]: r["size"] for r in mixing.taken_words(docs).collect()}[1] == len(w)
+    assert {r["doc_id"]: r["n_tokens"] for r in lm_score.score(docs, classes=64).collect()}[1] == len(w) + 1
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()} == {1: "en", 2: "en", 3: "en"}
+    spans = {r["doc_id"]: r["spans"] for r in suffix_dedup.remove_repeats(docs, 1 << 16).collect()}
+    assert not spans[1] and spans[3][0]["start"] == 0 and spans[3][-1]["end"] == len(rows[2][1].encode()) and len(spans[3]) == 1
+    turns = spark.createDataFrame([(1, 0, "assistant", long + "<|im_end|>")], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(chat_format.format_turns(turns)).first()["loss_chars"] == len(long) + 10
+
+
 # As registered.
 
 
