@@ -47,7 +47,8 @@ def word_offsets(text: bytes):
 
 
 def automaton(items: list[tuple[str, bytes]], width: int = WINDOW):
-    """Numbers of the items' words, and the automaton of their windows; None if there are none. Its values are a window's length and items."""
+    """Numbers of the items' words, the automaton of their windows (None if there are none; its values are a window's length and items), and
+    the length of the shortest window."""
     import ahocorasick
 
     number: dict[bytes, int] = {}
@@ -57,12 +58,12 @@ def automaton(items: list[tuple[str, bytes]], width: int = WINDOW):
         for i in range(max(1, len(w) - width + 1) if w else 0):
             owners.setdefault(tuple(w[i : i + width]), set()).add(item)
     if not owners:
-        return number, None
+        return number, None, 0
     made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, own in owners.items():
         made.add_word(w, (len(w), tuple(own)))
     made.make_automaton()
-    return number, made
+    return number, made, min(map(len, owners))
 
 
 def _of_worker(key: str, sent, width: int):
@@ -77,11 +78,17 @@ def scan(text: bytes, made) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words; runs of hit words (first, behind the last); items with a window in the text."""
     import numpy as np
 
-    number, matcher = made
+    number, matcher, shortest = made
     w = words(text)
     if not w or matcher is None:
         return len(w), [], set()
-    found = list(matcher.iter(tuple(map(number.get, w, repeat(0)))))
+    letters = np.fromiter(map(number.get, w, repeat(0)), np.int64, len(w))
+    # A word that no window has takes the automaton back to its start, so it reads the runs between such words that a window fits in.
+    cuts = np.concatenate([[-1], np.flatnonzero(letters == 0), [len(w)]])
+    found = []
+    for k in np.flatnonzero(np.diff(cuts) > shortest).tolist():
+        first, behind = int(cuts[k]) + 1, int(cuts[k + 1])
+        found += [(first + e, v) for e, v in matcher.iter(tuple(letters[first:behind].tolist()))]
     if not found:
         return len(w), [], set()
     ends = np.array([e for e, _ in found]) + 1
