@@ -50,7 +50,8 @@ def _write(df: DataFrame, name: str, *sort: str) -> tuple[str, DataFrame]:
     return path, spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is stored."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -70,14 +71,14 @@ class Rounds:
         path, out = _write(df, self.name)
         self.paths.append(path)
         while len(self.paths) > self.keep:
-            _remove(self.spark, self.paths.pop(0))
+            remove(self.spark, self.paths.pop(0))
         return out
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes all tables that this application staged; what was built on them cannot be read any more."""
     for path in _STAGED.pop(spark.sparkContext.applicationId, []):
-        _remove(spark, path)
+        remove(spark, path)
 
 
 def numbered(df: DataFrame, name: str, *order, start: int = 0, size: int | None = None) -> DataFrame:
