@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.session import Rounds, shared_dir, table
+from skeinwork.session import Rounds, remove, shared_dir, table
 
-__all__ = ["Rounds", "batches", "content_keys", "local_threads", "lower_ascii", "pick", "shared_dir", "staged", "table", "texts"]
+__all__ = ["Rounds", "Scope", "batches", "content_keys", "local_threads", "lower_ascii", "pick", "remove", "shared_dir", "staged", "table", "texts"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the word rules: space and U+0009 to U+000D, what bytes.split() also takes.
@@ -27,14 +27,37 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: lineage ends here, and lost executors take nothing with them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """The tables that are staged inside a with block, to be deleted when what was made of them is written."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self):
+        self.first = len(_STAGED)
+        return self
+
+    def __exit__(self, *error):
+        self.paths += _STAGED[self.first :]
+        del _STAGED[self.first :]
+
+    def clear(self, spark: SparkSession) -> None:
+        while self.paths:
+            remove(spark, self.paths.pop())
+
+
 def batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
     """Arrow batches of few rows and bytes: a batch of long documents must fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
