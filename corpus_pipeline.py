@@ -5,32 +5,55 @@ the last return the columns of documents: rejected documents are gone after the
 duplicates stays after the second, contaminated ones are gone after the third, and after the fourth each document has as
 many rows as the mix takes it. The last writes the token files and returns what reading them back gives.
 
+What a stage gets is a written table, so the tables that the stage before staged for itself are deleted when a stage begins, and the folder
+holds those of one stage at a time. A result of a stage that is not written by then cannot be read any more.
+
 Null and empty texts fail the quality rules; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import common, decontam, mixing, quality_rules, simhash_dedup, token_output
 
 
+_scope = common.Scope()
+
+
+def _stage(work):
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scope.clear(spark)
+        with _scope:
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.keep_one(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_output.tokenized(docs)
 
