@@ -76,44 +76,46 @@ def stop_words_removed(col: Column) -> Column:
     return F.filter(F.split(normalize(col), " "), lambda t: (t != "") & ((F.length(t) <= 1) | t.isin(STOP_WORDS)))
 
 
+#: What is done for each suffix: what takes its place, and whether the rest is mended. The first suffix that fits counts; it leaves three letters.
+RULES = [(s, "y" if s == "ies" else "", s in ("ing", "ed", "es", "ly")) for s in SUFFIXES]
+LEFT = 3
+#: Mending: a doubled consonant at the end is made single, then some endings get their e; both need more than two letters.
+_DOUBLED = re.compile(r"(?<=.)([^aeiou])\1$")
+_SILENT = re.compile(f"(?<=.)(?:{'|'.join(SILENT_E)})$")
+
+
+def stem_word(t: str) -> str:
+    """The stem of one token on the driver, for queries."""
+    if len(t) <= LEFT or not t.isalpha():
+        return t
+    suffix, instead, mends = next((r for r in RULES if t.endswith(r[0]) and len(t) - len(r[0]) >= LEFT), ("", "", False))
+    base = t.removesuffix(suffix) + instead
+    if not mends:
+        return base
+    base = _DOUBLED.sub(r"\1", base)
+    return f"{base}e" if _SILENT.search(base) else base
+
+
 def stem_sql(t: str) -> str:
-    """The stem of column t as SQL; for distinct words only, as it is long."""
+    """The stem of column t as SQL, by the same rules; for distinct words only, as it is long."""
+    ends = ", ".join(f"'{e}'" for e in SILENT_E)
 
-    def restored(b: str) -> str:
-        single = f"(CASE WHEN length({b}) > 2 AND right({b}, 1) = substr({b}, length({b}) - 1, 1) AND instr('aeiou', right({b}, 1)) = 0 THEN substr({b}, 1, length({b}) - 1) ELSE {b} END)"
-        ends = ", ".join(f"'{e}'" for e in SILENT_E)
-        return f"(CASE WHEN length({single}) > 2 AND right({single}, 2) IN ({ends}) THEN {single} || 'e' ELSE {single} END)"
+    def mended(b: str) -> str:
+        one = f"(CASE WHEN length({b}) > 2 AND right({b}, 1) = substr({b}, length({b}) - 1, 1) AND instr('aeiou', right({b}, 1)) = 0 THEN substr({b}, 1, length({b}) - 1) ELSE {b} END)"
+        return f"(CASE WHEN length({one}) > 2 AND right({one}, 2) IN ({ends}) THEN {one} || 'e' ELSE {one} END)"
 
-    cases = []
-    for s in SUFFIXES:
-        base = f"substr({t}, 1, length({t}) - {len(s)})"
-        then = f"{base} || 'y'" if s == "ies" else restored(base) if s in ("ing", "ed", "es", "ly") else base
-        cases.append(f"WHEN length({t}) >= {len(s) + 3} AND right({t}, {len(s)}) = '{s}' THEN {then}")
-    return f"CASE WHEN length({t}) <= 3 OR translate({t}, '0123456789', '') <> {t} THEN {t} {' '.join(cases)} ELSE {t} END"
+    def case(suffix: str, instead: str, mends: bool) -> str:
+        base = f"substr({t}, 1, length({t}) - {len(suffix)})"
+        base = f"{base} || '{instead}'" if instead else base
+        return f"WHEN length({t}) >= {len(suffix) + LEFT} AND right({t}, {len(suffix)}) = '{suffix}' THEN {mended(base) if mends else base}"
+
+    return f"CASE WHEN length({t}) <= {LEFT} OR translate({t}, '0123456789', '') <> {t} THEN {t} {' '.join(case(*r) for r in RULES)} ELSE {t} END"
 
 
 def stem(name: str) -> Column:
     return F.expr(stem_sql(name))
 
 
-def stem_word(t: str) -> str:
-    """The stem of one token on the driver, for queries."""
-    if len(t) <= 3 or not t.isalpha():
-        return t
-    fits = [s for s in SUFFIXES if t.endswith(s) and len(t) >= len(s) + 3]
-    if not fits:
-        return t
-    suffix, base = fits[0], t[: len(t) - len(fits[0])]
-    if suffix == "ies":
-        return base + "y"
-    if suffix in ("ing", "ed", "es", "ly"):
-        if len(base) > 2 and base[-1] == base[-2] and base[-1] not in "aeiou":
-            base = base[:-1]
-        if len(base) > 2 and base[-2:] in SILENT_E:
-            base += "e"
-    return base
-
-
 def analyze_query(query: str | None) -> dict:
     """Phrases in quotes, and tokens (stems) of the rest, in order; a query is one string, read on the driver."""
     query = query or ""
@@ -128,10 +130,12 @@ def analyze_query(query: str | None) -> dict:
 
 
 def analyze(col: Column, stems: Column | None = None) -> Column:
-    """struct(normalized, tokens, unique, stop_words_removed, length). stems: an array of stems made at vocabulary level;
-    without it tokens are surface forms."""
-    tokens = tokenize(col) if stems is None else stems
-    return F.struct(normalize(col).alias("normalized"), tokens.alias("tokens"), F.array_sort(F.array_distinct(tokens)).alias("unique"), stop_words_removed(col).alias("stop_words_removed"), F.size(tokens).alias("length"))
+    """struct(raw, normalized, tokens, unique, pairs of token and surface form, stop_words_removed, length). stems: an array of stems made at
+    vocabulary level; without it tokens are surface forms."""
+    surfaces = tokenize(col)
+    tokens = surfaces if stems is None else stems
+    pairs = F.zip_with(tokens, surfaces, lambda t, x: F.struct(t.alias("token"), x.alias("surface")))
+    return F.struct(F.coalesce(col, F.lit("")).alias("raw"), pairs.alias("pairs"), normalize(col).alias("normalized"), tokens.alias("tokens"), F.array_sort(F.array_distinct(tokens)).alias("unique"), stop_words_removed(col).alias("stop_words_removed"), F.size(tokens).alias("length"))
 
 
 def extract_phrases(col: Column) -> Column:
@@ -170,6 +174,11 @@ def parse_edges(col: Column) -> Column:
     return F.filter(made, lambda e: (e["l"] != "") & (e["r"] != "") & (e["l"] != e["r"]))
 
 
+def edge_nodes(edges: Column) -> Column:
+    """The nodes of parsed edges, in the order in which they are first named."""
+    return F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(e["l"], e["r"]))))
+
+
 def bounded_pattern(term: str) -> str:
     """A case-insensitive pattern for a whole word or phrase."""
     return rf"(?i)(?<![a-z0-9])\Q{term}\E(?![a-z0-9])" if "\\E" not in term else rf"(?i)(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"
@@ -193,6 +202,12 @@ def escape_html(col: Column) -> Column:
     return col
 
 
+def matched_terms(col: Column, terms: list[str]) -> Column:
+    """Those of the terms that a text has as whole words, in their order."""
+    hits = [F.when(matches_word(col, t), t) for t in dict.fromkeys(terms) if t]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 

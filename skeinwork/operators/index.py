@@ -204,3 +204,12 @@ def _weight():
 def idf(df, documents: int):
     """ln((1 + N) / (1 + df)) + 1."""
     return F.log((F.lit(1.0) + documents) / (F.lit(1.0) + df)) + 1.0
+
+
+def tf(n, length):
+    """A term's share of a document's tokens, 0 for a document without any."""
+    return F.coalesce(F.try_divide(n, length), F.lit(0.0))
+
+
+def tf_idf(n, length, df, documents: int):
+    return tf(n, length) * idf(df, documents)

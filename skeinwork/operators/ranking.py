@@ -176,7 +176,7 @@ class Search:
         rows = self.ordered(found, sort).offset((page - 1) * per_page).limit(per_page)
         terms = [*q["tokens"], *q["phrases"], *(w for p in q["phrases"] for w in p.split())]
         signals = {k: F.col(f"{k}_signal") for k in WEIGHTS}
-        rows = rows.withColumns({"snippet": X.snippet(F.col("content"), terms), "score_percent": score_percent(F.col("score")), "score_breakdown": explain(signals, F.col("score"), self.weights)}).drop("content")
+        rows = rows.withColumns({"snippet": X.snippet(F.col("content"), terms), "matched": X.matched_terms(F.col("content"), terms), "score_percent": score_percent(F.col("score")), "score_breakdown": explain(signals, F.col("score"), self.weights)}).drop("content")
         if min_score is not None:
             rows = rows.filter(F.col("score") >= min_score)
         first = q["tokens"][0] if q["tokens"] else ""

@@ -54,9 +54,11 @@ class Engine:
     def delete(self, ids: list[int]) -> Engine:
         return self._with(self.index.without(self.spark.createDataFrame([(i,) for i in ids], "doc_id long")))
 
-    def import_files(self, path: str) -> tuple[Engine, DataFrame]:
-        """The engine with the text files at path, and the files that are refused, with reason."""
+    def import_files(self, path: str, most: int = C.UPLOAD_FILES) -> tuple[Engine, DataFrame]:
+        """The engine with the text files at path, and the files that are refused, with reason; more than most files at once are an error."""
         files = C.read_text_files(self.spark, path)
+        if files.count() > most:
+            raise ValueError(f"at most {most} files are taken at once")
         out, refused = self.insert(files.filter("accepted"))
         bad = files.filter("not accepted").select("path", "reason").unionByName(refused.select("path", F.col("error").alias("reason")))
         return out, bad

@@ -21,6 +21,7 @@ DOCUMENT = T.StructType([
 
 UPLOAD_SUFFIXES = (".txt", ".md", ".text")
 UPLOAD_BYTES = 2 * 1024 * 1024
+UPLOAD_FILES = 20
 MIN_CONTENT = 10
 EDITABLE = ("title", "content", "summary", "category", "author", "url", "keywords", "is_published")
 

@@ -111,3 +111,17 @@ def test_staged_tables_go(spark):
     for i in range(3):
         last = rounds(spark.range(i + 1))
     assert last.count() == 3 and len(rounds.paths) == 1 and os.path.exists(rounds.paths[0])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from skeinwork import __main__ as cli
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"note-{i}.txt").write_text(f"TITLE: Note\nKEYWORDS: a, b\n-----\nThe text of note number {i}.")
+    files, corpus, index = (str(tmp_path / n) for n in ("in", "corpus", "index"))
+    for _ in range(2):  # a second time changes nothing
+        cli.main(["seed", files, corpus])
+        cli.main(["reindex", corpus, index])
+    assert "3 documents" in capsys.readouterr().out and sorted(r["slug"] for r in spark.read.parquet(corpus).collect()) == ["note", "note-1", "note-2"]
+    assert spark.read.parquet(f"{index}/entries").filter("term = 'note'").count() == 3

@@ -87,3 +87,16 @@ def test_presentation_and_statements(spark):
     assert session.scalar(spark, "SELECT :x + 1", x=2) == 3 and session.scalar(spark, "SELECT null", default=7) == 7
     assert strings.trie_dict(spark.createDataFrame([("ab",), ("a",)], "word string")) == {"a": {"$": True, "b": {"$": True}}}
     assert lab.timed(spark, "sorting", sizes=(100,), repeat=1).count() == 9
+
+
+def test_analysis_keeps_forms_together(spark):
+    r = one(spark, "The Sorting of graphs", lambda c: X.analyze(c, F.array(F.lit("sort"), F.lit("graph"))))
+    assert r["raw"] == "The Sorting of graphs" and [tuple(p) for p in r["pairs"]] == [("sort", "sorting"), ("graph", "graphs")]
+    assert one(spark, "Graphs, graph theory", lambda c: X.matched_terms(c, ["theory", "grap", "graph"])) == ["theory", "graph"]
+    assert one(spark, "C-A:2, A-B, x, B-C", lambda c: X.edge_nodes(X.parse_edges(c))) == ["C", "A", "B"]
+
+
+def test_stems_agree(spark):
+    words = ["hopping", "hoped", "cities", "relational", "running", "sized", "falling", "bless", "as", "x1ing", "usly", "stables", "agreed", "queuing", "aaing", "tabled"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in rows.select(X.stem("w")).collect()] == [X.stem_word(w) for w in words]
