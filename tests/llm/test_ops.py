@@ -656,6 +656,14 @@ def test_token_counts_of_very_long_texts(spark, monkeypatch):
         assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: len(library.encode(x)), 2: 0, 3: len(library.encode("x y"))}
 
 
+def test_held_out_rows_of_real_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm_score.score(docs).filter("held_out").agg((F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("gain")).first()
+    assert r["gain"] > 0.05  # log10 a token
+    got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
+
+
 def test_very_long_texts(spark):
     """One text of a megabyte and more among short ones."""
     from xxhash import xxh64_intdigest
