@@ -25,6 +25,7 @@ def positions(text: Column, pattern: str) -> Column:
         return x.map(starts, na_action=None)
 
     run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    session.bounded_batches()
     return F.pandas_udf(run, "array<int>")(text)
 
 

@@ -23,6 +23,12 @@ def build(app: str = "skeinwork", master: str | None = None, **conf: str) -> Spa
     return b.getOrCreate()
 
 
+def bounded_batches(size: int = 32 << 20) -> None:
+    """Batches that go to Python workers hold at most about so many bytes, however long their texts or arrays are."""
+    if spark := SparkSession.getActiveSession():
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
