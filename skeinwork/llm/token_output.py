@@ -175,7 +175,7 @@ class Encoder:
     are looked up whole. Texts that hold one of the tokenizer's added tokens are given to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         common.local_threads()
         import public_tokenizers
         import regex
