@@ -41,6 +41,11 @@ SIDE = WINDOW - GRAM
 CONTEXT = WINDOW + SIDE
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
+#: Contexts whose windows are compared at a time, and windows put in one suffix array.
+PART_CONTEXTS = 1 << 13
+PART_WINDOWS = 1 << 18
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 #: Anchors of one key, in all blocks, above which its windows are dealt one by one; blocks count those above FEW.
 HOT = 20_000
 FEW = 8
@@ -230,6 +235,21 @@ def _fits(low, high):
     return (np.arange(SIDE + 1) >= low[:, None]) & (np.arange(SIDE + 1) + WINDOW <= high[:, None])
 
 
+def _all_fit(low, high):
+    """The bits of _fits, a number for each context."""
+    import numpy as np
+
+    one = np.uint32(1)
+    return ((one << np.clip(high.astype(np.int64) - WINDOW + 1, 0, SIDE + 1).astype(np.uint32)) - one) & ~((one << low.astype(np.uint32)) - one)
+
+
+def _among(x, of):
+    """Which of x the sorted array of has."""
+    import numpy as np
+
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
 def _window_hashes(rows):
     """64-bit hashes of all windows of contexts."""
     import numpy as np
@@ -244,24 +264,47 @@ def _window_hashes(rows):
     return h
 
 
+def _twice(hashes):
+    """Places, in order, whose hash another place has too."""
+    import numpy as np
+
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    return np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]) if len(order) else order
+
+
 def windows_gone(strings, hashes, oid):
     """For windows (rows of WINDOW bytes), their hashes and doc_ids: which of them a smaller document has."""
     import numpy as np
 
     gone = np.zeros(len(oid), bool)
-    if len(oid):
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        twice = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
-        for part in _parts(hashes[twice], 1 << 18):
-            at = twice[part]
-            gone[at] = longest_previous_factor(strings(at), oid[at]) >= WINDOW
+    twice = _twice(hashes)
+    for part in _parts(hashes[twice], PART_WINDOWS):
+        at = twice[part]
+        gone[at] = longest_previous_factor(strings(at), oid[at]) >= WINDOW
     return gone
 
 
 def repeated_windows(contexts, low, high, oid):
     """For contexts (rows of CONTEXT bytes, of which low to high are text) and doc_ids: bit s says that the window at s goes.
 
+    Equal windows have an anchor of the same gram in the same place, so contexts are compared with those about the same gram only: a few
+    grams at a time, and memory does not follow the number of windows."""
+    import numpy as np
+
+    out = np.zeros(len(oid), np.uint32)
+    gram = np.ascontiguousarray(contexts[:, SIDE : SIDE + GRAM]).view("<u8")
+    with np.errstate(over="ignore"):
+        h = (gram * np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)).sum(1, dtype=np.uint64)
+    del gram
+    for part in _parts(h, PART_CONTEXTS):
+        out[part] = _repeated_among(contexts[part], low[part], high[part], oid[part])
+    return out
+
+
+def _repeated_among(contexts, low, high, oid):
+    """repeated_windows of contexts that hold all those about their grams.
+
     Equal contexts stand together in suffix order whatever window is looked at, so they are one run: its least document speaks for it, and
     in the others all windows go. A run with no other run about the same gram has no window in common with any."""
     import numpy as np
@@ -271,7 +314,7 @@ def repeated_windows(contexts, low, high, oid):
     whole[:, :CONTEXT], whole[:, CONTEXT], whole[:, CONTEXT + 1] = contexts, low, high
     words = whole.view("<u8")
     order = np.lexsort((oid, *words.T[::-1]))
-    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)]) if n else np.zeros(0, bool)
+    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)])
     run = np.empty(n, np.int64)
     run[order] = np.cumsum(new) - 1
     first = order[new]
@@ -279,21 +322,37 @@ def repeated_windows(contexts, low, high, oid):
     gram = np.ascontiguousarray(contexts[first][:, SIDE : SIDE + GRAM]).view("<u8").reshape(-1, GRAM // 8)
     by = np.lexsort(gram.T)
     apart = (gram[by][1:] != gram[by][:-1]).any(1)
-    alone = np.concatenate([[True], apart]) & np.concatenate([apart, [True]]) if n else np.zeros(0, bool)
+    alone = np.concatenate([[True], apart]) & np.concatenate([apart, [True]])
     among = np.sort(by[~alone])
     if len(among):
         rows = contexts[first[among]]
         row, s = np.nonzero(_fits(low[first[among]], high[first[among]]))
-        h = np.concatenate([_window_hashes(rows[i : i + (1 << 16)]) for i in range(0, len(rows), 1 << 16)])[row, s]
+        h = _window_hashes(rows)[row, s]
         windows = np.lib.stride_tricks.sliding_window_view(rows, WINDOW, axis=1)
         gone = windows_gone(lambda at: windows[row[at], s[at]], h, oid[first[among]][row])
         np.bitwise_or.at(mask, among[row[gone]], _bits()[s[gone]])
     out = mask[run]
     later = oid > oid[first][run]
-    out[later] = (_fits(low[later], high[later]) * _bits()).sum(1, dtype=np.uint32)
+    out[later] = _all_fit(low[later], high[later])
     return out
 
 
+def removed_bytes(n: int, at, mask):
+    """Which of n bytes windows cover that go: those that the bits of mask name, about anchors at these places."""
+    import numpy as np
+
+    gone = np.zeros(n, bool)
+    for i in range(0, len(at), 1 << 14):
+        row, s = np.nonzero(mask[i : i + (1 << 14), None] >> np.arange(SIDE + 1, dtype=np.uint32) & 1)
+        gone[at[i : i + (1 << 14)][row].astype(np.int64) - SIDE + s] = True
+    done = 1  # starts of windows become windows by doubling
+    while done < WINDOW:
+        step = min(done, WINDOW - done)
+        gone[step:] |= gone[:-step].copy()
+        done += step
+    return gone
+
+
 def _parts(h, size: int):
     """Index arrays of about size places each; places of equal h fall in one."""
     import numpy as np
@@ -393,7 +452,7 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anc
     import numpy as np
     import pyarrow as pa
 
-    common.batches(documents.sparkSession)
+    common.batches(documents.sparkSession, size=BATCH_BYTES)
     total = common.pick(documents, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(8, total // block_bytes)
     docs = distinct_texts(documents, blocks)
@@ -426,7 +485,7 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anc
                 total[np.searchsorted(every, k[at])] += n.astype(np.int64) - 1
         shared = times > 1
         often, hot = every[shared], every[shared & (total > hot_anchors)]
-        mine = lambda k, x: k[np.isin(k, x, assume_unique=True)]
+        mine = lambda k, x: k[_among(k, x)]
         return table([(b, pack_sorted(x), pack_sorted(mine(k, hot))) for b, k in zip(own, keys) if len(x := mine(k, often))], pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())]))
 
     def contexts_of_block(t, shared):
@@ -463,12 +522,13 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anc
         speaker[order] = order[new][np.cumsum(new) - 1]
         later, twin = oid > oid[speaker], np.flatnonzero((oid == oid[speaker]) & (speaker != np.arange(len(doc))))
         u32 = lambda x: x.astype(np.uint32)
-        made = [(1, 0, block, pack(u32(doc[later]), u32(at[later]), (_fits(low[later], high[later]) * _bits()).sum(1, dtype=np.uint32)))] if later.any() else []
+        made = [(1, 0, block, pack(u32(doc[later]), u32(at[later]), _all_fit(low[later], high[later])))] if later.any() else []
         if len(twin):
             made.append((3, 0, block, pack(u32(doc[speaker[twin]]), u32(at[speaker[twin]]), u32(doc[twin]), u32(at[twin]))))
         rest = order[new]
         cold = ~np.isin(key[rest], hot)
-        rows_of = lambda x: data[(place[x] - SIDE)[:, None] + np.arange(CONTEXT)]
+        around = np.lib.stride_tricks.sliding_window_view(data, CONTEXT)
+        rows_of = lambda x: around[place[x] - SIDE]
         for s, x in _split(bucket_of(key[rest[cold]], blocks), rest[cold]):
             made.append((0, s, block, pack(oid[x], u32(doc[x]), u32(at[x]), low[x], high[x], rows_of(x))))
         rest = rest[~cold]
@@ -495,15 +555,20 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anc
         packed = t.column("data").to_pylist()
         answers = []
 
-        def collected(k, *kinds):
-            parts = [unpack(packed[i], *kinds) for i in np.flatnonzero(kind == k)]
+        def collected(k, *kinds, keep=lambda rows: rows):
+            parts = [keep(unpack(packed[i], *kinds)) for i in np.flatnonzero(kind == k)]
             return np.repeat(own[kind == k], [len(p[0]) for p in parts]), *(np.concatenate(x) for x in zip(*parts))
 
         if (kind == 0).any():
             block, oid, doc, at, low, high, rows = collected(0, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
             answers.append((block, doc, at, repeated_windows(rows, low, high, oid)))
+            del rows
         if (kind == 2).any():
-            block, oid, doc, at, s, h, windows = collected(2, np.int64, np.uint32, np.uint32, np.uint8, np.uint64, np.uint8)
+            # Hashes are read first: windows whose hash comes once stay, and their bytes are never held together.
+            of_window = (np.int64, np.uint32, np.uint32, np.uint8, np.uint64, np.uint8)
+            hashes = collected(2, *of_window, keep=lambda x: x[4:5])[1]
+            often = np.unique(hashes[_twice(hashes)])
+            block, oid, doc, at, s, h, windows = collected(2, *of_window, keep=lambda x: [a[on] for on in [_among(x[4], often)] for a in x])
             answers.append((block, doc, at, np.where(windows_gone(lambda x: windows[x], h, oid), _bits()[s], np.uint32(0))))
         block, doc, at, mask = (np.concatenate(x) for x in zip(*answers))
         on = mask > 0
@@ -536,10 +601,7 @@ def repeated_spans(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hot_anc
             spans, kept = [], text
             if i in hits:
                 at, mask = hits[i]
-                row, s = np.nonzero(mask[:, None] >> np.arange(SIDE + 1, dtype=np.uint32) & 1)
-                starts = at[row].astype(np.int64) - SIDE + s
-                delta = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + WINDOW, minlength=len(text) + 1)
-                gone = np.concatenate([[False], np.cumsum(delta[:-1]) > 0, [False]])
+                gone = np.concatenate([[False], removed_bytes(len(text), at, mask), [False]])
                 edge = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
                 spans = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2])]
                 kept = np.frombuffer(text, np.uint8)[~gone[1:-1]].tobytes()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -479,6 +480,58 @@ def test_longest_previous_factor():
         assert got[i] == best
 
 
+def measured(run):
+    """What run returns, and the bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_does_not_follow_the_windows_of_a_shard(monkeypatch):
+    """Contexts about few grams with surroundings of their own: all their windows must be compared, a few grams at a time."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    contexts, oid = rng.integers(97, 100, (n, suffix_dedup.CONTEXT)).astype(np.uint8), rng.integers(0, n, n)
+    contexts[:, 26:50] = rng.integers(97, 123, (n // 100, 24))[rng.integers(0, n // 100, n)]
+    contexts[n // 2 :] = contexts[: n // 2]
+    contexts[n // 2 :, :5] = 65
+    low, high = rng.integers(0, 27, n).astype(np.uint8), rng.integers(50, 77, n).astype(np.uint8)
+    got, held = measured(lambda: suffix_dedup.repeated_windows(contexts, low, high, oid))
+    assert held < 40 << 20
+    first = {}
+    for c, a, b, o in zip(contexts, low.tolist(), high.tolist(), oid.tolist()):
+        for s in range(a, b - 49):
+            w = c[s : s + 50].tobytes()
+            first[w] = min(o, first.get(w, o))
+    want = [sum(1 << s for s in range(a, b - 49) if first[c[s : s + 50].tobytes()] < o) for c, a, b, o in zip(contexts[:3000], low.tolist(), high.tolist(), oid.tolist())]
+    assert any(want) and got[:3000].tolist() == want
+    monkeypatch.setattr(suffix_dedup, "PART_CONTEXTS", n)
+    assert np.array_equal(got, suffix_dedup.repeated_windows(contexts, low, high, oid))
+
+
+def test_memory_of_removed_bytes_follows_the_text():
+    rng = np.random.default_rng(6)
+    n = 1 << 20
+    at = np.sort(rng.choice(np.arange(26, n - 50), n // 14, replace=False))
+    mask = rng.integers(0, 1 << 27, len(at)).astype(np.uint32)
+    got, held = measured(lambda: suffix_dedup.removed_bytes(n, at, mask))
+    assert held < 16 * n
+    want = np.zeros(n, bool)
+    for a, m in zip(at[:500].tolist(), mask[:500].tolist()):
+        for s in range(27):
+            if m >> s & 1:
+                want[a - 26 + s : a + 24 + s] = True
+    end = int(at[499])
+    assert np.array_equal(got[: end - 25], want[: end - 25]) and not suffix_dedup.removed_bytes(n, at[:0], mask[:0]).any()
+
+
+def test_fitting_windows_as_bits():
+    low, high = (x.ravel() for x in np.meshgrid(np.arange(27, dtype=np.uint8), np.arange(24, 77, dtype=np.uint8)))
+    assert suffix_dedup._all_fit(low, high).tolist() == [sum(1 << s for s in range(27) if s >= a and s + 50 <= b) for a, b in zip(low.tolist(), high.tolist())]
+
+
 def test_anchors_of_long_documents_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(1)
     text = bytes(rng.choice(b"abc ") for _ in range(9000))
