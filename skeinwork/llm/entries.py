@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontam, language_id, lm_score, mixing, quality_rules, simhash_dedup, suffix_dedup, token_count, token_output
+from . import centroid_clustering, chat_format, decontam, language_id, lm_score, mixing, packing, prefix_trie, quality_rules, simhash_dedup, suffix_dedup, token_count, token_output
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_token_output": token_output.op8_token_output,
         "op9_language_id": language_id.op9_language_id,
         "op10_token_count": token_count.op10_token_count,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_decontaminate": decontam.ORACLE_SQL, "op4_mix": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op1_chat_format": chat_format.ORACLE_SQL,
+        "op2_decontaminate": decontam.ORACLE_SQL,
+        "op4_mix": mixing.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op13_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    }
