@@ -9,17 +9,17 @@ smoothed share of the training tokens, with one share for all tokens never seen.
 size that does not grow with it.
 
 Texts are split twice: once to count, once to turn each token into its code (class and group), which is staged; training and scoring read
-codes. All training documents count. They are dealt by a hash of id and text into shards of about SHARD_TOKENS tokens, whose number follows
-from the number of tokens alone, and each shard has its documents in the order of that hash: the model does not depend on how the input lies
-in partitions. Training has a round for each of RATES, each with documents of its own; a round starts from the mean of the shards' models
-of the round before, weighted by tokens and summed in fixed point, so that no order of addition shows. Models have a fixed size; these sums
-are all the driver sees. Noise comes from the classes' training frequencies, one set of samples for a batch, which makes both terms of
-the gradient matrix products.
+codes. All training documents count. A hash of id and text deals them to ROUNDS rounds, each GROWTH times the one before, and to SHARDS shards, which are as many
+however much there is to learn; a shard has its documents in the order of that hash, so the model does not depend on how the input lies in partitions. In a
+round every shard starts from the same parameters and the same sums of squared gradients (AdaGrad's, carried through all rounds), and streams its documents. A parameter then moves by
+the shards' moves, each weighted by the shard's own sum of squares over that of all shards together: where gradients are rare and small these moves add up as if made one
+after the other, where each shard has seen enough, or makes many steps in a round, they are averaged. A momentum over rounds (Nesterov's) is added. Sums are in fixed point, so that no order of addition shows; a
+task adds up its shards before it sends them, and what it sends, and the driver gets, has the size of two models.
 
 Scoring: normalisers of all contexts are made once, by batched matrix products dealt over the cluster, a table of fixed size; a token's
 score is then looked up in the matrices of context and target. Counts of the up to HEAD most frequent tokens (of HEAD_BYTES bytes
-at most) go to every task, a bounded table; all other tokens of all documents meet their counts in a join, exactly, and there are none among
-them as frequent as those of the head.
+together) go to every task, a bounded table; all other tokens of all documents meet their counts in a join, exactly. A token too long for the head may be frequent; the join's
+table of counts has one row for it, so adaptive execution splits the other side.
 
 Defined results: null text is empty, with just the end token; a null doc_id is hashed as the empty text; repeated rows each get
 a row and count as often in training; without training documents N and V are 0; an empty table gives no rows. A text of any length is one
@@ -28,6 +28,8 @@ row of codes, four bytes a token; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +42,24 @@ SUFFIX, PREFIX = 3, 3
 CONTEXT = 2
 DIM = 32
 HEAD = 1 << 17
-HEAD_BYTES = 64
+HEAD_BYTES = 8 << 20
+NAMED_BYTES = 64  # longer tokens have no class of their own
 END = b"\n"  # no word has white space
 
-SHARD_TOKENS = 1 << 21
+SHARDS = 64
+ROUNDS = 24
+GROWTH = 1.15
+#: Learning rates of the first and the last round, those between by equal factors; how far a round's move is taken, and how much of it the next keeps.
+RATES = (0.4, 0.05)
+STEP, MOMENTUM = 0.7, 0.5
+#: Moves that add up count as that many minibatches one after the other, at most: beyond that they start from parameters too old to add.
+STALE = 200
 NOISE = 25.0
 SAMPLES = 64
 MINIBATCH = 1024
-#: One learning rate a round.
-RATES = (0.4, 0.2, 0.1, 0.05)
 _BUFFER = 1 << 16
-_POINT = 1 << 24
+_POINT = 1 << 36
+_START = 1e-2  # of the sums of squares
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -187,20 +196,27 @@ class Model:
         self.u = np.zeros((GROUPS, dim), np.float32)
         self.seen: dict = {}
 
-    def rows(self):
-        """The parameters as rows of equal length."""
+    def rows(self, seen: bool = False):
+        """The parameters, or the sums of their squared gradients, as rows of equal length."""
         import numpy as np
 
+        r, q, b, c, u = (self.seen.setdefault(n, np.full_like(getattr(self, n), _START)) if seen else getattr(self, n) for n in "rqbcu")
         pad = lambda x: np.hstack([x, np.zeros((len(x), 1), np.float32)])
-        return np.vstack([pad(self.r), np.hstack([self.q, self.b[:, None]]), pad(self.c), pad(self.u)])
+        return np.vstack([pad(r), np.hstack([q, b[:, None]]), pad(c), pad(u)])
 
-    def take(self, rows) -> Model:
+    def take(self, rows, seen=None) -> Model:
         import numpy as np
 
         n, d = self.r.shape
-        rows = np.asarray(rows, np.float32)
-        self.r, self.q, self.b, self.c = rows[:n, :d].copy(), rows[n : 2 * n - 1, :d].copy(), rows[n : 2 * n - 1, d].copy(), rows[2 * n - 1 : -GROUPS, :d].copy()
-        self.u = rows[-GROUPS:, :d].copy()
+
+        def parts(rows):
+            rows = np.asarray(rows, np.float32)
+            cut = {"r": rows[:n, :d], "q": rows[n : 2 * n - 1, :d], "b": rows[n : 2 * n - 1, d], "c": rows[2 * n - 1 : -GROUPS, :d], "u": rows[-GROUPS:, :d]}
+            return {k: x.copy() for k, x in cut.items()}
+
+        self.__dict__.update(parts(rows))
+        if seen is not None:
+            self.seen = parts(seen)
         return self
 
     def contexts(self, classes, lengths):
@@ -220,7 +236,7 @@ class Model:
         import numpy as np
 
         x = getattr(self, name)
-        seen = self.seen.setdefault(name, np.full_like(x, 1e-2))
+        seen = self.seen.setdefault(name, np.full_like(x, _START))
         now = seen[at] + grad * grad
         seen[at] = now
         x[at] += rate * grad / np.sqrt(now)
@@ -372,18 +388,25 @@ def token_counts(training: DataFrame, most: int = 400_000) -> DataFrame:
     return common.staged(counted, "token-counts")
 
 
-def head_of(counts: DataFrame, size: int = HEAD) -> dict[bytes, int]:
-    """Counts of the most frequent tokens, the end token first: those of at most HEAD_BYTES bytes whose count is at or above the
-    least limit that leaves at most size tokens. Limits are powers of the fourth root of two, so a histogram of a few hundred rows
-    finds it, and no more than size rows come to the driver, from all partitions together."""
-    short = counts.filter((F.length("token") <= HEAD_BYTES) & (F.col("token") != F.lit(END)))
+def head_of(counts: DataFrame, size: int = HEAD, most_bytes: int = HEAD_BYTES) -> dict[bytes, int]:
+    """Counts of the most frequent tokens, the end token first: those whose count is at or above the least limit that leaves at most
+    size tokens of most_bytes bytes together. Limits are powers of the fourth root of two, so a histogram of a few hundred rows
+    finds it, and no more than that comes to the driver, from all partitions together. At a limit with too many bytes, longer tokens stay out."""
+    words = counts.filter(F.col("token") != F.lit(END))
     step = F.floor(F.log2("c") * 4 + 1e-9).cast("int")
-    room, least = size - 1, None
-    for r in sorted(short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
-        if (room := room - r["n"]) < 0:
+    length, room, least = F.length("token"), [size - 1, most_bytes], None
+    short = length <= NAMED_BYTES
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count_if(short).alias("n"), F.coalesce(F.sum(F.when(short, length)), F.lit(0)).alias("bytes")).collect(), reverse=True):
+        room = [room[0] - r["n"], room[1] - r["bytes"]]
+        if min(room) < 0:
             break
         least = r["step"]
-    top = short.filter(step >= least).collect() if least is not None else []
+    top = words.filter((step >= least) & short).collect() if least is not None else []
+    if least is not None:  # long ones that are as frequent, while they fit
+        left = [size - 1 - len(top), most_bytes - sum(len(r["token"]) for r in top)]
+        for r in words.filter((step >= least) & ~short & (length <= most_bytes // 16)).orderBy(F.col("c").desc(), length, "token").limit(16).collect():
+            if (left := [left[0] - 1, left[1] - len(r["token"])]) and min(left) >= 0:
+                top.append(r)
     end = counts.filter(F.col("token") == F.lit(END)).collect()
     return {bytes(r["token"]): r["c"] for r in [*end, *sorted(top, key=lambda r: (-r["c"], bytes(r["token"])))]}
 
@@ -408,11 +431,12 @@ class Vocabulary:
 
         self.total, self.distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.head = head_of(counts, size)
-        self.named = list(self.head)[: classes - 1]
+        self.named = [w for w in self.head if len(w) <= NAMED_BYTES][: classes - 1]
+        place = {w: BUCKETS + i for i, w in enumerate(self.named)}
         rare, weights = cells(counts, self.named)
         self.freq = np.concatenate([rare, [self.head[w] for w in self.named], np.zeros(classes - 1 - len(self.named))])
         self.log_weights = np.log(weights).astype(np.float32)
-        self.codes = np.array([(BUCKETS + i) * GROUPS if i < len(self.named) else cell(w) for i, w in enumerate(self.head)], np.int32)
+        self.codes = np.array([place[w] * GROUPS if w in place else cell(w) for w in self.head], np.int32)
 
     def model(self) -> Model:
         return Model(self.freq, self.log_weights)
@@ -458,25 +482,32 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     made = rows.select("doc_id", "fold", "h", "text").mapInArrow(run, "doc_id long, fold long, h long, n_tokens long, codes binary, n_known long, known_share double, rare_share double, tail array<binary>")
-    return common.staged(made.withColumn("row", F.monotonically_increasing_id()), "coded")
+    # In the order of h, so a round's rows are a few pages of each file.
+    return common.staged(made.sortWithinPartitions("h").withColumn("row", F.monotonically_increasing_id()), "coded")
 
 
-def train(coded: DataFrame, vocabulary: Vocabulary, shard_tokens: int | None = None) -> Model:
+def round_ends(rounds: int, growth: float) -> list[int]:
+    """Upper limits of h (signed, 64 bits), by round, the last one aside."""
+    sizes = [growth**k for k in range(rounds)]
+    return [int(sum(sizes[: k + 1]) / sum(sizes) * 2**64) - 2**63 for k in range(rounds - 1)]
+
+
+def train(coded: DataFrame, vocabulary: Vocabulary, shards: int = SHARDS, rounds: int = ROUNDS, growth: float = GROWTH) -> Model:
     """The model of the training rows of encoded(). The same rows give the same model, however they lie in partitions."""
     import numpy as np
     import pyarrow as pa
 
     context = coded.sparkSession.sparkContext
     model = vocabulary.model()
-    width = model.rows().shape[1]
-    shards = max(1, int(vocabulary.total) // (shard_tokens or SHARD_TOKENS))
+    seen, velocity, width = model.rows(True).astype(np.float64), 0.0, model.rows().shape[1]
     sent = context.broadcast((vocabulary.freq, vocabulary.log_weights))
-    rows = coded.filter("fold <> 1").select(F.pmod(F.shiftrightunsigned("h", 8), F.lit(shards)).cast("int").alias("shard"), "h", "doc_id", "codes")
-    for k, rate in enumerate(RATES):
-        begin = context.broadcast(model.rows())
+    rows = coded.filter("fold <> 1").select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "doc_id", "codes")
+    tasks = min(shards, context.defaultParallelism)
+    for k, (rate, low, high) in enumerate(zip(np.geomspace(*RATES, rounds), [None, *(ends := round_ends(rounds, growth))], [*ends, None])):
+        begin = context.broadcast((model.rows(), seen.astype(np.float32)))
 
         def run(batches, k=k, rate=rate, begin=begin):
-            shard, own, held, size, n, part = None, None, [], 0, 0, 0
+            shard, own, held, size, part, total, n, m = None, None, [], 0, 0, None, 0, 0
 
             def learned():
                 classes, groups = classes_of(np.concatenate(held))
@@ -485,32 +516,44 @@ def train(coded: DataFrame, vocabulary: Vocabulary, shard_tokens: int | None = N
             def ended():
                 if held:
                     learned()
-                out = np.rint(own.rows().astype(np.float64) * _POINT).astype(np.int64) * (weight := max(1, n >> 10))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
-                return pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array([weight] * len(out), pa.int64()), flat], ["row", "n", "v"])
+                squares = own.rows(True).astype(np.float64)
+                moved = (own.rows().astype(np.float64) - begin.value[0]) * squares
+                sums = np.rint(np.hstack([moved, squares - begin.value[1]]) * _POINT).astype(np.int64)
+                return sums if total is None else total + sums
 
             for b in batches:
                 for s, codes in zip(b.column("shard").to_pylist(), b.column("codes").to_pylist()):
                     if s != shard:
                         if own is not None:
-                            yield ended()
-                        shard, own, held, size, n, part = s, Model(*sent.value).take(begin.value), [], 0, 0, 0
+                            total = ended()
+                        shard, own, held, size, part, m = s, Model(*sent.value).take(*begin.value), [], 0, 0, m + 1
                     held.append(np.frombuffer(codes, np.int32))
                     size, n = size + len(held[-1]), n + len(held[-1])
                     if size >= _BUFFER:
                         learned()
                         held, size, part = [], 0, part + 1
             if own is not None:
-                yield ended()
-
-        mine = rows.filter(F.pmod("h", F.lit(len(RATES))) == k).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "doc_id")
-        sums = mine.mapInArrow(run, "row int, n long, v array<long>").groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width)])
-        if got := sorted(sums.collect(), key=lambda r: r["row"]):  # as many as the model has rows
-            model.take(np.array([[r[f"v{j}"] for j in range(width)] for r in got], np.float64) / (np.array([[r["n"]] for r in got], np.float64) * _POINT))
+                total = ended()
+                values = np.concatenate([[n, m], total.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "v"])
+
+        inside = [F.col("h") >= low] * (low is not None) + [F.col("h") < high] * (high is not None)
+        mine = rows.filter(functools.reduce(lambda x, y: x & y, inside, F.lit(True))).repartition(tasks, "shard").sortWithinPartitions("shard", "h", "doc_id")
+        sums = mine.mapInArrow(run, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # as many rows as two models have numbers
+        if len(sums):
+            got = np.empty(len(sums), np.int64)
+            got[sums["i"].to_numpy()] = sums["v"].to_numpy()
+            n, m, at, before = *got[:2].tolist(), got[2:].reshape(-1, 2 * width) / _POINT, seen
+            seen = np.maximum(before + at[:, width:], 1e-9)  # rows are padded with zeros
+            added = np.maximum(m * before + at[:, width:], 1e-9) / seen  # sums of the weights of m shards
+            move = at[:, :width] / seen * np.minimum(1, max(1, STALE * MINIBATCH * m / n) / added)
+            velocity = MOMENTUM * velocity + move
+            model.take(model.rows() + STEP * (MOMENTUM * velocity + move))
+        begin.unpersist()
     return model
 
 
-def score(documents: DataFrame, classes: int = CLASSES, shard_tokens: int | None = None) -> DataFrame:
+def score(documents: DataFrame, classes: int = CLASSES, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents."""
     import numpy as np
     import pyarrow as pa
@@ -521,7 +564,7 @@ def score(documents: DataFrame, classes: int = CLASSES, shard_tokens: int | None
     counts = token_counts(rows.filter("fold <> 1"))
     vocabulary = Vocabulary(counts, classes, HEAD)
     coded = encoded(rows, vocabulary)
-    model = train(coded, vocabulary, shard_tokens)
+    model = train(coded, vocabulary, shards, rounds)
     sent = spark.sparkContext.broadcast((vocabulary.freq, vocabulary.log_weights, model.rows(), model.normalisers(model.parts())))
 
     def run(batches):
