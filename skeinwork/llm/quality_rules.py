@@ -1,8 +1,8 @@
 """Quality rules: base counts of each text, and lines that too many documents of a host share.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to one space) and hashed together with their host (column source), to 128
-bits. For each host and line the distinct documents are counted; a document is its text, so exact copies on a host are one. A line is
-removed if more than LIMIT documents of its host have it, and a document whose removed lines hold more than DEPLETED percent of its
+bits. For each host and line the distinct documents are counted; a document is its text, so exact copies on a host are one, or its doc_id if one asks for that (null is one id). A line is
+removed from texts (cleaned, keep_good) if more than LIMIT documents of its host have it, every time it stands there, and a document whose removed lines hold more than DEPLETED percent of its
 words is rejected. Both limits are parameters. No line is spared for the sake of near copies: what more than LIMIT pages of a host say in the
 same words is boilerplate here, and copies of one document with small changes are too, once there are so many.
 
@@ -12,7 +12,8 @@ beyond that.
 
 Defined results: null text is empty, has no words and fails the base rule; a null source is one host, apart from the empty one; texts that
 are one line and agree once normalised count as different documents with a shared line; repeated rows each get a row and count once; a
-text of any length is read whole; an empty table gives no rows; other columns are ignored, and kept as they are by keep_good.
+text of any length is read whole; an empty table gives no rows; other columns are ignored, and kept as they are by keep_good and cleaned; a text without its removed lines is the others joined by line feeds, lines
+without a word included, and texts with nothing to remove are byte for byte what they were.
 """
 
 from __future__ import annotations
@@ -77,14 +78,14 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _LINES = "array<struct<h1:long,h2:long,n:long>>"
 
 
-def features(rows: DataFrame, source: str, text: str, *carried: str) -> DataFrame:
-    """A staged row for each of rows: its number row, the carried columns, k1 (hash of the text), base counts, base_failed and lines."""
+def features(rows: DataFrame, source: str, text: str, *carried: str, unit: str | None = None) -> DataFrame:
+    """A staged row for each of rows: its number row, the carried columns, host, k1 (hash of the text, or of the column unit), base counts, base_failed and lines."""
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
     common.batches(rows.sparkSession)
     host, words = F.col(source).cast("string"), F.col(text).cast("string")
-    rows = rows.select(*carried, F.xxhash64(F.coalesce(words, F.lit(""))).alias("k1"), F.xxhash64(host.isNull(), host).alias("_host"), words.alias("_text"))
+    rows = rows.select(*carried, F.xxhash64(F.coalesce(F.col(unit).cast("string") if unit else words, F.lit(""))).alias("k1"), F.xxhash64(host.isNull(), host).alias("_host"), words.alias("_text"))
     kept = len(carried) + 1
 
     def run(batches):
@@ -103,28 +104,68 @@ def features(rows: DataFrame, source: str, text: str, *carried: str) -> DataFram
             flat = pa.StructArray.from_arrays([pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy()), pa.array(n, pa.int64())], ["h1", "h2", "n"])
             lines = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
             failed = (made[:, 0] < MIN_WORDS) | (100 * made[:, 4] > MAX_REPEATED * made[:, 0])
-            cols = [*b.columns[:kept], *[pa.array(made[:, i].copy()) for i in range(5)], pa.array(failed), lines]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:kept], *_COUNTS, "base_failed", "lines"])
+            cols = [*b.columns[:kept], b.column("_host"), *[pa.array(made[:, i].copy()) for i in range(5)], pa.array(failed), lines]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:kept], "host", *_COUNTS, "base_failed", "lines"])
 
-    schema = StructType.fromDDL(", ".join(f"{c} long" for c in _COUNTS) + f", base_failed boolean, lines {_LINES}")
+    schema = StructType.fromDDL("host long, " + ", ".join(f"{c} long" for c in _COUNTS) + f", base_failed boolean, lines {_LINES}")
     made = rows.mapInArrow(run, StructType([*rows.schema.fields[:kept], *schema.fields]))
     return common.staged(made.withColumn("row", F.monotonically_increasing_id()), "quality")
 
 
-def removed_words(made: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """row, removed (words in lines that more than limit distinct documents of the host have), for rows of features() with such lines."""
+def removed_lines(made: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """row, h1, h2, n (words) for the lines of features() that more than limit distinct documents of their host have."""
     lines = made.select("row", "k1", F.explode("lines").alias("x")).select("row", "k1", "x.*")
     often = lines.groupBy("h1", "h2", "k1").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("docs")).filter(F.col("docs") > limit)
     often = common.staged(often.select("h1", "h2"), "frequent-lines")
     often = F.broadcast(often) if often.count() <= most_broadcast else often
-    return lines.join(often, ["h1", "h2"], "left_semi").groupBy("row").agg(F.sum("n").alias("removed"))
+    return lines.join(often, ["h1", "h2"], "left_semi").select("row", "h1", "h2", "n")
+
+
+def removed_words(made: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """row, removed (words in removed lines), for rows of features() with such lines."""
+    return removed_lines(made, limit, most_broadcast).groupBy("row").agg(F.sum("n").alias("removed"))
+
 
+def without_lines(host: int, text: bytes, gone: set[tuple[int, int]]) -> bytes:
+    """The text without the lines that have these hashes."""
+    from xxhash import xxh3_128_intdigest
+
+    kept = []
+    for line in text.split(b"\n"):
+        if w := line.translate(_LINE).split():
+            h = xxh3_128_intdigest(b" ".join(w), host & (1 << 64) - 1)
+            low, high = (x - (1 << 64) if x >> 63 else x for x in (h & (1 << 64) - 1, h >> 64))
+            if (low, high) in gone:
+                continue
+        kept.append(line)
+    return b"\n".join(kept)
+
+
+def _cleaned(rows: DataFrame, text: str) -> DataFrame:
+    """rows (host and gone, the hashes of removed lines or null, beside their columns) with texts that lack these lines; host and gone are dropped."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
 
-def verdicts(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
-    """doc_id, base counts, removed_words, base_failed, kept for each row of documents."""
+    names = [c for c in rows.columns if c not in ("host", "gone")]
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(text).cast(pa.large_binary()).to_pylist()
+            for i, (host, gone) in enumerate(zip(b.column("host").to_pylist(), b.column("gone").to_pylist())):
+                if gone is not None:
+                    texts[i] = without_lines(host, texts[i] or b"", {(x["h1"], x["h2"]) for x in gone})
+            made = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(b.column(text).type)
+            yield pa.RecordBatch.from_arrays([made if n == text else b.column(n) for n in names], names)
+
+    touched = rows.filter("gone is not null").mapInArrow(run, StructType([rows.schema[n] for n in names]))
+    return rows.filter("gone is null").select(*names).unionByName(touched)
+
+
+def verdicts(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, by_id: bool = False) -> DataFrame:
+    """doc_id, base counts, removed_words, base_failed, kept for each row of documents. by_id: documents are told apart by doc_id, not by text."""
     rows = common.pick(documents, "doc_id", "source", "text")
-    made = features(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "source", "text", "doc_id")
-    out = made.drop("lines").join(removed_words(made, limit), "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
+    made = features(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "source", "text", "doc_id", unit="doc_id" if by_id else None)
+    out = made.drop("lines", "host").join(removed_words(made, limit), "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))).drop("row", "k1", "removed")
 
 
@@ -132,23 +173,36 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return verdicts(common.table(spark, sf_dir, "documents")).select("doc_id", *_COUNTS, "base_failed", "kept", "removed_words")
 
 
-def keep_good(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """The rows of documents, all columns as they are, that are kept. Texts are staged with their counts, so they are read once; rejected
-    rows are found by number."""
+def _marked(documents: DataFrame, limit: int, most_broadcast: int, by_id: bool) -> tuple[DataFrame, list[str], str]:
+    """features() with all columns of documents (_0, _1, ...), gone (hashes of removed lines, null if none) and removed; the columns, and that of the text.
+    Texts are staged with their counts, so they are read once."""
     names = [f"_{i}" for i in range(len(documents.columns))]
     source, text = (names[documents.columns.index(n)] for n in ("source", "text"))
-    made = features(documents.toDF(*names), source, text, *names)
-    bad = made.join(removed_words(made, limit), "row").filter(~F.col("base_failed") & (100 * F.col("removed") > depleted * F.col("n_words")))
-    bad = common.staged(bad.select("row"), "rejected")
-    bad = F.broadcast(bad) if bad.count() <= most_broadcast else bad
-    return made.filter("not base_failed").join(bad, "row", "left_anti").select(*names).toDF(*documents.columns)
+    made = features(documents.toDF(*names), source, text, *names, unit=names[documents.columns.index("doc_id")] if by_id else None)
+    # At most a document's own lines.
+    lines = common.staged(removed_lines(made, limit, most_broadcast).groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"), F.sum("n").alias("removed")), "removed-lines")
+    return made.drop("lines").join(lines, "row", "left"), names, text
+
+
+def cleaned(documents: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST, by_id: bool = False) -> DataFrame:
+    """All rows of documents, with texts that lack the lines that too many documents of their host have."""
+    rows, names, text = _marked(documents, limit, most_broadcast, by_id)
+    return _cleaned(rows.select(*names, "host", "gone"), text).toDF(*documents.columns)
+
+
+def keep_good(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, most_broadcast: int = MOST_BROADCAST, by_id: bool = False) -> DataFrame:
+    """The rows of documents that are kept, with texts that lack the removed lines; other columns as they are."""
+    rows, names, text = _marked(documents, limit, most_broadcast, by_id)
+    good = rows.filter(~F.col("base_failed") & (100 * F.coalesce("removed", F.lit(0)) <= depleted * F.col("n_words")))
+    return _cleaned(good.select(*names, "host", "gone"), text).toDF(*documents.columns)
 
 
-def oracle_sql(limit: int = LIMIT, depleted: int = DEPLETED) -> str:
+def oracle_sql(limit: int = LIMIT, depleted: int = DEPLETED, by_id: bool = False) -> str:
+    unit = "coalesce(CAST(doc_id AS VARCHAR), '')" if by_id else "md5(t)"
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
-), raw AS (SELECT r, source, md5(t) AS k, unnest(string_split(t, chr(10))) AS x FROM d
+), raw AS (SELECT r, source, {unit} AS k, unnest(string_split(t, chr(10))) AS x FROM d
 ), line AS (
   SELECT *, coalesce(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+'), []) AS lw FROM raw WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
 ), dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY r

@@ -194,6 +194,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
     k1, k2 = common.content_keys(text)
     rows = documents.toDF(*cols).withColumns({"_k1": k1, "_k2": k2})
     kept = rows.join(best, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")) & doc_id.cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    # Repeated rows share all of this key; one stays.
-    one = Window.partitionBy("_k1", "_k2", doc_id).orderBy(F.lit(0))
+    # Rows of one id and text share all of this key; the one with the least hash of all its columns stays.
+    one = Window.partitionBy("_k1", "_k2", doc_id).orderBy(F.xxhash64(*cols))
     return kept.withColumn("_one", F.row_number().over(one)).filter("_one = 1").select(*cols).toDF(*documents.columns)

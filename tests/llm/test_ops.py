@@ -407,6 +407,43 @@ def test_quality_counts(documents, rows, empty):
     assert quality_rules.keep_good(empty).count() == 0 and quality_rules.verdicts(empty).count() == 0
 
 
+def plain_cleaning(rows, limit):
+    """Texts by row without the lines that more than limit distinct texts of a host have."""
+    form = lambda line: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+    having = defaultdict(set)
+    for i, t, _, s in rows:
+        for line in (t or "").split("\n"):
+            if w := form(line):
+                having[s, tuple(w)].add(t)
+    often = {k for k, v in having.items() if len(v) > limit}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if (s, tuple(form(x))) not in often) for i, t, _, s in rows]
+
+
+def test_frequent_lines_are_removed(spark, documents, rows):
+    rng = random.Random(2)
+    odd = [(2000 + i, "\n".join(["Home 1", "own words " + str(rng.random()) + "\u3000é" * 20, "  HOME \t 2", "", "Home 1 ", "more of its own " * 3]), "en", "menus") for i in range(12)] + [(2100, "home 3\r\nx", "en", None), (2101, "Home 1", "en", "other")]
+    every, limit = documents.union(frame(spark, odd)), 5
+    want = [(r[0], x) for r, x in zip([*rows, *odd], plain_cleaning([*rows, *odd], limit))]
+    for most in (quality_rules.MOST_BROADCAST, 0):
+        got = quality_rules.cleaned(every, limit=limit, most_broadcast=most)
+        assert got.columns == every.columns
+        assert counted(map(tuple, common.pick(got, "doc_id", "text").collect())) == counted(want)
+    assert sum(x != r[1] for r, (_, x) in zip([*rows, *odd], want)) >= 12 and "home" not in next(x for i, x in want if i == 2003).lower()
+    good = {i for i, k in ((r["doc_id"], r["kept"]) for r in quality_rules.verdicts(every, limit=limit).collect()) if k}
+    kept = common.pick(quality_rules.keep_good(every, limit=limit), "doc_id", "text").collect()
+    assert {r["doc_id"] for r in kept} == good and all((r["doc_id"], r["text"]) in set(want) for r in kept)
+
+
+def test_lines_counted_by_id(spark):
+    """Copies of one page count one by one when documents are told apart by id."""
+    rows = [(i, "the menu of this host has these words\n" + "and a text that all copies of it have, long enough to be kept by the rule on its words " * 2, "en", "h") for i in range(9)]
+    df = frame(spark, rows)
+    assert not any(r["removed_words"] for r in quality_rules.verdicts(df, limit=5).collect())
+    assert all(r["removed_words"] == r["n_words"] for r in quality_rules.verdicts(df, limit=5, by_id=True).collect())
+    assert from_spark(quality_rules.verdicts(df, limit=5, by_id=True)) == from_sql(quality_rules.oracle_sql(5, by_id=True), documents=(DOCUMENTS, rows))
+    assert quality_rules.keep_good(df, limit=5, by_id=True).count() == 0
+
+
 @pytest.mark.parametrize("own", [1, 2, 4, 12])
 def test_depleted_pages_go(spark, own):
     """Pages of one host with shared navigation lines and lines of their own; nothing but the words' share counts."""

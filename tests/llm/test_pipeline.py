@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm import common, mixing, quality_rules
 
-from test_ops import DOCUMENTS, brute_contamination, frame, from_sql, some_documents
+from test_ops import DOCUMENTS, brute_contamination, frame, from_sql, plain_cleaning, some_documents
 
 
 def write(spark, rows, items, folder):
@@ -32,13 +32,15 @@ def test_pipeline_is_its_stages_by_hand(spark, tmp_path):
     rows = list({r[0]: r for r in some_documents(seed=3, n=150) if r[0] is not None}.values())
     menu = "one line of a menu that all the pages of this host have, in the same words and at the same place"
     rows += [(1000 + i, "\n".join([menu, menu + " and more", f"page {'xyz'[i % 3] * (i + 1)}"]), "en", "menus") for i in range(40)]
+    rows += [(2000 + i, f"a line of navigation {i + 10}\n" + " ".join(f"w{i}x{k}" for k in range(30 + i)), "en", "navigated") for i in range(35)]
     leak = next(t for _, t, _, _ in rows if t and len(t.split()) > 40)
     items = [(1, leak), (2, None)]
     write(spark, rows, items, str(tmp_path))
 
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words removed_words base_failed kept".split()
     verdict = {dict(zip(sorted(names), r))["doc_id"]: dict(zip(sorted(names), r))["kept"] for r in from_sql(quality_rules.ORACLE_SQL, documents=(DOCUMENTS, rows))}
-    kept = [r for r in rows if verdict[r[0]]]
+    kept = [(r[0], t, *r[2:]) for r, t in zip(rows, plain_cleaning(rows, quality_rules.LIMIT)) if verdict[r[0]]]
+    assert sum(r[3] == "navigated" and "navigation" not in r[1] for r in kept) == 35
     assert not any(r[3] == "menus" for r in kept) and len(kept) < len(rows)
     fps, group = [fingerprint(r[1]) for r in kept], list(range(len(kept)))
     for i in range(len(kept)):
