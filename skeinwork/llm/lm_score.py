@@ -538,7 +538,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, shards: int = SHARDS, rounds
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "v"])
 
         inside = [F.col("h") >= low] * (low is not None) + [F.col("h") < high] * (high is not None)
-        mine = rows.filter(functools.reduce(lambda x, y: x & y, inside, F.lit(True))).repartition(tasks, "shard").sortWithinPartitions("shard", "h", "doc_id")
+        mine = rows.filter(functools.reduce(lambda x, y: x & y, inside, F.lit(True))).repartition(tasks, "shard").coalesce(tasks).sortWithinPartitions("shard", "h", "doc_id")
         sums = mine.mapInArrow(run, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # as many rows as two models have numbers
         if len(sums):
             got = np.empty(len(sums), np.int64)
