@@ -264,6 +264,14 @@ def djb2(col: Column) -> Column:
     return F.aggregate(F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long")), F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(4294967295)))
 
 
+def djb2_of(word: str) -> int:
+    """djb2 of one word on the driver."""
+    h = 5381
+    for c in word:
+        h = (h * 33 + ord(c)) & 0xFFFFFFFF
+    return h
+
+
 def polynomial_hash(col: Column, base: int = 31, mod: int = 1_000_003) -> Column:
     return F.aggregate(F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda h, c: (h * base + c) % mod)
 

@@ -44,6 +44,57 @@ def similarity_pairs(keywords: DataFrame, categories: DataFrame, least: float =
     return common.join(na, "a").join(nb, "b").withColumn("w", w).filter(F.col("w") >= least).select("a", "b", F.round(F.least(F.lit(1.0), "w"), 4).alias("weight"))
 
 
+def similar_sets(keywords: DataFrame, categories: DataFrame, least: float = 0.18, bonus: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """The same rule as a join of distinct sets: (classes, links).
+
+    classes: doc_id, class_id (the least document of equal keywords and category), category. links: a < b (classes), weight, where keyword sets are alike enough. Where the
+    bonus alone is enough, classes of one category are linked without a row: all of them are, so only links across categories are rows.
+    A pair's Jaccard similarity has to be least, less the bonus inside a category. So two sets with that similarity share one of the first
+    size - ceil(size * similarity) + 1 keywords of each, rarest first, and the smaller has at least similarity times the size of the larger: pairs are formed on those
+    keywords only, and checked on whole sets. Links grow with what is alike, not with the square of a category or of a frequent keyword.
+    """
+    kw = keywords.select("doc_id", F.lower("keyword").alias("keyword")).distinct()
+    sets = kw.groupBy("doc_id").agg(F.sort_array(F.collect_list("keyword")).alias("words"))  # a document's own keywords
+    sets = sets.join(categories.select("doc_id", F.lower(F.coalesce("category", F.lit("Uncategorised"))).alias("category")), "doc_id")
+    sets = session.staged(sets, "similar-documents")
+    classes = session.staged(sets.groupBy("words", "category").agg(F.min("doc_id").alias("class_id")), "similar-classes")
+    members = sets.join(classes, ["words", "category"]).select("doc_id", "class_id", "category")
+    each = classes.select("class_id", "category", F.size("words").alias("size"), "words")
+    df = each.select(F.explode("words").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
+    placed = each.select("class_id", "category", "size", F.explode("words").alias("keyword")).join(df, "keyword")
+    ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "keyword")))
+    inside = least - bonus
+    # (similarity, whether the pair is of one category): one join each.
+    rules = [(least, False)] + [(inside, True)] * (inside > 0)
+    found = None
+    for similarity, same in rules:
+        prefix = session.staged(ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("class_id", "category", "size", "keyword"), "similar-prefixes")
+        x, y = (prefix.select(F.col("class_id").alias(n), F.col("category").alias(f"c{n}"), F.col("size").alias(f"k{n}"), "keyword") for n in "ab")
+        fits = (F.col("ka") >= F.col("kb") * similarity - 1e-9) & (F.col("kb") >= F.col("ka") * similarity - 1e-9) & (F.col("a") < F.col("b"))
+        near = x.join(y, "keyword").filter(fits & ((F.col("ca") == F.col("cb")) if same else (F.col("ca") != F.col("cb")))).select("a", "b").distinct()
+        near = near.withColumn("same", F.lit(same))
+        found = near if found is None else found.unionByName(near)
+    wa, wb = (classes.select(F.col("class_id").alias(n), F.col("words").alias(f"w{n}")) for n in "ab")
+    both = found.join(wa, "a").join(wb, "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    w = shared / (F.size("wa") + F.size("wb") - shared) + F.when(F.col("same"), bonus).otherwise(0.0)
+    links = both.withColumn("w", w).filter(F.col("w") >= least).select("a", "b", F.round(F.least(F.lit(1.0), "w"), 4).alias("weight"))
+    return session.staged(members, "similar-members"), session.staged(links, "similar-links")
+
+
+def link_counts(classes: DataFrame, links: DataFrame, least: float = 0.18, bonus: float = 0.25) -> DataFrame:
+    """doc_id, class_id, links: with how many documents each is linked, from similar_sets()."""
+    size = classes.groupBy("class_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    n = size.select(F.col("class_id").alias("other"), "n")
+    both = links.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    across = both.join(n, "other").groupBy("class_id").agg(F.sum("n").alias("across"))
+    own = size.withColumn("own", F.col("n") - 1)  # equal sets have similarity 1
+    if bonus >= least:
+        own = size.join(size.groupBy("category").agg(F.sum("n").alias("all")), "category").withColumn("own", F.col("all") - 1)
+    total = own.join(across, "class_id", "left").select("class_id", (F.col("own") + F.coalesce("across", F.lit(0))).alias("links"))
+    return classes.select("doc_id", "class_id").join(total, "class_id").select("doc_id", "class_id", "links")
+
+
 def document_graph(references: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst, pos, type, weight: references first, then similarity in both directions by number; a pair's similarity is
     the weight of its reference too, and both edges stay."""
@@ -134,6 +185,7 @@ def bfs(edges: DataFrame, start: int, goal: int | None = None, max_depth: int |
     has_pos = "pos" in edges.columns
     links = session.staged(edges.groupBy("src", "dst").agg((F.min("pos") if has_pos else F.min("dst")).alias("pos"), F.count(F.lit(1)).alias("n")), "bfs-links")
     where, schema = f"{session.shared_dir(spark)}/bfs-{uuid.uuid4().hex}", "node long, depth int, parent long, visit long"
+    session.keep_track(spark, where)
     spark.createDataFrame([(start, 0, None, 0)], schema).write.parquet(f"{where}/level=0")
     depth, n, done, staged = 0, 1, start == goal, session.Rounds(spark, "bfs-level")
     table = lambda: spark.read.schema(schema).parquet(*[f"{where}/level={i}" for i in range(depth + 1)])
@@ -159,38 +211,75 @@ def bfs(edges: DataFrame, start: int, goal: int | None = None, max_depth: int |
     return looked.select("node", "depth", "parent", "visit", F.when(stops, 0).otherwise(F.coalesce("edges", F.lit(0))).alias("examined"))
 
 
+def paths(found: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """goal, step, node: the nodes from the start (step 0) to each goal (column node; all nodes found if none are given), along column parent.
+
+    Pointers are doubled: a round joins what is known of the paths with the ancestors 1, 2, 4, ... steps up, so a path of n nodes takes a logarithm of n of rounds."""
+    known = found.select("node", "parent")
+    spark, staged, jumps = found.sparkSession, session.Rounds(found.sparkSession, "paths"), session.Rounds(found.sparkSession, "ancestors")
+    up = jumps(known.filter("parent is not null").select("node", F.col("parent").alias("over")))
+    ends = known.select("node") if goals is None else goals.select("node").distinct().join(known.select("node"), "node", "left_semi")
+    have, width, n = staged(ends.select(F.col("node").alias("goal"), F.lit(0).cast("long").alias("back"), "node")), 1, -1
+    while (now := have.count()) != n:
+        n = now
+        further = have.join(up, "node").select("goal", (F.col("back") + width).alias("back"), F.col("over").alias("node"))
+        have = staged(have.unionByName(further))
+        up, width = jumps(up.join(up.select(F.col("node").alias("over"), F.col("over").alias("top")), "over").select("node", F.col("top").alias("over"))), 2 * width
+    length = have.groupBy("goal").agg(F.max("back").alias("length"))
+    return have.join(length, "goal").select("goal", (F.col("length") - F.col("back")).alias("step"), "node")
+
+
 def path(found: DataFrame, goal: int) -> list[int]:
-    """The nodes from the start to a goal along column parent, [] if the goal was not found; a look-up for each step."""
-    out, at = [], goal
-    while at is not None:
-        row = found.filter(F.col("node") == at).select("parent").first()
-        if row is None:
-            return []
-        out.append(at)
-        at = row["parent"]
-    return out[::-1]
-
-
-def shortest_paths(edges: DataFrame, start: int, rounds: int | None = None) -> DataFrame:
-    """node, dist, parent from start over (src, dst, cost): relaxation until nothing changes; negative costs are refused. Of equal distances
-    the least parent counts; settled() gives the order in which a sequential run settles the nodes."""
+    """The nodes from the start to a goal along column parent, [] if the goal was not found."""
+    rows = paths(found, found.sparkSession.createDataFrame([(goal,)], "node long")).orderBy("step").collect()
+    return [r["node"] for r in rows]
+
+
+def shortest_paths(edges: DataFrame, start: int, goal: int | None = None, delta: float | None = None, history: list | None = None) -> DataFrame:
+    """node, dist, parent from start over (src, dst, cost), by delta-stepping; negative costs are refused. settled() gives the order in which a sequential run settles the nodes.
+
+    Distances are settled in buckets of width delta (the mean cost, if none is given). Inside a bucket the edges cheaper than delta are relaxed until nothing changes, from the nodes that
+    changed only; then its nodes are written, once, and their other edges relaxed. What a round rewrites is the open nodes, not the graph's: those with a tentative
+    distance that is not settled. With a goal the run ends with the bucket that holds it, and only settled nodes are returned. Of equal distances the first found counts, the
+    least parent among those of one round. history gets (bucket's upper end, open rows written, nodes settled so far)."""
     spark = edges.sparkSession
     if edges.filter("cost < 0").limit(1).count():
         raise ValueError("shortest paths need costs that are not negative")
     links = session.staged(edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost")), "paths-links")
-    dist = spark.createDataFrame([(start, 0.0, None)], "node long, dist double, parent long")
-    front, k, staged = dist, 0, session.Rounds(spark, "paths-round")
-    while rounds is None or k < rounds:
-        k += 1
-        step = front.select(F.col("node").alias("src"), F.col("dist").alias("so_far")).join(links, "src").select(F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("dist"), F.col("src").alias("parent"))
-        best = step.groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("m")).select("node", F.col("m.dist").alias("new"), F.col("m.parent").alias("by"))
-        joined = staged(dist.join(best, "node", "full_outer"))
+    delta = delta or links.agg(F.avg("cost")).first()[0] or 1.0
+    light, heavy = links.filter(F.col("cost") < delta), links.filter(F.col("cost") >= delta)
+    schema, where, buckets, done = "node long, dist double, parent long", f"{session.shared_dir(spark)}/paths-{uuid.uuid4().hex}", [], 0
+    session.keep_track(spark, where)
+    table = lambda: spark.read.schema(schema).parquet(*buckets) if buckets else spark.createDataFrame([], schema)
+    staged = session.Rounds(spark, "paths-open", keep=2)
+
+    def relaxed(open_, changed, over):
+        """The open nodes after these edges of changed nodes are tried; fresh ones have a new distance."""
+        step = changed.select(F.col("node").alias("src"), F.col("dist").alias("so_far")).join(over, "src")
+        best = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("so_far") + F.col("cost")).alias("dist"), F.col("src").alias("parent"))).alias("m"))
+        best = best.join(table().select("node"), "node", "left_anti").select("node", F.col("m.dist").alias("new"), F.col("m.parent").alias("by"))
         better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        front = joined.filter(better).select("node", F.col("new").alias("dist"), F.col("by").alias("parent"))
-        dist = joined.select("node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("by")).otherwise(F.col("parent")).alias("parent"))
-        if not front.limit(1).count():
+        both = open_.select("node", "dist", "parent").join(best, "node", "full_outer")
+        return staged(both.select("node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("by")).otherwise(F.col("parent")).alias("parent"), better.alias("fresh")))
+
+    open_ = spark.createDataFrame([(start, 0.0, None, True)], schema + ", fresh boolean")
+    while (low := open_.agg(F.min("dist")).first()[0]) is not None:
+        limit = (low // delta + 1) * delta
+        near = F.col("dist") < limit
+        changed = open_.filter(near)
+        while changed.limit(1).count():
+            open_ = relaxed(open_, changed, light)
+            changed = open_.filter(near & F.col("fresh"))
+        buckets.append(f"{where}/bucket={len(buckets)}")
+        open_.filter(near).select("node", "dist", "parent").write.parquet(buckets[-1])
+        bucket = spark.read.schema(schema).parquet(buckets[-1])
+        done += bucket.count()
+        if goal is not None and bucket.filter(F.col("node") == goal).limit(1).count():
             break
-    return dist
+        open_ = relaxed(open_.filter(~near), bucket, heavy)
+        if history is not None:
+            history.append((limit, open_.count(), done))
+    return table()
 
 
 def settled(dist: DataFrame) -> DataFrame:
@@ -228,12 +317,44 @@ def cycle_residue(edges: DataFrame) -> DataFrame:
     return left
 
 
+def cycle_witness(edges: DataFrame) -> DataFrame:
+    """step, node, next: one cycle of the graph, from its least node on; no rows if there is none.
+
+    Each node that is left by cycle_residue has an edge to another such node; the least one is its pointer. Pointers doubled a logarithm of times lead from the least node
+    onto a cycle, and the cycle's nodes are then found by doubling too."""
+    left = cycle_residue(edges)
+    n = left.select("src").distinct().count()
+    if not n:
+        return left.select(F.lit(0).alias("step"), F.col("src").alias("node"), F.col("dst").alias("next"))
+    spark = edges.sparkSession
+    pointer = session.staged(left.groupBy("src").agg(F.min("dst").alias("over")).withColumnRenamed("src", "node"), "cycle-pointers")
+    rounds, width, up = [session.Rounds(spark, "cycle-jumps") for _ in range(3)], 1, pointer
+    at = pointer.agg(F.min("node")).first()[0]
+    while True:  # after at least n steps from anywhere one is on a cycle
+        if width >= n:
+            at = up.filter(F.col("node") == at).first()["over"]
+            break
+        up = rounds[0](up.join(up.select(F.col("node").alias("over"), F.col("over").alias("top")), "over").select("node", F.col("top").alias("over")))
+        width *= 2
+    walk, up, width = spark.createDataFrame([(0, at)], "step long, node long"), pointer, 1
+    while True:
+        walk = rounds[1](walk.unionByName(walk.join(up, "node").select((F.col("step") + width).alias("step"), F.col("over").alias("node"))))
+        back = walk.filter((F.col("node") == at) & (F.col("step") > 0)).agg(F.min("step")).first()[0]
+        if back:
+            break
+        up = rounds[2](up.join(up.select(F.col("node").alias("over"), F.col("over").alias("top")), "over").select("node", F.col("top").alias("over")))
+        width *= 2
+    ring = walk.filter(F.col("step") < back)
+    first = ring.agg(F.min_by("step", "node")).first()[0]
+    return ring.join(pointer, "node").select(F.pmod(F.col("step") - first, F.lit(back)).alias("step"), "node", F.col("over").alias("next"))
+
+
 def has_cycle(edges: DataFrame) -> bool:
     return cycle_residue(edges).limit(1).count() > 0
 
 
 def traverse(edges: DataFrame, algorithm: str = "bfs", start: int | None = None, goal: int | None = None, depth: int | None = None) -> DataFrame:
-    """bfs, dfs or dijkstra from a start that is in the graph, the least node otherwise; a goal that is not in the graph is ignored."""
+    """bfs or dijkstra from a start that is in the graph, the least node otherwise; a goal that is not in the graph is ignored."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     there = lambda x: x is not None and nodes.filter(F.col("node") == x).limit(1).count() > 0
     start = start if there(start) else nodes.agg(F.min("node")).first()[0]
@@ -242,8 +363,4 @@ def traverse(edges: DataFrame, algorithm: str = "bfs", start: int | None = None,
         return bfs(edges, start, goal, depth)
     if algorithm == "dijkstra":
         return shortest_paths(edges if "cost" in edges.columns else costs(edges), start)
-    if algorithm == "dfs":
-        from skeinwork.operators import lab
-
-        return lab.dfs(edges, start, goal, depth)
     raise ValueError(f"unknown algorithm: {algorithm}")

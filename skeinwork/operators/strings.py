@@ -47,22 +47,136 @@ def failure_table(col: str, rows: DataFrame) -> DataFrame:
     return rows.withColumn("borders", F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), border)).otherwise(F.array().cast("array<int>")))
 
 
+def rolling_hashes(codes, m: int, base: int = 31, mod: int = 1_000_003):
+    """Polynomial hashes of all windows of m of these code points. One pass: a window's hash is the difference of two prefix sums of
+    codes times falling powers of the base, times a rising one, so the base must have an inverse; without one, hashes are rolled from window to window."""
+    import math
+
+    import numpy as np
+
+    n = len(codes)
+    if m < 1 or n < m:
+        return np.zeros(0, np.int64)
+    if math.gcd(base, mod) == 1 and mod < 1 << 31:
+        up, down = (_powers(b, n + 1, mod) for b in (base % mod, pow(base, -1, mod)))
+        prefix = np.concatenate([[0], np.cumsum(codes.astype(np.int64) % mod * down[:n] % mod)])
+        return (prefix[m:] - prefix[:-m]) % mod * up[m - 1 : n] % mod
+    out, h, lead = np.empty(n - m + 1, np.int64), 0, pow(base, m - 1, mod)
+    for i, c in enumerate(codes.tolist()):
+        if i >= m:
+            h -= lead * int(codes[i - m])
+        h = (h * base + c) % mod
+        if i >= m - 1:
+            out[i - m + 1] = h
+    return out
+
+
+def _powers(base: int, n: int, mod: int):
+    """base ** 0 to base ** (n - 1) modulo mod, by doubling."""
+    import numpy as np
+
+    out = np.ones(n, np.int64)
+    k, factor = 1, base % mod
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * factor % mod
+        k, factor = 2 * k, factor * factor % mod
+    return out
+
+
+def _codes(text: str | None):
+    import numpy as np
+
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def window_hashes(text: Column, m: int) -> Column:
-    """The polynomial hash of each window of m characters."""
-    last = F.length(text) - m
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: X.polynomial_hash(F.substr(text, i + 1, F.lit(m))))).otherwise(F.array().cast("array<bigint>"))
+    """The polynomial hash of each window of m characters, in one pass over each text."""
+    import pandas as pd
+
+    def run(x):
+        return x.map(lambda t: rolling_hashes(_codes(t), m), na_action=None)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    session.bounded_batches()
+    return F.pandas_udf(run, "array<bigint>")(text)
 
 
 def rabin_karp(text: Column, pattern: str, base: int = 31, mod: int = 1_000_003) -> Column:
-    """struct(matches, hash_comparisons, collisions): windows whose hash is the pattern's, checked."""
-    want, m = 0, len(pattern)
-    for c in pattern:
-        want = (want * base + ord(c)) % mod
-    last = F.length(text) - m
-    same = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: X.polynomial_hash(F.substr(text, i + 1, F.lit(m)), base, mod) == want)
-    same = F.when((last >= 0) & F.lit(m > 0), same).otherwise(F.array().cast("array<int>"))
-    hit = F.filter(same, lambda i: F.substr(text, i + 1, F.lit(m)) == pattern)
-    return F.struct(hit.alias("matches"), F.greatest(last + 1, F.lit(0)).alias("hash_comparisons"), (F.size(same) - F.size(hit)).alias("collisions"))
+    """struct(matches, hash_comparisons, collisions): windows whose hash is the pattern's, checked; one pass over each text."""
+    import numpy as np
+    import pandas as pd
+
+    m, wanted = len(pattern), rolling_hashes(_codes(pattern), len(pattern), base, mod)
+
+    def one(t: str | None):
+        h = rolling_hashes(_codes(t), m, base, mod)
+        at = np.flatnonzero(h == wanted[0]).tolist() if m else []
+        hit = [i for i in at if t[i : i + m] == pattern]
+        return hit, len(h), len(at) - len(hit)
+
+    def run(x):
+        return pd.DataFrame([one(t) for t in x], columns=["matches", "hash_comparisons", "collisions"])
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.DataFrame}
+    session.bounded_batches()
+    return F.pandas_udf(run, "matches array<int>, hash_comparisons int, collisions int")(text)
+
+
+class PatternSet:
+    """Many patterns, to be found in one scan of a text: for each of their lengths the windows' hashes are looked up in a table, and what is found is compared."""
+
+    def __init__(self, patterns: list[str], base: int = 31, mod: int = 1_000_003):
+        import numpy as np
+
+        self.base, self.mod, self.by = base, mod, {}
+        for m in sorted({len(p) for p in patterns} - {0}):
+            own = sorted({p for p in patterns if len(p) == m})
+            hashes = [int(rolling_hashes(_codes(p), m, base, mod)[0]) for p in own]
+            there = np.zeros(mod, bool)
+            there[hashes] = True
+            self.by[m] = (np.packbits(there), set(own))
+
+    def find(self, text: str | None) -> list[tuple[str, int]]:
+        """(pattern, start) of all occurrences, overlapping ones too."""
+        import numpy as np
+
+        codes, out = _codes(text), []
+        for m, (bits, own) in self.by.items():
+            h = rolling_hashes(codes, m, self.base, self.mod)
+            for i in np.flatnonzero(bits[h >> 3] >> (7 - (h & 7)) & 1).tolist():
+                if (w := text[i : i + m]) in own:
+                    out.append((w, i))
+        return out
+
+
+#: Characters that a set of patterns has at most; it goes to every task.
+MOST_PATTERNS = 16 << 20
+
+
+def pattern_hits(rows: DataFrame, key: str, col: str, patterns: DataFrame) -> DataFrame:
+    """key, pattern, pos (0-based) of every occurrence of patterns (pattern) in column col: each text is scanned once for each length of a pattern, however many there are.
+    Patterns of more than MOST_PATTERNS characters in all are an error."""
+    import pyarrow as pa
+
+    wanted = patterns.select("pattern").filter("length(pattern) > 0").distinct()
+    if (wanted.agg(F.sum(F.length("pattern"))).first()[0] or 0) > MOST_PATTERNS:
+        raise ValueError("too many patterns for one scan")
+    sent = rows.sparkSession.sparkContext.broadcast([r["pattern"] for r in wanted.collect()])
+    session.bounded_batches()
+
+    def run(batches):
+        own = PatternSet(sent.value)
+        for b in batches:
+            at, pattern, pos = [], [], []
+            for i, t in enumerate(b.column("_text").to_pylist()):
+                for p, x in own.find(t):
+                    at.append(i)
+                    pattern.append(p)
+                    pos.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(pattern, pa.string()), pa.array(pos, pa.int64())], [key, "pattern", "pos"])
+
+    some = rows.select(key, F.col(col).alias("_text"))
+    return some.mapInArrow(run, f"{key} {some.schema[key].dataType.simpleString()}, pattern string, pos long")
 
 
 def multi_pattern(rows: DataFrame, col: str, patterns: list[str]) -> DataFrame:
@@ -80,20 +194,6 @@ def trie_nodes(words: DataFrame) -> DataFrame:
     return parts.groupBy("prefix").agg(F.count(F.lit(1)).alias("words"), F.max((F.col("word") == F.col("prefix")).cast("int")).alias("terminal")).withColumn("depth", F.length("prefix"))
 
 
-def trie_dict(words: DataFrame, most: int = 10_000) -> dict:
-    """The trie of column word as nested dicts by character, "$" marking ends; for drawing, at most so many words."""
-    rows = words.select("word").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a nested trie takes at most {most} words")
-    root: dict = {}
-    for r in sorted(rows):
-        node = root
-        for c in r["word"]:
-            node = node.setdefault(c, {})
-        node["$"] = True
-    return root
-
-
 def trie_documents(postings: DataFrame, word: str) -> DataFrame:
     """Documents under a word's node: those with any term that starts with it, if the word itself is a term."""
     under = postings.filter(F.col("term").startswith(word))
@@ -101,10 +201,10 @@ def trie_documents(postings: DataFrame, word: str) -> DataFrame:
 
 
 def insert_trace(words: DataFrame) -> DataFrame:
-    """seq, step, prefix, action (create or follow) for words inserted in the order of seq."""
+    """seq, step, prefix, action (create or follow) for words inserted in the order of seq. The first word of each prefix is a minimum, so a prefix of many words is no group."""
     steps = words.select("seq", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.left(F.col("word"), i))).alias("step", "prefix"))
-    first = F.row_number().over(Window.partitionBy("prefix").orderBy("seq")) == 1
-    return steps.select("seq", "step", "prefix", F.when(first, "create").otherwise("follow").alias("action"))
+    first = steps.groupBy("prefix").agg(F.min("seq").alias("first"))
+    return steps.join(first, "prefix").select("seq", "step", "prefix", F.when(F.col("seq") == F.col("first"), "create").otherwise("follow").alias("action"))
 
 
 def chains(keys: DataFrame, capacity: int) -> DataFrame:

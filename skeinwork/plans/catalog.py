@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinwork import session
 from skeinwork.functions import text as X
-from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf, traces
+from skeinwork.operators import graph, ranking, relational, segments, strings, tfidf
 from skeinwork.operators.index import Index
 from skeinwork.plans import sql as S
 from skeinwork.sources import corpus as C
@@ -66,6 +66,13 @@ def forget_indexes() -> None:
     _INDEXES.clear()
 
 
+def forget_results() -> None:
+    """Indexes stay, but pairs and ranks made from them are made anew."""
+    for ix in _INDEXES.values():
+        for name in ("pairs", "simrank"):
+            ix.__dict__.pop(name, None)
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """The events table read as a search log."""
     e = session.table(spark, sf, "events")
@@ -292,6 +299,18 @@ def _(spark, sf):
     return ix.with_documents(new).vocabulary.select("term", "doc_freq", F.col("freq").cast("long").alias("freq"))
 
 
+@query("segmented_index", f"WITH {S.INDEX.replace('FROM documents', 'FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 20 = 0')} SELECT term, display, doc_freq, freq, total, round(idf, 9) AS idf FROM vocabulary JOIN (SELECT term, total, idf FROM idf) USING (term)")
+def _(spark, sf):
+    """Documents added in three changes, some of them twice, then a tenth deleted, and half of these added again: five versions, of which four are merged."""
+    docs = session.staged(spread(corpus(spark, sf)), "segment-corpus")
+    ix = segments.SegmentedIndex(spark, f"{session.shared_dir(spark)}/segments-{uuid.uuid4().hex}")
+    session.keep_track(spark, ix.root)
+    for part in ("doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2 or doc_id % 9 = 0"):
+        ix = ix.add(docs.filter(part))
+    ix = ix.delete(docs.filter("doc_id % 10 = 0").select("doc_id")).add(docs.filter("doc_id % 20 = 0"))
+    return ix.vocabulary.select("term", "display", "doc_freq", "freq", "total", F.round("idf", 9).alias("idf"))
+
+
 # D, E: tries and hashes.
 
 _TITLE_WORDS = f"{S.TOKENS}, words AS MATERIALIZED (SELECT DISTINCT term AS word FROM tokens WHERE field = 'title')"
@@ -340,12 +359,6 @@ def _(spark, sf):
     return strings.chain_stats(session.table(spark, sf, "part").select(F.col("p_name").alias("key")), 4096)
 
 
-@query("open_addressing")
-def _(spark, sf):
-    runs = lab.runs_of(session.table(spark, sf, "part"), "p_name", "p_brand", "p_name", "p_partkey")
-    return lab.hash_counters(runs.withColumnRenamed("items", "keys"))
-
-
 # F: string matching.
 
 
@@ -371,33 +384,32 @@ def _(spark, sf):
     return m.withColumn("matches", F.col("matches").cast("long"))
 
 
-@query("rk_window_hash", f"WITH w AS (SELECT p_partkey, i, p_type[i : i + 4] AS s FROM (SELECT p_partkey, p_type, unnest(range(1, length(p_type) - 3)) AS i FROM part)) SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, {_POLY.format('s')} AS hash FROM w WHERE length(s) = 5")
-def _(spark, sf):
-    return session.table(spark, sf, "part").select("p_partkey", F.posexplode(strings.window_hashes(F.col("p_type"), 5)).alias("pos", "hash"))
+_CODES = "chars AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(string_split(content, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT) AS c FROM docs)"
 
 
-@query("rabin_karp", f"WITH w AS (SELECT p_partkey, p_type[i : i + 1] AS s FROM (SELECT p_partkey, p_type, unnest(range(1, length(p_type))) AS i FROM part)), h AS (SELECT p_partkey, s, {_POLY.format('s')} = {ord('E') * 31 + ord('R')} AS same FROM w) SELECT p_partkey, count(*) FILTER (s = 'ER') AS matches, CAST(count(*) AS INTEGER) AS hash_comparisons, CAST(count(*) FILTER (same AND s <> 'ER') AS INTEGER) AS collisions FROM h GROUP BY p_partkey")
+@query("rk_window_hash", f"WITH {S.DOCS}, {_CODES}, w AS (SELECT doc_id, c, unnest(range(1, len(c) - 3)) AS i FROM chars WHERE len(c) >= 5) SELECT doc_id, count(*) AS windows, CAST(sum((c[i] * 923521 + c[i + 1] * 29791 + c[i + 2] * 961 + c[i + 3] * 31 + c[i + 4]) % 1000003) AS BIGINT) AS hash_sum FROM w GROUP BY doc_id")
 def _(spark, sf):
-    r = session.table(spark, sf, "part").select("p_partkey", strings.rabin_karp(F.col("p_type"), "ER").alias("r"))
-    return r.select("p_partkey", F.size("r.matches").cast("long").alias("matches"), "r.hash_comparisons", "r.collisions")
+    h = corpus(spark, sf).select("doc_id", strings.window_hashes(F.col("content"), 5).alias("h")).filter("size(h) > 0")
+    return h.select("doc_id", F.size("h").cast("long").alias("windows"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x).alias("hash_sum"))
 
 
-@query("lps_arrays", "WITH b AS (SELECT DISTINCT p_brand AS s FROM part), e AS (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM b) SELECT s, string_agg(CAST(coalesce((SELECT max(k) FROM range(0, i) AS r(k) WHERE s[1:k] = s[i - k + 1 : i]), 0) AS VARCHAR), ',' ORDER BY i) AS borders FROM e GROUP BY s")
+@query("rabin_karp", f"WITH {S.DOCS}, {_CODES}, w AS (SELECT doc_id, c, unnest(range(1, greatest(len(c) - 2, 1))) AS i FROM chars), h AS (SELECT doc_id, (c[i] * 29791 + c[i + 1] * 961 + c[i + 2] * 31 + c[i + 3]) % 1000003 = 560203 AS same, c[i] = 116 AND c[i + 1] = 105 AND c[i + 2] = 111 AND c[i + 3] = 110 AS hit FROM w), n AS (SELECT doc_id, count(*) FILTER (hit) AS matches, count(*) AS comparisons, count(*) FILTER (same AND NOT hit) AS collisions FROM h GROUP BY doc_id) SELECT doc_id, coalesce(matches, 0) AS matches, CAST(coalesce(comparisons, 0) AS INTEGER) AS hash_comparisons, CAST(coalesce(collisions, 0) AS INTEGER) AS collisions FROM docs LEFT JOIN n USING (doc_id)")
 def _(spark, sf):
-    b = strings.failure_table("s", session.table(spark, sf, "part").select(F.col("p_brand").alias("s")).distinct())
-    return b.select("s", F.array_join(F.transform("borders", lambda x: x.cast("string")), ",").alias("borders"))
+    r = corpus(spark, sf).select("doc_id", strings.rabin_karp(F.col("content"), "tion").alias("r"))
+    return r.select("doc_id", F.size("r.matches").cast("long").alias("matches"), "r.hash_comparisons", "r.collisions")
 
 
-@query("match_counters")
+# Patterns from another table, all found in one scan.
+@query("pattern_hits", f"WITH {S.DOCS}, p AS (SELECT DISTINCT substr(text, 1, 16) AS pattern FROM benchmark WHERE length(text) >= 16) SELECT doc_id, pattern, (length(content) - length(replace(content, pattern, ''))) // 16 AS matches FROM docs, p WHERE contains(content, pattern)")
 def _(spark, sf):
-    return lab.match_counters(corpus(spark, sf).select(F.col("doc_id").cast("string").alias("run"), F.col("content").alias("text")), "th")
+    patterns = session.table(spark, sf, "benchmark").filter("length(text) >= 16").select(F.substring("text", 1, 16).alias("pattern"))
+    return strings.pattern_hits(corpus(spark, sf), "doc_id", "content", patterns).groupBy("doc_id", "pattern").agg(F.count(F.lit(1)).alias("matches"))
 
 
-@query("laboratory_traces", "SELECT CAST(i AS VARCHAR) AS run, 'linear_steps' AS kind, 0::BIGINT AS steps FROM range(0) AS t(i) UNION ALL SELECT 'trie', 'follow', count(*) FROM (SELECT row_number() OVER (PARTITION BY prefix ORDER BY seq) AS n FROM (SELECT seq, word[1:i] AS prefix FROM (SELECT seq, word, unnest(range(1, length(word) + 1)) AS i FROM (VALUES (1, 'alpha'), (2, 'algorithm'), (3, 'algorithms')) AS w(seq, word)))) WHERE n > 1 UNION ALL SELECT 'kmp', 'found', count(*) FROM (SELECT unnest(range(1, 6)) AS i) WHERE substr('abababab', i::INT, 4) = 'abab'")
+@query("lps_arrays", "WITH b AS (SELECT DISTINCT p_brand AS s FROM part), e AS (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM b) SELECT s, string_agg(CAST(coalesce((SELECT max(k) FROM range(0, i) AS r(k) WHERE s[1:k] = s[i - k + 1 : i]), 0) AS VARCHAR), ',' ORDER BY i) AS borders FROM e GROUP BY s")
 def _(spark, sf):
-    asked = spark.createDataFrame([("trie", "trie", {"words": "alpha,algorithm,algorithms", "prefix": "algo"}), ("kmp", "kmp", {"text": "abababab", "pattern": "abab"})], "run string, algorithm string, request map<string,string>")
-    steps = traces.traces(asked).filter("(run = 'trie' and action = 'follow') or (run = 'kmp' and action = 'found')")
-    return steps.groupBy("run", F.col("action").alias("kind")).agg(F.count(F.lit(1)).alias("steps"))
+    b = strings.failure_table("s", session.table(spark, sf, "part").select(F.col("p_brand").alias("s")).distinct())
+    return b.select("s", F.array_join(F.transform("borders", lambda x: x.cast("string")), ",").alias("borders"))
 
 
 # G: searching and sorting.
@@ -439,22 +451,6 @@ def _(spark, sf):
     return session.table(spark, sf, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(25)
 
 
-@query("sort_counters")
-def _(spark, sf):
-    runs = lab.runs_of(session.table(spark, sf, "part").withColumn("v", F.col("p_size").cast("long")), "v", "p_brand", "p_partkey")
-    return lab.sort_counters(runs.withColumnRenamed("items", "values"))
-
-
-@query("algorithm_registry", "SELECT * FROM (VALUES " + ", ".join(str(a) for a in lab.ALGORITHMS) + ") AS t(" + ", ".join(lab.FIELDS) + ")")
-def _(spark, sf):
-    return lab.registry(spark).select(*lab.FIELDS)
-
-
-@query("complexity_curves", "SELECT n, 1::BIGINT AS constant, CAST(length(bin(n)) AS BIGINT) AS logarithmic, n AS linear, n * length(bin(n)) AS linearithmic, n * n AS quadratic, CASE WHEN n < 64 THEN pow(2.0::DOUBLE, n) ELSE 1.8e19::DOUBLE END AS exponential FROM (VALUES (10::BIGINT), (100), (1000), (10000), (100000)) AS t(n)")
-def _(spark, sf):
-    return lab.complexity_curves(spark)
-
-
 # H: ranking.
 
 
@@ -674,6 +670,12 @@ def _(spark, sf):
     return pairs(spark, sf)
 
 
+@query("similarity_links", f"WITH {S.SIMILAR}, sets AS (SELECT doc_id, list_sort(list(keyword)) AS w FROM kw GROUP BY doc_id), class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w, category) AS class_id FROM sets JOIN node USING (doc_id)), n AS (SELECT d, count(*) AS links FROM (SELECT a AS d FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY d) SELECT doc_id, class_id, coalesce(links, 0) AS links FROM class LEFT JOIN n ON d = doc_id")
+def _(spark, sf):
+    ix = index(spark, sf)
+    return graph.link_counts(*graph.similar_sets(ix.keywords.select("doc_id", "keyword"), ix.corpus.select("doc_id", "category")))
+
+
 @query("degrees", f"WITH {S.STEPS} SELECT p_partkey AS node, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM part LEFT JOIN (SELECT dst, count(DISTINCT src) AS i FROM steps GROUP BY dst) ON dst = p_partkey LEFT JOIN (SELECT src, count(*) AS o FROM steps GROUP BY src) ON src = p_partkey")
 def _(spark, sf):
     return graph.degrees(session.table(spark, sf, "part").select(F.col("p_partkey").alias("node")), steps(spark, sf))
@@ -805,10 +807,18 @@ def _(spark, sf):
     return graph.bfs(e, e.agg(F.min("src")).first()[0]).select("visit", "node", "depth", "parent", (F.col("depth") + 1).alias("hops"))
 
 
-@query("dfs_order", None)
+_ORDERED = f"""WITH RECURSIVE {_LINKS}, first AS (SELECT min(src) AS s FROM links), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 25
+), lev AS MATERIALIZED (SELECT node, min(depth) AS depth FROM walk GROUP BY node
+), o AS (
+  SELECT 0 AS d, s AS node, 1::BIGINT AS p, NULL::BIGINT AS parent FROM first
+  UNION ALL SELECT d, node, row_number() OVER (ORDER BY by_p, node) AS p, parent FROM (SELECT o.d + 1 AS d, dst AS node, min(o.p) AS by_p, arg_min(o.node, o.p) AS parent FROM o JOIN links ON src = o.node JOIN lev ON lev.node = dst AND lev.depth = o.d + 1 GROUP BY o.d + 1, dst)
+)"""
+
+
+@query("path_tables", _ORDERED + ", up AS (SELECT node AS goal, node, CAST(d AS BIGINT) AS step FROM o UNION ALL SELECT goal, x.parent, step - 1 FROM up JOIN o x ON x.node = up.node WHERE x.parent IS NOT NULL) SELECT goal, step, node FROM up")
 def _(spark, sf):
     e = steps(spark, sf)
-    return lab.dfs(e, e.agg(F.min("src")).first()[0])
+    return graph.paths(graph.bfs(e, e.agg(F.min("src")).first()[0]))
 
 
 @query("shortest_paths", f"WITH RECURSIVE {S.STEPS}, cost AS MATERIALIZED (SELECT src, dst, min(quantity) AS cost FROM steps GROUP BY src, dst), d AS (SELECT 0 AS i, 1::BIGINT AS node, 0.0::DOUBLE AS dist UNION ALL SELECT i, node, min(dist) FROM (SELECT d.i + 1 AS i, dst AS node, dist + cost AS dist FROM d JOIN cost ON src = node WHERE d.i < 25 UNION ALL SELECT i + 1, node, dist FROM d WHERE i < 25) GROUP BY i, node) SELECT node, dist FROM d WHERE i = 25")
@@ -827,15 +837,19 @@ def _(spark, sf):
     return graph.cycle_residue(steps(spark, sf))
 
 
-@query("traverse_dijkstra", f"WITH RECURSIVE {_LINKS}, first AS (SELECT min(src) AS s FROM links), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 25) SELECT node, CAST(min(depth) AS DOUBLE) AS dist FROM walk GROUP BY node")
+# The SQL walks 4,000 pointers and looks at the last half, enough for 2,000 nodes; the query has no such limit.
+@query("cycle_witness", f"""WITH RECURSIVE {_LINKS}, r AS (SELECT 0 AS i, src, dst FROM links UNION ALL SELECT i + 1, src, dst FROM (SELECT r.*, r.src IN (SELECT dst FROM r) AS fed, r.dst IN (SELECT src FROM r) AS feeds FROM r) WHERE fed AND feeds AND i < 25
+), f AS MATERIALIZED (SELECT src, min(dst) AS dst FROM r WHERE i = 25 GROUP BY src), walk AS (SELECT 0 AS i, min(src) AS node FROM f UNION ALL SELECT i + 1, dst FROM walk JOIN f ON src = node WHERE i < 4000
+), late AS (SELECT i, node FROM walk WHERE i > 2000), least AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM late WHERE node = (SELECT min(node) FROM late)
+) SELECT CAST(late.i - a.i AS BIGINT) AS step, node, f.dst AS next FROM late JOIN f ON f.src = node, least a, least b WHERE a.k = 1 AND b.k = 2 AND late.i >= a.i AND late.i < b.i""")
 def _(spark, sf):
-    e = steps(spark, sf).select("src", "dst", F.lit(1.0).alias("weight"))  # cost 2 - 1 a step
-    return graph.traverse(e, "dijkstra", start=-5).select("node", "dist")
+    return graph.cycle_witness(steps(spark, sf))
 
 
-@query("parsed_edges", "SELECT * FROM (VALUES ('A', 'B', 4.0::DOUBLE), ('B', 'C', 1.0::DOUBLE), ('C', 'D', 1.0::DOUBLE)) AS t(l, r, w)")
+@query("traverse_dijkstra", f"WITH RECURSIVE {_LINKS}, first AS (SELECT min(src) AS s FROM links), walk AS (SELECT s AS node, 0 AS depth FROM first UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 25) SELECT node, CAST(min(depth) AS DOUBLE) AS dist FROM walk GROUP BY node")
 def _(spark, sf):
-    return spark.createDataFrame([("A-B:4, B-C, C-D:x, E-E:2",)], "t string").select(F.explode(X.parse_edges(F.col("t"))).alias("e")).select("e.*")
+    e = steps(spark, sf).select("src", "dst", F.lit(1.0).alias("weight"))  # cost 2 - 1 a step
+    return graph.traverse(e, "dijkstra", start=-5).select("node", "dist")
 
 
 # N: the batch side of the streams.

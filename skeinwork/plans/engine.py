@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skeinwork import session
 from skeinwork.functions import text as X
-from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf, traces
+from skeinwork.operators import graph, ranking, relational, strings, tfidf
 from skeinwork.operators.index import Index
 from skeinwork.sources import corpus as C
 
@@ -30,13 +30,12 @@ class Engine:
         self.index = Index(corpus)
         self.history = self.spark.createDataFrame([], HISTORY)
         self.log = self.spark.createDataFrame([], LOG)
-        self.benchmarks = self.spark.createDataFrame([], lab.BENCHMARK)
 
     # Changes.
 
     def _with(self, index: Index) -> Engine:
         out = Engine(index.corpus, self.weights, self.damping)
-        out.index, out.history, out.log, out.benchmarks = index, self.history, self.log, self.benchmarks
+        out.index, out.history, out.log = index, self.history, self.log
         return out
 
     def insert(self, rows: DataFrame) -> tuple[Engine, DataFrame]:
@@ -171,17 +170,6 @@ class Engine:
 
     # Comparisons.
 
-    def laboratory(self, algorithm: str, **request: str) -> dict:
-        return traces.run(algorithm, **request)
-
-    def compare_string_matching(self, text: str, pattern: str) -> DataFrame:
-        """algorithm, matches (starts), comparisons, agree: three matchers over one text."""
-        runs = {"kmp": traces.kmp, "rabin_karp": traces.rabin_karp, "naive": traces.naive}
-        found = {name: traces.outcome(run(text, pattern))[1] for name, run in runs.items()}
-        agree = len({tuple(r["matches"]) for r in found.values()}) == 1
-        rows = [(n, r["matches"], r["comparisons"] if "comparisons" in r else r["hash_comparisons"] + r["char_comparisons"], agree) for n, r in found.items()]
-        return self.spark.createDataFrame(rows, "algorithm string, matches array<long>, comparisons long, agree boolean")
-
     def compare_search(self, term: str) -> DataFrame:
         """algorithm, found, comparisons to look a word up in the vocabulary: in order, by halves, in a table with chains, in a trie.
 
@@ -189,7 +177,7 @@ class Engine:
         place, the characters that any word shares with it."""
         stem = X.stem_word(X.normal_form(term))
         capacity = strings.grown_capacity(self.index.vocabulary.count())
-        bucket = lab._djb2(stem) % capacity
+        bucket = X.djb2_of(stem) % capacity
         v = self.index.vocabulary.select("term")
         shared = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(stem))), lambda k: F.when(F.substr(F.col("term"), F.lit(1), k) == F.substr(F.lit(stem), F.lit(1), k), k).otherwise(0)))
         row = v.agg(
@@ -204,16 +192,3 @@ class Engine:
             low, high = (mid + 1, high) if mid < row["before"] else (low, mid - 1)
         rows = [("linear", found, row["before"] + 1 if found else row["n"]), ("binary", found, probes), ("hash", found, row["chain"] + 1 if found else row["chain"]), ("trie", found, min(len(stem), row["shared"] + (not found)))]
         return self.spark.createDataFrame(rows, "algorithm string, found boolean, comparisons long")
-
-    def sort_benchmark(self, n: int = 2_000, kind: str = "random", seed: int = 1234) -> DataFrame:
-        """Counters of the sorting algorithms over n random, sorted or reversed values."""
-        n = max(10, min(n, lab.MOST))
-        value = {"sorted": F.col("id"), "reversed": -F.col("id")}.get(kind, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10 * n)))
-        values = F.transform(F.array_sort(F.collect_list(F.struct("id", value.cast("long").alias("v")))), lambda x: x["v"])
-        return lab.sort_counters(self.spark.range(n).agg(values.alias("values")).select(F.lit(kind).alias("run"), "values"))
-
-    def benchmark(self, category: str = "all", **how) -> DataFrame:
-        """The laboratory's benchmark; its rows are kept in benchmarks."""
-        rows = session.staged(lab.timed(self.spark, category, **how), "benchmark")
-        self.benchmarks = session.staged(self.benchmarks.unionByName(rows), "benchmarks")
-        return rows

@@ -48,11 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: dict[str, list[str]] = {}
 
 
+def keep_track(spark: SparkSession, path: str) -> None:
+    """clean() deletes this folder too."""
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def _write(df: DataFrame, name: str, *sort: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    keep_track(spark, path)
     return path, spark.read.schema(df.schema).parquet(path)
 
 

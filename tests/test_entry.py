@@ -8,6 +8,13 @@ def test_missing_parts_are_left_out(caplog):
         assert entry._optional("skeinwork.no_such_part") is None and "no_such_part" in caplog.text
 
 
+def test_broken_parts_are_left_out(tmp_path, monkeypatch, caplog):
+    (tmp_path / "broken_part_of_a_test.py").write_text("def (:\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with caplog.at_level(logging.WARNING):
+        assert entry._optional("broken_part_of_a_test") is None and "broken_part_of_a_test" in caplog.text
+
+
 def test_queries_and_their_sql():
     queries = entry.queries()
     assert all(callable(q) for q in queries.values()) and set(entry.oracle_sql()) <= set(queries)

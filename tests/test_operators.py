@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import graph, lab, ranking, relational, strings, tfidf, traces
+from skeinwork.operators import graph, ranking, relational, segments, strings, tfidf
 from skeinwork.operators.index import Index
 from skeinwork.plans import catalog
 
@@ -112,10 +112,18 @@ def test_bfs(spark):
     assert graph.bfs(edges(spark), 1, max_depth=1).count() == 3
     links = {1: [2, 3], 2: [4], 3: [5], 4: [6], 5: [6]}
     for goal, depth in ((None, None), (4, None), (6, None), (None, 1), (None, 2)):
-        want = traces.outcome(traces.bfs(links, 1, goal, depth))[1]
+        order, level, looked = [1], {1: 0}, 0
+        for node in order:
+            if node == goal:
+                break
+            for to in links.get(node, []) if level[node] != depth else []:
+                looked += 1
+                if to not in level:
+                    order.append(to)
+                    level[to] = level[node] + 1
+        order = order[: order.index(goal) + 1] if goal else order
         got = graph.bfs(edges(spark), 1, goal, depth).orderBy("visit").collect()
-        n = len(want["order"])
-        assert [r["node"] for r in got[:n]] == want["order"] and sum(r["examined"] for r in got[:n]) == want["edge_examinations"]
+        assert [r["node"] for r in got[: len(order)]] == order and sum(r["examined"] for r in got[: len(order)]) == looked
 
 
 def test_walks_take_all_steps(spark):
@@ -132,24 +140,6 @@ def test_walks_take_all_steps(spark):
                 depth[to], parent[to] = depth[node] + 1, node
     got = catalog.queries()["bfs_order"](spark, sf).orderBy("visit").collect()
     assert [(r["visit"], r["node"], r["depth"], r["parent"], r["hops"]) for r in got] == [(i, n, depth[n], parent[n], depth[n] + 1) for i, n in enumerate(order)]
-    out, seen = [], set()
-
-    def walk(node, depth, parent):
-        seen.add(node)
-        out.append((len(out), node, depth, parent))
-        for to in links.get(node, []):
-            if to not in seen:
-                walk(to, depth + 1, node)
-
-    walk(first, 0, None)
-    got = catalog.queries()["dfs_order"](spark, sf).orderBy("visit").collect()
-    assert [tuple(r) for r in got] == out
-
-
-def test_dfs():
-    links = {1: [2, 3], 2: [4], 3: [5], 4: [6], 5: [6]}
-    assert [n for _, n, _, _ in lab.dfs_order(links, 1)] == [1, 2, 4, 6, 3, 5]
-    assert [n for _, n, _, _ in lab.dfs_order(links, 1, goal=4)] == [1, 2, 4]
 
 
 def test_shortest_paths(spark):
@@ -157,11 +147,9 @@ def test_shortest_paths(spark):
     directed = spark.createDataFrame(rows, "src long, dst long, cost double")
     dist = {r["node"]: r["dist"] for r in graph.shortest_paths(directed, 0).collect()}
     assert dist == {0: 0, 1: 3, 2: 2, 3: 8, 4: 12, 5: 14}
-    links: dict = {}
-    for a, b, w in rows:
-        links.setdefault(a, []).append((b, w))
     order = [r["node"] for r in graph.settled(graph.shortest_paths(directed, 0)).orderBy("place").collect()]
-    assert order == traces.outcome(traces.dijkstra(links, 0))[1]["settled"] and graph.path(graph.shortest_paths(directed, 0), 5) == [0, 2, 1, 3, 5]
+    assert order == [0, 2, 1, 3, 4, 5] and graph.path(graph.shortest_paths(directed, 0), 5) == [0, 2, 1, 3, 5]
+    assert {r["node"] for r in graph.shortest_paths(directed, 0, goal=1, delta=2.0).collect()} == {0, 1, 2}
     with pytest.raises(ValueError):
         graph.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "src long, dst long, cost double"), 0)
 
@@ -188,130 +176,13 @@ def test_matching(spark):
     assert strings.failure_function("ABABCABAB") == [0, 0, 1, 2, 0, 1, 2, 3, 4] and strings.failure_function("aaa") == [0, 1, 2]
     r = spark.createDataFrame([("aaaa",)], "t string").select(strings.rabin_karp(F.col("t"), "aa", mod=7).alias("r")).first()["r"]
     assert r["matches"] == [0, 1, 2] and r["hash_comparisons"] == 3
-    rng = random.Random(2)
-    for _ in range(50):
-        text, pattern = "".join(rng.choice("ab") for _ in range(40)), "".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))
-        kmp, n = lab.kmp_search(text, pattern)
-        assert kmp == lab.naive_search(text, pattern)[0] and n <= 2 * len(text)
 
 
 def test_searching_and_sorting(spark):
-    assert lab.binary_search([4, 8, 15, 16, 23, 42], 15)[0] == 2
-    with pytest.raises(ValueError):
-        lab.binary_search([2, 1], 1)
     rows = spark.createDataFrame(list(enumerate([1, 2, 2, 2, 3, 4])), "pos long, value long")
     assert [r["pos"] for r in strings.equal_range(rows, 2).orderBy("pos").collect()] == [1, 2, 3]
     assert strings.is_sorted(rows) and not strings.is_sorted(rows.union(spark.createDataFrame([(6, 0)], "pos long, value long")))
     assert tuple(strings.linear_search(rows, 9).first()) == (-1, 6)
-    rng = random.Random(1)
-    for _ in range(30):
-        v = [rng.randint(0, 50) for _ in range(rng.randint(0, 200))]
-        assert lab.merge_sort(v)[0] == lab.quick_sort(v)[0] == lab.heap_sort(v)[0] == sorted(v)
-        assert lab.quick_sort(v, random.Random(7))[0] == sorted(v)
-    assert lab.quick_sort(list(range(1024)))[3] <= 12 and 1024 <= lab.merge_sort(list(range(1024)))[1] <= 12 * 1024
-
-
-def test_priority_queue():
-    q = lab.PriorityQueue()
-    for x in (5, 1, 8, 3, 9, 2):
-        q.push(x)
-    assert q.peek() == (1, None) and [q.pop()[0] for _ in range(6)] == [1, 2, 3, 5, 8, 9] and q.pop() is None
-    q = lab.PriorityQueue([(1, c) for c in "abcde"])
-    assert q.levels() == [[1], [1, 1], [1, 1]] and [q.pop()[1] for _ in range(5)] == list("abcde")
-
-
-def test_open_addressing():
-    t = lab.OpenAddressing(4)
-    for k in "abcdefgh":
-        t.put(k)
-    assert all(t.contains(k) for k in "abcdefgh") and t.delete("c") and not t.contains("c") and t.contains("d")
-    assert t.stats()["capacity"] == 16 and t.stats()["tombstones"] == 1
-
-
-LAB_CASES = {
-    "binary_search": {"array": "1,3,5,7,9", "target": "7"}, "kmp": {"text": "abababab", "pattern": "abab"}, "rabin_karp": {"text": "abababab", "pattern": "abab"},
-    "trie": {"words": "alpha,algorithm,algorithms", "prefix": "algo"}, "hash": {"keys": "alpha,beta,gamma", "probe": "beta"}, "bfs": {"edges": "A-B, A-C, B-D", "start": "A"},
-    "dfs": {"edges": "A-B, A-C, B-D", "start": "A"}, "dijkstra": {"weighted_edges": "A-B:4, A-C:2, B-C:1, B-D:5, C-D:8, C-E:10, D-F:6, E-F:3", "start": "A", "goal": "F"},
-    "merge_sort": {"values": "5,3,8,1"}, "quick_sort": {"values": "5,3,8,1"},
-}
-
-
-def test_laboratory():
-    got = {name: traces.run(name, **request) for name, request in LAB_CASES.items()}
-    assert all(r["steps"] and r["complexity"] and all("action" in s for s in r["steps"]) for r in got.values()) and set(got) == set(traces.LABORATORY)
-    assert got["binary_search"]["index"] == 3 and got["binary_search"]["recursive_comparisons"] == got["binary_search"]["comparisons"] == got["binary_search"]["recursive_depth"]
-    assert got["kmp"]["matches"] == [0, 2, 4] and got["kmp"]["lps"] == [0, 0, 1, 2] and got["kmp"]["naive_comparisons"] > got["kmp"]["comparisons"] == 8
-    assert got["rabin_karp"]["agrees_with_kmp"] and got["rabin_karp"]["hash_comparisons"] == 5 and got["rabin_karp"]["char_comparisons"] == 12
-    assert [s["word"] for s in got["trie"]["suggestions"]] == ["algorithm", "algorithms"]
-    assert got["hash"]["lookup"] == {"chaining": True, "open_addressing": True} and got["hash"]["chaining"]["size"] == 3
-    assert got["bfs"]["levels"] == [["A"], ["B", "C"], ["D"]] and got["bfs"]["edge_examinations"] == 6
-    assert got["dfs"]["order"] == traces.run("dfs", mode="recursive", **LAB_CASES["dfs"])["order"] == ["A", "B", "D", "C"]
-    d = got["dijkstra"]
-    assert d["distances"]["F"] == 14 and d["shortest_path"] == ["A", "C", "B", "D", "F"] and d["settled"][0] == "A" and d["relaxations"] > 0 < d["heap_comparisons"]
-    assert got["merge_sort"]["sorted"] == got["quick_sort"]["sorted"] == [1, 3, 5, 8]
-
-
-@pytest.mark.parametrize("name, request_", [("telepathy", {}), ("kmp", {"text": "", "pattern": "x"}), ("binary_search", {"array": "not,numbers", "target": "1"}), ("binary_search", {"array": "1 " * 41, "target": "1"}), ("merge_sort", {"values": "1 " * 61}), ("trie", {"words": ""}), ("hash", {"keys": "k " * 41}), ("bfs", {"edges": "A"}), ("dijkstra", {"weighted_edges": "A-B:-1, B-C:2"})])
-def test_laboratory_refuses(name, request_):
-    with pytest.raises(ValueError):
-        traces.run(name, **request_)
-
-
-def test_traces_as_rows(spark):
-    rows = [(n, n, r) for n, r in LAB_CASES.items()] + [("bad", "kmp", {"text": ""}), ("none", "telepathy", {})]
-    got = traces.traces(spark.createDataFrame(rows, "run string, algorithm string, request map<string,string>")).collect()
-    assert {r["run"] for r in got if r["error"] is None} == set(LAB_CASES) and {r["run"] for r in got if r["error"]} == {"bad", "none"}
-    steps = sorted((r["step"], r["action"]) for r in got if r["run"] == "merge_sort")
-    assert [a for _, a in steps] == ["split", "split", "merge", "split", "merge", "merge"]
-
-
-def test_traced_runs_count_like_the_others():
-    rng = random.Random(9)
-    for _ in range(40):
-        v = [rng.randint(0, 30) for _ in range(rng.randint(0, 60))]
-        m, q, h = (traces.outcome(run(v))[1] for run in (traces.merge, traces.quick, traces.heap))
-        assert (m["sorted"], m["comparisons"]) == lab.merge_sort(v) and (h["sorted"], h["comparisons"]) == lab.heap_sort(v)
-        assert (q["sorted"], q["comparisons"], q["partitions"], q["depth"]) == lab.quick_sort(v)
-        text, pattern = "".join(rng.choices("ab", k=40)), "".join(rng.choices("ab", k=3))
-        assert (traces.outcome(traces.kmp(text, pattern))[1]["matches"], traces.outcome(traces.kmp(text, pattern))[1]["comparisons"]) == lab.kmp_search(text, pattern)
-        rk = traces.outcome(traces.rabin_karp(text, pattern, mod=5))[1]
-        assert rk["matches"] == lab.naive_search(text, pattern)[0] and rk["hash_comparisons"] == 38
-        s, wanted = sorted(set(v)), rng.randint(0, 30)
-        assert traces.outcome(traces.binary(s, wanted))[1]["index"] == lab.binary_search(s, wanted)[0] == traces.outcome(traces.binary_recursive(s, wanted))[1]["index"] == traces.outcome(traces.linear(s, wanted))[1]["index"]
-
-
-def test_chaining():
-    t = traces.Chaining(4)
-    for k in "abcdefgh":
-        traces.outcome(t.put(k, k.upper()))
-    assert t.get("c") == "C" and t.delete("c") and not t.contains("c") and not t.delete("c") and t.contains("d") and t.get("zz", 0) == 0
-    assert not traces.outcome(t.put("d", 1))[1]["new"] and t.get("d") == 1
-    s = t.stats()
-    assert s["size"] == 7 and s["capacity"] == 16 and s["rehashes"] == 2 and sum(len(c) for c in t.snapshot()) == 7
-
-
-def test_trie_words():
-    t = traces.Trie(["car", "cart", "cat", "car", "dog"])
-    assert t.contains("car") and not t.contains("ca") and t.is_prefix("ca") and not t.is_prefix("x") and t.walk("ca") == [("car", 2), ("cart", 1), ("cat", 1)]
-    assert [r["word"] for r in t.autocomplete("ca", 2)] == ["car", "cat"] and t.stats() == {"nodes": 9, "words": 4, "depth": 4}
-
-
-def test_benchmark_kernels(spark):
-    got = lab.timed(spark, sizes=(60,), repeat=1).collect()
-    assert {r["category"] for r in got} == {"searching", "string", "sorting", "graph"} and {r["case"] for r in got if r["category"] == "sorting"} == {"random", "sorted", "reversed"}
-    assert all(r["time_ms"] >= 0 and r["comparisons"] is not None for r in got) and all(r["detail"] < 40 for r in got if r["algorithm"] == "quick_sort")
-    with pytest.raises(ValueError):
-        lab.timed(spark, "telepathy")
-
-
-def test_registry(spark):
-    assert lab.registry(spark).count() == len(lab.ALGORITHMS) and lab.algorithm("kmp")["worst"] == "O(n + m)" and lab.algorithm("none") is None and "kmp" in lab.by_category()["strings"]
-
-
-def test_runs_hold_every_row(spark):
-    rows = spark.createDataFrame([(i % 3, i) for i in range(100)], "k long, v long")
-    got = lab.runs_of(rows, "v", "k", "v", most=30).collect()
-    assert sorted(x for r in got for x in r["items"]) == list(range(100)) and max(len(r["items"]) for r in got) == 30
 
 
 def test_trie(spark):
@@ -347,15 +218,11 @@ def test_engine(corpus):
         e.search("  ")
     assert {r["dst"] for r in e.related(1).collect()} == {2, 5}
     assert [r["node"] for r in e.traverse("bfs", start=1).orderBy("visit").collect()][0] == 1
-    assert e.traverse("dijkstra", start=1).filter("node = 2").count() == 1 and e.traverse("dfs", start=1).count() >= 3
-    assert e.compare_string_matching("abababab", "abab").filter("agree").count() == 3
+    assert e.traverse("dijkstra", start=1).filter("node = 2").count() == 1
     words = sorted(r["term"] for r in e.index.vocabulary.collect())
     got = {r["algorithm"]: r["comparisons"] for r in e.compare_search("sorting").filter("found").collect()}
-    assert got["linear"] == words.index("sort") + 1 and got["binary"] == traces.outcome(traces.binary(words, "sort"))[1]["comparisons"] and got["trie"] == 4 and got["hash"] >= 1
+    assert got["linear"] == words.index("sort") + 1 and 1 <= got["binary"] <= len(words).bit_length() and got["trie"] == 4 and got["hash"] >= 1
     assert e.compare_search("zzz").filter("not found").count() == 4
-    assert e.laboratory("merge_sort", values="2 1")["sorted"] == [1, 2]
-    assert e.benchmark("string", sizes=(50,), repeat=1).count() == e.benchmarks.count() == 3
-    assert e.sort_benchmark(100, "reversed").first()["agree"]
     assert e.browse(category="food")["total"].first()["total"] == 2
     assert e.by_slug("soup").count() == 1 and e.terms("so").count() == 2 and e.stats()["index"].first()["documents"] == 5
 
@@ -407,3 +274,145 @@ def test_authority_counts(index, spark):
 def test_entries_are_grouped_where_ranges_put_them(index):
     dealt = index.all_tokens.repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.sum("n"))
     assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_by_doubling(spark):
+    rng = random.Random(4)
+    parents = {0: None} | {i: rng.randrange(max(0, i - 3), i) for i in range(1, 70)}
+    found = spark.createDataFrame(list(parents.items()), "node long, parent long")
+    want = set()
+    for goal in parents:
+        at, way = goal, []
+        while at is not None:
+            way.append(at)
+            at = parents[at]
+        want |= {(goal, k, n) for k, n in enumerate(reversed(way))}
+    assert {tuple(r) for r in graph.paths(found).select("goal", "step", "node").collect()} == want
+    some = spark.createDataFrame([(69,), (3,), (500,)], "node long")
+    assert {tuple(r) for r in graph.paths(found, some).select("goal", "step", "node").collect()} == {w for w in want if w[0] in (69, 3)}
+
+
+def test_delta_stepping(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), rng.randrange(60), float(rng.choice([0, 1, 2, 5, 9]))) for _ in range(150)] + [(60 + i, 61 + i, 1.0) for i in range(30)] + [(5, 60, 3.0)]
+    dist = {5: 0.0}
+    for _ in range(120):
+        for a, b, c in rows:
+            if a in dist and dist[a] + c < dist.get(b, 1e9):
+                dist[b] = dist[a] + c
+    df = spark.createDataFrame(rows, "src long, dst long, cost double")
+    for delta in (None, 4.0):
+        history: list = []
+        got = graph.shortest_paths(df, 5, delta=delta, history=history).collect()
+        assert {r["node"]: r["dist"] for r in got} == dist and len(got) == len(dist)
+        cost = {}
+        for a, b, c in rows:
+            cost[a, b] = min(c, cost.get((a, b), 1e9))
+        assert all(r["parent"] is None if r["node"] == 5 else dist[r["parent"]] + cost[r["parent"], r["node"]] == r["dist"] for r in got)
+        assert all(n < len(dist) for _, n, _ in history) and history[-1][2] == len(dist)
+    near = graph.shortest_paths(df, 5, goal=60, delta=2.0).collect()
+    assert {r["node"]: r["dist"] for r in near} == {n: d for n, d in dist.items() if d < 4} and len(near) < len(dist)
+
+
+def test_cycle_witness(spark):
+    rng = random.Random(8)
+    for rows in ([(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)], [(7, 7)], [(i, (i + 1) % 37) for i in range(37)] + [(40, 3)], [(rng.randrange(20), rng.randrange(20)) for _ in range(40)]):
+        got = graph.cycle_witness(edges(spark, rows)).orderBy("step").collect()
+        assert [r["step"] for r in got] == list(range(len(got))) and len({r["node"] for r in got}) == len(got) > 0
+        assert all((r["node"], r["next"]) in rows for r in got) and [r["next"] for r in got] == [r["node"] for r in got[1:] + got[:1]] and got[0]["node"] == min(r["node"] for r in got)
+    assert graph.cycle_witness(edges(spark, [(1, 2), (2, 3)])).count() == 0
+
+
+@pytest.mark.parametrize("least, bonus", [(0.18, 0.25), (0.5, 0.2), (0.6, 0.0)])
+def test_similar_sets(spark, least, bonus):
+    rng = random.Random(5)
+    words = {i: {f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randint(1, 7))} for i in range(80)}
+    words |= {100 + i: words[3] for i in range(10)}
+    where = {i: rng.choice("ABC") for i in words}
+    kw = spark.createDataFrame([(i, w.upper() if i % 2 else w) for i, own in words.items() for w in own], "doc_id long, keyword string")
+    cats = spark.createDataFrame(list(where.items()), "doc_id long, category string")
+    weight = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b]) + bonus * (where[a] == where[b])
+    linked = {(a, b) for a in words for b in words if a < b and weight(a, b) >= least}
+    classes, links = graph.similar_sets(kw, cats, least, bonus)
+    own = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    assert all(own[i] == min(j for j in words if words[j] == words[i] and where[j] == where[i]) for i in words)
+    pairs = {(r["a"], r["b"]): r["weight"] for r in links.collect()}
+    ids = sorted(set(own.values()))
+    want = {(a, b) for a in ids for b in ids if a < b and (a, b) in linked and not (bonus >= least and where[a] == where[b])}
+    assert set(pairs) == want and all(abs(w - min(1, weight(a, b))) < 1e-4 for (a, b), w in pairs.items())
+    got = {r["doc_id"]: r["links"] for r in graph.link_counts(classes, links, least, bonus).collect()}
+    assert got == {i: sum(i in p for p in linked) for i in words}
+
+
+def test_rolling_hashes(spark):
+    rng = random.Random(3)
+
+    def plain(w, base, mod):
+        h = 0
+        for c in w:
+            h = (h * base + ord(c)) % mod
+        return h
+
+    for base, mod in ((31, 1_000_003), (31, 7), (10, 1000), (257, 2**31 - 1)):
+        for _ in range(20):
+            text, m = "".join(rng.choices("abé😀 ", k=rng.randint(0, 60))), rng.randint(1, 6)
+            codes = strings._codes(text)
+            assert strings.rolling_hashes(codes, m, base, mod).tolist() == [plain(text[i : i + m], base, mod) for i in range(len(text) - m + 1)]
+    df = spark.createDataFrame([("abé😀",), (None,), ("a",)], "t string")
+    assert [r[0] for r in df.select(strings.window_hashes(F.col("t"), 2)).collect()] == [[plain(w, 31, 1_000_003) for w in ("ab", "bé", "é😀")], [], []]
+
+
+def test_many_patterns_in_one_scan(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcé", k=rng.randint(0, 3000))) for _ in range(20)] + [None, ""]
+    patterns = {"".join(rng.choices("abcé", k=rng.randint(5, 8))) for _ in range(1200)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {tuple(r) for r in strings.pattern_hits(rows, "id", "t", spark.createDataFrame([(p,) for p in [*patterns, ""]], "pattern string")).collect()}
+    assert len(patterns) > 1000 and got == {(k, t[i : i + m], i) for k, t in enumerate(texts) if t for m in range(5, 9) for i in range(len(t) - m + 1) if t[i : i + m] in patterns}
+
+
+def _files(folder):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_segments(spark, tmp_path):
+    rng = random.Random(2)
+    root = str(tmp_path / "index")
+    words = ["graph", "graphs", "searching", "search", "sort", "water", "trees"] * 50 + ["".join(rng.choices("bdgkmnaeou", k=7)) for _ in range(3000)]
+    word = lambda: rng.choice(words)
+    row = lambda i, k=30: (i, f"{word()} {word()}", " ".join(word() for _ in range(k)), "c", [word()], 1)
+    schema, have = "doc_id long, title string, content string, category string, keywords array<string>, hits long", {}
+    ix = segments.SegmentedIndex.open(spark, root)
+
+    def same(ix):
+        full = Index(spark.createDataFrame(list(have.values()), schema))
+        names = ["term", "display", "doc_freq", "freq", "total"]
+        assert {tuple(r) for r in ix.vocabulary.select(*names).collect()} == {tuple(r) for r in full.vocabulary.select(*names).collect()}
+        assert sorted(map(tuple, ix.entries.select("term", "doc_id", "wtf", "n").collect())) == sorted(map(tuple, full.entries.select("term", "doc_id", "wtf", "n").collect()))
+        assert ix.size == len(have) and {r["doc_id"] for r in ix.documents.collect()} == set(have)
+
+    first = [row(i, 300) for i in range(200)]
+    have |= {r[0]: r for r in first}
+    ix = ix.add(spark.createDataFrame(first, schema))
+    same(ix)
+    before = _files(root)
+    have[7] = row(7)
+    ix = ix.add(spark.createDataFrame([have[7]], schema))  # in place of an older one
+    assert _files(root) - before < before / 3
+    assert (ix.version, len(ix.segments)) == (2, 2)
+    same(ix)
+    for i in (3, 7):
+        have.pop(i)
+    ix = ix.delete(spark.createDataFrame([(3,), (7,), (999,)], "doc_id long"))
+    same(ix)
+    old = ix
+    have[3] = row(3)
+    ix = ix.add(spark.createDataFrame([have[3]], schema))  # the fourth segment of the lowest tier: they are merged
+    assert len(ix.segments) == 1 and ix.segments[0]["tier"] == 1 and len(old.segments) == 3
+    same(ix)
+    assert old.size == len(have) - 1 and segments.SegmentedIndex.open(spark, root).version == ix.version
+    ix.vacuum()
+    same(segments.SegmentedIndex.open(spark, root))
+    assert ix.documents_of(["sort"]).count() == ix.vocabulary.filter("term = 'sort'").first()["doc_freq"]

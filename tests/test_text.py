@@ -80,13 +80,11 @@ def test_sql_functions(spark):
 
 def test_presentation_and_statements(spark):
     from skeinwork import session
-    from skeinwork.operators import lab, strings
+    from skeinwork.operators import strings
 
     r = spark.createDataFrame([(0.5, 1234.0, 0.256)], "a double, b double, c double").select(X.format_ms(F.col("a")), X.format_compact(F.col("b")), X.format_percent(F.col("c"))).first()
     assert tuple(r) == ("0.500 ms", "1.2K", "25.6%")
     assert session.scalar(spark, "SELECT :x + 1", x=2) == 3 and session.scalar(spark, "SELECT null", default=7) == 7
-    assert strings.trie_dict(spark.createDataFrame([("ab",), ("a",)], "word string")) == {"a": {"$": True, "b": {"$": True}}}
-    assert lab.timed(spark, "sorting", sizes=(100,), repeat=1).count() == 9
 
 
 def test_analysis_keeps_forms_together(spark):
