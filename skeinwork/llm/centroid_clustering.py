@@ -40,8 +40,9 @@ def integer_vectors(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int
     """vec_id, v (array of long) of the vectors that are kept."""
     rows = common.pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     good = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform("e", lambda x: F.floor(x * scale))
-    return rows.filter((F.size("e") == dimensions) & good).filter(F.assert_true(F.forall("e", lambda x: F.abs(x * scale) <= MOST), "a component is too large for squared distances that fit a long").isNull()).select("vec_id", v.alias("v"))
+    large = F.raise_error(F.lit("a component is too large for squared distances that fit a long")).cast("long")
+    v = F.transform("e", lambda x: F.when(F.abs(x * scale) <= MOST, F.floor(x * scale)).otherwise(large))
+    return rows.filter((F.size("e") == dimensions) & good).select("vec_id", v.alias("v"))
 
 
 def first_centroids(kept: DataFrame, clusters: int = CLUSTERS, seed: int = SEED) -> list[list[int]]:

@@ -117,7 +117,7 @@ def test_exchange_takes_fewer_sequences(spark):
 
 def test_packing_without_rows(spark):
     path, _ = encoded([])
-    none = packing.pieces(frame(spark, some_documents(0, 5)).limit(0), path)
+    none = packing.pieces(frame(spark, some_documents(0, 5)).limit(0), path, want_ids=True)
     assert packing.pack(none).count() == 0 and packing.sequences(none, packing.pack(none)).count() == 0
     one = packing.pieces(frame(spark, [(None, None, None, None)]), path)
     assert [(r["doc_id"], r["length"], r["offset"]) for r in packing.pack(one).collect()] == [(None, 1, 0)]
@@ -226,9 +226,9 @@ def test_running_values_cross_tasks(spark):
 # 13
 
 
-def vectors(spark, rows, parts=3):
+def vectors(spark, rows, parts=3, clashing=True):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
-    return df.select("*", F.lit(1).alias("cluster"), F.lit("x").alias("v"), F.lit(0).alias("Vec_id"))
+    return df if not clashing else df.select("*", F.lit(1).alias("cluster"), F.lit("x").alias("v"), F.lit(0).alias("Vec_id"))
 
 
 def some_vectors(seed=0, n=400, width=64):
@@ -261,14 +261,14 @@ def brute_clusters(rows, clusters=16, rounds=3, scale=64):
 def test_clusters(spark, tmp_path, monkeypatch, exact):
     rows = some_vectors()
     monkeypatch.setattr(centroid_clustering, "EXACT", exact)
-    vectors(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet", mode="overwrite")
+    vectors(spark, rows, clashing=False).write.parquet(f"{tmp_path}/embeddings.parquet", mode="overwrite")
     got = Counter(tuple(r[c] for c in SHOWN) for r in centroid_clustering.op13_centroid_clustering(spark, str(tmp_path)).collect())
     assert got == brute_clusters(rows)
 
 
 def test_clusters_are_those_of_sql(spark, tmp_path):
     rows = [r for r in some_vectors(5, 120) if r[1] is None or None not in r[1]]
-    vectors(spark, rows).drop("v", "cluster").write.parquet(f"{tmp_path}/embeddings.parquet", mode="overwrite")
+    vectors(spark, rows, clashing=False).write.parquet(f"{tmp_path}/embeddings.parquet", mode="overwrite")
     import duckdb
 
     c = duckdb.connect()
