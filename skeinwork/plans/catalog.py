@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinwork import session
 from skeinwork.functions import text as X
-from skeinwork.operators import graph, ranking, relational, segments, strings, tfidf
+from skeinwork.operators import graph, overlap, ranking, relational, segments, strings, tfidf
 from skeinwork.operators.index import Index
 from skeinwork.plans import sql as S
 from skeinwork.sources import corpus as C
@@ -69,7 +69,7 @@ def forget_indexes() -> None:
 def forget_results() -> None:
     """Indexes stay, but pairs and ranks made from them are made anew."""
     for ix in _INDEXES.values():
-        for name in ("pairs", "simrank"):
+        for name in ("pairs", "overlaps", "simrank"):
             ix.__dict__.pop(name, None)
 
 
@@ -658,6 +658,14 @@ def pairs(spark, sf):
     return ix.pairs
 
 
+def overlaps(spark, sf):
+    """The similarity graph as sums over keyword subsets: what needs no row for each pair."""
+    ix = index(spark, sf)
+    if not hasattr(ix, "overlaps"):
+        ix.overlaps = overlap.Overlaps(overlap.keyword_sets(ix.keywords, ix.corpus))
+    return ix.overlaps
+
+
 def _both(p):
     return p.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(p.select("b", "a", "weight"))
 
@@ -672,8 +680,7 @@ def _(spark, sf):
 
 @query("similarity_links", f"WITH {S.SIMILAR}, sets AS (SELECT doc_id, list_sort(list(keyword)) AS w FROM kw GROUP BY doc_id), class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w, category) AS class_id FROM sets JOIN node USING (doc_id)), n AS (SELECT d, count(*) AS links FROM (SELECT a AS d FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY d) SELECT doc_id, class_id, coalesce(links, 0) AS links FROM class LEFT JOIN n ON d = doc_id")
 def _(spark, sf):
-    ix = index(spark, sf)
-    return graph.link_counts(*graph.similar_sets(ix.keywords.select("doc_id", "keyword"), ix.corpus.select("doc_id", "category")))
+    return overlaps(spark, sf).link_counts()
 
 
 @query("degrees", f"WITH {S.STEPS} SELECT p_partkey AS node, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM part LEFT JOIN (SELECT dst, count(DISTINCT src) AS i FROM steps GROUP BY dst) ON dst = p_partkey LEFT JOIN (SELECT src, count(*) AS o FROM steps GROUP BY src) ON src = p_partkey")

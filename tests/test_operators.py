@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import graph, ranking, relational, segments, strings, tfidf
+from skeinwork.operators import graph, overlap, ranking, relational, segments, strings, tfidf
 from skeinwork.operators.index import Index
 from skeinwork.plans import catalog
 
@@ -416,3 +416,32 @@ def test_segments(spark, tmp_path):
     ix.vacuum()
     same(segments.SegmentedIndex.open(spark, root))
     assert ix.documents_of(["sort"]).count() == ix.vocabulary.filter("term = 'sort'").first()["doc_freq"]
+
+
+@pytest.mark.parametrize("least, bonus", [(0.18, 0.25), (0.5, 0.2), (0.6, 0.0)])
+def test_overlap_sums(spark, least, bonus):
+    """Links, neighbours and ranks of the similarity graph, none of which may write a row for each pair."""
+    rng = random.Random(6)
+    words = {i: {f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randint(1, 7))} for i in range(80)}
+    words |= {100 + i: words[3] for i in range(10)} | {200: {"alone"}}
+    where = {i: rng.choice("ABC") for i in words} | {200: "D"}
+    kw = spark.createDataFrame([(i, w.upper() if i % 2 else w) for i, own in words.items() for w in own], "doc_id long, keyword string")
+    cats = spark.createDataFrame(list(where.items()), "doc_id long, category string")
+    weight = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b]) + bonus * (where[a] == where[b])
+    linked = {a: {b for b in words if b != a and weight(a, b) >= least} for a in words}
+    graphs = overlap.Overlaps(overlap.keyword_sets(kw, cats), least, bonus)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in graphs.link_counts().collect()}
+    assert got == {i: (min(j for j in words if words[j] == words[i] and where[j] == where[i]), len(linked[i])) for i in words}
+    near = {r["dst"]: r["weight"] for r in graphs.linked_with(3).collect()}
+    assert set(near) == linked[3] and all(abs(w - min(1, weight(3, b))) < 1e-4 for b, w in near.items())
+    if bonus < least:
+        return
+    every = [*words, 900]  # 900 has no keywords
+    want = dict.fromkeys(every, 1 / len(every))
+    for _ in range(60):
+        lost = sum(r for n, r in want.items() if not linked.get(n))
+        want = {n: (0.15 + 0.85 * lost) / len(every) + 0.85 * sum(want[b] / len(linked[b]) for b in linked.get(n, ())) for n in every}
+    have = {r["node"]: r["pagerank"] for r in graphs.pagerank(nodes(spark, *every), tolerance=1e-5).collect()}
+    assert set(have) == set(want) and all(abs(have[n] - want[n]) < 1e-5 for n in want)
+    with pytest.raises(ValueError):
+        overlap.Overlaps(overlap.keyword_sets(spark.createDataFrame([(1, f"w{i}") for i in range(11)], "doc_id long, keyword string"), cats))
