@@ -445,3 +445,11 @@ def test_overlap_sums(spark, least, bonus):
     assert set(have) == set(want) and all(abs(have[n] - want[n]) < 1e-5 for n in want)
     with pytest.raises(ValueError):
         overlap.Overlaps(overlap.keyword_sets(spark.createDataFrame([(1, f"w{i}") for i in range(11)], "doc_id long, keyword string"), cats))
+
+
+def test_counted_stats(spark):
+    """Statistics from numbers of edges are those of the edges."""
+    e = spark.createDataFrame([(1, 2, "reference"), (1, 2, "similarity"), (2, 1, "similarity")], "src long, dst long, type string")
+    counts = {t: e.filter(F.col("type") == t).agg(F.count(F.lit(1)).alias("n")) for t in ("reference", "similarity")}
+    rows = [f.select("nodes", "edges", "reference_edges", "similarity_edges", "avg_degree").collect() for f in (graph.graph_stats(nodes(spark, 1, 2, 3), e), graph.counted_stats(nodes(spark, 1, 2, 3), counts))]
+    assert rows[0] == rows[1] and rows[0][0]["edges"] == 3
