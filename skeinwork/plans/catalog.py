@@ -741,13 +741,14 @@ _SIMRANK = """, deg AS MATERIALIZED (SELECT src, count(*) AS o FROM directed GRO
 def simrank(spark, sf):
     ix = index(spark, sf)
     if not hasattr(ix, "simrank"):
-        ix.simrank = session.staged(graph.pagerank(ix.corpus.select(F.col("doc_id").alias("node")), _both(pairs(spark, sf)), tolerance=1e-10), "simrank")
+        ix.simrank = session.staged(overlaps(spark, sf).pagerank(ix.corpus.select(F.col("doc_id").alias("node")), tolerance=1e-10), "simrank")
     return ix.simrank
 
 
 @query("related_docs", f"WITH RECURSIVE {_BOTH}{_SIMRANK} SELECT dst, round(sqrt(weight * pagerank / (SELECT max(pagerank) FROM simrank)), 4) AS score FROM directed JOIN simrank ON node = dst WHERE src = 1 ORDER BY score DESC, dst LIMIT 5")
 def _(spark, sf):
-    return graph.related(_both(pairs(spark, sf)), simrank(spark, sf), 1)
+    near = overlaps(spark, sf).linked_with(1).select(F.lit(1).cast("long").alias("src"), "dst", "weight")
+    return graph.related(near, simrank(spark, sf), 1)
 
 
 @query("search_with_authority", _ranked_sql(["tion", "ing"], [], authority=_BOTH.removeprefix(S.INDEX) + _SIMRANK, columns="doc_id, gr AS graph_signal, score"))
