@@ -389,8 +389,8 @@ _CODES = "chars AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(strin
 
 @query("rk_window_hash", f"WITH {S.DOCS}, {_CODES}, w AS (SELECT doc_id, c, unnest(range(1, len(c) - 3)) AS i FROM chars WHERE len(c) >= 5) SELECT doc_id, count(*) AS windows, CAST(sum((c[i] * 923521 + c[i + 1] * 29791 + c[i + 2] * 961 + c[i + 3] * 31 + c[i + 4]) % 1000003) AS BIGINT) AS hash_sum FROM w GROUP BY doc_id")
 def _(spark, sf):
-    h = corpus(spark, sf).select("doc_id", strings.window_hashes(F.col("content"), 5).alias("h")).filter("size(h) > 0")
-    return h.select("doc_id", F.size("h").cast("long").alias("windows"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x).alias("hash_sum"))
+    h = corpus(spark, sf).select("doc_id", strings.window_sums(F.col("content"), 5).alias("h"))
+    return h.select("doc_id", "h.*").filter("windows > 0")
 
 
 @query("rabin_karp", f"WITH {S.DOCS}, {_CODES}, w AS (SELECT doc_id, c, unnest(range(1, greatest(len(c) - 2, 1))) AS i FROM chars), h AS (SELECT doc_id, (c[i] * 29791 + c[i + 1] * 961 + c[i + 2] * 31 + c[i + 3]) % 1000003 = 560203 AS same, c[i] = 116 AND c[i + 1] = 105 AND c[i + 2] = 111 AND c[i + 3] = 110 AS hit FROM w), n AS (SELECT doc_id, count(*) FILTER (hit) AS matches, count(*) AS comparisons, count(*) FILTER (same AND NOT hit) AS collisions FROM h GROUP BY doc_id) SELECT doc_id, coalesce(matches, 0) AS matches, CAST(coalesce(comparisons, 0) AS INTEGER) AS hash_comparisons, CAST(coalesce(collisions, 0) AS INTEGER) AS collisions FROM docs LEFT JOIN n USING (doc_id)")

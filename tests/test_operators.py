@@ -447,6 +447,13 @@ def test_overlap_sums(spark, least, bonus):
         overlap.Overlaps(overlap.keyword_sets(spark.createDataFrame([(1, f"w{i}") for i in range(11)], "doc_id long, keyword string"), cats))
 
 
+def test_window_sums(spark):
+    """Sums are those of the hashes; the plan hands no array of hashes on."""
+    df = spark.createDataFrame([(1, "abcdefé" * 5), (2, "abcd"), (3, None)], "id long, t string")
+    got = df.select("id", strings.window_sums(F.col("t"), 5).alias("s"), strings.window_hashes(F.col("t"), 5).alias("h")).orderBy("id").collect()
+    assert [tuple(r["s"]) for r in got] == [(len(r["h"]), sum(r["h"])) for r in got] and got[0]["s"]["windows"] == 31
+
+
 def test_counted_stats(spark):
     """Statistics from numbers of edges are those of the edges."""
     e = spark.createDataFrame([(1, 2, "reference"), (1, 2, "similarity"), (2, 1, "similarity")], "src long, dst long, type string")
