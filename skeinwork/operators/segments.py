@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork import session
-from skeinwork.operators.index import Index, idf
+from skeinwork.operators.index import BODY, KEYWORD, TITLE, Index, idf
 
 FAN = 4
 _SEGMENT = "segment int, tier int, documents long, first int"
@@ -106,12 +106,12 @@ class SegmentedIndex:
         """With these documents (columns as for Index), in place of those of equal doc_id. What is written is as large as they are, and as what they replace."""
         new = Index(session.staged(rows, "segment-rows"))
         number = self._next()
-        weights = new.entries
-        sizes = new.lengths.select("doc_id", F.col("n").alias("size"))
-        terms = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "wtf", "n"))).alias("terms"))  # a document's own terms
-        votes = new.all_tokens.groupBy("doc_id", "term", "surface").agg(F.sum(F.col("n") * _field_weight()).alias("votes")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "surface", "votes"))).alias("surfaces"))
-        forward = sizes.join(terms, "doc_id", "left").join(votes, "doc_id", "left").select("doc_id", "size", "terms", "surfaces")
-        self._write(number, "entries", weights.select("term", "doc_id", "wtf", "n").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+        rows = new.analysis.select("doc_id", F.explode("terms").alias("x")).select("x.term", "doc_id", "x.wtf", "x.n")
+        votes = F.transform("surfaces", lambda x: F.struct(x["term"].alias("term"), x["surface"].alias("surface"), ((TITLE + BODY) * x["title"] + BODY * x["content"] + KEYWORD * x["keywords"]).alias("votes")))
+        terms = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["wtf"].alias("wtf"), x["n"].alias("n")))
+        filled = lambda x: F.when(F.size(x) > 0, F.sort_array(x))
+        forward = new.analysis.select("doc_id", "size", filled(terms).alias("terms"), filled(votes).alias("surfaces"))
+        self._write(number, "entries", rows.select("term", "doc_id", "wtf", "n").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
         self._write(number, "forward", forward.repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
         return self._changed(number, self.spark.read.schema(_SCHEMAS["forward"]).parquet(self._path(number, "forward")), new.corpus.select("doc_id"))
 
@@ -179,12 +179,6 @@ class SegmentedIndex:
                 session.remove(self.spark, self._manifest(n))
 
 
-def _field_weight():
-    from skeinwork.operators.index import _weight
-
-    return _weight()
-
-
 def _statistics(forward: DataFrame, sign: int) -> DataFrame:
     """What these documents add to (or take from) the statistics: a row for each term, with surface "", and one for each of its surfaces."""
     zero = F.lit(0).cast("long")

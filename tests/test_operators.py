@@ -447,6 +447,22 @@ def test_overlap_sums(spark, least, bonus):
         overlap.Overlaps(overlap.keyword_sets(spark.createDataFrame([(1, f"w{i}") for i in range(11)], "doc_id long, keyword string"), cats))
 
 
+def test_index_counts_documents_where_they_lie(spark, corpus):
+    """Terms and keywords of a document are made from its own row, without a shuffle, however many there are."""
+    fresh = Index(corpus.drop("keywords"))
+    from skeinwork.operators import index as module
+
+    made = module.analysed(fresh.corpus)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    fresh.analysis = made  # not staged: the views over it have no shuffle either
+    for view in (fresh.tokens, fresh.keywords, fresh.keyword_tables(), fresh.lengths):
+        assert "Exchange" not in view._jdf.queryExecution().executedPlan().toString()
+    rows = {r["doc_id"]: r for r in made.collect()}
+    assert rows[5]["keywords"] == ["graph", "note", "noth"] and rows[5]["size"] == 5
+    graph_row = next(x for x in rows[5]["terms"] if x["term"] == "graph")
+    assert tuple(graph_row) == ("graph", 5, 2, 0, 1)
+
+
 def test_window_sums(spark):
     """Sums are those of the hashes; the plan hands no array of hashes on."""
     df = spark.createDataFrame([(1, "abcdefé" * 5), (2, "abcd"), (3, None)], "id long, t string")
