@@ -125,7 +125,8 @@ _HEADER = ("title", "category", "author", "keywords", "summary")
 def parse_file(content, path):
     """Columns of one text file: up to ten lines NAME: value, ended by a dashed line, then the body; the title defaults to the
     file's name."""
-    lines = F.split(content, "\r?\n")
+    # A header ends in the first eleven lines; all behind them is one piece, so a long body is not split again for each field.
+    lines = F.split(content, "\r?\n", 12)
     dash = F.array_position(F.transform(F.slice(lines, 1, 11), lambda x: x.rlike("^\\s*-{5,}\\s*$")), F.lit(True))
     head = F.slice(lines, 1, F.greatest(dash.cast("int") - 1, F.lit(0)))
 
@@ -134,7 +135,7 @@ def parse_file(content, path):
         return F.try_element_at(F.transform(F.filter(head, lambda x: x.rlike(start)), lambda x: F.trim(F.regexp_replace(x, start, ""))), F.lit(1))
 
     field = {n: value(n) for n in _HEADER}
-    body = F.when(dash > 0, F.concat_ws("\n", F.filter(lines, lambda x, i: i >= dash))).otherwise(content)
+    body = F.when(dash > 0, F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(i < 11, x).otherwise(F.replace(x, F.lit("\r\n"), F.lit("\n")))), lambda x, i: i >= dash))).otherwise(content)
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), "[-_]+", " ")
     return {
         "title": F.coalesce(F.nullif(field["title"], F.lit("")), F.initcap(F.url_decode(F.replace(stem, F.lit("%20"), F.lit(" "))))), "content": F.regexp_replace(body, r"^\s+|\s+$", ""), "category": F.coalesce(F.nullif(field["category"], F.lit("")), F.lit("Uncategorised")),

@@ -125,3 +125,12 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["reindex", corpus, index])
     assert "3 documents" in capsys.readouterr().out and sorted(r["slug"] for r in spark.read.parquet(corpus).collect()) == ["note", "note-1", "note-2"]
     assert spark.read.parquet(f"{index}/entries").filter("term = 'note'").count() == 3
+
+
+def test_long_bodies_are_split_once_behind_the_header(spark):
+    """The lines behind the eleventh stay one piece; line ends are mended in all of them as before."""
+    lines = ["TITLE: T", "-----", *[f"line {i}" for i in range(30)], "tail\r"]
+    df = spark.createDataFrame([("\r\n".join(lines) + "\r\nend",)], "t string")
+    made = df.select(C.parse_file(F.col("t"), F.lit("/x/a.txt"))["content"].alias("b"))
+    assert made.first()["b"] == "\n".join([*lines[2:], "end"])
+    assert ", 12)" in made._jdf.queryExecution().optimizedPlan().toString()
