@@ -8,7 +8,7 @@ same words is boilerplate here, and copies of one document with small changes ar
 
 Lines and documents are hashed where they lie. Counts are partial before every shuffle, by (line, document) first, so a line that
 stands in a third of all documents is no hot key. Lines above the limit are broadcast up to MOST_BROADCAST of them, 16 bytes each, and joined
-beyond that.
+beyond that. With a broadcast cleaned and keep_good look lines up where their text lies, so no text is shuffled.
 
 Defined results: null text is empty, has no words and fails the base rule; a null source is one host, apart from the empty one; texts that
 are one line and agree once normalised count as different documents with a shared line; repeated rows each get a row and count once; a
@@ -112,12 +112,18 @@ def features(rows: DataFrame, source: str, text: str, *carried: str, unit: str |
     return common.staged(made.withColumn("row", F.monotonically_increasing_id()), "quality")
 
 
-def removed_lines(made: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """row, h1, h2, n (words) for the lines of features() that more than limit distinct documents of their host have."""
-    lines = made.select("row", "k1", F.explode("lines").alias("x")).select("row", "k1", "x.*")
+def frequent_lines(made: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """h1, h2 of the lines of features() that more than limit distinct documents of their host have, staged."""
+    lines = made.select("k1", F.explode("lines").alias("x")).select("k1", "x.h1", "x.h2")
     often = lines.groupBy("h1", "h2", "k1").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("docs")).filter(F.col("docs") > limit)
-    often = common.staged(often.select("h1", "h2"), "frequent-lines")
+    return common.staged(often.select("h1", "h2"), "frequent-lines")
+
+
+def removed_lines(made: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST, often: DataFrame | None = None) -> DataFrame:
+    """row, h1, h2, n (words) for the lines of features() that more than limit distinct documents of their host have."""
+    often = frequent_lines(made, limit) if often is None else often
     often = F.broadcast(often) if often.count() <= most_broadcast else often
+    lines = made.select("row", F.explode("lines").alias("x")).select("row", "x.*")
     return lines.join(often, ["h1", "h2"], "left_semi").select("row", "h1", "h2", "n")
 
 
@@ -173,28 +179,88 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return verdicts(common.table(spark, sf_dir, "documents")).select("doc_id", *_COUNTS, "base_failed", "kept", "removed_words")
 
 
-def _marked(documents: DataFrame, limit: int, most_broadcast: int, by_id: bool) -> tuple[DataFrame, list[str], str]:
-    """features() with all columns of documents (_0, _1, ...), gone (hashes of removed lines, null if none) and removed; the columns, and that of the text.
-    Texts are staged with their counts, so they are read once."""
+class LineSet:
+    """Lines by (h1, h2), in order; contains() tells which of many are there."""
+
+    def __init__(self, h1, h2):
+        import numpy as np
+
+        order = np.lexsort((h2, h1))
+        self.h1, self.h2 = h1[order], h2[order]
+        #: The most lines with one h1, all but always one.
+        self.run = int(np.unique(self.h1, return_counts=True)[1].max()) if len(h1) else 0
+
+    def contains(self, h1, h2):
+        import numpy as np
+
+        found, at = np.zeros(len(h1), bool), np.searchsorted(self.h1, h1)
+        for i in range(self.run):
+            to = np.minimum(at + i, len(self.h1) - 1)
+            found |= (self.h1[to] == h1) & (self.h2[to] == h2)
+        return found
+
+
+def _looked_up(made: DataFrame, often: DataFrame, names: list[str], text: str, depleted: int | None) -> DataFrame:
+    """The columns names of features(), with texts that lack the lines often (h1, h2), which are sent to the workers; with depleted, the rows that are kept."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    few = often.toArrow()
+    sent = made.sparkSession.sparkContext.broadcast(LineSet(few.column("h1").to_numpy(), few.column("h2").to_numpy()))
+
+    def run(batches):
+        import numpy as np
+
+        lines_gone = sent.value
+        for b in batches:
+            lists = b.column("lines")
+            flat, starts = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            h1, h2, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            hit = lines_gone.contains(h1, h2)
+            hits, words = (np.concatenate([[0], np.cumsum(x)]) for x in (hit, np.where(hit, n, 0)))
+            removed, touched = np.diff(words[starts]), np.diff(hits[starts]) > 0
+            keep = np.ones(len(b), bool)
+            if depleted is not None:
+                failed, size = b.column("base_failed").to_numpy(zero_copy_only=False), b.column("n_words").to_numpy()
+                keep = ~failed & (100 * removed <= depleted * size)
+            texts = b.column(text).cast(pa.large_binary()).to_pylist()
+            hosts = b.column("host").to_pylist()
+            for i in np.flatnonzero(keep & touched).tolist():
+                mine = slice(starts[i], starts[i + 1])
+                gone = set(zip(h1[mine][hit[mine]].tolist(), h2[mine][hit[mine]].tolist()))
+                texts[i] = without_lines(hosts[i], texts[i] or b"", gone)
+            cleaned = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(b.column(text).type)
+            whole = pa.RecordBatch.from_arrays([cleaned if c == text else b.column(c) for c in names], names)
+            yield whole.filter(pa.array(keep))
+
+    needed = made.select(*names, "host", "n_words", "base_failed", "lines")
+    return needed.mapInArrow(run, StructType([made.schema[n] for n in names]))
+
+
+def _without_frequent(documents: DataFrame, limit: int, depleted: int | None, most_broadcast: int, by_id: bool) -> DataFrame:
+    """documents with texts that lack the removed lines; with depleted, the rows that are kept. Texts are staged with their counts, so they are read once."""
     names = [f"_{i}" for i in range(len(documents.columns))]
     source, text = (names[documents.columns.index(n)] for n in ("source", "text"))
     made = features(documents.toDF(*names), source, text, *names, unit=names[documents.columns.index("doc_id")] if by_id else None)
+    often = frequent_lines(made, limit)
+    if often.count() <= most_broadcast:
+        return _looked_up(made, often, names, text, depleted).toDF(*documents.columns)
     # At most a document's own lines.
-    lines = common.staged(removed_lines(made, limit, most_broadcast).groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"), F.sum("n").alias("removed")), "removed-lines")
-    return made.drop("lines").join(lines, "row", "left"), names, text
+    lines = common.staged(removed_lines(made, limit, most_broadcast, often).groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"), F.sum("n").alias("removed")), "removed-lines")
+    rows = made.drop("lines").join(lines, "row", "left")
+    if depleted is not None:
+        rows = rows.filter(~F.col("base_failed") & (100 * F.coalesce("removed", F.lit(0)) <= depleted * F.col("n_words")))
+    return _cleaned(rows.select(*names, "host", "gone"), text).toDF(*documents.columns)
 
 
 def cleaned(documents: DataFrame, limit: int = LIMIT, most_broadcast: int = MOST_BROADCAST, by_id: bool = False) -> DataFrame:
     """All rows of documents, with texts that lack the lines that too many documents of their host have."""
-    rows, names, text = _marked(documents, limit, most_broadcast, by_id)
-    return _cleaned(rows.select(*names, "host", "gone"), text).toDF(*documents.columns)
+    return _without_frequent(documents, limit, None, most_broadcast, by_id)
 
 
 def keep_good(documents: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED, most_broadcast: int = MOST_BROADCAST, by_id: bool = False) -> DataFrame:
     """The rows of documents that are kept, with texts that lack the removed lines; other columns as they are."""
-    rows, names, text = _marked(documents, limit, most_broadcast, by_id)
-    good = rows.filter(~F.col("base_failed") & (100 * F.coalesce("removed", F.lit(0)) <= depleted * F.col("n_words")))
-    return _cleaned(good.select(*names, "host", "gone"), text).toDF(*documents.columns)
+    return _without_frequent(documents, limit, depleted, most_broadcast, by_id)
 
 
 def oracle_sql(limit: int = LIMIT, depleted: int = DEPLETED, by_id: bool = False) -> str:
