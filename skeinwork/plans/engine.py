@@ -83,9 +83,9 @@ class Engine:
 
     @cached_property
     def edges(self) -> DataFrame:
-        pairs = graph.similarity_pairs(self.index.keywords.select("doc_id", "keyword"), self.corpus.select("doc_id", "category"))
+        sets = graph.keyword_ids(self.index.keywords.select("doc_id", "keyword"), self.corpus.select("doc_id", "category"))
         refs = graph.reference_edges(self.corpus) if "slug" in self.corpus.columns else self.spark.createDataFrame([], "src long, dst long, pos int, type string, weight double")
-        return session.staged(graph.document_graph(refs, pairs), "document-graph")
+        return session.staged(graph.document_graph(refs, graph.pairs_of(sets), sets), "document-graph")
 
     @cached_property
     def nodes(self) -> DataFrame:
