@@ -24,6 +24,8 @@ def reference_edges(corpus: DataFrame) -> DataFrame:
     return hit.groupBy("src", "dst").agg(F.min("pos").alias("pos")).select("src", "dst", "pos", F.lit("reference").alias("type"), F.lit(1.0).alias("weight"))
 
 
+#: Targets in one list of a node's edges.
+LIST = 4096
 #: Documents of a block; a task compares two blocks at a time.
 BLOCK = 1024
 
@@ -216,19 +218,21 @@ def counted_stats(nodes: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 200, tolerance: float | None = 1e-6, history: list | None = None) -> DataFrame:
     """node, pagerank; history gets (round, L1 change) of each round where a tolerance is given. Parallel edges count each; dangling nodes share with all; edges to unknown nodes are left out.
 
-    A round is one shuffle join and one aggregation; edges are grouped by (src, dst) once, with their number."""
+    A round is one shuffle join and one aggregation; edges are grouped once, to lists of the targets that get an equal share, so a round shuffles eight bytes an edge. Lists of a hub are split."""
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
     known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
     grouped = known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     out = grouped.groupBy("src").agg(F.sum("m").alias("out"))
-    links = session.staged(grouped.join(out, "src").select("src", "dst", (F.col("m") / F.col("out")).alias("share")), "pagerank-links")
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("out") / LIST))
+    lists = grouped.join(out, "src").groupBy("src", (F.col("m") / F.col("out")).alias("share"), part.alias("part")).agg(F.collect_list("dst").alias("targets"))  # about LIST at most
+    links = session.staged(lists.select("src", "share", "targets"), "pagerank-links")
     dangling = session.staged(nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti"), "pagerank-dangling")
     rank, staged = nodes.select("node", F.lit(1.0 / n).alias("pagerank")), session.Rounds(nodes.sparkSession, "pagerank")
     for k in range(iterations):
         lost = dangling.join(rank, "node").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
-        given = links.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+        given = links.join(rank, F.col("src") == F.col("node")).select((F.col("pagerank") * F.col("share")).alias("x"), F.explode("targets").alias("dst")).groupBy("dst").agg(F.sum("x").alias("got"))
         new = rank.join(given, F.col("node") == F.col("dst"), "left")
         new = staged(new.select("node", F.col("pagerank").alias("old"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank")))
         rank = new.select("node", "pagerank")
