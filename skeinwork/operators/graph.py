@@ -399,7 +399,8 @@ def cycle_residue(edges: DataFrame) -> DataFrame:
     n = left.count()
     while n:
         heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = staged(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+        # Nodes are as many as the graph has, so they are shuffled and not sent by way of the driver.
+        left = staged(left.join(heads.hint("merge"), "src", "left_semi").join(tails.hint("merge"), "dst", "left_semi").select("src", "dst"))
         n, before = left.count(), n
         if n == before:
             break
@@ -409,33 +410,26 @@ def cycle_residue(edges: DataFrame) -> DataFrame:
 def cycle_witness(edges: DataFrame) -> DataFrame:
     """step, node, next: one cycle of the graph, from its least node on; no rows if there is none.
 
-    Each node that is left by cycle_residue has an edge to another such node; the least one is its pointer. Pointers doubled a logarithm of times lead from the least node
-    onto a cycle, and the cycle's nodes are then found by doubling too."""
+    Each node that is left by cycle_residue has an edge to another such node; the least one is its pointer. A walk along pointers from the least node is doubled,
+    and the pointers with it, until it comes to a node again: a logarithm of its length of rounds, not of the graph's nodes. Pointers are shuffled, none go through the driver."""
     left = cycle_residue(edges)
-    n = left.select("src").distinct().count()
-    if not n:
+    if not left.limit(1).count():
         return left.select(F.lit(0).alias("step"), F.col("src").alias("node"), F.col("dst").alias("next"))
     spark = edges.sparkSession
     pointer = session.staged(left.groupBy("src").agg(F.min("dst").alias("over")).withColumnRenamed("src", "node"), "cycle-pointers")
-    rounds, width, up = [session.Rounds(spark, "cycle-jumps") for _ in range(3)], 1, pointer
-    at = pointer.agg(F.min("node")).first()[0]
-    while True:  # after at least n steps from anywhere one is on a cycle
-        if width >= n:
-            at = up.filter(F.col("node") == at).first()["over"]
-            break
-        up = rounds[0](up.join(up.select(F.col("node").alias("over"), F.col("over").alias("top")), "over").select("node", F.col("top").alias("over")))
-        width *= 2
-    walk, up, width = spark.createDataFrame([(0, at)], "step long, node long"), pointer, 1
+    walks, jumps, width, up = session.Rounds(spark, "cycle-walk"), session.Rounds(spark, "cycle-jumps"), 1, pointer
+    walk = spark.createDataFrame([(0, pointer.agg(F.min("node")).first()[0])], "step long, node long")
     while True:
-        walk = rounds[1](walk.unionByName(walk.join(up, "node").select((F.col("step") + width).alias("step"), F.col("over").alias("node"))))
-        back = walk.filter((F.col("node") == at) & (F.col("step") > 0)).agg(F.min("step")).first()[0]
+        walk = walks(walk.unionByName(walk.join(up.hint("merge"), "node").select((F.col("step") + width).alias("step"), F.col("over").alias("node"))))
+        visits = walk.groupBy("node").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        begin, back = visits.agg(F.min("first"), F.min(F.expr("(last - first) div (n - 1)"))).first()  # visits of a node are a cycle's length apart
         if back:
             break
-        up = rounds[2](up.join(up.select(F.col("node").alias("over"), F.col("over").alias("top")), "over").select("node", F.col("top").alias("over")))
-        width *= 2
-    ring = walk.filter(F.col("step") < back)
+        over = up.select(F.col("node").alias("over"), F.col("over").alias("top")).hint("merge")
+        up, width = jumps(up.join(over, "over").select("node", F.col("top").alias("over"))), 2 * width
+    ring = walk.filter((F.col("step") >= begin) & (F.col("step") < begin + back))
     first = ring.agg(F.min_by("step", "node")).first()[0]
-    return ring.join(pointer, "node").select(F.pmod(F.col("step") - first, F.lit(back)).alias("step"), "node", F.col("over").alias("next"))
+    return ring.join(pointer.hint("merge"), "node").select(F.pmod(F.col("step") - first, F.lit(back)).alias("step"), "node", F.col("over").alias("next"))
 
 
 def has_cycle(edges: DataFrame) -> bool:
