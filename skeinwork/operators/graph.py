@@ -332,18 +332,26 @@ def shortest_paths(edges: DataFrame, start: int, goal: int | None = None, delta:
     distance that is not settled. With a goal the run ends with the bucket that holds it, and only settled nodes are returned. Of equal distances the first found counts, the
     least parent among those of one round. history gets (bucket's upper end, open rows written, nodes settled so far)."""
     spark = edges.sparkSession
-    if edges.filter("cost < 0").limit(1).count():
+    edges = session.staged(edges.select("src", "dst", "cost"), "paths-edges")
+    # By ranges of src, so a round reads the files between the least and the greatest node that changed.
+    ranged = edges.repartitionByRange(session.parts(spark, edges.count()), "src", "dst")
+    links = session.staged(ranged.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost")), "paths-links", "src")
+    least, mean = links.agg(F.min("cost"), F.avg("cost")).first()
+    if least is not None and least < 0:
         raise ValueError("shortest paths need costs that are not negative")
-    links = session.staged(edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost")), "paths-links")
-    delta = delta or links.agg(F.avg("cost")).first()[0] or 1.0
+    delta = delta or mean or 1.0
     light, heavy = links.filter(F.col("cost") < delta), links.filter(F.col("cost") >= delta)
     schema, where, buckets, done = "node long, dist double, parent long", f"{session.shared_dir(spark)}/paths-{uuid.uuid4().hex}", [], 0
     session.keep_track(spark, where)
     table = lambda: spark.read.schema(schema).parquet(*buckets) if buckets else spark.createDataFrame([], schema)
     staged = session.Rounds(spark, "paths-open", keep=2)
 
-    def relaxed(open_, changed, over):
-        """The open nodes after these edges of changed nodes are tried; fresh ones have a new distance."""
+    def span(nodes):
+        return nodes.agg(F.min("node"), F.max("node")).first()
+
+    def relaxed(open_, changed, over, low, high):
+        """The open nodes after these edges of changed nodes (from low to high) are tried; fresh ones have a new distance."""
+        over = over.filter(F.col("src").between(low, high))
         step = changed.select(F.col("node").alias("src"), F.col("dist").alias("so_far")).join(over, "src")
         best = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("so_far") + F.col("cost")).alias("dist"), F.col("src").alias("parent"))).alias("m"))
         best = best.join(table().select("node"), "node", "left_anti").select("node", F.col("m.dist").alias("new"), F.col("m.parent").alias("by"))
@@ -356,8 +364,8 @@ def shortest_paths(edges: DataFrame, start: int, goal: int | None = None, delta:
         limit = (low // delta + 1) * delta
         near = F.col("dist") < limit
         changed = open_.filter(near)
-        while changed.limit(1).count():
-            open_ = relaxed(open_, changed, light)
+        while (ends := span(changed))[0] is not None:
+            open_ = relaxed(open_, changed, light, *ends)
             changed = open_.filter(near & F.col("fresh"))
         buckets.append(f"{where}/bucket={len(buckets)}")
         open_.filter(near).select("node", "dist", "parent").write.parquet(buckets[-1])
@@ -365,7 +373,7 @@ def shortest_paths(edges: DataFrame, start: int, goal: int | None = None, delta:
         done += bucket.count()
         if goal is not None and bucket.filter(F.col("node") == goal).limit(1).count():
             break
-        open_ = relaxed(open_.filter(~near), bucket, heavy)
+        open_ = relaxed(open_.filter(~near), bucket, heavy, *span(bucket))
         if history is not None:
             history.append((limit, open_.count(), done))
     return table()
@@ -438,7 +446,8 @@ def has_cycle(edges: DataFrame) -> bool:
 
 def traverse(edges: DataFrame, algorithm: str = "bfs", start: int | None = None, goal: int | None = None, depth: int | None = None) -> DataFrame:
     """bfs or dijkstra from a start that is in the graph, the least node otherwise; a goal that is not in the graph is ignored."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    edges = session.staged(edges, "traverse-edges")  # read several times
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     there = lambda x: x is not None and nodes.filter(F.col("node") == x).limit(1).count() > 0
     start = start if there(start) else nodes.agg(F.min("node")).first()[0]
     goal, depth = goal if there(goal) else None, depth if depth and depth > 0 else None

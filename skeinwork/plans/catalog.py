@@ -82,7 +82,8 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 def steps(spark: SparkSession, sf: str) -> DataFrame:
     """src, dst, quantity, price: from each part of an order to the next."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = session.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    lines = session.table(spark, sf, "lineitem")
+    rows = session.dealt(lines, lines.count(), "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
     return rows.filter("dst is not null and dst <> src")
 
 
@@ -840,8 +841,7 @@ def _(spark, sf):
 
 @query("shortest_paths", f"WITH RECURSIVE {S.STEPS}, cost AS MATERIALIZED (SELECT src, dst, min(quantity) AS cost FROM steps GROUP BY src, dst), d AS (SELECT 0 AS i, 1::BIGINT AS node, 0.0::DOUBLE AS dist UNION ALL SELECT i, node, min(dist) FROM (SELECT d.i + 1 AS i, dst AS node, dist + cost AS dist FROM d JOIN cost ON src = node WHERE d.i < 25 UNION ALL SELECT i + 1, node, dist FROM d WHERE i < 25) GROUP BY i, node) SELECT node, dist FROM d WHERE i = 25")
 def _(spark, sf):
-    costs = steps(spark, sf).groupBy("src", "dst").agg(F.min("quantity").alias("cost"))
-    return graph.shortest_paths(costs, 1).select("node", "dist")
+    return graph.shortest_paths(steps(spark, sf).select("src", "dst", F.col("quantity").alias("cost")), 1).select("node", "dist")
 
 
 @query("components", f"WITH RECURSIVE {S.STEPS}, l AS MATERIALIZED (SELECT src, dst FROM steps UNION SELECT dst, src FROM steps), low AS (SELECT 0 AS i, p_partkey AS node, p_partkey AS c FROM part UNION ALL SELECT i, node, min(c) FROM (SELECT low.i + 1 AS i, dst AS node, c FROM low JOIN l ON src = node WHERE low.i < 25 UNION ALL SELECT i + 1, node, c FROM low WHERE i < 25) GROUP BY i, node) SELECT node, c AS component FROM low WHERE i = 25")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Rows of numbers in a partition that dealt() makes.
+TASK_ROWS = 1 << 19
 
 
 def build(app: str = "skeinwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -92,6 +94,25 @@ def clean(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df (of about so many rows) by keys, in as many partitions as it takes for TASK_ROWS in each: what a task holds does not grow with the table."""
+    return df.repartition(parts(df.sparkSession, rows), *keys)
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """rows whose number in column is (how: left_semi) or is not (left_anti) among those of ids. Numbers are sent as bitmaps of 64 in a row, so that
+    rows stay where they lie up to BROADCAST_ROWS bitmaps, 12.8 M numbers if they are dense; beyond that rows and numbers are shuffled."""
+    bits = ids.filter(F.col(column).isNotNull()).groupBy(F.shiftright(column, 6).alias("_block")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("_bits"))
+    bits = staged(bits, "bitmaps")
+    few = bits.count() <= BROADCAST_ROWS
+    there = F.expr(f"shiftright({column}, 6) = _block AND getbit(_bits, CAST({column} & 63 AS INT)) = 1")
+    return rows.join(F.broadcast(bits) if few else bits, there, how)
+
+
 def numbered(df: DataFrame, name: str, *order, start: int = 0, size: int | None = None) -> DataFrame:
     """df with a column of consecutive numbers along an order. A small table is numbered by one window; a larger one is dealt by
     ranges of the order and written, and each row gets its place in its range plus the sizes of the ranges before. size: df's rows, if known."""
