@@ -2,7 +2,8 @@
 
 Adding documents writes one segment with their entries; deleting some writes their numbers. A document's entries are those of its last segment, unless a later deletion names it.
 Statistics (document frequencies, counts, votes of surface forms) are kept as what each change adds and takes away, so they are sums over segments, and no change
-reads the entries of other documents. Entries are dealt by ranges of (term, doc_id) inside a segment, and once more by document, which is what a deletion looks up.
+reads the entries of other documents. A segment has its documents' terms by document, written where the documents lie, which is what a deletion looks up, and inverted:
+each of its files of entries is sorted by (term, doc_id) and has the documents of one task, so a term's look-up reads its row groups in each, and nothing is shuffled.
 
 Segments of about one size are merged once there are FAN of them, into one of the next tier, so a document is rewritten a logarithm of times. A merge leaves out what is deleted.
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork import session
-from skeinwork.operators.index import BODY, KEYWORD, TITLE, Index, idf
+from skeinwork.operators.index import BODY, KEYWORD, TITLE, analysed, idf
 
 FAN = 4
 _SEGMENT = "segment int, tier int, documents long, first int"
@@ -64,6 +65,14 @@ class SegmentedIndex:
         """doc_id, since: its rows in segments before that one are dead. As small as the changes that no merge has taken in."""
         return self._read("gone").groupBy("doc_id").agg(F.max("segment").alias("since"))
 
+    def _forward(self, segments: list, columns: list[str]) -> DataFrame:
+        """Documents of these segments that are there, where they lie: numbers that later segments name are sent to them as bitmaps."""
+        parts = []
+        for s in segments:
+            rows, later = self._read("forward", [s]).select(*columns), [x for x in self.segments if x["segment"] > s["segment"]]
+            parts.append(session.by_ids(rows, self._read("gone", later).select("doc_id"), "left_anti") if later else rows)
+        return functools.reduce(DataFrame.unionByName, parts)
+
     def _alive(self, rows: DataFrame) -> DataFrame:
         gone = self._gone().withColumnRenamed("doc_id", "_d")
         return rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("segment") < F.col("since")), "left_anti").drop("segment")
@@ -86,7 +95,7 @@ class SegmentedIndex:
     @property
     def vocabulary(self) -> DataFrame:
         """term, display, doc_freq, freq, total, idf, summed up from what the changes added and took away."""
-        rows = self._read("statistics").groupBy("term", "surface").agg(*[F.sum(c).alias(c) for c in ("doc_freq", "freq", "total", "votes")])
+        rows = self._read("statistics").repartition("term").groupBy("term", "surface").agg(*[F.sum(c).alias(c) for c in ("doc_freq", "freq", "total", "votes")])
         shown = F.min(F.when((F.col("surface") != "") & (F.col("votes") > 0), F.struct((-F.col("votes")).alias("v"), "surface")))["surface"].alias("display")
         terms = rows.groupBy("term").agg(shown, *[F.sum(c).alias(c) for c in ("doc_freq", "freq", "total")])
         return terms.filter("doc_freq > 0").withColumn("idf", idf(F.col("doc_freq"), self.size))
@@ -103,17 +112,18 @@ class SegmentedIndex:
     # Changes.
 
     def add(self, rows: DataFrame) -> SegmentedIndex:
-        """With these documents (columns as for Index), in place of those of equal doc_id. What is written is as large as they are, and as what they replace."""
-        new = Index(session.staged(rows, "segment-rows"))
+        """With these documents (columns as for an Index), in place of those of equal doc_id. What is written is as large as they are, and as what they replace."""
         number = self._next()
-        rows = new.analysis.select("doc_id", F.explode("terms").alias("x")).select("x.term", "doc_id", "x.wtf", "x.n")
         votes = F.transform("surfaces", lambda x: F.struct(x["term"].alias("term"), x["surface"].alias("surface"), ((TITLE + BODY) * x["title"] + BODY * x["content"] + KEYWORD * x["keywords"]).alias("votes")))
         terms = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["wtf"].alias("wtf"), x["n"].alias("n")))
-        filled = lambda x: F.when(F.size(x) > 0, F.sort_array(x))
-        forward = new.analysis.select("doc_id", "size", filled(terms).alias("terms"), filled(votes).alias("surfaces"))
-        self._write(number, "entries", rows.select("term", "doc_id", "wtf", "n").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
-        self._write(number, "forward", forward.repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
-        return self._changed(number, self.spark.read.schema(_SCHEMAS["forward"]).parquet(self._path(number, "forward")), new.corpus.select("doc_id"))
+        self._write(number, "forward", analysed(rows).select("doc_id", "size", terms.alias("terms"), votes.alias("surfaces")))
+        added = self.spark.read.schema(_SCHEMAS["forward"]).parquet(self._path(number, "forward"))
+        self._invert(number, added)
+        return self._changed(number, added, added.select("doc_id"))
+
+    def _invert(self, number: int, forward: DataFrame) -> None:
+        rows = forward.select("doc_id", F.explode("terms").alias("x")).select("x.term", "doc_id", "x.wtf", "x.n")
+        self._write(number, "entries", rows.sortWithinPartitions("term", "doc_id"))
 
     def delete(self, ids: DataFrame) -> SegmentedIndex:
         """Without these documents (doc_id). Their numbers and what they had in the statistics are written, no more."""
@@ -126,14 +136,14 @@ class SegmentedIndex:
         return self.version + 1
 
     def _write(self, number: int, table: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self._path(number, table))
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(self._path(number, table))
 
     def _changed(self, number: int, added: DataFrame | None, ids: DataFrame) -> SegmentedIndex:
         ids = session.staged(ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "segment-ids")
-        # Sorted by document, so only the row groups that may have one of them are read.
         low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
-        old = self._alive(self._read("forward").filter(F.col("doc_id").between(low, high))).join(ids, "doc_id", "left_semi") if low is not None else self._alive(self._read("forward")).limit(0)
-        old = session.staged(old, "segment-old")
+        # Files of documents in order have row groups that need not be read.
+        old = self._forward(self.segments, ["doc_id", "terms", "surfaces"]).filter(F.col("doc_id").between(low, high)) if self.segments and low is not None else self._read("forward", []).drop("size", "segment")
+        old = session.staged(session.by_ids(old, ids, "left_semi"), "segment-old")
         parts = [_statistics(old, -1)] + ([_statistics(added, 1)] if added is not None else [])
         total = functools.reduce(DataFrame.unionByName, parts).groupBy("term", "surface").agg(*[F.sum(c).alias(c) for c in ("doc_freq", "freq", "total", "votes")])
         self._write(number, "statistics", total.sortWithinPartitions("term", "surface"))
@@ -160,9 +170,8 @@ class SegmentedIndex:
             return self
         older = [s for s in self.segments if s["segment"] < some[0]["segment"]]
         number = self._next()
-        alive = lambda table: self._alive(self._read(table, some))
-        self._write(number, "entries", alive("entries").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
-        self._write(number, "forward", alive("forward").repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+        self._write(number, "forward", self._forward(some, ["doc_id", "size", "terms", "surfaces"]))
+        self._invert(number, self.spark.read.schema(_SCHEMAS["forward"]).parquet(self._path(number, "forward")))
         sums = self._read("statistics", some).groupBy("term", "surface").agg(*[F.sum(c).alias(c) for c in ("doc_freq", "freq", "total", "votes")])
         self._write(number, "statistics", sums.filter("doc_freq <> 0 or votes <> 0 or freq <> 0").sortWithinPartitions("term", "surface"))
         gone = self._read("gone", some).select("doc_id").distinct()
@@ -180,9 +189,8 @@ class SegmentedIndex:
 
 
 def _statistics(forward: DataFrame, sign: int) -> DataFrame:
-    """What these documents add to (or take from) the statistics: a row for each term, with surface "", and one for each of its surfaces."""
-    zero = F.lit(0).cast("long")
-    terms = forward.select(F.explode("terms").alias("x")).groupBy("x.term").agg(F.count(F.lit(sign)).alias("c"), F.sum("x.wtf").alias("w"), F.sum("x.n").alias("t"))
-    terms = terms.select("term", F.lit("").alias("surface"), (F.col("c") * sign).alias("doc_freq"), (F.col("w") * sign).alias("freq"), (F.col("t") * sign).alias("total"), zero.alias("votes"))
-    votes = forward.select(F.explode("surfaces").alias("x")).groupBy("x.term", "x.surface").agg(F.sum("x.votes").alias("v"))
-    return terms.unionByName(votes.select("term", "surface", zero.alias("doc_freq"), zero.alias("freq"), zero.alias("total"), (F.col("v") * sign).alias("votes")))
+    """What these documents add to (or take from) the statistics: rows to sum up for each term, with surface "", and for each of its surfaces."""
+    zero, by = F.lit(0).cast("long"), F.lit(sign).cast("long")
+    terms = forward.select(F.explode("terms").alias("x")).select("x.term", F.lit("").alias("surface"), by.alias("doc_freq"), (F.col("x.wtf") * by).alias("freq"), (F.col("x.n") * by).alias("total"), zero.alias("votes"))
+    votes = forward.select(F.explode("surfaces").alias("x")).select("x.term", "x.surface", zero.alias("doc_freq"), zero.alias("freq"), zero.alias("total"), (F.col("x.votes") * by).alias("votes"))
+    return terms.unionByName(votes)

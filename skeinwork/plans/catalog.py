@@ -303,7 +303,7 @@ def _(spark, sf):
 @query("segmented_index", f"WITH {S.INDEX.replace('FROM documents', 'FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 20 = 0')} SELECT term, display, doc_freq, freq, total, round(idf, 9) AS idf FROM vocabulary JOIN (SELECT term, total, idf FROM idf) USING (term)")
 def _(spark, sf):
     """Documents added in three changes, some of them twice, then a tenth deleted, and half of these added again: five versions, of which four are merged."""
-    docs = session.staged(spread(corpus(spark, sf)), "segment-corpus")
+    docs = spread(corpus(spark, sf))
     ix = segments.SegmentedIndex(spark, f"{session.shared_dir(spark)}/segments-{uuid.uuid4().hex}")
     session.keep_track(spark, ix.root)
     for part in ("doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2 or doc_id % 9 = 0"):
