@@ -38,52 +38,73 @@ def analysed(corpus: DataFrame) -> DataFrame:
 
     own = F.col("keywords") if "keywords" in corpus.columns else F.lit(None).cast("array<string>")
     rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), X.normalize(F.col("title")).alias("title"), X.normalize(F.col("content")).alias("content"), own.alias("own"), F.transform(own, X.normalize).alias("own_words"))
-    schema, stop = StructType.fromDDL(ANALYSIS), set(X.STOP_WORDS)
+    schema, dropped = StructType.fromDDL(ANALYSIS), {"", *X.STOP_WORDS, *"abcdefghijklmnopqrstuvwxyz0123456789"}
     made, parts = to_arrow_schema(schema), 512
     session.bounded_batches(4 << 20)
 
     def run(batches):
-        stems: dict[str, str] = {}
-
-        def stem(w: str) -> str:
-            if (s := stems.get(w)) is None:
-                if len(stems) >= MOST_STEMS:
-                    stems.clear()
-                s = stems[w] = X.stem_word(w)
-            return s
-
-        def words(text: str | None) -> list[str]:
-            return [w for w in (text or "").split(" ") if len(w) > 1 and w not in stop]
-
-        def one(title, content, own, own_words):
-            fields = [Counter(words(title)), Counter(words(content))]
-            n: Counter = Counter()
-            for w, c in fields[1].items():
-                n[stem(w)] += c
-            kept = own or [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:TOP_KEYWORDS]]
-            fields.append(Counter(w for k in (own_words if own else kept) for w in words(k)))
-            surfaces = [(stem(w), w, *(f[w] for f in fields)) for w in fields[0] | fields[1] | fields[2]]
-            terms: dict[str, list[int]] = {}
-            for term, _, *counts in surfaces:
-                have = terms.setdefault(term, [0, 0, 0])
-                for i, c in enumerate(counts):
-                    have[i] += c
-            entries = [(s, (TITLE + BODY) * a + BODY * b + KEYWORD * c, a + b + c, int(a > 0), int(b > 0)) for s, (a, b, c) in terms.items()]
-            return fields[0].total() + fields[1].total(), kept, surfaces, entries
-
-        def lists(rows, kind):
-            flat = [x for r in rows for x in r]
-            columns = zip(*flat) if flat else [[] for _ in kind.value_type]
-            struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type)], fields=list(kind.value_type))
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), struct, type=kind)
-
         import numpy as np
 
+        class Stems(dict):
+            def __missing__(self, w: str) -> str:
+                if len(self) >= MOST_STEMS:
+                    self.clear()
+                s = self[w] = X.stem_word(w)
+                return s
+
+        stems = Stems()
+
+        def words(text: str | None) -> dict[str, int]:
+            # Stop words and single characters go from the distinct words, not from the text.
+            found = Counter((text or "").split(" "))
+            for w in dropped:
+                found.pop(w, None)
+            return found
+
+        def lists(sizes, columns, kind):
+            columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(f.type) if f.type != pa.string() else pa.array(c, f.type) for c, f in zip(columns, kind.value_type)]
+            struct = pa.StructArray.from_arrays(columns, fields=list(kind.value_type))
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), struct, type=kind)
+
+        def part(b):
+            size, kept = [], []
+            surface, term = ([], [[], [], [], [], []]), ([], [[], [], [], [], []])  # rows of each document, and columns of all
+            for title, content, own, own_words in zip(*(c.to_pylist() for c in b.columns[1:])):
+                head, body = words(title), words(content)
+                by_term: dict[str, int] = {}
+                for s, c in zip(map(stems.__getitem__, body), body.values()):
+                    by_term[s] = by_term.get(s, 0) + c
+                top = own
+                if not own:
+                    least = sorted(by_term.values())[-TOP_KEYWORDS:][0] if by_term else 0
+                    top = [w for _, w in sorted((-c, w) for w, c in by_term.items() if c >= least)[:TOP_KEYWORDS]]
+                size.append(sum(head.values()) + sum(body.values()))
+                kept.append(top)
+                tail: Counter = Counter()
+                for k in own_words if own else top:
+                    tail.update(words(k))
+                # A document's words are nearly all words of its text, so these are columns as they are, and title and keywords are added to some places.
+                every = list(dict.fromkeys([*head, *body, *tail]))
+                has = [[f.get(w, 0) for w in every] for f in (head, body, tail)]
+                of = list(map(stems.__getitem__, every))
+                at: dict[str, int] = {}
+                place = [at.setdefault(s, len(at)) for s in of]
+                counts = [np.array(c, np.int64) for c in has]
+                t, c, k = (np.bincount(place, weights=x, minlength=len(at)).astype(np.int64) for x in counts) if every else (np.zeros(0, np.int64),) * 3
+                surface[0].append(len(every))
+                surface[1][0] += of
+                surface[1][1] += every
+                for column, x in zip(surface[1][2:], counts):
+                    column.append(x)
+                term[0].append(len(at))
+                term[1][0] += at
+                for column, x in zip(term[1][1:], ((TITLE + BODY) * t + BODY * c + KEYWORD * k, t + c + k, (t > 0).astype(np.int64), (c > 0).astype(np.int64))):
+                    column.append(x)
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, made.field("keywords").type), lists(*surface, made.field("surfaces").type), lists(*term, made.field("terms").type)], schema=made)
+
         for whole in batches:
             for at in range(0, whole.num_rows, parts):
-                b = whole.slice(at, parts)
-                size, kept, surfaces, terms = zip(*(one(*r) for r in zip(*(c.to_pylist() for c in b.columns[1:]))))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, made.field("keywords").type), lists(surfaces, made.field("surfaces").type), lists(terms, made.field("terms").type)], schema=made)
+                yield part(whole.slice(at, parts))
 
     return rows.mapInArrow(run, schema)
 
@@ -266,13 +287,12 @@ class Index:
         """Tokens, keywords and entries of other documents are taken over as they are; only those of the new documents are made. What
         depends on all documents (vocabulary, norms) is summed up again from the entries."""
         out = Index(corpus)
-        few = gone.limit(session.BROADCAST_ROWS + 1).count() <= session.BROADCAST_ROWS
         for name in ("analysis", "entries"):
-            kept = getattr(self, name).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+            kept = session.by_ids(getattr(self, name), gone, "left_anti")
             kept = kept if new is None else kept.unionByName(getattr(new, name))
             if name == "entries":
-                # What is left of the ranges is in order still; new rows, and rows that met the numbers of many documents, are dealt again.
-                kept = session.staged(kept if few and new is None else kept.repartitionByRange("term", "doc_id"), name, "term", "doc_id")
+                # What is left of the ranges lies in them still; with new rows they are dealt again.
+                kept = session.staged(kept if new is None else kept.repartitionByRange("term", "doc_id"), name, "term", "doc_id")
             setattr(out, name, kept)
         return out
 
