@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork import session
@@ -145,8 +145,14 @@ class Index:
     @cached_property
     def entries(self) -> DataFrame:
         """term, doc_id, wtf (weighted count), n (count in the bag), by ranges of term."""
-        rows = self.analysis.select("doc_id", F.explode("terms").alias("x")).select("x.term", "doc_id", "x.wtf", "x.n")
-        return session.staged(rows.repartitionByRange("term", "doc_id"), "entries", "term", "doc_id")
+        return session.staged(self._from_analysis().repartitionByRange("term", "doc_id"), "entries", "term", "doc_id")
+
+    def _from_analysis(self) -> DataFrame:
+        return self.analysis.select("doc_id", F.explode("terms").alias("x")).select("x.term", "doc_id", "x.wtf", "x.n")
+
+    def _entry_rows(self) -> DataFrame:
+        """The rows of entries, from the analysis where entries are not there."""
+        return self.entries if "entries" in self.__dict__ else self._from_analysis()
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -161,8 +167,8 @@ class Index:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """term, doc_freq, freq (sum of weighted counts), total (in the bag): all that weights need, without surface forms."""
-        return session.staged(_counts(self.entries), "counts", "term")
+        """term, doc_freq, freq (sum of weighted counts), total (in the bag): all that weights need, without surface forms. Entries are not made for it."""
+        return session.staged(_counts(self._entry_rows()), "counts", "term")
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -178,11 +184,7 @@ class Index:
         """The vocabulary's rows of the terms that meet a condition (on term). Unless its tables are there already, only these terms are summed up, so no other is shuffled."""
         if "vocabulary" in self.__dict__:
             return self.vocabulary.filter(condition)
-        if "entries" in self.__dict__:
-            rows = self.entries
-        else:
-            rows = self.analysis.select("doc_id", F.explode("terms").alias("x")).select("x.term", "doc_id", "x.wtf", "x.n")
-        return self._with_display(_counts(rows.filter(condition)), self.surfaces.filter(condition))
+        return self._with_display(_counts(self._entry_rows().filter(condition)), self.surfaces.filter(condition))
 
     @cached_property
     def bag(self) -> DataFrame:
@@ -199,16 +201,34 @@ class Index:
         return self.counts.select("term", F.col("doc_freq").alias("df"), "total", idf(F.col("doc_freq"), self.size).alias("idf"))
 
     def _raw(self, rows: DataFrame) -> DataFrame:
-        """rows (term, n and more) with x, the raw TF-IDF weight. A vocabulary of up to session.BROADCAST_ROWS terms is sent to the rows."""
-        idf = self.idf.select("term", "idf")
-        idf = F.broadcast(idf) if idf.count() <= session.BROADCAST_ROWS else idf
-        return rows.join(idf, "term").withColumn("x", F.col("n") * F.col("idf"))
+        """rows (term, n and more) with x, the raw TF-IDF weight. The idf of up to session.BROADCAST_ROWS of the most frequent terms are sent to the rows; only rows of other terms are shuffled."""
+        idf = self.idf.select("term", "df", "idf")
+        if not self._frequent:
+            found = rows.join(F.broadcast(idf.drop("df")), "term")
+        else:
+            most = F.broadcast(idf.filter(F.col("df") >= self._frequent).drop("df"))
+            others = rows.join(most.select("term"), "term", "left_anti").join(idf.filter(F.col("df") < self._frequent).drop("df"), "term")
+            found = rows.join(most, "term").unionByName(others)
+        return found.withColumn("x", F.col("n") * F.col("idf"))
+
+    @cached_property
+    def _frequent(self) -> int:
+        """How many documents the terms have that are sent to rows: the least number that session.BROADCAST_ROWS terms at most reach; 0 if all terms are as few."""
+        by_df = self.counts.groupBy("doc_freq").agg(F.count(F.lit(1)).alias("n"))  # a row for each number of documents
+        reach = by_df.select("doc_freq", F.sum("n").over(Window.orderBy(F.desc("doc_freq"))).alias("n"))
+        terms, most, least = reach.agg(F.max("n"), F.max("doc_freq"), F.min(F.when(F.col("n") <= session.BROADCAST_ROWS, F.col("doc_freq")))).first()
+        return 0 if (terms or 0) <= session.BROADCAST_ROWS else least or most + 1
+
+    @cached_property
+    def squares(self) -> DataFrame:
+        """doc_id, squares (the sum of its squared raw weights), terms. A document's terms of the frequent ones are added up where it lies."""
+        raw = self._raw(self.analysis.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.n"))
+        return raw.groupBy("doc_id").agg(F.sum(F.col("x") * F.col("x")).alias("squares"), F.count(F.lit(1)).alias("terms"))
 
     @cached_property
     def norms(self) -> DataFrame:
         """doc_id, norm of the document's raw TF-IDF vector."""
-        raw = self._raw(self.analysis.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.n"))
-        return session.staged(raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")), "norms")
+        return session.staged(self.squares.select("doc_id", F.sqrt("squares").alias("norm")), "norms")
 
     @cached_property
     def weights(self) -> DataFrame:

@@ -462,7 +462,9 @@ def _(spark, sf):
 
 @query("doc_norms", f"WITH {S.WEIGHTS} SELECT doc_id, round(sum(w * w), 6) AS one, count(*) AS terms FROM weights GROUP BY doc_id")
 def _(spark, sf):
-    return index(spark, sf).weights_by_document.groupBy("doc_id").agg(F.round(F.sum(F.col("w") * F.col("w")), 6).alias("one"), F.count(F.lit(1)).alias("terms"))
+    # A document's weights have one divisor, its norm, so their squares are added up before they meet it.
+    ix = index(spark, sf)
+    return ix.squares.join(ix.norms, "doc_id").select("doc_id", F.round(F.col("squares") / (F.col("norm") * F.col("norm")), 6).alias("one"), "terms")
 
 
 @query("tfidf_query", f"WITH {S.cosine(TERMS)} SELECT docs.doc_id, coalesce(score, 0.0) AS score FROM docs LEFT JOIN cos USING (doc_id)")
